@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvia.llm import line_dedup, mixing, packing, token_count
+from corvia.llm import jaccard, line_dedup, mixing, packing, token_count
 from corvia.llm.store import table
 
 
@@ -28,6 +28,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_weights(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_mixing": op8_mixing,
     "op10_token_counts": op10_token_counts,
 }
