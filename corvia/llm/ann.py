@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corvia.llm.store import materialise
 
-CODES_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 512
+CODES_IN_BLOCK, QUERIES_IN_BLOCK, BLOCKS_IN_TASK = 4096, 64, 64
 
 
 @dataclass
@@ -162,44 +162,61 @@ def nearest(
     meet = index.withColumn("block", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<long>")))
     met = meet.join(blocks.select("block", F.col("ids").alias("query_ids"), "vectors"), "block")
 
+    def score_block(r: dict) -> list[tuple[np.ndarray, ...]]:
+        """Of each query of r's block, id, equal and near of the best codes of r."""
+        ids, equal = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["equal"], np.int64)
+        codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
+        norms = np.frombuffer(r["norms"], np.float32)
+        qs = np.frombuffer(r["query_ids"], np.int64)
+        x = np.frombuffer(r["vectors"], np.float32).reshape(len(qs), -1)
+        table = np.einsum("qd,mkd->mqk", x, books_.entries, optimize=True)
+        score = np.repeat(norms[None, :], len(qs), axis=0)
+        for m in range(codes.shape[1]):
+            score -= 2 * table[m][:, codes[:, m]]
+        score[qs[:, None] == ids[None, :]] = np.inf
+        return [(ids, equal, row) for row in score]
+
+    def best(ids: np.ndarray, equal: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The candidates with the least (near, id), of equal vectors no more than k + 1."""
+        by = np.lexsort((ids, equal))
+        at = np.arange(len(by))
+        nth = at - np.maximum.accumulate(np.where(np.concatenate([[True], equal[by][1:] != equal[by][:-1]]), at, 0))
+        by = by[(nth <= k) & np.isfinite(near[by])]
+        by = by[np.lexsort((ids[by], near[by]))][:candidates]
+        return ids[by], equal[by], near[by]
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, qs, held = None, None, []
+
+        def out():
+            n = [len(x[0]) for x in held]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qs, n)), *(pa.array(np.concatenate([x[i] for x in held])) for i in range(3))],
+                names=["query_id", "id", "equal", "near"],
+            )
+
         for batch in batches:
             for r in batch.to_pylist():
-                ids, equal = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["equal"], np.int64)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                norms = np.frombuffer(r["norms"], np.float32)
-                by = np.argsort(equal, kind="stable")
-                start = np.concatenate([[True], equal[by][1:] != equal[by][:-1]])
-                nth = np.empty(len(ids), dtype=np.int64)
-                nth[by] = np.arange(len(ids)) - np.maximum.accumulate(np.where(start, np.arange(len(ids)), 0))
-                few = nth <= k
-                ids, equal, codes, norms = ids[few], equal[few], codes[few], norms[few]
-                qs = np.frombuffer(r["query_ids"], np.int64)
-                x = np.frombuffer(r["vectors"], np.float32).reshape(len(qs), -1)
-                table = np.einsum("qd,mkd->mqk", x, books_.entries, optimize=True)
-                score = np.repeat(norms[None, :], len(qs), axis=0)
-                for m in range(codes.shape[1]):
-                    score -= 2 * table[m][:, codes[:, m]]
-                score[qs[:, None] == ids[None, :]] = np.inf
-                take = min(candidates, len(ids))
-                out_q, out_i = [], []
-                for q, row in enumerate(score):
-                    edge = np.partition(row, take - 1)[take - 1]
-                    below = np.flatnonzero(row < edge)
-                    at = np.concatenate([below, np.flatnonzero(row == edge)[: take - len(below)]])
-                    at = at[np.isfinite(row[at])]
-                    out_q.append(np.full(len(at), q))
-                    out_i.append(at)
-                q, i = np.concatenate(out_q), np.concatenate(out_i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(qs[q]), pa.array(ids[i]), pa.array(equal[i]), pa.array(score[q, i])], names=["query_id", "id", "equal", "near"]
-                )
-
+                if (r["block"], r["salt"]) != name:
+                    if name is not None:
+                        yield from out()
+                    name, qs, held = (r["block"], r["salt"]), np.frombuffer(r["query_ids"], np.int64), []
+                found = score_block(r)
+                if held:
+                    found = [tuple(map(np.concatenate, zip(old, new, strict=True))) for old, new in zip(held, found, strict=True)]
+                held = [best(*x) for x in found]
+        if name is not None:
+            yield from out()
+
+    # One task has a query block's whole way through up to BLOCKS_IN_TASK blocks of codes and sends on the best of all.
+    salts = max(1, -(-index.count() // BLOCKS_IN_TASK))
+    met = met.withColumn("salt", F.pmod(F.xxhash64("norms"), F.lit(salts)).cast("int"))
+    met = met.repartition(n_blocks * salts, "block", "salt").sortWithinPartitions("block", "salt")
     found = met.mapInArrow(search, "query_id long, id long, equal long, near float")
     copies = W.partitionBy("query_id", "equal").orderBy("id")
-    found = found.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k)
-    best = W.partitionBy("query_id").orderBy("near", "id")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= candidates).select("query_id", "id")
+    found = found.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1)
+    order = W.partitionBy("query_id").orderBy("near", "id")
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= candidates).select("query_id", "id")
     pairs = (
         found.join(rows.select("id", "v"), "id")
         .join(rows.where("q").select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
