@@ -3,8 +3,8 @@
 Tiles. Sizes are cut into bands; the tile of a band holds the sets of its sizes and those larger ones
 that can still reach the threshold. In a tile two linked sets differ in at most H elements, so when the
 hash space is cut into H + 1 + SPARE parts, at least SPARE + 1 parts are equal in both. Each set sends
-a signature of each part; equal signatures in a tile make a bucket. (A part without elements is sent
-only by sets that have more than one such part; SPARE keeps the guarantee.)
+a signature of each part; equal signatures in a tile make a bucket. (Parts without elements are sent
+only by sets that have more than SPARE of them, so some part with elements is always shared.)
 
 Signatures of whole sets. Each set has a bitmap of hashed elements; the bits in which two bitmaps differ
 bound the overlap from above, so most pairs end there. The others get the exact intersection of the
@@ -13,9 +13,9 @@ sorted arrays.
 Groups. Equal sets are one class before anything else, so copies are never paired. Within a bucket, each
 class is first held against the least one only. When the links so found have been contracted, only
 pairs of different components remain, in the buckets that have several: they are compared bitmap by
-bitmap in blocks of bounded size, and buckets too large for that are first split by a second equal part
-(linked sets have three at least). Every link between different components is found, so components are
-exact.
+bitmap in blocks of bounded size. Buckets larger than a block share many of their classes with each
+other, so they are first united; a pair then meets once, not in every bucket that it shares. Every link
+between different components is found, so components are exact.
 
 Defined results: null text, or text without words, is an empty set: n_shingles 0, linked with nothing;
 fewer words than a shingle has make one shingle of all; rows with a null doc_id get n_shingles and a null
@@ -36,11 +36,11 @@ from corvia.llm.arrow import map_rows
 from corvia.llm.components import components
 from corvia.llm.store import materialise
 
-SPARE = 3
-BAND_RATIO = 1.5
+SPARE = 1
+BAND_RATIO = 1.25
 BITS = 1024
-#: Classes in a block of a bucket, and in a bucket before a second part splits it.
-BLOCK, LARGE = 96, 512
+#: Classes in a block.
+BLOCK = 192
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -86,7 +86,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         name = _mix(np.arange(parts, dtype=np.uint64) * _K[2] + np.uint64((tile + 1) * int(_K[0]) % (1 << 64)))
         sent = _mix(total[ends[1:]] - total[ends[:-1]] + name)
         filled = ends[1:] > ends[:-1]
-        keys.append(sent if (~filled).sum() > 1 else sent[filled])
+        keys.append(sent if (~filled).sum() > SPARE else sent[filled])
     return np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
 
 
@@ -122,7 +122,7 @@ def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
         return work
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_rows(wanted, f"id {kind}, elements array<long>", make)
 
@@ -134,9 +134,8 @@ def _may_link(same: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.nda
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs u, v whose sets are similar enough: first by bitmap, then by exact intersection."""
-    small = reps.select("id", "n", "bits")
-    a = small.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u"))
-    b = small.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("bits_v"))
+    a = reps.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u"))
+    b = reps.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("bits_v"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -236,8 +235,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1")
     buckets = materialise(buckets, "bucket-pivots")  # so that both sides of the join can be split where a key is hot
     shared = materialise(rows.join(buckets, "key"), "buckets")
+    # Only classes that share a bucket are ever compared.
+    met = materialise(reps.select("id", "n", "bits").join(shared.select("id").distinct(), "id", "left_semi"), "met")
     star = shared.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = materialise(_verified(star, reps, docs, n, num, den), "links")
+    links = materialise(_verified(star, met, docs, n, num, den), "links")
 
     labels = materialise(components(links), "labels")
     rest = shared.where("c > 2").join(labels, "id", "left").select(
@@ -248,23 +249,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     rest = materialise(
         rest.join(several, "key")
         .where("id <> pivot").select("key", "id", "label", "c")
-        .join(reps.select("id", "n", "bits"), "id"),
+        .join(met, "id"),
         "open-buckets",
     )
-    large = rest.where(F.col("c") > LARGE).drop("c")
-    finer = (
-        large.join(reps.select("id", F.explode("keys").alias("second")), "id").where("second <> key")
-        .select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "id", "label", "n", "bits")
-        .distinct()
+    # Large buckets that share a class become one, named by the least of their keys.
+    large = rest.where(F.col("c") > BLOCK)
+    first = large.groupBy("id").agg(F.min("key").alias("v"))
+    united = components(large.join(first, "id").select(F.col("key").alias("u"), "v"))
+    merged = (
+        large.join(united, large["key"] == united["id"], "left")
+        .select(F.coalesce("component", "key").alias("key"), large["id"], "label", "n", "bits").distinct()
     )
-    open_rows = materialise(rest.where(F.col("c") <= LARGE).drop("c").unionByName(finer), "open-rows")
-    more = _verified(_across(open_rows, num, den), reps, docs, n, num, den)
+    open_rows = materialise(rest.where(F.col("c") <= BLOCK).drop("c").unionByName(merged), "open-rows")
+    more = _verified(_across(open_rows, num, den), met, docs, n, num, den)
     copies = known.join(classes, "digest").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
     found = materialise(components(links.unionByName(more).unionByName(copies)), "components")
     per_class = classes.join(found, classes["rep"] == found["id"], "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
-    out = features.alias("f").join(per_class.alias("c"), "digest", "left")
+    out = features.select("id", "n", "digest").alias("f").join(per_class.alias("c"), "digest", "left")
     return out.select(
         F.col("f.id").alias("doc_id"),
         F.col("f.n").alias("n_shingles"),

@@ -26,7 +26,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     and a plan that uses the result several times computes it once.
     """
     path = f"{shared_dir(df.sparkSession)}/corvia/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
