@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvia.llm import ann, html_tree, jaccard, line_dedup, mixing, mjpeg, packing, quality, token_count
+from corvia.llm import ann, html_tree, jaccard, line_dedup, mixing, mjpeg, packing, quality, suffix_dedup, token_count
 from corvia.llm.store import table
 
 
@@ -21,6 +21,10 @@ def op1_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.stored_text_features(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mjpeg": op1_mjpeg,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_ann": op4_ann,
     "op5_packing": op5_packing,
