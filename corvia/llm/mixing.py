@@ -96,9 +96,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each service of a document.
 
     A whole service gives the document as it is, a last service in part its first words joined by single
-    spaces; documents that are not served go. Rows are matched by doc_id and size.
+    spaces; documents that are not served go. Rows are matched by doc_id and size; rows alike in both share
+    evenly what they take.
     """
-    taken = mix_to_weights(docs, **options).select("doc_id", "size", "taken").where("taken > 0").distinct()
+    taken = mix_to_weights(docs, **options).groupBy("doc_id", "size").agg((F.expr("sum(taken) div count(*)")).alias("taken"))
+    taken = taken.where("taken > 0")
     key = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     left, right = docs.alias("d"), taken.alias("m")
     served = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (key == F.col("m.size")))
@@ -108,7 +110,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.flatten(
         F.array(
             F.array_repeat(F.struct(F.col("d.text").alias("text"), F.lit(False).alias("cut")), whole),
-            F.when(rest > 0, F.array(F.struct(part.alias("text"), F.lit(True).alias("cut")))).otherwise(F.array().cast("array<struct<text:string,cut:boolean>>")),
+            F.when(rest > 0, F.array(F.struct(part.alias("text"), F.lit(True).alias("cut"))))
+            .otherwise(F.array().cast("array<struct<text:string,cut:boolean>>")),
         )
     )
     out = served.select("d.*", F.explode(copies).alias("_served"))
