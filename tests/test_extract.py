@@ -1,0 +1,116 @@
+"""Features of short judgments; expected values by hand from the definitions."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from corvia.functions import numerals, text
+from corvia.operators import corpus_filter, extract
+
+
+def column(spark, values, f):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, s string")
+    return [r[0] for r in df.orderBy("i").select(f(F.col("s")).alias("x")).collect()]
+
+
+def test_numerals(spark):
+    given = ["十", "二十三", "一百零五", "１２", "一二", "1十", "十二萬", "", None, "  肆 ", "參", "甲"]
+    assert column(spark, given, numerals.numeral) == [10, 23, 105, 12, 2, None, 20010, None, None, 4, 3, None]
+
+
+def test_decimals(spark):
+    given = ["0.226", "零點貳貳陸", "拾陸點柒零", "1,200", "拾陸", "三點", "點五", "三點x", ""]
+    assert column(spark, given, numerals.decimal) == [0.226, 0.226, 16.7, 1200.0, 16.0, 3.0, 0.5, None, None]
+
+
+def test_spans_and_sections(spark):
+    got = column(spark, ["ab12c345", "7x", "none", ""], lambda c: text.spans(c, r"\d+"))
+    assert [[(s["start"], s["end"], s["text"]) for s in x] for x in got] == [[(2, 4, "12"), (5, 8, "345")], [(0, 1, "7")], [], []]
+    cut = column(spark, ["前主　文ABC理 由X", "no"], lambda c: text.section(c, "主文", (r"理\s*由", "B")))
+    assert cut == ["A", ""]
+
+
+def test_merged_intervals(spark):
+    df = spark.sql("select array(named_struct('lo', 5, 'hi', 9), named_struct('lo', 0, 'hi', 3), named_struct('lo', 3, 'hi', 4)) a")
+    assert [(r["lo"], r["hi"]) for r in df.select(text.merged_intervals(F.col("a")).alias("m")).first()[0]] == [(0, 4), (5, 9)]
+
+
+def features(spark, main, per_defendant=False, rest=""):
+    df = spark.createDataFrame([("KL,1", "20230101", f"主文\n{main}\n犯罪事實{rest}")], "jid string, jdate string, jfull string")
+    f = extract.extract_features_per_defendant if per_defendant else extract.extract_features
+    return f(df).collect()
+
+
+def test_single_verdict(spark):
+    (r,) = features(spark, "甲○○施用第二級毒品，處有期徒刑3月，如易科罰金，以新臺幣1000元折算1日。")
+    assert (r.n_defendants, r.n_sentence_counts, r.is_aggregate_sentence, r.is_attempt, r.sentence_months) == (1, 1, False, False, 3)
+    assert "施用" in r.behaviors and r.convicted_drug_levels == [2] and r.can_convert_to_fine
+    assert r.sum_individual_months == 0
+
+
+def test_joint_term(spark):
+    (r,) = features(spark, "藍佳鈞施用第一級毒品，處有期徒刑肆月；又施用第二級毒品，處有期徒刑壹月。應執行有期徒刑伍月。")
+    assert (r.n_defendants, r.n_sentence_counts, r.is_aggregate_sentence, r.sentence_months, r.sum_individual_months) == (1, 2, True, 5, 5)
+
+
+def test_attempt_and_probation(spark):
+    (r,) = features(spark, "甲○○販賣第二級毒品未遂，處有期徒刑貳年，緩刑貳年。")
+    assert (r.is_attempt, r.sentence_months, r.probation_granted, r.probation_months) == (True, 24, True, 24)
+    (r,) = features(spark, "甲○○施用第二級毒品，處拘役伍拾日。")
+    assert (r.detention_days, r.sentence_months, r.probation_granted, r.probation_months) == (50, None, False, None)
+
+
+def test_empty_main(spark):
+    assert features(spark, "")[0].n_defendants == 1
+    assert features(spark, "扣案毒品均沒收。")[0].n_defendants == 1
+
+
+def test_defendants(spark):
+    main = "羅中彥共同運輸第二級毒品，處有期徒刑伍年陸月。陳大文共同運輸第二級毒品，處有期徒刑柒年貳月。"
+    rows = features(spark, main, per_defendant=True)
+    assert [(r.defendant_name, r.sentence_months, r.behaviors) for r in rows] == [("羅中彥", 66, ["運輸"]), ("陳大文", 86, ["運輸"])]
+    assert features(spark, main)[0].n_defendants == 2
+    assert len(features(spark, "甲○○施用第二級毒品，處有期徒刑3月。", per_defendant=True)) == 1
+
+
+@pytest.mark.parametrize(
+    ("sentence", "expected"),
+    [
+        ("被告於偵審均自白，應依毒品危害防制條例第17條第2項規定減輕其刑。", True),
+        ("被告未自白，不符毒品危害防制條例第17條第2項減輕其刑規定。", False),
+        ("倘被告自白，得依毒品危害防制條例第17條第2項減輕其刑。", False),
+        ("毒品危害防制條例第17條第2項定有明文，減輕。", False),
+        ("依毒品危害防制條例第17條第2項處理。", False),
+    ],
+)
+def test_article_17(spark, sentence, expected):
+    (r,) = features(spark, "甲○○施用第二級毒品，處有期徒刑3月。", rest="。" + sentence)
+    assert r.art17_2_applied is expected and r.art17_1_applied is False
+
+
+def test_article_59_and_mentions(spark):
+    (r,) = features(spark, "處有期徒刑3月。", rest="。爰依刑法第59條酌減其刑。又被告係累犯，並依刑法第62條減輕。")
+    assert (r.art59_applied, r.recidivism, r.self_surrender) == (True, True, True)
+    (r,) = features(spark, "處有期徒刑3月。", rest="。本件並無刑法第59條酌減之餘地。")
+    assert r.art59_applied is False
+
+
+def test_weight_in_grams(spark):
+    (r,) = features(spark, "持有第一級毒品，處有期徒刑1年。", rest="驗餘淨重 2 公斤，另淨重 5 公克")
+    assert r.max_drug_weight_g == 2000.0
+
+
+def record(jid="KLDM,112,訴,1,20230101,1", head="臺灣基隆地方法院", title="違反毒品危害防制條例", case="訴", main="甲處有期徒刑3月"):
+    return (jid, title, case, f"{head}刑事判決\n主文\n{main}\n理由")
+
+
+def test_filter(spark):
+    rows = [
+        record(), record(head="台灣基隆地方法院"), record(jid="TPDM", head="臺灣臺北地方法院"), record(jid="ULDM", head="臺灣雲林地方法院基隆"),
+        record(title="詐欺"), record(main="無罪"), record(main="公訴不受理"), record(case="聲"), record(case="簡上"),
+        record(jid="PCDM", head="臺灣板橋地方法院"), record(head="臺灣基隆地方法院協商判決"),
+    ]
+    df = spark.createDataFrame(rows, "jid string, jtitle string, jcase string, jfull string")
+    assert corpus_filter.select_cases(df).count() == 2
+    five = corpus_filter.select_cases(df, corpus_filter.ALL_COURTS)
+    assert sorted(r.court for r in five.collect()) == ["KL", "KL", "PC", "TP"]
+    assert {r.court_name for r in five.collect()} == {"基隆", "新北", "臺北"}
