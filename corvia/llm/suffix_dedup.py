@@ -37,7 +37,7 @@ from corvia.llm.store import materialise
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 GRAM = 40
 #: Bytes of a block that is sorted at once, bytes of a shard, strings of a minimizer before windows are counted.
-BLOCK, SHARD, HOT = 1 << 20, 4 << 20, 1024
+BLOCK, SHARD, HOT = 1 << 19, 4 << 20, 1024
 
 
 def minimizer_runs(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,6 +300,8 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[a : a + max(n - length + 1, 0)]) for a, n in zip(begin[:-1].tolist(), sizes.tolist(), strict=True)]
 
 
+PARTS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
 # --- the whole corpus
 
 
@@ -314,13 +316,14 @@ def _signed(x: list[int]) -> np.ndarray:
 def _runs(docs: DataFrame, length: int) -> DataFrame:
     def make():
         def work(rows, texts):
-            out: dict[str, list] = {k: [] for k in ("row", "start", "n", "key", "digest")}
+            out: dict[str, list] = {k: [] for k in ("row", "start", "n", "at", "key", "digest")}
             for row, text in zip(rows, texts, strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 first, n, place = minimizer_runs(data, length)
                 out["row"].append(np.full(len(first), row, dtype=np.int64))
                 out["start"].append(first)
                 out["n"].append(n)
+                out["at"].append(place - first)
                 out["key"].append(_signed([xxhash.xxh3_64_intdigest(data[p : p + GRAM]) for p in place.tolist()]))
                 ends = (first + n + length - 1).tolist()
                 out["digest"].append(_signed([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]))
@@ -328,32 +331,34 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 
         return work
 
-    return map_rows(docs.select(_row(docs).alias("row"), "text"), "row long, start int, n int, key long, digest long", make)
+    return map_rows(docs.select(_row(docs).alias("row"), "text"), "row long, start int, n int, at int, key long, digest long", make)
 
 
 def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """row, start, n, key, digest of wanted runs -> key, digest, bytes."""
-    per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "n", "key", "digest")).alias("runs"))  # of one text
+    """row, start, n, at, key, digest of wanted runs -> key, digest, n, at, bytes."""
+    per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("start", "n", "at", "key", "digest")).alias("runs"))  # of one text
     joined = docs.select(_row(docs).alias("row"), "text").join(per_row.hint("merge"), "row")
 
     def make():
         def work(texts, runs):
-            out: dict[str, list] = {"key": [], "digest": [], "bytes": []}
+            out: dict[str, list] = {"key": [], "digest": [], "n": [], "at": [], "bytes": []}
             for text, mine in zip(texts, runs, strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for r in mine:
                     out["key"].append(r["key"])
                     out["digest"].append(r["digest"])
+                    out["n"].append(r["n"])
+                    out["at"].append(r["at"])
                     out["bytes"].append(data[r["start"] : r["start"] + r["n"] + length - 1])
             yield out
 
         return work
 
-    return map_rows(joined.select("text", "runs"), "key long, digest long, bytes binary", make)
+    return map_rows(joined.select("text", "runs"), "key long, digest long, n int, at int, bytes binary", make)
 
 
 def _sorted_blocks(strings: DataFrame, length: int, n_shards: int) -> DataFrame:
-    """key, digest, bytes -> key, digest, at: where windows of a string start that stand elsewhere under its key."""
+    """key, digest, bytes -> key, digest, parts: [a, b) of the window starts of a string that repeat under its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
@@ -365,8 +370,8 @@ def _sorted_blocks(strings: DataFrame, length: int, n_shards: int) -> DataFrame:
             nonlocal keys, digests, held, size
             found = repeated_starts(held[:upto], length)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:upto], pa.int64()), pa.array(digests[:upto], pa.int64()), pa.array(found, pa.list_(pa.int32()))],
-                names=["key", "digest", "at"],
+                [pa.array(keys[:upto], pa.int64()), pa.array(digests[:upto], pa.int64()), pa.array(map(_parts, found), PARTS)],
+                names=["key", "digest", "parts"],
             )
             keys, digests, held = keys[upto:], digests[upto:], held[upto:]
             size = sum(map(len, held))
@@ -383,16 +388,55 @@ def _sorted_blocks(strings: DataFrame, length: int, n_shards: int) -> DataFrame:
             yield from flush(len(keys))
 
     spread = strings.repartition(n_shards, "key").sortWithinPartitions("key")
-    return spread.select("key", "digest", "bytes").mapInArrow(run, "key long, digest long, at array<int>")
+    return spread.select("key", "digest", "bytes").mapInArrow(run, "key long, digest long, parts array<struct<a:int,b:int>>")
+
+
+def _parts(at: np.ndarray) -> list[dict[str, int]]:
+    """Sorted places as [a, b) of consecutive ones."""
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) != 1)
+    first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
+    return [{"a": a, "b": b + 1} for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
 
 def _counted_windows(strings: DataFrame, length: int) -> DataFrame:
-    """The same for minimizers with too many strings: by the digest of each window."""
-    windows = strings.select(
-        "key", "digest", F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("at"), "bytes"
-    ).select("key", "digest", "at", F.md5(F.substring("bytes", F.col("at") + 1, F.lit(length))).alias("window"))
+    """The same for minimizers with too many strings, by counting digests; several rows a string.
+
+    Windows whose minimizer stands at about the same place in them have most bytes in common. Such a piece is
+    counted as a whole and by what its windows share: a piece that repeats is done, one whose share is
+    unique repeats nothing, and only the windows of the others are counted one by one.
+    """
+    near = 8
+    q = F.explode(F.sequence(F.floor((F.col("at") - F.col("n") + 1) / near), F.floor(F.col("at") / near)))
+    cut = strings.select("key", "digest", "n", "at", "bytes", q.alias("q"))
+    pieces = cut.select(
+        "key", "digest",
+        F.greatest(F.lit(0), F.col("at") - near * F.col("q") - near + 1).cast("int").alias("a"),
+        (F.least(F.col("n") - 1, F.col("at") - near * F.col("q")) + 1).cast("int").alias("b"),
+        F.md5(F.substring("bytes", (F.col("at") - near * F.col("q") + 1).cast("int"), F.lit(length - near + 1))).alias("share"),
+        "at", "bytes",
+    ).where("a < b")
+    whole = F.md5(F.substring("bytes", F.col("a") + 1, F.col("b") - F.col("a") + length - 1))
+    pieces = materialise(pieces.select("key", "digest", "a", "b", "share", (F.col("at") - F.col("b")).alias("from"), whole.alias("whole")), "pieces")
+    kinds = pieces.groupBy("share", "whole", "from").agg(F.count("*").alias("c"), F.min(F.struct("key", "digest", "a", "b")).alias("one"))
+    kinds = materialise(kinds, "piece-kinds")
+    done = pieces.join(kinds.where("c > 1").select("share", "whole", "from"), ["share", "whole", "from"]).select(
+        "key", "digest", F.array(F.struct("a", "b")).alias("parts")
+    )
+    shares = materialise(kinds.groupBy("share").agg(F.count("*").alias("kinds")).where("kinds > 1").select("share"), "piece-shares")
+    open_ = kinds.join(shares, "share").select("c", "one.*")
+    windows = open_.join(strings.select("key", "digest", "bytes"), ["key", "digest"]).select(
+        "key", "digest", "c", "bytes", F.explode(F.sequence("a", F.col("b") - 1)).alias("at")
+    )
+    windows = materialise(
+        windows.select("key", "digest", "c", "at", F.md5(F.substring("bytes", F.col("at") + 1, F.lit(length))).alias("window")), "windows"
+    )
     again = materialise(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "hot-windows")
-    return windows.join(again, "window").groupBy("key", "digest").agg(F.collect_list("at").alias("at"))  # of one string
+    single = windows.where("c = 1").join(again, "window").select(
+        "key", "digest", F.array(F.struct(F.col("at").alias("a"), (F.col("at") + 1).alias("b"))).alias("parts")
+    )
+    return done.unionByName(single)
 
 
 def _ranges(docs: DataFrame, length: int) -> DataFrame:
@@ -403,30 +447,21 @@ def _ranges(docs: DataFrame, length: int) -> DataFrame:
     shared = materialise(runs.join(keys.hint("merge"), "key"), "shared-runs")
     # One string of each kind, and how often it stands anywhere.
     kinds = shared.where("several").groupBy("key", "digest").agg(
-        F.count("*").alias("c"), F.min(F.struct("row", "start", "n")).alias("one")
+        F.count("*").alias("c"), F.min(F.struct("row", "start", "n", "at")).alias("one")
     )
-    kinds = materialise(kinds.select("key", "digest", "c", "one.*"), "strings")
+    kinds = materialise(kinds.select("key", "digest", "c", "one.*"), "strings")  # key, digest, c, row, start, n, at
     many = materialise(kinds.groupBy("key").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("key"), "hot-minimizers")
     strings = materialise(_strings(docs, kinds, length), "bytes")
     total = kinds.agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
     cold = strings.join(many, "key", "left_anti")
     hot = strings.join(many, "key", "left_semi")
     found = materialise(
-        _sorted_blocks(cold, length, max(1, -(-total // SHARD))).where(F.size("at") > 0)
+        _sorted_blocks(cold, length, max(1, -(-total // SHARD))).where(F.size("parts") > 0)
         .unionByName(_counted_windows(hot, length)), "repeats",
     )
     alike = shared.join(kinds.where("c > 1").select("key", "digest", F.lit(True).alias("all")).hint("merge"), ["key", "digest"], "left")
     whole = alike.where("all OR NOT several").select("row", "start", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("parts"))
-    # Consecutive starts become one pair.
-    at = F.array_sort("at")
-    rises = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: (i == 0) | (F.get(at, i) != F.get(at, i - 1) + 1))
-    pairs = F.transform(
-        rises,
-        lambda i, k: F.struct(
-            F.get(at, i).alias("a"), (F.get(at, F.coalesce(F.get(rises, k + 1), F.size("at")) - 1) + 1).alias("b")
-        ),
-    )
-    single = kinds.where("c = 1").join(found.hint("merge"), ["key", "digest"]).select("row", "start", pairs.alias("parts"))
+    single = kinds.where("c = 1").join(found.hint("merge"), ["key", "digest"]).select("row", "start", "parts")
     spans = F.transform(
         "parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"] + length - 1).alias("b"))
     )
