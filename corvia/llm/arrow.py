@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+ROWS = 1000
+
 
 def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[..., Iterator[dict[str, list]]]]) -> DataFrame:
     """Apply make()(column lists...) to each Arrow batch of df.
 
     make runs once a task, so what it builds (automata, tables) is shared by the batches of a partition.
-    The function that it returns yields dictionaries of equally long lists, one for each output batch.
+    The function that it returns yields dictionaries of equally long lists, one for each output batch. It gets
+    at most ROWS rows at a time, so Python values of a whole Arrow batch are never held at once.
     """
     schema = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(schema)
@@ -22,8 +25,9 @@ def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                for out in work(*(column.to_pylist() for column in batch.columns)):
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for out in work(*(column.to_pylist() for column in part.columns)):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
