@@ -131,9 +131,11 @@ def aggregate_bounds(terms: Column) -> Column:
 
 def violations(df: DataFrame, months: Column, c: Column, *by: str) -> DataFrame:
     """by, n_checked, n_violations, rate; rows without a constraint are not checked."""
-    checked = F.count_if(c.isNotNull())
-    bad = F.count_if(c.isNotNull() & ~is_within(months, c))
-    return df.groupBy(*by).agg(
+    # The constraint becomes a column first: it is used several times and long to write out.
+    judged = df.select(*by, months.alias("_months"), c.alias("_c"))
+    checked = F.count_if(F.col("_c").isNotNull())
+    bad = F.count_if(F.col("_c").isNotNull() & ~is_within(F.col("_months"), F.col("_c")))
+    return judged.groupBy(*by).agg(
         checked.alias("n_checked"), bad.alias("n_violations"), F.coalesce(F.try_divide(bad, checked), F.lit(0.0)).alias("rate")
     )
 

@@ -60,7 +60,8 @@ SELECT case_id, CASE WHEN lo IS NULL THEN a ELSE a2 END AS p25, CASE WHEN lo IS
   coalesce(lo IS NOT NULL AND (abs(a2 - a) > 1e-6 OR abs(b2 - b) > 1e-6 OR abs(d2 - d) > 1e-6), false) AS clipped, lo IS NOT NULL AS rule_applied FROM k""")
 def clip_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("predicted")
-    return cases(spark, sf_dir).withColumn("o", statute.constrained(p - 5, p, p + 3, _constraint())).select("case_id", "o.*")
+    rows = cases(spark, sf_dir).select("case_id", "predicted", _constraint().alias("c"))
+    return rows.select("case_id", statute.constrained(p - 5, p, p + 3, F.col("c")).alias("o")).select("case_id", "o.*")
 
 
 @query(f"""WITH {CASES} SELECT order_id, max(months)::DOUBLE AS low, least(sum(months), 360)::DOUBLE AS high FROM cases GROUP BY order_id""")
@@ -173,8 +174,8 @@ def confusion_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT lang, list_distinct(string_split(regexp_extract(text, '^[^\\n]*'), ' ')) AS a, list_distinct(string_split(regexp_extract(text, '[^\\n]*$'), ' ')) AS t FROM documents)
 SELECT lang, count(*) AS n, avg(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))) AS jaccard, sum(len(list_intersect(a, t))) / sum(len(a)) AS precision, sum(len(list_intersect(a, t))) / sum(len(t)) AS recall FROM w GROUP BY lang""")
 def jaccard_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = lambda p: F.array_distinct(F.split(F.regexp_extract("text", p, 0), " "))
-    docs = table(spark, sf_dir, "documents").select("lang", line(r"^[^\n]*").alias("a"), line(r"[^\n]*$").alias("t"))
+    line = lambda n: F.array_distinct(F.split(F.substring_index("text", "\n", n), " "))
+    docs = table(spark, sf_dir, "documents").select("lang", line(1).alias("a"), line(-1).alias("t"))
     return metrics.set_agreement(docs, ["lang"], "a", "t")
 
 
