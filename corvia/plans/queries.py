@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvia.functions import numerals, text
-from corvia.operators import buckets, corpus_filter, extract, folds, labels, metrics, registry, statute, training
+from corvia.operators import buckets, corpus_filter, extract, factor_rules, folds, labels, metrics, registry, statute, training
 from corvia.plans.cases import BASE, CASES, cases, reductions, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -486,6 +486,14 @@ def corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_filter.select_cases(_judgments(spark)).select("jid", "court", "court_name")
 
 
+@query("""SELECT * FROM (VALUES ('motive', 'neutral'), ('provocation', 'absent'), ('means', 'mitigating'), ('life_status', 'neutral'), ('character', 'aggravating'), ('intellect', 'neutral'),
+  ('relation_victim', 'absent'), ('duty_breach', 'absent'), ('harm', 'mitigating'), ('post_attitude', 'mitigating')) t(factor, direction)""")
+def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighing = "審酌被告仍未戒絕，故態復萌，惟戕害自身健康，手段尚屬平和，兼衡其犯罪動機、高中畢業之智識程度、家庭經濟狀況勉持，犯後坦承犯行等一切情狀，量處如主文所示之刑。"
+    case = spark.createDataFrame([("KL1", "主文\n甲處有期徒刑3月\n理由\n" + "一、本件事實如前。" * 8 + "\n爰" + weighing)], "jid string, jfull string")
+    return factor_rules.label_factors(case).select(F.explode("factors").alias("factor", "f")).select("factor", "f.direction")
+
+
 # --- rows for models
 
 
