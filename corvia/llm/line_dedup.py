@@ -58,15 +58,17 @@ def dedup_lines(
         lines.join(common, "hash").where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id").agg(F.collect_set("hash").alias("_hits"))
     )
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["id"]), "left").drop(hits["id"])
-    parts = F.split("text", LINE)
-    kept = F.filter(parts, lambda x: ~F.array_contains("_hits", F.xxhash64(x)))
+    # The document is one column beside the join's own, so names cannot clash.
+    joined = docs.select(F.struct("*").alias("d")).join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.id")), "left")
+    whole = F.col("d.text")
+    parts = F.split(whole, LINE)
     # A boilerplate hash belongs to a line that is long enough, so shorter lines need no second test.
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.array_join(kept, LINE))
-    n = F.coalesce(F.size(parts), F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(n)
-    n_kept = F.when(F.col("_hits").isNull(), n_lines).otherwise(F.size(kept))
-    own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    kept = F.filter(parts, lambda x: ~F.array_contains(F.col("h._hits"), F.xxhash64(x)))
+    none = F.col("h._hits").isNull()
+    n_lines = F.when(whole.isNull(), 0).otherwise(F.size(parts))
+    n_kept = F.when(none, n_lines).otherwise(F.size(kept))
+    own = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return joined.select(
-        *own, text.alias("text"), n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_removed")
+        *own, F.when(none, whole).otherwise(F.array_join(kept, LINE)).alias("text"),
+        n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_removed"),
     )

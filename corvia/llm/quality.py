@@ -258,4 +258,4 @@ def classify(
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the classifier rejects; rows without doc_id stay."""
     bad = classify(docs, labels, **options).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti").select(docs.columns)
+    return docs.select(F.struct("*").alias("d")).join(bad, F.col("d.doc_id") == F.col("_bad"), "left_anti").select("d.*")

@@ -483,7 +483,8 @@ def merged_spans(spans: list) -> list[tuple[int, int]]:
 def repeats_removed(docs: DataFrame, length: int = 200) -> DataFrame:
     """docs with spans (merged [from, to) of removed bytes) and kept (the other bytes, binary)."""
     ranges = materialise(_ranges(docs, length), "ranges")
-    joined = docs.withColumn("_row", _row(docs)).join(ranges.select(F.col("row").alias("_row"), F.col("spans").alias("_spans")).hint("merge"), "_row", "left")
+    # The document is one column beside the join's own, so names cannot clash.
+    joined = docs.select(_row(docs).alias("row"), F.struct("*").alias("d")).join(ranges.hint("merge"), "row", "left")
     own = [c for c in docs.columns if c not in ("spans", "kept")]
     more = _parse_datatype_string("spans array<struct<a:int,b:int>>, kept binary")
     schema = StructType([docs.schema[c] for c in own] + more.fields)
@@ -503,7 +504,7 @@ def repeats_removed(docs: DataFrame, length: int = 200) -> DataFrame:
 
         return work
 
-    return map_rows(joined.select(*own, "_spans"), schema, make)
+    return map_rows(joined.select(*(F.col(f"d.`{c}`") for c in own), F.col("spans")), schema, make)
 
 
 def repeat_digests(docs: DataFrame, length: int = 200) -> DataFrame:
