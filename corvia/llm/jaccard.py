@@ -2,9 +2,10 @@
 
 Tiles. Sizes are cut into bands; the tile of a band holds the sets of its sizes and those larger ones
 that can still reach the threshold. In a tile two linked sets differ in at most H elements, so when the
-hash space is cut into H + 1 + SPARE parts, at least SPARE + 1 parts are equal in both. Each set sends
+hash space is cut into H + 1 + spare parts, at least spare + 1 parts are equal in both. Each set sends
 a signature of each part; equal signatures in a tile make a bucket. (Parts without elements are sent
-only by sets that have more than SPARE of them, so some part with elements is always shared.)
+only by sets that have more than spare of them, so some part with elements is always shared.) A set of
+which fewer parts stand in any bucket than a link needs is linked with nothing and takes no further part.
 
 Signatures of whole sets. Each set has a bitmap of hashed elements; the bits in which two bitmaps differ
 bound the overlap from above, so most pairs end there. The others get the exact intersection of the
@@ -13,8 +14,8 @@ sorted arrays.
 Groups. Equal sets are one class before anything else, so copies are never paired. Within a bucket, each
 class is first held against the least one only. When the links so found have been contracted, only
 pairs of different components remain, in the buckets that have several: they are compared bitmap by
-bitmap in blocks of bounded size. Buckets larger than a block share many of their classes with each
-other, so they are first united; a pair then meets once, not in every bucket that it shares. Every link
+bitmap in blocks of bounded size. Larger buckets share many of their classes with each other, so they
+are first united; a pair then meets once, not in every bucket that it shares. Every link
 between different components is found, so components are exact.
 
 Defined results: null text, or text without words, is an empty set: n_shingles 0, linked with nothing;
@@ -26,6 +27,7 @@ are ignored; empty input gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvia.llm.arrow import map_rows
 from corvia.llm.components import components
-from corvia.llm.store import materialise
+from corvia.llm.store import materialise, release
 
-SPARE = 1
+#: Spare parts: one for so many differences.
+SPARE = 6
 BAND_RATIO = 1.25
-BITS = 1024
-#: Classes in a block.
-BLOCK = 192
+#: Classes in a block; in a bucket that stands alone; slices in which signatures are shuffled.
+BLOCK, ALONE, SLICES = 192, 32, 4
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -63,8 +65,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(tile, parts) of the tiles that hold sets of this size; none where only equal sets can be linked."""
+def bands(size: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(tile, parts, spare ones) of the tiles that hold sets of this size; none where only equal sets can be linked."""
     found, low, tile = [], 1, 0
     while low <= size:
         high = max(low, int(low * BAND_RATIO))
@@ -72,47 +74,69 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
         if size <= over:
             differ = (den - num) * (high + over) // (den + num)
             if differ:
-                found.append((tile, differ + 1 + SPARE))
+                spare = max(1, differ // SPARE)
+                found.append((tile, differ + 1 + spare, spare))
         low, tile = high + 1, tile + 1
     return found
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    keys = []
-    for tile, parts in bands(len(s), num, den):
+def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """The signatures of a set, and how many of them a linked set shares, in even and in odd tiles.
+
+    A signature's lowest bit is its tile's: the tiles of a set are neighbours.
+    """
+    keys, need = [], [0, 0]
+    for tile, parts, spare in bands(len(s), num, den):
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(s), dtype=np.uint64)])
         name = _mix(np.arange(parts, dtype=np.uint64) * _K[2] + np.uint64((tile + 1) * int(_K[0]) % (1 << 64)))
-        sent = _mix(total[ends[1:]] - total[ends[:-1]] + name)
+        sent = _mix(total[ends[1:]] - total[ends[:-1]] + name) & ~np.uint64(1) | np.uint64(tile & 1)
         filled = ends[1:] > ends[:-1]
-        keys.append(sent if (~filled).sum() > SPARE else sent[filled])
-    return np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+        empty = int((~filled).sum())
+        keys.append(sent if empty > spare else sent[filled])
+        need[tile & 1] = spare + 1 - (empty if empty <= spare else 0)
+    return (np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)), need
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(s % np.uint64(BITS)).astype(np.intp)] = 1
-    return np.packbits(bits).tobytes()
+    """Hashed elements, in a power of two of bits: two to four for each element, 64 at least."""
+    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[(s % np.uint64(width)).astype(np.intp)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap (uint64 words) at a smaller power of two of words: as if hashed to it."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0) if len(bits) > words else bits
+
+
+def differing_bits(u: bytes, v: bytes) -> int:
+    a, b = np.frombuffer(u, dtype=np.uint64), np.frombuffer(v, dtype=np.uint64)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
 def _features(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def make():
         def work(ids, texts):
-            out: dict[str, list] = {k: [] for k in ("id", "n", "digest", "bits", "keys")}
+            out: dict[str, list] = {k: [] for k in ("id", "n", "digest", "bits", "keys", "need")}
             for i, text in zip(ids, texts, strict=True):
                 s = shingles(text, n)
                 out["id"].append(i)
                 out["n"].append(len(s))
                 out["digest"].append(xxhash.xxh3_128_digest(s.tobytes()))
                 out["bits"].append(bitmap(s))
-                out["keys"].append(signatures(s, num, den).view(np.int64))
+                keys, need = signatures(s, num, den)
+                out["keys"].append(keys.view(np.int64))
+                out["need"].append(need)
             yield out
 
         return work
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), f"id {kind}, n long, digest binary, bits binary, keys array<long>", make)
+    return map_rows(docs.select("doc_id", "text"), f"id {kind}, n long, digest binary, bits binary, keys array<long>, need array<int>", make)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -140,9 +164,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                u, v = (np.frombuffer(b"".join(x.column(k).to_pylist()), dtype=np.uint64).reshape(x.num_rows, -1) for k in ("bits_u", "bits_v"))
                 sizes = x.column("n_u").to_numpy() + x.column("n_v").to_numpy()
-                differ = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+                both = zip(x.column("bits_u").to_pylist(), x.column("bits_v").to_pylist(), strict=True)
+                differ = np.array([differing_bits(u, v) for u, v in both], dtype=np.int64)
                 keep = _may_link((sizes - differ) // 2, sizes, num, den)
                 yield x.select(["u", "v"]).filter(pa.array(keep))
 
@@ -192,13 +216,15 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 
         def flush(ready: pa.Table):
             cols = [ready.column(k).to_numpy() for k in ("key", "i", "j", "mine", "id", "label", "n")]
-            bits = np.frombuffer(b"".join(ready.column("bits").to_pylist()), dtype=np.uint64).reshape(ready.num_rows, -1)
+            maps = [np.frombuffer(x, dtype=np.uint64) for x in ready.column("bits").to_pylist()]
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
             edges = [0, *change.tolist(), ready.num_rows]
             us, vs = [], []
             for s, e in zip(edges, edges[1:]):
                 if e - s > 1:
-                    u, v = pairs(cols[0][s], cols[1][s], cols[2][s], *(c[s:e] for c in cols[3:]), bits[s:e])
+                    words = min(map(len, maps[s:e]))
+                    bits = np.stack([folded(x, words) for x in maps[s:e]])
+                    u, v = pairs(cols[0][s], cols[1][s], cols[2][s], *(c[s:e] for c in cols[3:]), bits)
                     us.append(u)
                     vs.append(v)
             if us:
@@ -227,16 +253,34 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """doc_id, text -> doc_id, n_shingles, component_id; links: den * intersection >= num * union."""
     features = materialise(_features(docs, n, num, den), "shingle-features")
     known = features.where("id IS NOT NULL AND n > 0")
-    classes = known.groupBy("digest").agg(F.min("id").alias("rep"))
-    chosen = known.join(classes, (known["digest"] == classes["digest"]) & (known["id"] == classes["rep"]), "left_semi")
-    reps = materialise(chosen.dropDuplicates(["id", "digest"]).select("id", "n", "bits", "keys"), "set-classes")
-
-    rows = reps.select(F.explode("keys").alias("key"), "id")
-    buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    buckets = materialise(buckets, "bucket-pivots")  # so that both sides of the join can be split where a key is hot
-    shared = materialise(rows.join(buckets, "key"), "buckets")
+    classes = materialise(known.groupBy("digest").agg(F.min("id").alias("rep")), "set-classes")
+    twins = materialise(
+        known.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "rep").distinct(), "copies"
+    )
+
+    rows = known.select(F.explode("keys").alias("key"), "id")
+    # Each join below has two plain sides, so that it can be split where a key is hot. Signatures are met in
+    # slices of their range, so that only a slice of them is between executors at a time.
+    gone = twins.select("id").join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
+    parts = []
+    for i in range(SLICES):
+        mine = rows.where(F.pmod(F.shiftright("key", 1), F.lit(SLICES)) == i)
+        met_keys = materialise(mine.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "met-keys")
+        # Copies go here and not before, so that no signatures are moved for that.
+        parts.append(materialise(mine.join(met_keys, "key").join(gone.hint("merge"), "id", "left_anti"), "met-rows"))
+        release(docs.sparkSession)
+    shared = reduce(DataFrame.unionByName, parts)
+    odd = F.col("key").bitwiseAND(F.lit(1)).cast("int")
+    needs = known.select("id", F.posexplode("need").alias("odd", "need")).where("need > 0")
+    needs = needs.groupBy("id", "odd").agg(F.min("need").alias("need"))
+    enough = shared.groupBy("id", odd.alias("odd")).agg(F.count("*").alias("c")).join(needs, ["id", "odd"]).where("c >= need")
+    enough = materialise(enough.select("id", "odd"), "candidates")
+    shared = materialise(shared.withColumn("odd", odd).join(enough.hint("merge"), ["id", "odd"]).select("key", "id"), "candidate-rows")
+    buckets = shared.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    buckets = materialise(buckets, "bucket-pivots")
+    shared = materialise(shared.join(buckets, "key"), "buckets")
     # Only classes that share a bucket are ever compared.
-    met = materialise(reps.select("id", "n", "bits").join(shared.select("id").distinct(), "id", "left_semi"), "met")
+    met = materialise(known.select("id", "n", "bits").join(shared.select("id").distinct().hint("merge"), "id", "left_semi"), "met")
     star = shared.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
     links = materialise(_verified(star, met, docs, n, num, den), "links")
 
@@ -253,20 +297,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         "open-buckets",
     )
     # Large buckets that share a class become one, named by the least of their keys.
-    large = rest.where(F.col("c") > BLOCK)
+    large = rest.where(F.col("c") > ALONE)
     first = large.groupBy("id").agg(F.min("key").alias("v"))
     united = components(large.join(first, "id").select(F.col("key").alias("u"), "v"))
     merged = (
         large.join(united, large["key"] == united["id"], "left")
         .select(F.coalesce("component", "key").alias("key"), large["id"], "label", "n", "bits").distinct()
     )
-    open_rows = materialise(rest.where(F.col("c") <= BLOCK).drop("c").unionByName(merged), "open-rows")
+    open_rows = materialise(rest.where(F.col("c") <= ALONE).drop("c").unionByName(merged), "open-rows")
     more = _verified(_across(open_rows, num, den), met, docs, n, num, den)
-    copies = known.join(classes, "digest").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    copies = twins.select(F.col("id").alias("u"), F.col("rep").alias("v"))
     found = materialise(components(links.unionByName(more).unionByName(copies)), "components")
     per_class = classes.join(found, classes["rep"] == found["id"], "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
+    per_class = materialise(per_class, "class-components")
     out = features.select("id", "n", "digest").alias("f").join(per_class.alias("c"), "digest", "left")
     return out.select(
         F.col("f.id").alias("doc_id"),
@@ -282,4 +327,4 @@ def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100
     """
     found = jaccard_components(docs, n, num, den)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(docs.columns)
+    return docs.select(F.struct("*").alias("d")).join(gone, F.col("d.doc_id") == F.col("_gone"), "left_anti").select("d.*")

@@ -281,6 +281,7 @@ def test_components_equal_brute_force(spark, n, num):
 
 def test_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "ALONE", 4)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(100)]
     rows = []
