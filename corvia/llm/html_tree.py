@@ -9,7 +9,9 @@ Importance. With m pages that have an element, the entropy of its style nodes (l
 its presentation importance: 0 where all pages look alike. A text that k of the m pages show there has
 the content importance 1 - log_m(k): 0 where all say the same. Blocks low in both are template, and go,
 unless nothing else would be left. Within an article, texts that many pages share may well be copies or
-a common passage, so there only what nearly every page of a host shows is low. What HTML itself names is not left to statistics: scripts, forms,
+a common passage, so there only what nearly every page of a host shows is low: k and m count the pages of the
+whole host, whatever their elements, and pages with the same article (without one: the same text) count as
+one. What HTML itself names is not left to statistics: scripts, forms,
 navigation, page headers and footers, asides, and elements whose class or id says advertisement, notice,
 comment and the like go on every page, also on hosts with one page; where a page has articles (or else a
 main element), the text is theirs.
@@ -200,11 +202,14 @@ def _hash(*parts: str) -> int:
 
 
 def _nodes(pages: DataFrame) -> DataFrame:
-    """What each page adds to the tree: node, kind (0 page has it, 1 style, 2 content, 3 content in an article), value, parent; page and block."""
+    """What each page adds to the tree: node, kind (0 page has it, 1 style, 2 content, 3 content in an article, 4 host has the page), value, parent; page and block.
+
+    host is the node of the host; unit is what counts as a page: the page, and for kinds 3 and 4 the digest of its article.
+    """
 
     def make():
         def work(keys, urls, sources):
-            out: dict[str, list] = {k: [] for k in ("page", "block", "kind", "node", "parent", "value")}
+            out: dict[str, list] = {k: [] for k in ("page", "block", "kind", "node", "parent", "value", "host", "unit")}
 
             def add(*row):
                 for column, x in zip(out.values(), row, strict=True):
@@ -213,34 +218,38 @@ def _nodes(pages: DataFrame) -> DataFrame:
             for key, url, source in zip(keys, urls, sources, strict=True):
                 host = host_of(url)
                 blocks, elements = parse(source or "")
+                level = max((b.level for b in blocks), default=0)
+                site, article = _hash(host), _hash(*(b.text for b in blocks if b.level == level))
+                add(key, -1, 4, site, 0, 0, site, article)
                 seen: set[tuple] = set()
                 for e in elements:
                     node = _hash(host, e.path)
                     if e.children and (1, node) not in seen:  # the first of several alike
                         seen.add((1, node))
-                        add(key, -1, 1, node, 0, _hash(*e.children))
+                        add(key, -1, 1, node, 0, _hash(*e.children), site, key)
                 for i, b in enumerate(blocks):
                     node = _hash(host, b.path)
                     if (0, node) not in seen:
                         seen.add((0, node))
-                        add(key, -1, 0, node, 0, 0)
-                    add(key, i, 3 if b.level else 2, node, _hash(host, b.parent), _hash(b.text))
+                        add(key, -1, 0, node, 0, 0, site, key)
+                    add(key, i, 3 if b.level else 2, node, _hash(host, b.parent), _hash(b.text), site, article if b.level else key)
             yield out
 
         return work
 
-    return map_rows(pages, "page long, block int, kind int, node long, parent long, value long", make)
+    return map_rows(pages, "page long, block int, kind int, node long, parent long, value long, host long, unit long", make)
 
 
 def template_blocks(pages: DataFrame, content: float, strict: float, presentation: float, min_pages: int) -> DataFrame:
     """page, url, html (page a key) -> page, blocks: the numbers of the blocks of low importance."""
     rows = _nodes(pages)
-    counted = rows.select("node", "kind", "parent", "value", "page").distinct().groupBy("node", "kind", "parent", "value").count()
-    counted = materialise(counted.where("kind < 2 OR count > 1"), "style-tree")
-    present = counted.where("kind = 0").select("node", F.col("count").alias("m")).where(F.col("m") >= min_pages)
-    shown = counted.where("kind > 1").select("node", "kind", "parent", "value", F.col("count").alias("k"))
+    counted = rows.select("node", "kind", "parent", "value", "host", "unit").distinct().groupBy("node", "kind", "parent", "value", "host").count()
+    counted = materialise(counted.where("kind NOT IN (2, 3) OR count > 1"), "style-tree")
+    present = counted.where("kind IN (0, 4)").select(F.col("node").alias("of"), F.col("count").alias("m")).where(F.col("m") >= min_pages)
+    of = F.when(F.col("kind") == 3, F.col("host")).otherwise(F.col("node"))
+    shown = counted.where("kind IN (2, 3)").select("node", "kind", "parent", "value", of.alias("of"), F.col("count").alias("k"))
     limit = F.when(F.col("kind") == 2, content).otherwise(strict)
-    common = shown.join(present, "node").where(1 - F.log("k") / F.log("m") < limit)
+    common = shown.join(present, "of").where(1 - F.log("k") / F.log("m") < limit)
     styles = counted.where("kind = 1")
     total = styles.groupBy("node").agg(F.sum("count").alias("n"))
     share = F.col("count") / F.col("n")
@@ -250,7 +259,7 @@ def template_blocks(pages: DataFrame, content: float, strict: float, presentatio
         .where(F.col("importance") < presentation)
     )
     low = materialise(common.join(looks.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "value"), "low-nodes")
-    hits = rows.where("kind > 1").join(low, ["node", "value"]).groupBy("page").agg(F.collect_set("block").alias("blocks"))
+    hits = rows.where("kind IN (2, 3)").join(low, ["node", "value"]).groupBy("page").agg(F.collect_set("block").alias("blocks"))
     return materialise(hits, "template-blocks")
 
 
