@@ -95,7 +95,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]
         filled = ends[1:] > ends[:-1]
         empty = int((~filled).sum())
         keys.append(sent if empty > spare else sent[filled])
-        need[tile & 1] = spare + 1 - (empty if empty <= spare else 0)
+        need[tile & 1] = max(1, spare + 1 - empty)  # a linked set need not send its empty parts
     return (np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)), need
 
 
