@@ -2,19 +2,30 @@
 
 The pages of a host are merged into one tree: an element node is a path of tags and classes, a style
 node one sequence of child tags seen at it, a content node one text seen at it. The tree is never held
-in one place; it is a table of counts for (host, node, style or content), added up by partial
-aggregation, so a host with a third of all pages is no group anywhere.
-
-Importance. With m pages that have an element, the entropy of its style nodes (logarithms to base m) is
-its presentation importance: 0 where all pages look alike. A text that k of the m pages show there has
-the content importance 1 - log_m(k): 0 where all say the same. Blocks low in both are template, and go,
-unless nothing else would be left. Within an article, texts that many pages share may well be copies or
-a common passage, so there only what nearly every page of a host shows is low: k and m count the pages of the
-whole host, whatever their elements, and pages with the same article (without one: the same text) count as
-one. What HTML itself names is not left to statistics: scripts, forms,
-navigation, page headers and footers, asides, and elements whose class or id says advertisement, notice,
-comment and the like go on every page, also on hosts with one page; where a page has articles (or else a
-main element), the text is theirs.
+in one place; it is tables of counts, added up by partial aggregation, so a host with a third of all
+pages is no group anywhere. A path is a rolling hash, and elements more than DEPTH levels deep fold into
+their ancestor at that level, label by label, so work and rows are linear in a page, however nested.
+
+Importance. With m pages that have an element, the entropy of its style nodes, to the base m (64 at most:
+further pages make no look more varied), is its presentation importance: 0 where all pages look alike. A
+text that k of the m pages show there has the content importance 1 - log_m(k): 0 where all say the same.
+Both are composed up the branches: the content mass of a branch is the length of all texts in it, each
+times its importance, as a mean of the pages that have it; its variety is the largest presentation importance in it. A branch weighs
+mass * (SLOT + (1 - SLOT) * variety) * hint: a slot that looks the same on every page weighs little, whatever
+fills it. Hosts with few pages lean on the tree of all hosts, which counts as much as `lean` pages.
+
+Removal. From the root down, elements are frames as long as they look alike (the root, html and body always,
+articles and main elements never). A branch of a frame goes when it weighs less than `share` of the
+heaviest branch beside it; headings stay with what they head, and what holds an article or main element stays. What is no frame is content, and in it, as anywhere,
+a branch goes whose mean importance, times its hint, is under `content`, unless it is half or more of its
+parent's text. Last, a single text goes that all but few pages of the host show (importance under `strict`)
+in a place whose texts else differ. Copies of an article, on however many pages, count as one page
+for the texts of articles.
+
+What HTML names as no text (scripts, styles, head) or as no main text (navigation, page headers, footers,
+asides, forms, their roles) is left out from the start. HINTS, class words for adverts and comments, an
+article in an article, and a place beside an article or main element only lower a weight, to a quarter. A page that is left without text, and has no article or main
+element, keeps all its blocks.
 
 Text. Character references are decoded, white space inside a block becomes one space, blocks are trimmed
 and joined in page order by one space.
@@ -33,7 +44,7 @@ from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvia.llm.arrow import map_rows
 from corvia.llm.store import materialise
@@ -42,19 +53,16 @@ NOISE_TAGS = frozenset(
     "nav header footer aside form script style noscript template iframe object embed svg button select textarea "
     "dialog menu head title audio video canvas".split()
 )
-NOISE_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent notice notices "
-    "alert popup modal overlay newsletter subscribe subscription signup paywall sidebar aside widget nav navbar navigation "
-    "menu breadcrumb breadcrumbs pagination pager share sharing social related recommended comment comments disqus reply "
-    "replies respond header masthead footer toolbar skip login search tags legal disclaimer".split()
-)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog".split())
+HINTS = frozenset("ad ads advert adverts advertisement sponsored comment comments".split())
+HINT, SLOT, VARIED, DEPTH = 0.25, 0.2, 0.25, 48
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split()
@@ -67,34 +75,47 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 WORDS = re.compile(r"[a-z]+")
 
 
-@dataclass
-class Block:
-    path: str
-    parent: str
-    level: int  # 2 in an article, 1 in main, 0 elsewhere
-    text: str
+def _hash(*parts) -> int:
+    h = xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+@dataclass(eq=False)
+class Place:
+    """An element node as a page alone knows it: its path, what is above it, what HTML says of it."""
+
+    path: int
+    above: tuple[Place, ...]
+    tag: str
+    sealed: bool  # an article or main element, or inside of one
+    hint: float
+    inside: dict[str, Place] = field(default_factory=dict)
+
+    def child(self, label: str, tag: str, sealed: bool, hint: float) -> Place:
+        found = self.inside.get(label)
+        if found is None:
+            above = self.above if len(self.above) == DEPTH else (*self.above, self)
+            found = Place(_hash(above[-1].path, label), above, tag, sealed, hint)
+            if above is self.above:  # folded: the ancestor at that level knows it
+                found = above[-1].inside.setdefault(label, found)
+            self.inside[label] = found
+        return found
 
 
 @dataclass
 class Element:
     tag: str
-    path: str
+    place: Place
     noise: bool
-    level: int
     children: list[str] = field(default_factory=list)
 
 
-def _noise(tag: str, words: set[str], role: str, inside: bool) -> bool:
-    if tag in ("html", "body") or tag in ("article", "main") and not inside:
-        return False
-    return tag in NOISE_TAGS or bool(words & NOISE_WORDS) or role in ROLES
-
-
-def parse(source: str) -> tuple[list[Block], list[Element]]:
-    """The blocks of text outside of noise, and all elements outside of noise with their children's tags."""
-    blocks: list[Block] = []
-    root = Element("", "", False, 0)
+def parse(source: str) -> tuple[list[tuple[Place, str]], list[Element]]:
+    """The blocks of text outside of what HTML names as noise, and all elements there with their children's tags."""
+    blocks: list[tuple[Place, str]] = []
+    root = Element("", Place(0, (), "", False, 1.0), False)
     stack, elements, held = [root], [root], []
+    last_of: dict[str, list[int]] = {}  # places of open elements by tag
     at, n = 0, len(source)
 
     def flush() -> None:
@@ -103,14 +124,25 @@ def parse(source: str) -> tuple[list[Block], list[Element]]:
             held.clear()
             if text:
                 block = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-                above = block.path.rpartition("/")[0]
-                blocks.append(Block(block.path, above, block.level, text))
+                blocks.append((block.place, text))
 
     def pop_to(k: int) -> None:
         if any(e.tag not in INLINE for e in stack[k:]):
             flush()
+        for e in stack[k:]:
+            last_of[e.tag].pop()
         del stack[k:]
 
+    def last(tag: str) -> int:
+        open_ = last_of.get(tag)
+        return open_[-1] if open_ else 0
+
+    def close_in_scope(tags: tuple[str, ...]) -> None:
+        scope = max(map(last, SCOPES))
+        for tag in tags:
+            if last(tag) > scope:
+                pop_to(last(tag))
+
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
@@ -141,20 +173,16 @@ def parse(source: str) -> tuple[list[Block], list[Element]]:
                 break
         inner, tag, at = source[name.end() : end], name[0].lower(), end + 1
         if closing:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = last(tag)
             if k:
                 pop_to(k)
             elif tag not in INLINE:
                 flush()
             continue
         if tag in CLOSES_P:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in SCOPES), 0)
-            if k and stack[k].tag == "p":
-                pop_to(k)
-        for other in SELF_CLOSING.get(tag, ()):
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == other or stack[k].tag in SCOPES), 0)
-            if k and stack[k].tag == other:
-                pop_to(k)
+            close_in_scope(("p",))
+        if tag in SELF_CLOSING:
+            close_in_scope(SELF_CLOSING[tag])
         if tag == "br":
             held.append(" ")
             continue
@@ -177,13 +205,23 @@ def parse(source: str) -> tuple[list[Block], list[Element]]:
         if tag in RAW:
             shut = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             at = n if not shut else shut.start()
-        level = 2 if tag == "article" else max(top.level, 1 if tag == "main" or role == "main" else 0)
-        label = tag + "." + "-".join(sorted(words)) if words else tag
-        e = Element(tag, f"{top.path}/{label}", top.noise or _noise(tag, words, role, top.level > 0), max(level, top.level))
-        if e.noise and not top.noise:
-            flush()
+        within = top.place.sealed
+        main = tag in ("article", "main") or role == "main"
+        noise = top.noise or tag not in ("html", "body", "article", "main") and (
+            tag in NOISE_TAGS and not (tag == "header" and within) or role in ROLES
+        )
+        if noise:
+            place = top.place
+            if not top.noise:
+                flush()
+        else:
+            told = tag == "article" and within or not main and tag not in ("html", "body") and bool(words & HINTS)
+            label = tag + "." + "-".join(sorted(words)) if words else tag
+            place = top.place.child(label, tag, within or main, HINT if told else 1.0)
+        e = Element(tag, place, noise)
+        last_of.setdefault(tag, []).append(len(stack))
         stack.append(e)
-        if not e.noise:
+        if not noise:
             elements.append(e)
     flush()
     return blocks, elements
@@ -196,92 +234,190 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def _hash(*parts: str) -> int:
-    h = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def article_of(blocks: list[tuple[Place, str]]) -> int:
+    """The digest of a page's articles or main elements, else of all its text."""
+    inside = [text for place, text in blocks if place.sealed]
+    return _hash(*(inside or [text for _, text in blocks]))
+
 
+#: Kinds of rows: a page of the host, by article; an element; a style of it; a text, outside and inside of articles; what a node is.
+PAGE, ELEMENT, STYLE, TEXT, ARTICLE_TEXT, NODE = range(6)
+ROW = "kind int, page binary, block int, node long, value long, chars long, unit long, host long, path long, above array<long>, free boolean, frame boolean, hint double"
 
-def _nodes(pages: DataFrame) -> DataFrame:
-    """What each page adds to the tree: node, kind (0 page has it, 1 style, 2 content, 3 content in an article, 4 host has the page), value, parent; page and block.
 
-    host is the node of the host; unit is what counts as a page: the page, and for kinds 3 and 4 the digest of its article.
-    """
+def _rows(pages: DataFrame) -> DataFrame:
+    """page, url, html -> what each page adds to the tree of its host; NODE rows once a task for each node."""
 
     def make():
+        known: set[int] = set()
+
         def work(keys, urls, sources):
-            out: dict[str, list] = {k: [] for k in ("page", "block", "kind", "node", "parent", "value", "host", "unit")}
+            out: dict[str, list] = {c.split()[0]: [] for c in ROW.split(", ")}
 
-            def add(*row):
+            def add(kind, page, block=None, node=None, value=None, chars=None, unit=None, host=None, path=None, above=None, free=None, frame=None, hint=None):
+                row = (kind, page, block, node, value, chars, unit, host, path, above, free, frame, hint)
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
 
+            if len(known) > 200_000:
+                known.clear()
             for key, url, source in zip(keys, urls, sources, strict=True):
                 host = host_of(url)
                 blocks, elements = parse(source or "")
-                level = max((b.level for b in blocks), default=0)
-                site, article = _hash(host), _hash(*(b.text for b in blocks if b.level == level))
-                add(key, -1, 4, site, 0, 0, site, article)
+                site, article = _hash(host), article_of(blocks)
+                add(PAGE, None, host=site, unit=article)
+                ids: dict[int, int] = {}
+
+                def node_of(place):
+                    if place.path not in ids:
+                        ids[place.path] = _hash(host, place.path)
+                    return ids[place.path]
+
                 seen: set[tuple] = set()
                 for e in elements:
-                    node = _hash(host, e.path)
-                    if e.children and (1, node) not in seen:  # the first of several alike
-                        seen.add((1, node))
-                        add(key, -1, 1, node, 0, _hash(*e.children), site, key)
-                for i, b in enumerate(blocks):
-                    node = _hash(host, b.path)
-                    if (0, node) not in seen:
-                        seen.add((0, node))
-                        add(key, -1, 0, node, 0, 0, site, key)
-                    add(key, i, 3 if b.level else 2, node, _hash(host, b.parent), _hash(b.text), site, article if b.level else key)
+                    node = node_of(e.place)
+                    if node not in seen:
+                        seen.add(node)
+                        add(ELEMENT, None, node=node)
+                        style = _hash(*e.children)  # of several alike in a page, the first
+                        add(STYLE, None, node=node, value=style)
+                        if node not in known:
+                            known.add(node)
+                            p = e.place
+                            add(
+                                NODE, None, node=node, host=site, path=p.path, above=[node_of(a) for a in p.above],
+                                free=p.tag in HEADINGS, frame=None if p.sealed else p.tag in ("", "html", "body"), hint=p.hint,
+                            )
+                for i, (place, text) in enumerate(blocks):
+                    kind = ARTICLE_TEXT if place.sealed else TEXT
+                    add(kind, key, i, node_of(place), _hash(text), len(text), article, site)
             yield out
 
         return work
 
-    return map_rows(pages, "page long, block int, kind int, node long, parent long, value long, host long, unit long", make)
+    return map_rows(pages, ROW, make)
 
 
-def template_blocks(pages: DataFrame, content: float, strict: float, presentation: float, min_pages: int) -> DataFrame:
-    """page, url, html (page a key) -> page, blocks: the numbers of the blocks of low importance."""
-    rows = _nodes(pages)
-    counted = rows.select("node", "kind", "parent", "value", "host", "unit").distinct().groupBy("node", "kind", "parent", "value", "host").count()
-    counted = materialise(counted.where("kind NOT IN (2, 3) OR count > 1"), "style-tree")
-    present = counted.where("kind IN (0, 4)").select(F.col("node").alias("of"), F.col("count").alias("m")).where(F.col("m") >= min_pages)
-    of = F.when(F.col("kind") == 3, F.col("host")).otherwise(F.col("node"))
-    shown = counted.where("kind IN (2, 3)").select("node", "kind", "parent", "value", of.alias("of"), F.col("count").alias("k"))
-    limit = F.when(F.col("kind") == 2, content).otherwise(strict)
-    common = shown.join(present, "of").where(1 - F.log("k") / F.log("m") < limit)
-    styles = counted.where("kind = 1")
-    total = styles.groupBy("node").agg(F.sum("count").alias("n"))
-    share = F.col("count") / F.col("n")
-    looks = (
-        styles.join(total, "node").groupBy("node")
-        .agg(F.coalesce(F.try_divide(F.sum(-share * F.log(share)), F.log(F.first("n"))), F.lit(1.0)).alias("importance"))
-        .where(F.col("importance") < presentation)
+def _entropy(styles: DataFrame, by: str) -> DataFrame:
+    """by, value, n -> by, m, presentation: entropy to the base of m, 64 at most; 1 with one page."""
+    total = styles.groupBy(by).agg(F.sum("n").alias("m"))
+    share = F.col("n") / F.col("m")
+    return (
+        styles.join(total, by).groupBy(by).agg(F.sum(-share * F.log(share)).alias("h"), F.first("m").alias("m"))
+        .select(by, "m", F.when(F.col("m") > 1, F.least(F.col("h") / F.log(F.least("m", F.lit(64.0))), F.lit(1.0))).otherwise(1.0).alias("presentation"))
+    )
+
+
+def _importance(k: Column, m: Column) -> Column:
+    return F.when(m > 1, F.greatest(1 - F.log(k) / F.log(m), F.lit(0.0))).otherwise(1.0)
+
+
+def low_parts(rows: DataFrame, share: float, content: float, strict: float, presentation: float, lean: float) -> DataFrame:
+    """Rows of pages -> node, value: nodes whose texts all go (value null), and single texts that go."""
+    nodes = materialise(
+        rows.where(F.col("kind") == NODE).groupBy("node")
+        .agg(*(F.min(c).alias(c) for c in ("host", "path", "above", "free", "frame", "hint"))), "tree-nodes",
     )
-    low = materialise(common.join(looks.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "value"), "low-nodes")
-    hits = rows.where("kind IN (2, 3)").join(low, ["node", "value"]).groupBy("page").agg(F.collect_set("block").alias("blocks"))
-    return materialise(hits, "template-blocks")
+    plain = rows.where(F.col("kind").isin(ELEMENT, STYLE)).groupBy("kind", "node", "value").agg(F.count("*").alias("n"))
+    plain = materialise(plain, "tree-counts")
+    styles = plain.where(F.col("kind") == STYLE).select("node", "value", "n")
+    pages = plain.where(F.col("kind") == ELEMENT).select("node", F.col("n").alias("m"))
+    # A page counts once for a text at a place, and all pages with one article once for a text of it.
+    unit = F.when(F.col("kind") == ARTICLE_TEXT, F.struct(F.col("unit"), F.lit(None).cast("binary").alias("page"))).otherwise(
+        F.struct(F.lit(None).cast("long").alias("unit"), F.col("page"))
+    )
+    shown = (
+        rows.where(F.col("kind").isin(TEXT, ARTICLE_TEXT)).select("kind", "node", "value", "chars", "host", unit.alias("unit")).distinct()
+        .groupBy("kind", "node", "value").agg(F.count("*").alias("k"), F.max("chars").alias("chars"), F.first("host").alias("host"))
+    )
+    units = rows.where(F.col("kind") == PAGE).select("host", "unit").distinct().groupBy("host").agg(F.count("*").alias("units"))
+    m = F.when(F.col("kind") == ARTICLE_TEXT, F.col("units")).otherwise(F.col("m"))
+    texts = materialise(
+        shown.join(pages, "node").join(units, "host")
+        .select("node", "value", "k", (F.col("k") * F.col("chars")).alias("chars"), _importance(F.col("k"), m).alias("importance")), "tree-texts",
+    )
+    own = texts.groupBy("node").agg(F.sum("chars").alias("chars"), F.sum(F.col("chars") * F.col("importance")).alias("mass"))
+    looks = _entropy(styles, "node")
+    own = nodes.select("node", "above", F.col("frame").isNull().alias("sealed")).join(looks, "node", "left").join(own, "node", "left")
+    # Composed up the branches: every node adds to itself and to what is above it.
+    branches = (
+        own.select(F.explode(F.concat("above", F.array("node"))).alias("node"), "chars", "mass", "presentation", "sealed")
+        .groupBy("node").agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass"), F.max("presentation").alias("variety"), F.max("sealed").alias("holds"))
+    )
+    local = materialise(nodes.join(branches, "node").join(looks, "node"), "tree-branches")
+    # The tree of all hosts, by path.
+    everywhere = _entropy(
+        styles.join(nodes.select("node", "path"), "node").groupBy("path", "value").agg(F.sum("n").alias("n")), "path"
+    ).select("path", F.col("presentation").alias("presentation_all"))
+    ups = nodes.join(everywhere, "path").select(F.explode(F.concat("above", F.array("node"))).alias("node"), "presentation_all")
+    ups = ups.groupBy("node").agg(F.max("presentation_all").alias("variety_all"))
+    per_path = local.groupBy("path").agg((F.sum("mass") / F.sum("m")).alias("mass_all")).join(everywhere, "path")
+    mixed = local.join(per_path, "path").join(ups, "node")
+
+    def blend(host: str, whole: str) -> Column:
+        return ((F.col("m") - 1) * F.col(host) + lean * F.col(whole)) / (F.col("m") - 1 + lean)
+
+    mixed = mixed.select(
+        "node", "above", "free", "hint",
+        F.when(F.size("above") > 0, F.element_at("above", -1)).alias("parent"),
+        "holds",
+        (F.col("chars") / F.col("m")).alias("chars"),
+        (F.col("mass") / F.col("m")).alias("mass"),
+        ((F.col("mass") + lean * F.col("mass_all")) / (F.col("m") + lean)).alias("leaning"),
+        blend("variety", "variety_all").alias("variety"),
+        F.when(F.col("frame").isNull(), False).otherwise(F.col("frame") | (blend("presentation", "presentation_all") < presentation)).alias("frame"),
+    )
+    weight = F.col("leaning") * (SLOT + (1 - SLOT) * F.col("variety")) * F.col("hint")
+    mixed = materialise(mixed.withColumn("weight", weight), "tree-weights")
+    beside = mixed.where("parent IS NOT NULL").groupBy("parent").agg(F.max("weight").alias("best"), F.max("holds").alias("named"))
+    parent = mixed.select(F.col("node").alias("parent"), F.col("chars").alias("chars_above"))
+    closed = mixed.where("NOT frame").select(F.col("node").alias("up"))
+    shut = mixed.select("node", F.explode("above").alias("up")).join(closed, "up").select("node").distinct().withColumn("shut", F.lit(True))
+    judged = mixed.join(beside, "parent").join(parent, "parent").join(shut, "node", "left")
+    beside_article = F.when(F.col("named") & ~F.col("holds"), HINT).otherwise(1.0)
+    light = F.col("shut").isNull() & ~F.col("free") & ~F.col("holds") & (F.col("weight") * beside_article < share * F.col("best"))
+    dull = (F.col("hint") * F.col("mass") < content * F.col("chars")) & (F.col("chars") * 2 < F.col("chars_above"))
+    low = judged.where(light | dull).select("node")
+    gone = (
+        nodes.select("node", F.explode(F.concat("above", F.array("node"))).alias("up")).join(low.select(F.col("node").alias("up")), "up")
+        .select("node").distinct()
+    )
+    varied = local.where(F.col("mass") >= VARIED * F.col("chars")).select("node")
+    single = texts.where((F.col("importance") < strict)).join(varied, "node", "left_semi").select("node", "value")
+    return materialise(gone.select("node", F.lit(None).cast("long").alias("value")).unionByName(single), "low-parts")
+
+
+def template_blocks(pages: DataFrame, **limits: float) -> DataFrame:
+    """page, url, html (page a key) -> page, blocks: the numbers of the blocks of low importance."""
+    rows = materialise(_rows(pages), "tree-rows")
+    low = low_parts(rows, **limits)
+    blocks = rows.where(F.col("kind").isin(TEXT, ARTICLE_TEXT)).select("page", "block", "node", "value")
+    whole = low.where("value IS NULL").select("node").withColumn("whole", F.lit(True))
+    single = low.where("value IS NOT NULL").withColumn("single", F.lit(True))
+    hits = blocks.join(whole, "node", "left").join(single, ["node", "value"], "left").where("whole OR single")
+    return materialise(hits.groupBy("page").agg(F.collect_set("block").alias("blocks")), "template-blocks")
 
 
 def main_text(
-    pages: DataFrame, content: float = 0.3, strict: float = 0.02, presentation: float = 0.3, min_pages: int = 4
+    pages: DataFrame, share: float = 0.2, content: float = 0.3, strict: float = 0.02, presentation: float = 0.5, lean: float = 8.0
 ) -> DataFrame:
-    """page_id, url, html -> page_id, url, text, n_chars."""
-    keyed = pages.select(
-        "page_id", "url", "html", F.xxhash64(F.col("page_id").cast("string"), "url", "html").alias("page")
+    """page_id, url, html -> page_id, url, text, n_chars. With share, content and strict 0 nothing goes by the tree."""
+    identity = F.concat_ws("\0", F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    keyed = pages.select("page_id", "url", "html", F.unhex(F.md5(identity)).alias("page"))
+    hits = template_blocks(
+        keyed.select("page", "url", "html"), share=share, content=content, strict=strict, presentation=presentation, lean=lean
     )
-    hits = template_blocks(keyed.select("page", "url", "html"), content, strict, presentation, min_pages)
     joined = keyed.join(hits, "page", "left").select("page_id", "url", "html", "blocks")
 
     def make():
         def work(ids, urls, sources, drops) -> Iterator[dict[str, list]]:
             texts = []
             for source, drop in zip(sources, drops, strict=True):
-                found = parse(source or "")[0]
-                level = max((b.level for b in found), default=0)
-                chosen = [(i, b) for i, b in enumerate(found) if b.level == level]
+                found, elements = parse(source or "")
                 gone = set(drop or ())
-                kept = [b.text for i, b in chosen if i not in gone] or [b.text for _, b in chosen]
+                kept = [text for i, (_, text) in enumerate(found) if i not in gone]
+                if not kept and not any(e.place.sealed for e in elements):
+                    kept = [text for _, text in found]
                 texts.append(" ".join(kept))
             yield {"page_id": ids, "url": urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
