@@ -387,34 +387,15 @@ def low_parts(rows: DataFrame, share: float, content: float, strict: float, pres
     return materialise(gone.select("node", F.lit(None).cast("long").alias("value")).unionByName(single), "low-parts")
 
 
-def template_blocks(pages: DataFrame, **limits: float) -> DataFrame:
-    """page, url, html (page a key) -> page, blocks: the numbers of the blocks of low importance."""
-    rows = materialise(_rows(pages), "tree-rows")
-    low = low_parts(rows, **limits)
-    blocks = rows.where(F.col("kind").isin(TEXT, ARTICLE_TEXT)).select("page", "block", "node", "value")
-    whole = low.where("value IS NULL").select("node").withColumn("whole", F.lit(True))
-    single = low.where("value IS NOT NULL").withColumn("single", F.lit(True))
-    hits = blocks.join(whole, "node", "left").join(single, ["node", "value"], "left").where("whole OR single")
-    return materialise(hits.groupBy("page").agg(F.collect_set("block").alias("blocks")), "template-blocks")
-
-
-def main_text(
-    pages: DataFrame, share: float = 0.2, content: float = 0.3, strict: float = 0.02, presentation: float = 0.5, lean: float = 8.0
-) -> DataFrame:
-    """page_id, url, html -> page_id, url, text, n_chars. With share, content and strict 0 nothing goes by the tree."""
-    identity = F.concat_ws("\0", F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    keyed = pages.select("page_id", "url", "html", F.unhex(F.md5(identity)).alias("page"))
-    hits = template_blocks(
-        keyed.select("page", "url", "html"), share=share, content=content, strict=strict, presentation=presentation, lean=lean
-    )
-    joined = keyed.join(hits, "page", "left").select("page_id", "url", "html", "blocks")
+def _texts(pages: DataFrame, drop_of) -> DataFrame:
+    """page_id, url, html and what else drop_of reads -> page_id, url, text, n_chars."""
 
     def make():
-        def work(ids, urls, sources, drops) -> Iterator[dict[str, list]]:
+        def work(ids, urls, sources, *more) -> Iterator[dict[str, list]]:
             texts = []
-            for source, drop in zip(sources, drops, strict=True):
+            for row, (url, source) in enumerate(zip(urls, sources, strict=True)):
                 found, elements = parse(source or "")
-                gone = set(drop or ())
+                gone = drop_of(url, found, *(column[row] for column in more))
                 kept = [text for i, (_, text) in enumerate(found) if i not in gone]
                 if not kept and not any(e.place.sealed for e in elements):
                     kept = [text for _, text in found]
@@ -424,4 +405,41 @@ def main_text(
         return work
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return map_rows(joined, f"page_id {kind}, url string, text string, n_chars long", make)
+    return map_rows(pages, f"page_id {kind}, url string, text string, n_chars long", make)
+
+
+def main_text(
+    pages: DataFrame, share: float = 0.2, content: float = 0.3, strict: float = 0.02, presentation: float = 0.5, lean: float = 8.0,
+    few: int = 300_000,
+) -> DataFrame:
+    """page_id, url, html -> page_id, url, text, n_chars. With share, content and strict 0 nothing goes by the tree.
+
+    What goes is a table of nodes and texts of hosts. With at most `few` rows (some MB) every task gets it whole;
+    a larger one is joined to the blocks of pages, whose numbers are joined to the pages. Both give the same texts.
+    """
+    identity = F.concat_ws("\0", F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    keyed = pages.select("page_id", "url", "html", F.unhex(F.md5(identity)).alias("page"))
+    rows = materialise(_rows(keyed.select("page", "url", "html")), "tree-rows")
+    low = low_parts(rows, share, content, strict, presentation, lean)
+    if low.count() <= few:
+        held = low.toArrow()
+        pairs = list(zip(held["node"].to_pylist(), held["value"].to_pylist(), strict=True))
+        at_hand = pages.sparkSession.sparkContext.broadcast((frozenset(n for n, v in pairs if v is None), frozenset(p for p in pairs if p[1] is not None)))
+
+        def by_set(url, found):
+            whole, single = at_hand.value
+            host, gone = host_of(url), set()
+            for i, (place, text) in enumerate(found):
+                node = _hash(host, place.path)
+                if node in whole or single and (node, _hash(text)) in single:
+                    gone.add(i)
+            return gone
+
+        return _texts(pages.select("page_id", "url", "html"), by_set)
+    blocks = rows.where(F.col("kind").isin(TEXT, ARTICLE_TEXT)).select("page", "block", "node", "value")
+    whole = low.where("value IS NULL").select("node").withColumn("whole", F.lit(True))
+    single = low.where("value IS NOT NULL").withColumn("single", F.lit(True))
+    hits = blocks.join(whole, "node", "left").join(single, ["node", "value"], "left").where("whole OR single")
+    hits = materialise(hits.groupBy("page").agg(F.collect_set("block").alias("blocks")), "template-blocks")
+    joined = keyed.join(hits, "page", "left").select("page_id", "url", "html", "blocks")
+    return _texts(joined, lambda url, found, drop: set(drop or ()))

@@ -122,8 +122,9 @@ def test_texts_equal_a_plain_tree(spark):
     for seed, limits in ((1, {}), (2, {"share": 0.5, "content": 0.6, "strict": 0.2, "presentation": 0.3, "lean": 3.0})):
         pages = made_pages(seed)
         want = plain_texts([p[1:] for p in pages], **limits)
-        got = {r.page_id: r.text for r in t.main_text(spark.createDataFrame(pages, SCHEMA), **limits).collect()}
-        assert [got[p[0]] for p in pages] == want
+        for few in (300_000, 0):  # both ways to bring what goes to the pages
+            got = {r.page_id: r.text for r in t.main_text(spark.createDataFrame(pages, SCHEMA), **limits, few=few).collect()}
+            assert [got[p[0]] for p in pages] == want
     assert sum(a != b for a, b in zip(want, plain_texts([p[1:] for p in pages], share=0, content=0, strict=0), strict=True)) > 100
 
 
