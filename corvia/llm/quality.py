@@ -1,108 +1,135 @@
 """Quality classifier on random-indexing word vectors.
 
-Word vectors. Every word has a slot, and every slot a fixed sparse ternary index vector. One pass over
-all documents adds, to the vector of each word, the index vectors of the words around it; the sums of
-all tasks are added up in two steps, in blocks of slots, so no task takes more than a bounded matrix at
-a time. The result, of a size that does not depend on the corpus, is scaled to unit rows.
-
-Documents. A document is the mean and the spread of its words' vectors, how near the vectors of
-neighbours are on average, its share of distinct words, and the logarithm of its length. A network of two layers, in
-numpy, is fitted to a sample of at most `max_labelled` labelled documents (the only bound; those of the
-least hash), stopping on a part held back from the fit, on which a temperature is then chosen that
-calibrates its probabilities.
+Word vectors. Every word has a sparse ternary index vector, made from its hash: no table, no vocabulary.
+One pass over all documents adds, to the context vector of each word, the index vectors of the words
+around it. Context vectors are kept as a count-min sketch keeps counts: a word adds to one slot for each
+of PROBES hashes and is read from the slot that fewest words were added to, so a word that is not rare is
+seldom disturbed, however many words there are, and the sketch has a size that does not depend on the
+corpus. Sums are integers, the same in whatever order tasks end; they are added up in two steps, in blocks
+of slots.
+
+Documents. A document is the mean of its words' unit vectors, weighted by rarity (a / (a + frequency)), their
+spread, and the mean of the products of neighbours, component by component: pooled word vectors and
+nothing else. A network of two layers, in numpy, is fitted to a sample of about `max_labelled` labelled
+documents (the only bound; those whose hash is under a threshold set from their number), stopping on a part
+held back from the fit, on which a temperature is then chosen that calibrates its probabilities.
 
 Defined results: null and empty texts have zero features and get the network's score for them; a
-document labelled several times has the rounded mean of its labels; null labels or ids teach nothing;
+document labelled several times has the rounded mean of its labels; of rows with one id and several texts
+that are labelled, the one with the least features teaches; null labels or ids teach nothing;
 with labels of one kind only, or none, every score is the share of good labels (0.5 without any); rows
-that repeat are scored each; empty input gives no rows; other columns are ignored.
+that repeat are scored each; empty input gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corvia.llm.arrow import map_rows
 from corvia.llm.store import materialise
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-SLOTS, WIDTH, NONZERO, WINDOW, BLOCK = 4096, 32, 4, 2, 64
-FEATURES = 2 * WIDTH + 3
+WIDTH, NONZERO, WINDOW = 32, 4, 2
+SLOTS, PROBES, BLOCK = 1 << 14, 2, 256
+FEATURES = 3 * WIDTH
+RARE = 1e-3
 #: Tokens handled at once.
-CHUNK = 500_000
-
+CHUNK = 200_000
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each slot's few entries that are not 0."""
-    rng = np.random.default_rng(20)
-    places = np.argsort(rng.random((SLOTS, WIDTH)), axis=1)[:, :NONZERO]
-    return places, rng.choice(np.array([-1.0, 1.0]), (SLOTS, NONZERO))
 
-
-class Slots:
-    """Words to slots, remembered up to a bound."""
+class Words:
+    """Words to numbers, in order of appearance, remembered up to a bound; 0 stands for no word."""
 
     def __init__(self, most: int = 300_000):
-        self.known: dict[str, int] = {}
         self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.hashes = [0]
 
     def of(self, text: str | None) -> np.ndarray:
         words = TOKEN.findall(text) if text else []
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
+        known, hashes = self.known, self.hashes
         for w in set(words):
             if w not in known:
-                known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % SLOTS
-        return np.fromiter((known[w] for w in words), dtype=np.int32, count=len(words))
+                known[w] = len(hashes)
+                hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """Rows of few entries 1 or -1 (places that meet add up), from 6 bits of the hash each."""
+    out = np.zeros((len(hashes), WIDTH), dtype=np.float32)
+    rows = np.arange(len(hashes))
+    for k in range(NONZERO):
+        bits = (hashes >> np.uint64(6 * k)).astype(np.int64) & 63
+        np.add.at(out, (rows, bits >> 1), np.where(bits & 1, 1, -1).astype(np.float32))
+    return out
 
 
-def context_sums(ids: np.ndarray, doc: np.ndarray, places: np.ndarray, signs: np.ndarray, into: np.ndarray) -> None:
-    """Add the index vectors of the words up to WINDOW places around each word of the same document."""
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    """PROBES rows of slots, from 14 other bits each."""
+    return np.stack([(hashes >> np.uint64(6 * NONZERO + 14 * p)).astype(np.int64) & (SLOTS - 1) for p in range(PROBES)])
+
+
+def context_sums(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids but 0, and for each the sum of the vectors up to WINDOW places around it; 0s keep texts apart.
+
+    The last column counts how often the word was there.
+    """
+    x = vectors[ids]
+    around = np.zeros((len(ids), WIDTH + 1), dtype=np.float32)
     for gap in range(1, WINDOW + 1):
-        a, b = ids[:-gap], ids[gap:]
-        same = doc[:-gap] == doc[gap:]
-        a, b = a[same].astype(np.int64), b[same].astype(np.int64)
-        for word, other in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                into += np.bincount(word * WIDTH + places[other, k], weights=signs[other, k], minlength=SLOTS * WIDTH)
+        around[gap:, :WIDTH] += x[:-gap]
+        around[:-gap, :WIDTH] += x[gap:]
+    around[:, WIDTH] = 1
+    order = np.argsort(ids, kind="stable")
+    words, starts = np.unique(ids[order], return_index=True)
+    sums = np.add.reduceat(around[order], starts, axis=0) if len(ids) else around
+    return (words[1:], sums[1:]) if len(words) and words[0] == 0 else (words, sums)
 
 
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
+def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The sketch of all context vectors: SLOTS rows of WIDTH sums and a count."""
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        slots, sums = Slots(), np.zeros(SLOTS * WIDTH)
-        held, owner, n, number = [], [], 0, 0
-        any_row = False
+        words, sums = Words(), np.zeros((SLOTS, WIDTH + 1), dtype=np.int64)
+        rim = np.zeros(WINDOW, dtype=np.int32)
+        held, n, any_row = [], 0, False
 
         def flush():
-            if n:
-                context_sums(np.concatenate(held), np.repeat(np.array([o for o, _ in owner]), [c for _, c in owner]), places, signs, sums)
+            hashes = np.array(words.hashes, dtype=np.uint64)
+            vectors = index_vectors(hashes)
+            vectors[0] = 0
+            ids, found = context_sums(np.concatenate(held), vectors)
+            for slots in slots_of(hashes[ids]):
+                np.add.at(sums, slots, found.astype(np.int64))
+            if len(words.hashes) > words.most:
+                words.forget()
 
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 any_row = True
-                ids = slots.of(x)
-                number += 1
-                for at in range(0, len(ids), CHUNK):  # the windows across a cut of an endless text are lost to neither side but its rim
-                    part = ids[max(0, at - WINDOW) : at + CHUNK] if at else ids[:CHUNK]
-                    held.append(part)
-                    owner.append((number, len(part)))
-                    n += len(part)
-                    if n >= CHUNK:
-                        flush()
-                        held, owner, n = [], [], 0
-        flush()
+                held += [words.of(x), rim]
+                n += len(held[-2])
+                if n >= CHUNK:
+                    flush()
+                    held, n = [], 0
+        if n:
+            flush()
         if any_row:
-            blocks = sums.astype(np.float32).reshape(SLOTS // BLOCK, -1)
-            salt = zlib.crc32(sums.tobytes()) % 16
+            blocks = sums.reshape(SLOTS // BLOCK, -1)
             used = np.flatnonzero(np.abs(blocks).sum(axis=1))
+            salt = int(xxhash.xxh3_64_intdigest(sums.tobytes()) % 16)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used, pa.int32()), pa.array([salt] * len(used), pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())],
                 names=["block", "salt", "sums"],
@@ -112,51 +139,90 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-                part = np.frombuffer(blob.as_buffer(), dtype=np.float32).astype(np.float64)
-                total[block] = total[block] + part if block in total else part
+                part = np.frombuffer(blob.as_buffer(), dtype=np.int64)
+                total[block] = total[block] + part if block in total else part.copy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())],
+            [pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
             names=["block", "salt", "sums"],
         )
 
     schema = "block int, salt int, sums binary"
-    parts = docs.select(text).mapInArrow(gather, schema)
+    parts = docs.select(F.col(f"`{text}`")).mapInArrow(gather, schema)
     parts = parts.repartition(SLOTS // BLOCK, "block", "salt").mapInArrow(add, schema)
-    rows = parts.repartition(SLOTS // BLOCK, "block").mapInArrow(add, schema).collect()  # SLOTS x WIDTH numbers at most
-    out = np.zeros((SLOTS // BLOCK, BLOCK * WIDTH), dtype=np.float64)
-    for r in sorted(rows, key=lambda r: r["block"]):
-        out[r["block"]] += np.frombuffer(r["sums"], dtype=np.float32)
-    out = out.reshape(SLOTS, WIDTH)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+    rows = parts.repartition(SLOTS // BLOCK, "block").mapInArrow(add, schema).collect()  # SLOTS rows of numbers at most
+    out = np.zeros((SLOTS // BLOCK, BLOCK * (WIDTH + 1)), dtype=np.int64)
+    for r in rows:
+        out[r["block"]] += np.frombuffer(r["sums"], dtype=np.int64)
+    return out.reshape(SLOTS, WIDTH + 1)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, features: what a document is to the network, FEATURES numbers."""
+@dataclass
+class WordVectors:
+    """What a sketch says of words: unit vectors and weights by rarity."""
+
+    units: np.ndarray
+    counts: np.ndarray
+    total: int
+
+    @classmethod
+    def of(cls, sums: np.ndarray) -> WordVectors:
+        vectors = sums[:, :WIDTH].astype(np.float64)
+        norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+        counts = sums[:, WIDTH]
+        return cls((vectors / np.where(norm > 0, norm, 1)).astype(np.float32), counts, max(1, int(counts.sum()) // PROBES))
+
+    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slots = slots_of(hashes)
+        best = slots[np.argmin(self.counts[slots], axis=0), np.arange(slots.shape[1])]
+        return self.units[best], RARE / (RARE + self.counts[best] / self.total)
+
+
+class Pooler:
+    """Texts to features, one after the other."""
+
+    def __init__(self, known: WordVectors):
+        self.known, self.words = known, Words()
+        self.units, self.weights = np.zeros((1, WIDTH), dtype=np.float32), np.zeros(1)
+
+    def features(self, text: str | None) -> np.ndarray:
+        if len(self.words.hashes) > self.words.most:
+            self.__init__(self.known)
+        ids = self.words.of(text)
+        if len(self.words.hashes) > len(self.weights):
+            new = np.array(self.words.hashes[len(self.weights) :], dtype=np.uint64)
+            units, weights = self.known.look_up(new)
+            grown = max(2 * len(self.units), len(self.words.hashes)) if len(self.words.hashes) > len(self.units) else len(self.units)
+            if grown > len(self.units):
+                self.units = np.concatenate([self.units, np.zeros((grown - len(self.units), WIDTH), dtype=np.float32)])
+            self.units[len(self.weights) : len(self.words.hashes)] = units
+            self.weights = np.concatenate([self.weights, weights])
+        total, square, near, weight = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH), 0.0
+        for at in range(0, len(ids), CHUNK):
+            part = ids[at : at + CHUNK + 1]  # one more, for the product across the cut
+            v, w = self.units[part], self.weights[part[:CHUNK]].astype(np.float32)
+            own = v[:CHUNK]
+            weight += float(w.sum(dtype=np.float64))
+            total += (own * w[:, None]).sum(axis=0, dtype=np.float64)
+            square += (own * own * w[:, None]).sum(axis=0, dtype=np.float64)
+            near += np.einsum("ij,ij->j", v[:-1], v[1:], dtype=np.float64)
+        mean = total / max(weight, 1e-300)
+        spread = np.sqrt(np.maximum(square / max(weight, 1e-300) - mean**2, 0))
+        return np.concatenate([mean, spread, near / max(len(ids) - 1, 1)]).astype(np.float32)
+
+
+def pooled(docs: DataFrame, known: WordVectors, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, features: what a document is to the network, FEATURES numbers as bytes."""
 
     def make():
-        slots = Slots()
+        pooler = Pooler(known)
 
         def work(keys, texts):
-            rows = []
-            for x in texts:
-                ids = slots.of(x)
-                total, square, near = np.zeros(WIDTH), np.zeros(WIDTH), 0.0
-                for at in range(0, len(ids), CHUNK):
-                    v = vectors[ids[at : at + CHUNK]]
-                    total += v.sum(axis=0, dtype=np.float64)
-                    square += np.einsum("ij,ij->j", v, v, dtype=np.float64)
-                    near += float(np.einsum("ij,ij->", v[:-1], v[1:], dtype=np.float64))
-                n = max(len(ids), 1)
-                mean = total / n
-                more = [near / n, len(np.unique(ids)) / n, np.log1p(len(ids))]
-                rows.append(np.concatenate([mean, np.sqrt(np.maximum(square / n - mean**2, 0)), more]).astype(np.float32))
-            yield {key: keys, "features": rows}
+            yield {key: keys, "features": [pooler.features(x).tobytes() for x in texts]}
 
         return work
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), f"`{key}` {kind}, features array<float>", make)
+    return map_rows(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), f"`{key}` {kind}, features binary", make)
 
 
 @dataclass
@@ -221,29 +287,46 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 120, decay
     return net
 
 
+def _matrix(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=np.float32).reshape(-1, FEATURES).astype(np.float64)
+
+
+def _remainder() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+
+
+def labelled(labels: DataFrame, label: str, held_out: int | None, max_labelled: int) -> DataFrame:
+    """doc_id, y of about max_labelled labelled documents that may teach: those of the least hashes."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    if held_out is not None:
+        known = known.where(_remainder() != held_out)
+    known = known.groupBy("doc_id").agg(F.round(F.avg(label)).alias("y"))
+    share = max_labelled / max(known.count(), 1)
+    if share >= 1:
+        return known
+    return known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def fit_on(features: DataFrame, known: DataFrame) -> Network:
+    """doc_id, features and doc_id, y of few documents -> the network."""
+    sample = features.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("features", "y")).alias("r")).select("doc_id", "r.*")
+    rows = sorted(sample.collect(), key=lambda r: (r["features"], r["y"]))  # max_labelled rows or so
+    return fit(_matrix([bytes(r["features"]) for r in rows]), np.array([r["y"] for r in rows], dtype=np.float64))
+
+
 def classify(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 20_000, held_out: int | None = 1
+    docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8_000, held_out: int | None = 1
 ) -> DataFrame:
     """doc_id, text and doc_id, label -> doc_id, held_out, score, predicted.
 
     Labels of rows whose crc32(doc_id as text) leaves the remainder held_out by 3 are not learned from.
     """
-    features = materialise(pooled(docs, word_vectors(docs)), "pooled")
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    if held_out is not None:
-        known = known.where(remainder != held_out)
-    known = known.groupBy("doc_id").agg(F.round(F.avg(label)).alias("y"))
-    sample = (
-        features.dropDuplicates(["doc_id"]).join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("features", "y").collect()
-    )
-    x = np.array([r["features"] for r in sample], dtype=np.float64).reshape(len(sample), FEATURES)
-    net = fit(x, np.array([r["y"] for r in sample], dtype=np.float64))
+    features = materialise(pooled(docs, WordVectors.of(sketch(docs))), "pooled")
+    net = fit_on(features, labelled(labels, label, held_out, max_labelled))
 
     def make():
         def work(keys, rows):
-            scores = net.scores(np.array(rows, dtype=np.float64).reshape(len(rows), -1))
+            scores = net.scores(_matrix(rows))
             yield {"doc_id": keys, "score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
         return work
@@ -251,11 +334,24 @@ def classify(
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = map_rows(features, f"doc_id {kind}, score double, predicted int", make)
     return scored.select(
-        "doc_id", F.coalesce(remainder == (1 if held_out is None else held_out), F.lit(False)).alias("held_out"), "score", "predicted"
+        "doc_id", F.coalesce(_remainder() == (1 if held_out is None else held_out), F.lit(False)).alias("held_out"), "score", "predicted"
     )
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that the classifier rejects; rows without doc_id stay."""
-    bad = classify(docs, labels, **options).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.select(F.struct("*").alias("d")).join(bad, F.col("d.doc_id") == F.col("_bad"), "left_anti").select("d.*")
+def good_documents(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8_000, held_out: int | None = 1
+) -> DataFrame:
+    """docs without the rows that the classifier rejects, judged by their texts alone; all columns as they are."""
+    known = WordVectors.of(sketch(docs))
+    few = labelled(labels, label, held_out, max_labelled)
+    taught = docs.join(few.select(F.col("doc_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    net = fit_on(pooled(taught, known), few)
+
+    @F.pandas_udf("boolean")
+    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pooler = Pooler(known)
+        for part in texts:
+            blobs = [pooler.features(x).tobytes() for x in part]
+            yield pd.Series(net.scores(_matrix(blobs)) >= 0.5, dtype=bool)
+
+    return docs.where(good("text"))
