@@ -1,13 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every source is a queue of its documents in a shuffled order. A queue is served in proportion to its
-target, so the word that stands at cumulative position c of a source leaves at virtual time
-c / target. All targets add up to the budget, hence the budget is used up exactly at virtual time 1:
-cutting the globally range-sorted schedule there truncates it at the total budget. A source whose
-target exceeds its size is queued again, up to `max_repeat` times.
-
-Running positions are not computed over a whole source: a source may hold a third of all rows. They
-are sums over (source, shuffle bucket), whose totals are few, plus a window inside the bucket.
+Every source is a queue of its documents in a shuffled order, queued again up to `max_repeat` times. As in
+a network, a long document is served in packets, of at most `packet` words. A packet that ends at position c of its source's queue
+has the virtual finish time c / target. All packets of all sources are put in the order of finish times and
+served until the running total of their words is the budget, all words of the corpus; the packet on which
+the budget ends is served in part. Targets add up to the budget, so that is near virtual time 1, and every source
+is within some packets of its target; a document's words are served at most `max_repeat` times.
+
+The global sort is by range: totals of ranges of finish times (few rows) find the range on which the budget
+ends, and only the packets of that range are sorted, in partitions by range, whose totals find the
+partition and in it the packet. Running positions are not computed over a whole source either, which may
+hold a third of all rows: they are sums over (source, shuffle bucket) plus a window inside the bucket. The
+shuffle draws by id and text, so null ids or one id on many texts are no bucket. Sources pass whole through one
+window, a row each: there may be millions, not billions.
 
 Defined results: null text or text without words has size 0 and nothing taken; null source is a source
 of its own, ranked last; rows that repeat (the same doc_id) are served each on their own; empty input
@@ -16,11 +21,14 @@ gives no rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corvia.llm.store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
+KEYS = ["null_source", "source"]
+#: Ranges of virtual time: so many in a unit, those beyond RANGES units in one.
+FINE, RANGES = 1024, 4
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -47,64 +55,129 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int)
     return t.select("null_source", "source", "source_size", target.alias("target"))
 
 
-def mix_to_weights(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, n_buckets: int = 1024, seed: str = "mix"
-) -> DataFrame:
-    """doc_id, text, source -> doc_id, size, source_size, target, taken, start, finish.
-
-    start and finish are the virtual times of the document's first service; taken is the number of its
-    words served by virtual time 1, repeats counted. Only one document of a source is served in part.
-    """
-    sized = docs.select(
+def _sized(docs: DataFrame, n_buckets: int, seed: str, *more: Column) -> DataFrame:
+    """doc_id, null_source, source, size, draw and bucket of every row, beside more columns."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    draw = F.md5(F.concat(own, F.lit(":"), F.coalesce(F.md5("text"), F.lit("")), F.lit(f":{seed}")))
+    rows = docs.select(
+        *more,
         "doc_id",
         F.col("source").isNull().alias("null_source"),
-        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("draw"),
-    ).withColumn("bucket", F.conv(F.substring("draw", 1, 6), 16, 10).cast("long") * n_buckets / F.lit(1 << 24))
-    sized = materialise(sized.withColumn("bucket", F.floor("bucket").cast("int")), "mix-sizes")
-    keys = ["null_source", "source"]
-    buckets = sized.groupBy(*keys, "bucket").agg(F.sum("size").alias("bucket_size"))
-    sources = source_targets(
-        buckets.groupBy(*keys).agg(F.sum("bucket_size").alias("source_size")), weights, max_repeat
+        draw.alias("draw"),
+    )
+    return rows.withColumn("bucket", F.floor(F.conv(F.substring("draw", 1, 6), 16, 10).cast("long") * n_buckets / F.lit(1 << 24)).cast("int"))
+
+
+def _within() -> Column:
+    """Words of the bucket up to and with the row."""
+    return F.sum("size").over(
+        W.partitionBy(*KEYS, "bucket").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    )
+
+
+def _packets(placed: DataFrame, max_repeat: int, packet: int) -> DataFrame:
+    """Every packet of every service: its source, words, end in the queue, finish time and range of time."""
+    repeats = F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1)))
+    rows = placed.where((F.col("size") > 0) & (F.col("target") > 0)).select("*", repeats.alias("again"))
+    last = F.floor((F.col("size") - 1) / packet)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("j"))
+    words = F.least(F.lit(packet), F.col("size") - F.col("j") * packet).cast("long")
+    ends = F.col("end") - F.col("size") + F.col("j") * packet + words + F.col("again") * F.col("source_size")
+    rows = rows.select(*KEYS, words.alias("words"), ends.alias("place"), (ends / F.col("target")).alias("finish"))
+    return rows.withColumn("time", F.least(F.floor(F.col("finish") * FINE), F.lit(FINE * RANGES)).cast("int"))
+
+
+def _limits(packets: DataFrame, budget: int) -> DataFrame:
+    """null_source, source, limit: the place in the queue up to which a source is served within the budget."""
+    totals = materialise(packets.groupBy(*KEYS, "time").agg(F.sum("words").alias("words"), F.max("place").alias("place")), "mix-times")
+    running = F.sum("words").over(W.orderBy("time"))
+    times = totals.groupBy("time").agg(F.sum("words").alias("words")).withColumn("upto", running)
+    cut = times.where(F.col("upto") >= budget).orderBy("time").first()  # ranges are few
+    if cut is None:
+        return totals.groupBy(*KEYS).agg(F.max("place").alias("limit"))
+    order = ["finish", *KEYS, "place"]
+    inside = packets.where(F.col("time") == cut["time"]).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    inside = materialise(inside, "mix-schedule")
+    left = budget - (cut["upto"] - cut["words"])
+    parts = inside.groupBy("part").agg(F.sum("words").alias("words")).withColumn("upto", F.sum("words").over(W.orderBy("part")))
+    part = parts.where(F.col("upto") >= left).orderBy("part").first()  # partitions are few
+    left -= part["upto"] - part["words"]
+    last = (
+        inside.where(F.col("part") == part["part"]).withColumn("upto", F.sum("words").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        .where(F.col("upto") >= left).orderBy(*order).first()
     )
-    earlier = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    key, at = F.struct(*order), F.struct(*(F.lit(last[c]).alias(c) for c in order))
+    place = F.when(key < at, F.col("place")).when(key == at, F.col("place") - (last["upto"] - left))
+    served = totals.where(F.col("time") < cut["time"]).select(*KEYS, "place").unionByName(inside.select(*KEYS, place.alias("place")))
+    return served.groupBy(*KEYS).agg(F.max("place").alias("limit"))
+
+
+def _queues(docs: DataFrame, weights: tuple[int, ...], max_repeat: int, n_buckets: int, seed: str, packet: int) -> tuple[DataFrame, DataFrame]:
+    """Documents by place in their source's queue, and of each bucket where it starts and how far its source is served."""
+    sized = materialise(_sized(docs, n_buckets, seed), "mix-sizes")
+    buckets = sized.groupBy(*KEYS, "bucket").agg(F.sum("size").alias("bucket_size"))
+    sources = source_targets(buckets.groupBy(*KEYS).agg(F.sum("bucket_size").alias("source_size")), weights, max_repeat)
+    earlier = W.partitionBy(*KEYS).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = buckets.select(
-        *keys, "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start")
-    ).join(sources, keys)
-    within = W.partitionBy(*keys, "bucket").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    placed = sized.withColumn("upto", F.sum("size").over(within)).join(starts, [*keys, "bucket"])
-    end = F.col("bucket_start") + F.col("upto")
-    limit = F.round("target").cast("long")
+        *KEYS, "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start")
+    ).join(sources, KEYS)
+    starts = materialise(starts, "mix-buckets")
+    placed = sized.withColumn("upto", _within()).join(starts, [*KEYS, "bucket"])
+    placed = materialise(
+        placed.select("doc_id", *KEYS, "bucket", "size", "source_size", "target", (F.col("bucket_start") + F.col("upto")).alias("end")), "mix-places"
+    )
+    budget = placed.agg(F.sum("size")).first()[0] or 0
+    limits = _limits(_packets(placed, max_repeat, packet), budget)
+    return placed, starts.join(limits, KEYS, "left").fillna(0, ["limit"])
+
+
+def _taken(max_repeat: int) -> Column:
+    """Words of the document at (end - size, end] that its source serves up to limit, repeats counted."""
+    start = F.col("end") - F.col("size")
     served = [
-        F.least(F.greatest(limit - F.col("source_size") * n - (end - F.col("size")), F.lit(0)), F.col("size"))
-        for n in range(max_repeat)
+        F.least(F.greatest(F.col("limit") - F.col("source_size") * n - start, F.lit(0)), F.col("size")) for n in range(max_repeat)
     ]
+    return sum(served[1:], served[0]).cast("long")
+
+
+def mix_to_weights(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, n_buckets: int = 1024, seed: str = "mix", packet: int = 32
+) -> DataFrame:
+    """doc_id, text, source -> doc_id, size, source_size, target, taken, start, finish.
+
+    start and finish are the virtual times of the document's first service; taken is the number of its
+    words served within the budget, repeats counted.
+    """
+    placed, served = _queues(docs, weights, max_repeat, n_buckets, seed, packet)
+    rows = placed.join(served.select(*KEYS, "bucket", "limit"), [*KEYS, "bucket"])
     some = F.col("target") > 0
-    return placed.select(
+    return rows.select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        sum(served[1:], served[0]).cast("long").alias("taken"),
-        F.when(some, (end - F.col("size")) / F.col("target")).alias("start"),
-        F.when(some, end / F.col("target")).alias("finish"),
-    ).orderBy("finish", "doc_id")
+        _taken(max_repeat).alias("taken"),
+        F.when(some, (F.col("end") - F.col("size")) / F.col("target")).alias("start"),
+        F.when(some, F.col("end") / F.col("target")).alias("finish"),
+    )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, n_buckets: int = 1024, seed: str = "mix", packet: int = 32
+) -> DataFrame:
     """The mix itself, in the columns of docs: a row for each service of a document.
 
     A whole service gives the document as it is, a last service in part its first words joined by single
-    spaces; documents that are not served go. Rows are matched by doc_id and size; rows alike in both share
-    evenly what they take.
+    spaces, with n_chars set to match; documents that are not served go. All other columns stay, whatever their names.
     """
-    taken = mix_to_weights(docs, **options).groupBy("doc_id", "size").agg((F.expr("sum(taken) div count(*)")).alias("taken"))
-    taken = taken.where("taken > 0")
-    key = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    left, right = docs.alias("d"), taken.alias("m")
-    served = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (key == F.col("m.size")))
-    whole, rest = F.floor(F.col("m.taken") / F.col("m.size")).cast("int"), F.col("m.taken") % F.col("m.size")
+    served = _queues(docs, weights, max_repeat, n_buckets, seed, packet)[1]
+    # The document is one column beside the operator's own, so names cannot clash; it is placed as it was without it.
+    rows = _sized(docs, n_buckets, seed, F.struct("*").alias("d")).withColumn("upto", _within())
+    rows = rows.join(served, [*KEYS, "bucket"]).withColumn("end", F.col("bucket_start") + F.col("upto"))
+    rows = rows.select("d", "size", _taken(max_repeat).alias("taken")).where("taken > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     words = F.filter(F.split("d.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.slice(words, 1, F.greatest(rest, F.lit(1)).cast("int")), " ")
     copies = F.flatten(
@@ -114,10 +187,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             .otherwise(F.array().cast("array<struct<text:string,cut:boolean>>")),
         )
     )
-    out = served.select("d.*", F.explode(copies).alias("_served"))
-    columns = [F.col("_served.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_chars"]
-    if "n_chars" in docs.columns:
-        at = docs.columns.index("n_chars")
-        n = F.when(F.col("_served.cut"), F.length("_served.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        columns.insert(at, n.alias("n_chars"))
+    out = rows.select("d", F.explode(copies).alias("served"))
+    columns = []
+    for field in docs.schema:
+        own = F.col("d").getField(field.name)
+        if field.name == "text":
+            own = F.col("served.text")
+        elif field.name == "n_chars":
+            own = F.when(F.col("served.cut"), F.length("served.text").cast(field.dataType)).otherwise(own)
+        columns.append(own.alias(field.name))
     return out.select(*columns)

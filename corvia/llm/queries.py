@@ -92,7 +92,8 @@ FROM documents d LEFT JOIN hits h USING (doc_id)
 """,
     "op8_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(doc_id::VARCHAR || ':mix') AS draw
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    md5(doc_id::VARCHAR || ':' || coalesce(md5(text), '') || ':mix') AS draw
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 3 * source_size AS cap FROM s),
@@ -103,13 +104,20 @@ v AS (
 t AS (
   SELECT source, source_size, CASE WHEN ratio <= level THEN cap::DOUBLE ELSE max(level) OVER () * weight END AS target FROM v),
 p AS (
-  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS most,
+  SELECT row_number() OVER () AS i, doc_id, d.source, size, source_size, target,
     (sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (least(greatest(most - (upto - size), 0), size) + least(greatest(most - source_size - (upto - size), 0), size)
-   + least(greatest(most - 2 * source_size - (upto - size), 0), size))::BIGINT AS taken,
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+a AS (SELECT p.*, unnest([0, 1, 2]) AS again FROM p WHERE size > 0 AND target > 0),
+b AS (SELECT a.*, unnest(range(0, size, 32)) AS first FROM a),
+q AS (
+  SELECT i, source, target, least(32, size - first) AS words, upto - size + first + least(32, size - first) + again * source_size AS place
+  FROM b),
+z AS (
+  SELECT i, words, sum(words) OVER (ORDER BY place / target, source NULLS LAST, place ROWS UNBOUNDED PRECEDING) AS total FROM q),
+k AS (
+  SELECT i, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - (total - words)))) AS taken FROM z GROUP BY i)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken,
   CASE WHEN target > 0 THEN (upto - size) / target END AS start, CASE WHEN target > 0 THEN upto / target END AS finish
-FROM p
+FROM p LEFT JOIN k USING (i)
 """,
 }
