@@ -91,6 +91,53 @@ def binding(
     return F.when((F.size(behaviors) > 0) & (F.size(levels) > 0), found)
 
 
+def _stepwise(df: DataFrame, name: str, *steps) -> DataFrame:
+    """df with the column name, made in steps: each gets the column of the step before.
+
+    A step uses what it gets several times; as a column of its own that is computed once a row.
+    """
+    whole, made = df.select(F.struct("*").alias("d")), F.col("d")
+    for step in steps:
+        whole = whole.select("d", step(made).alias("made"))
+        made = F.col("made")
+    return whole.select("d.*", made.alias(name))
+
+
+def with_constraint(
+    df: DataFrame, name: str, behavior: str, level: str, reductions: list[str], recidivism: str, summary: str,
+    weight_g: str | None = None, law: str | None = None,
+) -> DataFrame:
+    """df with the range of a single count after reductions: columns by their names, as base_range, with_reductions and halved_floor."""
+    d = F.col("d").getField
+    return _stepwise(
+        df, name,
+        lambda _: base_range(d(behavior), d(level), None if law is None else d(law), None if weight_g is None else d(weight_g)),
+        lambda base: with_reductions(base, [d(r) for r in reductions], d(recidivism)),
+        lambda c: halved_floor(c, d(summary)),
+    )
+
+
+def with_binding(
+    df: DataFrame, name: str, behaviors: str, levels: str, reductions: list[str], recidivism: str, summary: str,
+    weight_g: str | None = None, law: str | None = None,
+) -> DataFrame:
+    """df with the binding range of lists of behaviors and levels; see binding."""
+    d = F.col("d").getField
+
+    def base(at: Column) -> Column:
+        found = base_range(at["behavior"], at["level"], None if law is None else d(law), None if weight_g is None else d(weight_g))
+        return F.when(at.isNotNull(), found)
+
+    some = (F.size(d(behaviors)) > 0) & (F.size(d(levels)) > 0)
+    return _stepwise(
+        df, name,
+        lambda _: F.when(some, F.struct(primary_by_severity(d(behaviors)).alias("behavior"), F.array_min(d(levels)).alias("level"))),
+        base,
+        lambda c: with_reductions(c, [d(r) for r in reductions], d(recidivism)),
+        lambda c: halved_floor(c, d(summary)),
+    )
+
+
 def aggregate_only() -> Column:
     return constraint(0.0, TERM_CAP)
 

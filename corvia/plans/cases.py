@@ -31,8 +31,12 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reductions() -> list[Column]:
-    return [F.col(c) for c in ("art17_1", "art17_2", "art59", "attempt", "surrender")]
+REDUCTIONS = ["art17_1", "art17_2", "art59", "attempt", "surrender"]
+
+
+def constrained_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases with the column c, the range of each after reductions."""
+    return statute.with_constraint(cases(spark, sf_dir), "c", "behavior", "level", REDUCTIONS, "recidivism", "summary", "weight_g")
 
 
 _list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvia.functions import numerals, text
 from corvia.operators import buckets, corpus_filter, extract, factor_rules, folds, labels, metrics, registry, statute, training
-from corvia.plans.cases import BASE, CASES, cases, reductions, table
+from corvia.plans.cases import BASE, CASES, cases, constrained_cases, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,27 +24,17 @@ def query(sql: str | None = None):
     return register
 
 
-def _constraint():
-    single = statute.halved_floor(
-        statute.with_reductions(
-            statute.base_range(F.col("behavior"), F.col("level"), weight_g=F.col("weight_g")), reductions(), F.col("recidivism")
-        ),
-        F.col("summary"),
-    )
-    return single
-
-
 # --- ranges
 
 
 @query(f"WITH {BASE} SELECT behavior, level, count(lo) AS n_checked, count(*) FILTER (lo IS NOT NULL AND NOT (months BETWEEN lo - 1e-6 AND hi + 1e-6)) AS n_violations, coalesce(count(*) FILTER (lo IS NOT NULL AND NOT (months BETWEEN lo - 1e-6 AND hi + 1e-6)) / nullif(count(lo), 0), 0.0) AS rate FROM reduced GROUP BY behavior, level")
 def violation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statute.violations(cases(spark, sf_dir), F.col("months"), _constraint(), "behavior", "level")
+    return statute.violations(constrained_cases(spark, sf_dir), F.col("months"), F.col("c"), "behavior", "level")
 
 
 @query(f"WITH {BASE} SELECT case_id, lo AS min_months, hi AS max_months, life AS includes_life, capital AS includes_capital FROM reduced")
 def reductions_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).withColumn("c", _constraint()).select("case_id", "c.*")
+    return constrained_cases(spark, sf_dir).select("case_id", "c.*")
 
 
 @query(f"WITH {BASE} SELECT behavior, level, lo AS min_months, count(*) AS n FROM based GROUP BY behavior, level, lo")
@@ -60,7 +50,7 @@ SELECT case_id, CASE WHEN lo IS NULL THEN a ELSE a2 END AS p25, CASE WHEN lo IS
   coalesce(lo IS NOT NULL AND (abs(a2 - a) > 1e-6 OR abs(b2 - b) > 1e-6 OR abs(d2 - d) > 1e-6), false) AS clipped, lo IS NOT NULL AS rule_applied FROM k""")
 def clip_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("predicted")
-    rows = cases(spark, sf_dir).select("case_id", "predicted", _constraint().alias("c"))
+    rows = constrained_cases(spark, sf_dir)
     return rows.select("case_id", statute.constrained(p - 5, p, p + 3, F.col("c")).alias("o")).select("case_id", "o.*")
 
 
@@ -80,14 +70,13 @@ def binding_primary_level(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.collect_set("behavior").alias("behaviors"), F.collect_set("level").alias("levels"),
         F.bool_or("art17_1").alias("r1"), F.bool_or("recidivism").alias("rec"), F.bool_or("summary").alias("summary"),
     )
-    c = statute.binding(F.col("behaviors"), F.col("levels"), [F.col("r1")], F.col("rec"), F.col("summary"))
-    return orders.withColumn("c", c).select("order_id", F.array_min("levels").alias("level"), "c.min_months", "c.max_months")
+    return statute.with_binding(orders, "c", "behaviors", "levels", ["r1"], "rec", "summary").select("order_id", F.array_min("levels").alias("level"), "c.min_months", "c.max_months")
 
 
 @query(f"""WITH {BASE} SELECT case_id, CASE WHEN joint OR n_counts > 1 THEN 0.0 ELSE lo END AS min_months, CASE WHEN joint OR n_counts > 1 THEN 360.0 ELSE hi END AS max_months FROM reduced""")
 def constraint_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = statute.constraint_for(F.col("joint"), F.col("n_counts"), _constraint())
-    return cases(spark, sf_dir).withColumn("c", c).select("case_id", "c.min_months", "c.max_months")
+    c = statute.constraint_for(F.col("joint"), F.col("n_counts"), F.col("c"))
+    return constrained_cases(spark, sf_dir).withColumn("c", c).select("case_id", "c.min_months", "c.max_months")
 
 
 @query(f"""WITH {CASES} SELECT case_id, pow(2.0, -coalesce(((20000101 // 10000) * 365 + 1 * 30 + 1 - (substr(jdate, 1, 4)::INT * 365 + substr(jdate, 5, 2)::INT * 30 + substr(jdate, 7, 2)::INT)) / 365.0, 0) / 5.0) AS weight FROM cases""")
