@@ -1,8 +1,11 @@
 """Motion-JPEG in AVI files: frames by the RIFF index, intra decoding, shots, timed clips.
 
-Reading. The chunk tree is walked once; frames come from idx1, else from OpenDML standard indexes, else
-from the movi lists in order. Every frame is a baseline JPEG of its own. Huffman codes, restart markers,
-several components and any sampling are read; luma planes come out of an integer inverse transform.
+Reading. The chunk tree is walked once. The first video stream is read; of each movi list (there is one in each
+RIFF part, AVIX parts included) the frames come from idx1, which knows the first part only, else from OpenDML
+standard indexes, else from its chunks in order. A frame of no bytes was dropped and repeats the one before
+(at the beginning: the first that has bytes). Every frame is a baseline JPEG of its own; where it brings no Huffman tables, the
+standard ones hold. Restart markers, several components and any sampling are read; codes are looked up 16 bits at a time;
+luma planes come out of an integer inverse transform.
 
 Shots. Frames become luma histograms; a cut is where the difference to the frame before exceeds the
 mean of the differences around it by `sigmas` of their deviations, is the largest near, and is at least
@@ -13,7 +16,7 @@ Storing bytes. store() keeps a payload without loss in a file of this kind: a fr
 byte. The sample is thus the format's own unit, a quantised coefficient. The code of each has 9 bits, so
 frames of this form are packed and read in whole arrays; read_frames() takes any other by symbol.
 
-Defined results: a file that is no RIFF AVI, or a frame that is no baseline JPEG with its tables, raises
+Defined results: a file that is no RIFF AVI, or a frame that is no baseline JPEG, raises
 ValueError; clip_rows() turns that into one row with the error. A file without frames has no clips. Null and
 empty texts store one frame of filling.
 """
@@ -25,6 +28,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -155,70 +159,98 @@ def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes, int, i
         at = stop + (size & 1)
 
 
-def _is_video(name: bytes) -> bool:
-    return name[2:] in (b"dc", b"db") and name[:2].isdigit()
-
-
 def read_riff(data: bytes) -> Stream:
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no RIFF AVI file")
-    rate, scale, movi, listed, scanned, standard = RATE, SCALE, None, [], [], []
-    seen_video = False
+    rate, scale, lists, listed, scanned, standard = RATE, SCALE, [], [], [], []
+    n_streams, prefix = 0, None
+
+    def is_video(name: bytes) -> bool:
+        return name[2:] in (b"dc", b"db") and (name[:2] == prefix or prefix is None and name[:2].isdigit())
+
     for kind, name, start, stop in _walk(data, 0, len(data)):
         if kind == b"movi":
-            movi = start - 4 if movi is None else movi
-        elif name == b"strh" and data[start : start + 4] == b"vids" and not seen_video:
-            seen_video = True
-            scale, rate = struct.unpack_from("<II", data, start + 20)
-        elif name == b"idx1" and movi is not None:
-            count = (stop - start) // 16
+            lists.append((start, stop))
+        elif name == b"strh":
+            if data[start : start + 4] == b"vids" and prefix is None:
+                prefix = b"%02d" % n_streams
+                scale, rate = struct.unpack_from("<II", data, start + 20)
+            n_streams += 1
+        elif name == b"idx1" and lists and not listed:
+            count, movi = (stop - start) // 16, lists[0][0] - 4
             entries = np.frombuffer(data, dtype="<u4", count=count * 4, offset=start).reshape(count, 4)
             names = np.frombuffer(data, dtype="S4", count=count * 4, offset=start)[::4]
             offsets = entries[:, 2].astype(np.int64)
             # Offsets count from the word movi, or in some files from the beginning.
             base = 0 if count and data[offsets[0] : offsets[0] + 4] == names[0] else movi
-            listed = [(base + o + 8, n) for o, n, x in zip(offsets.tolist(), entries[:, 3].tolist(), names.tolist(), strict=True) if _is_video(x)]
+            listed = [(base + o + 8, n) for o, n, x in zip(offsets.tolist(), entries[:, 3].tolist(), names.tolist(), strict=True) if is_video(x)]
         elif name[:2] == b"ix":
-            longs, sub, what, used, _, base = struct.unpack_from("<HBBI4sQ", data, start)
-            if what == 1 and sub == 0 and longs == 2:
+            longs, sub, what, used, of, base = struct.unpack_from("<HBBI4sQ", data, start)
+            if what == 1 and sub == 0 and longs == 2 and is_video(of):
                 for i in range(used):
                     offset, size = struct.unpack_from("<II", data, start + 24 + 8 * i)
                     standard.append((base + offset, size & 0x7FFFFFFF))
-        elif _is_video(name):
+        elif is_video(name):
             scanned.append((start, stop - start))
-    for frames, how in ((listed, "idx1"), (standard, "ix00"), (scanned, "movi")):
-        if frames:
-            if any(o + n > len(data) for o, n in frames):
-                raise ValueError("a frame lies beyond the end of the file")
-            return Stream(frames, rate or RATE, scale or SCALE, how)
-    return Stream([], rate or RATE, scale or SCALE, "none")
+    frames, how = [], "none"
+    for low, high in lists:
+        for found, what in ((listed if low == lists[0][0] else [], "idx1"), (standard, "ix00"), (scanned, "movi")):
+            mine = found if what == "idx1" else [f for f in found if low <= f[0] <= high]
+            if mine:
+                frames += mine
+                how = what if how == "none" else how
+                break
+    if any(o + n > len(data) for o, n in frames):
+        raise ValueError("a frame lies beyond the end of the file")
+    shown = next((f for f in frames if f[1]), None)
+    for i, frame in enumerate(frames):
+        shown = frame if frame[1] else shown
+        frames[i] = shown
+    return Stream([f for f in frames if f], rate or RATE, scale or SCALE, how)
 
 
 # --- JPEG
 
-
-class _Bits:
-    def __init__(self, data: bytes):
-        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
-
-    def take(self, n: int) -> int:
-        if n > self.left:
-            raise ValueError("a scan ends too early")
-        self.left -= n
-        return (self.value >> self.left) & ((1 << n) - 1)
-
-
-def _symbol(bits: _Bits, table: dict[tuple[int, int], int]) -> int:
-    code = 0
-    for length in range(1, 17):
-        code = code << 1 | bits.take(1)
-        if (length, code) in table:
-            return table[length, code]
-    raise ValueError("no such Huffman code")
-
-
-def _signed(value: int, size: int) -> int:
-    return value if not size or value >> (size - 1) else value - (1 << size) + 1
+#: The standard Huffman tables for luma and chroma, how many codes of each length and their symbols.
+STANDARD_CODES = {
+    0x00: ("00010501010101010100000000000000", "000102030405060708090a0b"),
+    0x01: ("00030101010101010101010000000000", "000102030405060708090a0b"),
+    0x10: (
+        "0002010303020403050504040000017d",
+        "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a34353637"
+        "38393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3"
+        "a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa",
+    ),
+    0x11: (
+        "00020102040403040705040400010277",
+        "0001020311040521310612415107617113223281081442"
+        "91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465"
+        "666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6"
+        "c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa",
+    ),
+}
+
+
+@lru_cache(maxsize=64)
+def _code_table(counts: bytes, symbols: bytes) -> list[int]:
+    """For each value of the next 16 bits: length << 8 | symbol of the code that they begin with, 0 for none."""
+    table = np.zeros(1 << 16, dtype=np.int32)
+    code, used = 0, 0
+    for length, n in enumerate(counts, 1):
+        for s in symbols[used : used + n]:
+            if code >> length:
+                raise ValueError("more Huffman codes than there are")
+            table[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | s
+            code += 1
+        used += n
+        code <<= 1
+    return table.tolist()
+
+
+def _windows(scan: bytes) -> memoryview:
+    """At each byte of a scan, that and the next three as one number."""
+    raw = np.frombuffer(scan + b"\xff" * 8, dtype=np.uint8).astype(np.uint32)
+    return memoryview(raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:])
 
 
 def decode_jpeg(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -244,16 +276,9 @@ def decode_jpeg(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
                 body = body[1 + n :]
         elif marker == 0xC4:
             while body:
-                counts, symbols, code, made = body[1:17], body[17:], 0, {}
-                used = 0
-                for i, n in enumerate(counts, 1):
-                    for s in symbols[used : used + n]:
-                        made[i, code] = s
-                        code += 1
-                    used += n
-                    code <<= 1
-                tables[body[0]] = made
-                body = symbols[used:]
+                used = sum(body[1:17])
+                tables[body[0]] = bytes(body[1:17]), bytes(body[17 : 17 + used])
+                body = body[17 + used :]
         elif marker in (0xC0, 0xC1):
             depth, height, width, n = struct.unpack_from(">BHHB", body)
             if depth != 8:
@@ -283,35 +308,58 @@ def decode_jpeg(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
     across, down = -(-size[1] // (8 * h_max)), -(-size[0] // (8 * v_max))
     first = parts[0]
     grid = np.zeros((down * first[2], across * first[1], 64), dtype=np.int64)
-    bits, before = None, {}
+    coded = {}
+    for name, *_ in parts:
+        for key in (chosen[name] >> 4, 0x10 | chosen[name] & 15):
+            known = tables.get(key) or (tuple(map(bytes.fromhex, STANDARD_CODES[key])) if key in STANDARD_CODES else None)
+            if known is None:
+                raise ValueError("a Huffman table is missing")
+            coded[key] = _code_table(*known)
+    plan = [(name, h, v, coded[chosen[name] >> 4], coded[0x10 | chosen[name] & 15]) for name, h, v, _ in parts]
+    places, values = [], []  # coefficients of the first component
+    wide, window, at, end, before = grid.shape[1], None, 0, 0, {}
     for unit in range(across * down):
-        if bits is None or restart and unit % restart == 0:
+        if window is None or restart and unit % restart == 0:
             which = unit // restart if restart else 0
             if which >= len(pieces):
                 raise ValueError("a scan ends too early")
-            bits, before = _Bits(pieces[which].replace(b"\xff\0", b"\xff")), dict.fromkeys(chosen, 0)
-        for name, h, v, _ in parts:
-            dc, ac = tables.get(chosen[name] >> 4), tables.get(0x10 | chosen[name] & 15)
-            if dc is None or ac is None:
-                raise ValueError("a Huffman table is missing")
+            piece = pieces[which].replace(b"\xff\0", b"\xff")
+            window, at, end, before = _windows(piece), 0, 8 * len(piece), dict.fromkeys(chosen, 0)
+        for name, h, v, dc, ac in plan:
+            mine = name == first[0]
             for y in range(v):
                 for x in range(h):
-                    block = np.zeros(64, dtype=np.int64)
-                    n = _symbol(bits, dc)
-                    before[name] += _signed(bits.take(n), n)
-                    block[0], k = before[name], 1
+                    place = ((unit // across * v + y) * wide + unit % across * h + x) * 64
+                    k, table = 0, dc
                     while k < 64:
-                        s = _symbol(bits, ac)
-                        if s == 0:
+                        found = table[window[at >> 3] >> (16 - (at & 7)) & 0xFFFF]
+                        if not found:
+                            raise ValueError("no such Huffman code" if at < end else "a scan ends too early")
+                        at += found >> 8
+                        run, n = (0, found & 255) if k == 0 else (found >> 4 & 15, found & 15)
+                        if n > 16:
+                            raise ValueError("no such Huffman code")
+                        if k and not n and run < 15:
                             break
-                        k += s >> 4
-                        if s & 15:
-                            if k > 63:
-                                raise ValueError("too many coefficients")
-                            block[k] = _signed(bits.take(s & 15), s & 15)
+                        k += run
+                        value = 0
+                        if n:
+                            value = window[at >> 3] >> (32 - (at & 7) - n) & ((1 << n) - 1)
+                            at += n
+                            if not value >> (n - 1):
+                                value -= (1 << n) - 1
+                        if k > 63:
+                            raise ValueError("too many coefficients")
+                        if k == 0:
+                            before[name] = value = before[name] + value
+                            table = ac
+                        if mine and value:
+                            places.append(place + k)
+                            values.append(value)
                         k += 1
-                    if name == first[0]:
-                        grid[unit // across * v + y, unit % across * h + x] = block
+                        if at > end:
+                            raise ValueError("a scan ends too early")
+    grid.reshape(-1)[places] = values
     levels = (grid * quant[first[3]]).astype(np.float64) @ BASIS
     pixels = np.clip((levels.astype(np.int64) + 2048 >> 12) + 128, 0, 255).astype(np.uint8)
     plane = pixels.reshape(*grid.shape[:2], 8, 8).swapaxes(1, 2).reshape(grid.shape[0] * 8, grid.shape[1] * 8)
