@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
@@ -24,10 +26,19 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     The lineage ends at the files, so a lost executor costs only the reader's own tasks,
-    and a plan that uses the result several times computes it once.
+    and a plan that uses the result several times computes it once. Shuffle files of the plan that wrote it go
+    when it is over: nothing reads them again.
     """
     path = f"{shared_dir(df.sparkSession)}/corvia/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "snappy").parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "snappy").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEAN_UP)
+        else:
+            conf.set(CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
