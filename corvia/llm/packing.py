@@ -180,7 +180,9 @@ def pack(
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: where each piece of each document goes."""
     pieces = cut_documents(docs, vocabulary, ranks, capacity, end_id)
-    pieces = materialise(pieces.withColumn("class", F.ceil(F.col("length") / width).cast("int")), "pieces")
+    # Repeated rows are alike in all else; the salt, drawn once and written, spreads them over buckets.
+    salted = pieces.withColumn("salt", (F.rand(5) * (1 << 20)).cast("int"))
+    pieces = materialise(salted.withColumn("class", F.ceil(F.col("length") / width).cast("int")), "pieces")
     spark = pieces.sparkSession
     whole = F.col("length") == capacity
     pieces = pieces.withColumn("class", F.when(whole, 0).otherwise(F.col("class")))
@@ -193,13 +195,13 @@ def pack(
         [(c, max(1, n // max(128, math.isqrt(n)))) for c, n in counts.items()], "class int, parts int"
     )
     dealt = pieces.join(F.broadcast(parts), "class").withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")).cast("int")
+        "bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.col("parts")).cast("int")
     )
     before = W.partitionBy("class").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     begins = dealt.groupBy("class", "bucket").count().select(
         "class", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin")
     )
-    inside = W.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    inside = W.partitionBy("class", "bucket").orderBy("doc_id", "start", "ids_crc32", "salt")
     ranked = (
         dealt.withColumn("rank", F.row_number().over(inside) - 1)
         .join(begins, ["class", "bucket"])
