@@ -306,7 +306,9 @@ PARTS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _row(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), "text")
+    """128 bits of a row; rows alike in id and text are one."""
+    id_, text = F.col("doc_id").cast("string"), F.col("text")
+    return F.unhex(F.md5(F.concat_ws("\0", id_.isNull().cast("string"), F.coalesce(id_, F.lit("")), F.coalesce(text, F.lit("")))))
 
 
 def _signed(x: list[int]) -> np.ndarray:
@@ -316,22 +318,23 @@ def _signed(x: list[int]) -> np.ndarray:
 def _runs(docs: DataFrame, length: int) -> DataFrame:
     def make():
         def work(rows, texts):
-            out: dict[str, list] = {k: [] for k in ("row", "start", "n", "at", "key", "digest")}
+            out: dict[str, list] = {k: [] for k in ("start", "n", "at", "key", "digest")}
+            rows_out: list[bytes] = []
             for row, text in zip(rows, texts, strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 first, n, place = minimizer_runs(data, length)
-                out["row"].append(np.full(len(first), row, dtype=np.int64))
+                rows_out += [row] * len(first)
                 out["start"].append(first)
                 out["n"].append(n)
                 out["at"].append(place - first)
                 out["key"].append(_signed([xxhash.xxh3_64_intdigest(data[p : p + GRAM]) for p in place.tolist()]))
                 ends = (first + n + length - 1).tolist()
                 out["digest"].append(_signed([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]))
-            yield {k: np.concatenate(v) for k, v in out.items()}
+            yield {"row": rows_out} | {k: np.concatenate(v) for k, v in out.items()}
 
         return work
 
-    return map_rows(docs.select(_row(docs).alias("row"), "text"), "row long, start int, n int, at int, key long, digest long", make)
+    return map_rows(docs.select(_row(docs).alias("row"), "text"), "row binary, start int, n int, at int, key long, digest long", make)
 
 
 def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -466,7 +469,7 @@ def _ranges(docs: DataFrame, length: int) -> DataFrame:
         "parts", lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"] + length - 1).alias("b"))
     )
     return whole.unionByName(single).select("row", spans.alias("spans")).groupBy("row").agg(
-        F.flatten(F.collect_list("spans")).alias("spans")  # of one text
+        F.flatten(F.collect_set("spans")).alias("spans")  # of one text, however many rows have it
     )
 
 
