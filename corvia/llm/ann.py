@@ -11,11 +11,14 @@ Copies: a vector with more equals than could be answers would fill the candidate
 passes over a vector once `k + 1` equal ones with smaller ids have been seen, and so does the merge; those
 cannot be among the nearest k, so nothing is lost.
 
-Queries are a stated set; each block of them meets each block of codes once, by an equi-join on the
-number of the query block.
-
-Defined results: vectors that are null, zero, of another dimension than most of the sample, or hold null or
-non-finite components take no part, nor do rows without id; fewer than k candidates give all; ties go to
+Queries are a stated set; each block of them meets each block of codes once. Codes are dealt to groups of
+blocks, and so are queries; a group of codes is sent to each group of queries and the other way round, so what moves
+grows with groups and not with blocks. Which rows are found is approximate: a true neighbour that ranks behind `candidates` by its code
+is lost; recall is measured (README), and the scores of what is found are exact.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without id,
+nor vectors of another dimension than most of the sample, from which no distance is defined; numbers too large for
+a code (beyond 1e17) are cut for it, not for the score; fewer than k candidates give all; ties go to
 the smaller id; rows with a query's own id are not its candidates, and repeated rows count once; empty input
 gives no rows; other columns are ignored.
 """
@@ -32,7 +35,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corvia.llm.store import materialise
 
-CODES_IN_BLOCK, QUERIES_IN_BLOCK, BLOCKS_IN_TASK = 4096, 64, 64
+CODES_IN_BLOCK, QUERIES_IN_BLOCK = 4096, 64
+#: Blocks in a group, of codes and of queries.
+CODES_IN_GROUP, QUERIES_IN_GROUP = 64, 64
+LARGE = 1e17
 
 
 @dataclass
@@ -114,32 +120,42 @@ def _matrix(column: pa.Array, dtype=np.float32) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), -1)
 
 
+def _single(column: pa.Array) -> np.ndarray:
+    """Vectors as codes see them."""
+    return np.clip(_matrix(column, np.float64), -LARGE, LARGE).astype(np.float32)
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 10, books: int = 24, size: int = 256, beam: int = 4,
     sample: int = 8_192, candidates: int = 400, key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """key, vector -> query_id, rank, key, score: the k nearest found for each query, by Euclidean distance."""
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"), is_query.alias("q"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).dropDuplicates(["id", "v"])
-    learn = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()]
+    share = sample / max(vectors.count(), 1)
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40))) if share < 1 else rows
+    learn = [r["v"] for r in sorted(some.select("id", "v").collect())]  # about `sample` rows
+    if not learn:  # few of many rows can be used
+        learn = [r["v"] for r in rows.limit(sample).collect()]
     answer = f"query_id long, rank int, {key} long, score double"
     if not learn:
         return vectors.sparkSession.createDataFrame([], answer)
     lengths = np.array([len(v) for v in learn])
     width = int(np.bincount(lengths).argmax())
     rows = materialise(rows.where(F.size("v") == width), "vectors")
-    books_ = train(np.array([v for v in learn if len(v) == width], dtype=np.float32), books, size, beam)
+    known = np.clip(np.array([v for v in learn if len(v) == width]), -LARGE, LARGE).astype(np.float32)
+    books_ = train(known, books, size, beam)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CODES_IN_BLOCK):
                 part = batch.slice(at, CODES_IN_BLOCK)
-                ids, x = part.column("id").to_numpy(), _matrix(part.column("v"))
+                ids, x, whole = part.column("id").to_numpy(), _single(part.column("v")), _matrix(part.column("v"), np.float64)
                 order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], x[order]
+                ids, x, whole = ids[order], x[order], whole[order]
                 codes = books_.encode(x, beam)
                 norms = np.einsum("nd,nd->n", d := books_.decode(codes), d).astype(np.float32)
-                equal = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in x], dtype=np.uint64).view(np.int64)
+                equal = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in whole], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b.tobytes()], pa.binary()) for b in (ids, codes, norms, equal)], names=["ids", "codes", "norms", "equal"]
                 )
@@ -150,7 +166,7 @@ def nearest(
         for batch in batches:
             for at in range(0, batch.num_rows, QUERIES_IN_BLOCK):
                 part = batch.slice(at, QUERIES_IN_BLOCK)
-                ids, x = part.column("id").to_numpy(), _matrix(part.column("v"))
+                ids, x = part.column("id").to_numpy(), _single(part.column("v"))
                 yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in (ids, x)], names=["ids", "vectors"])
 
     asked = rows.where("q").select("id", "v")
@@ -158,9 +174,20 @@ def nearest(
     spread = asked.repartition(n_blocks, "id").mapInArrow(gather, "ids binary, vectors binary")
     # A number for each block: hashed ids don't fill partitions evenly, so there may be more blocks than n_blocks.
     blocks = materialise(spread.withColumn("block", F.monotonically_increasing_id()), "query-blocks")
-    numbers = [r["block"] for r in blocks.select("block").collect()]  # one number for each block of queries
-    meet = index.withColumn("block", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<long>")))
-    met = meet.join(blocks.select("block", F.col("ids").alias("query_ids"), "vectors"), "block")
+    n_codes = index.count()
+    parallel = vectors.sparkSession.sparkContext.defaultParallelism
+    code_groups = max(1, -(-n_codes // CODES_IN_GROUP), min(n_codes, parallel))
+    query_groups = max(1, -(-n_blocks // QUERIES_IN_GROUP))
+
+    def dealt(df: DataFrame, by: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        """A group for each row, and a copy of it for each group of the other side."""
+        return df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    asked_blocks = blocks.select("block", F.col("ids").alias("query_ids"), "vectors")
+    left = dealt(asked_blocks, "block", "query_group", query_groups, "code_group", code_groups)
+    right = dealt(index, "norms", "code_group", code_groups, "query_group", query_groups)
+    # The sorted join takes one row of the left after the other to all of the right: a query block's way is in one piece.
+    met = left.hint("merge").join(right, ["query_group", "code_group"])
 
     def score_block(r: dict) -> list[tuple[np.ndarray, ...]]:
         """Of each query of r's block, id, equal and near of the best codes of r."""
@@ -197,10 +224,10 @@ def nearest(
 
         for batch in batches:
             for r in batch.to_pylist():
-                if (r["block"], r["salt"]) != name:
+                if (r["block"], r["code_group"]) != name:
                     if name is not None:
                         yield from out()
-                    name, qs, held = (r["block"], r["salt"]), np.frombuffer(r["query_ids"], np.int64), []
+                    name, qs, held = (r["block"], r["code_group"]), np.frombuffer(r["query_ids"], np.int64), []
                 found = score_block(r)
                 if held:
                     found = [tuple(map(np.concatenate, zip(old, new, strict=True))) for old, new in zip(held, found, strict=True)]
@@ -208,10 +235,6 @@ def nearest(
         if name is not None:
             yield from out()
 
-    # One task has a query block's whole way through up to BLOCKS_IN_TASK blocks of codes and sends on the best of all.
-    salts = max(1, -(-index.count() // BLOCKS_IN_TASK))
-    met = met.withColumn("salt", F.pmod(F.xxhash64("norms"), F.lit(salts)).cast("int"))
-    met = met.repartition(n_blocks * salts, "block", "salt").sortWithinPartitions("block", "salt")
     found = met.mapInArrow(search, "query_id long, id long, equal long, near float")
     copies = W.partitionBy("query_id", "equal").orderBy("id")
     found = found.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1)

@@ -242,6 +242,30 @@ def test_neighbours_are_found_exactly_enough(spark):
     assert sorted(r.vec_id for r in few) == [7, 9]
 
 
+def test_neighbours_over_groups_large_numbers_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CODES_IN_GROUP", 1)
+    monkeypatch.setattr(ann, "CODES_IN_BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERIES_IN_BLOCK", 3)
+    monkeypatch.setattr(ann, "QUERIES_IN_GROUP", 2)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6))
+    x[5] *= 1e60
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (20, (x[20] + 3).tolist()), (1001, [1.0, None]), (1002, [float("inf")] * 6)]
+    odd = {c: F.lit(1) for c in ("id", "v", "q", "block", "codes", "rank", "score", "query_id")}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns(odd).repartition(5)
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 30 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == 30
+    hit = 0
+    for q, found in got.items():
+        d = {i: np.sqrt(((np.array(v) - x[q]) ** 2).sum()) for i, v in rows[:902] if i != q and i != 20}
+        best = sorted(d, key=lambda i: (d[i], i))[:5]
+        hit += len({i for i, _ in found} & set(best))
+        assert all(s == d[i] for i, s in found if i in d)  # double precision
+    assert hit >= 0.9 * 150
+
+
 # --- 5
 
 
