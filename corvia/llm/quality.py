@@ -24,6 +24,7 @@ that repeat are scored each; empty input gives no rows; other columns are ignore
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,28 +43,51 @@ SLOTS, PROBES, BLOCK = 1 << 14, 2, 256
 FEATURES = 3 * WIDTH
 RARE = 1e-3
 #: Tokens handled at once.
-CHUNK = 200_000
+CHUNK = 40_000
 
 
 class Words:
-    """Words to numbers, in order of appearance, remembered up to a bound; 0 stands for no word."""
+    """Words to numbers, in order of appearance, remembered up to a bound; 0 stands for no word.
 
-    def __init__(self, most: int = 300_000):
+    A text is cut at white space first, and what stands between is taken apart only once; strings of no end are not kept.
+    """
+
+    def __init__(self, most: int = 500_000):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.hashes = [0]
+        self.hashes = array("Q", [0])
+        self.parts: dict[str, int] = {}
+        self.first, self.count, self.flat = array("q"), array("q"), array("i")
+
+    def _add(self, part: str) -> None:
+        words = [part] if part.isalpha() else TOKEN.findall(part)
+        self.parts[part] = len(self.first)
+        self.first.append(len(self.flat))
+        self.count.append(len(words))
+        for w in words:
+            number = self.known.get(w)
+            if number is None:
+                number = self.known[w] = len(self.hashes)
+                self.hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+            self.flat.append(number)
+
+    def full(self) -> bool:
+        return len(self.parts) > self.most or len(self.flat) > 4 * self.most
 
     def of(self, text: str | None) -> np.ndarray:
-        words = TOKEN.findall(text) if text else []
-        known, hashes = self.known, self.hashes
-        for w in set(words):
-            if w not in known:
-                known[w] = len(hashes)
-                hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+        found = text.split() if text else []
+        if not found:
+            return np.zeros(0, dtype=np.int32)
+        for part in set(found).difference(self.parts):
+            self._add(part)
+        at = np.fromiter(map(self.parts.__getitem__, found), dtype=np.int64, count=len(found))
+        n = np.frombuffer(self.count, dtype=np.int64)[at]
+        ends = np.cumsum(n)
+        places = np.repeat(np.frombuffer(self.first, dtype=np.int64)[at] - (ends - n), n) + np.arange(ends[-1])
+        return np.frombuffer(self.flat, dtype=np.int32)[places] if len(self.flat) else np.zeros(0, dtype=np.int32)
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
@@ -81,20 +105,28 @@ def slots_of(hashes: np.ndarray) -> np.ndarray:
     return np.stack([(hashes >> np.uint64(6 * NONZERO + 14 * p)).astype(np.int64) & (SLOTS - 1) for p in range(PROBES)])
 
 
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts x, its distinct values, and where each begins in that order."""
+    order = np.argsort(x)
+    ordered = x[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(x) else np.zeros(0, dtype=np.int64)
+    return order, ordered[starts], starts
+
+
 def context_sums(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids but 0, and for each the sum of the vectors up to WINDOW places around it; 0s keep texts apart.
 
     The last column counts how often the word was there.
     """
     x = vectors[ids]
-    around = np.zeros((len(ids), WIDTH + 1), dtype=np.float32)
+    around = np.zeros((len(ids), WIDTH), dtype=np.float32)
     for gap in range(1, WINDOW + 1):
-        around[gap:, :WIDTH] += x[:-gap]
-        around[:-gap, :WIDTH] += x[gap:]
-    around[:, WIDTH] = 1
-    order = np.argsort(ids, kind="stable")
-    words, starts = np.unique(ids[order], return_index=True)
-    sums = np.add.reduceat(around[order], starts, axis=0) if len(ids) else around
+        around[gap:] += x[:-gap]
+        around[:-gap] += x[gap:]
+    order, words, starts = _grouped(ids)
+    sums = np.empty((len(words), WIDTH + 1), dtype=np.int64)
+    sums[:, :WIDTH] = np.add.reduceat(around[order], starts, axis=0) if len(ids) else 0
+    sums[:, WIDTH] = np.diff(np.append(starts, len(ids)))
     return (words[1:], sums[1:]) if len(words) and words[0] == 0 else (words, sums)
 
 
@@ -103,18 +135,23 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums = Words(), np.zeros((SLOTS, WIDTH + 1), dtype=np.int64)
+        vectors = np.zeros((1, WIDTH), dtype=np.float32)
         rim = np.zeros(WINDOW, dtype=np.int32)
         held, n, any_row = [], 0, False
 
         def flush():
+            nonlocal vectors
             hashes = np.array(words.hashes, dtype=np.uint64)
-            vectors = index_vectors(hashes)
-            vectors[0] = 0
+            if len(vectors) < len(hashes):
+                vectors = np.concatenate([vectors, index_vectors(hashes[len(vectors) :])])
             ids, found = context_sums(np.concatenate(held), vectors)
             for slots in slots_of(hashes[ids]):
-                np.add.at(sums, slots, found.astype(np.int64))
-            if len(words.hashes) > words.most:
+                order, used, starts = _grouped(slots)  # words that share a slot are added up first
+                if len(used):
+                    sums[used] += np.add.reduceat(found[order], starts, axis=0)
+            if words.full():
                 words.forget()
+                vectors = vectors[:1]
 
         for batch in batches:
             for x in batch.column(0).to_pylist():
@@ -182,31 +219,30 @@ class Pooler:
 
     def __init__(self, known: WordVectors):
         self.known, self.words = known, Words()
-        self.units, self.weights = np.zeros((1, WIDTH), dtype=np.float32), np.zeros(1)
+        self.units, self.weights = np.zeros((1, WIDTH), dtype=np.float32), np.zeros(1, dtype=np.float32)
 
     def features(self, text: str | None) -> np.ndarray:
-        if len(self.words.hashes) > self.words.most:
+        if self.words.full():
             self.__init__(self.known)
         ids = self.words.of(text)
-        if len(self.words.hashes) > len(self.weights):
-            new = np.array(self.words.hashes[len(self.weights) :], dtype=np.uint64)
-            units, weights = self.known.look_up(new)
-            grown = max(2 * len(self.units), len(self.words.hashes)) if len(self.words.hashes) > len(self.units) else len(self.units)
-            if grown > len(self.units):
-                self.units = np.concatenate([self.units, np.zeros((grown - len(self.units), WIDTH), dtype=np.float32)])
-            self.units[len(self.weights) : len(self.words.hashes)] = units
-            self.weights = np.concatenate([self.weights, weights])
+        known, n = len(self.weights), len(self.words.hashes)
+        if n > known:
+            if n > len(self.units):
+                self.units = np.concatenate([self.units, np.zeros((max(n, 2 * len(self.units)) - len(self.units), WIDTH), dtype=np.float32)])
+            units, weights = self.known.look_up(np.array(self.words.hashes[known:], dtype=np.uint64))
+            self.units[known:n] = units
+            self.weights = np.concatenate([self.weights, weights.astype(np.float32)])
         total, square, near, weight = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH), 0.0
         for at in range(0, len(ids), CHUNK):
             part = ids[at : at + CHUNK + 1]  # one more, for the product across the cut
-            v, w = self.units[part], self.weights[part[:CHUNK]].astype(np.float32)
+            v, w = self.units[part], self.weights[part[:CHUNK]]
             own = v[:CHUNK]
             weight += float(w.sum(dtype=np.float64))
-            total += (own * w[:, None]).sum(axis=0, dtype=np.float64)
-            square += (own * own * w[:, None]).sum(axis=0, dtype=np.float64)
-            near += np.einsum("ij,ij->j", v[:-1], v[1:], dtype=np.float64)
-        mean = total / max(weight, 1e-300)
-        spread = np.sqrt(np.maximum(square / max(weight, 1e-300) - mean**2, 0))
+            total += w @ own
+            square += w @ (own * own)
+            near += np.einsum("ij,ij->j", v[:-1], v[1:])
+        mean = total / max(weight, 1e-30)
+        spread = np.sqrt(np.maximum(square / max(weight, 1e-30) - mean**2, 0))
         return np.concatenate([mean, spread, near / max(len(ids) - 1, 1)]).astype(np.float32)
 
 
