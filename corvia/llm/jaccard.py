@@ -14,9 +14,10 @@ sorted arrays.
 Groups. Equal sets are one class before anything else, so copies are never paired. Within a bucket, each
 class is first held against the least one only. When the links so found have been contracted, only
 pairs of different components remain, in the buckets that have several: they are compared bitmap by
-bitmap in blocks of bounded size. Larger buckets share many of their classes with each other, so they
+bitmap in blocks of bounded size, each with the blocks of sizes that can reach the threshold. Larger buckets share many of their classes with each other, so they
 are first united; a pair then meets once, not in every bucket that it shares. Every link
-between different components is found, so components are exact.
+between different components is found, so components are exact. BLOCK, ALONE, SLICES and STEP say how the work is
+cut, not which links are found.
 
 Defined results: null text, or text without words, is an empty set: n_shingles 0, linked with nothing;
 fewer words than a shingle has make one shingle of all; rows with a null doc_id get n_shingles and a null
@@ -26,6 +27,7 @@ are ignored; empty input gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +45,8 @@ SPARE = 6
 BAND_RATIO = 1.25
 #: Classes in a block; in a bucket that stands alone; slices in which signatures are shuffled.
 BLOCK, ALONE, SLICES = 192, 32, 4
+#: Sizes of a band of blocks: from one power of it to the next.
+STEP = 1.06
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -192,14 +196,21 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: i
 
 
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """key, id, label, n, bits -> the pairs u, v of a key with different labels whose bitmaps allow a link."""
-    count = materialise(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "open-counts")
-    dealt = rows.join(count, "key").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "n", "bits"
-    )
+    """key, id, label, n, bits -> the pairs u, v of a key with different labels whose bitmaps allow a link.
+
+    The classes of a key are cut into blocks by size, and by hash where many have one size. A block meets only
+    those whose sizes can reach the threshold.
+    """
+    reach = math.ceil(math.log(den / num) / math.log(STEP))
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / math.log(STEP)))
+    count = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    count = materialise(count, "open-counts")
+    others = count.select("key", F.col("band").alias("other_band"), F.col("blocks").alias("other_blocks"))
+    dealt = rows.join(count, ["key", "band"]).withColumn("mine", (F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    dealt = dealt.join(others, "key").where(F.abs(F.col("band") - F.col("other_band")) <= reach)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
+    other = F.col("other_band") * (1 << 32) + F.col("other")
+    dealt = dealt.select("key", F.least("mine", other).alias("i"), F.greatest("mine", other).alias("j"), "mine", "id", "label", "n", "bits")
     schema = rows.select(F.col("id").alias("u"), F.col("id").alias("v")).schema
 
     def pairs(key, i, j, mine, ids, labels, n, bits):

@@ -399,6 +399,26 @@ def test_large_buckets(spark, monkeypatch):
     assert got == linked(rows, 3, 90, 100)
 
 
+def test_buckets_of_many_sizes_and_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "ALONE", 2)
+    monkeypatch.setattr(jaccard, "STEP", 1.02)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(130)]
+    rows = []
+    for i in range(150):
+        w = base[: rng.randint(60, 130)]
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    long = " ".join(f"v{i % 70_000}" for i in range(300_000))
+    rows += [(1000, long), (1001, long + " tail"), (1002, "x" * 3_000_000)]
+    for n, num in ((5, 80), (3, 90)):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, num, 100).collect()}
+        assert {k: v for k, v in got.items() if k < 1000} == linked(rows[:150], n, num, 100)
+        assert (got[1000], got[1001], got[1002]) == (1000, 1000, 1002)
+
+
 def test_components_on_odd_rows(spark):
     got = jaccard.jaccard_components(frame(spark)).collect()
     assert len(got) == len(ODD)
