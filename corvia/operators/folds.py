@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import NumericType, TimestampType
 
 
-def with_rank(df: DataFrame, date: str, tie: list[str], name: str = "rank") -> DataFrame:
+def with_rank(df: DataFrame, date: str, tie: list[str], name: str = "rank", deal: int = 64) -> DataFrame:
     """A 0-based rank by date, then tie.
 
-    Dates are few: their counts are summed up over the calendar, and rows are numbered inside a date only.
+    Dates are few: their counts are summed up over the calendar. A date may hold a third of all rows, so its rows are
+    numbered inside `deal` equal parts of the range that the first tie column has on it; counts of parts are few as
+    well. A tie column that is no number or time has no such range: then a date is numbered whole.
     """
-    days = df.groupBy(date).agg(F.count("*").alias("_n"))
-    earlier = W.orderBy(date).rowsBetween(W.unboundedPreceding, -1)
-    days = days.select(F.col(date).alias("_date"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(date).orderBy(*tie)
-    ranked = df.withColumn("_in", F.row_number().over(inside) - 1)
-    return ranked.join(days, F.col(date).eqNullSafe(F.col("_date"))).withColumn(name, F.col("_before") + F.col("_in")).drop("_date", "_before", "_in")
+    if _has_range(df, tie[0]):
+        x = F.col(tie[0]).cast("double")
+        ranges = df.groupBy(date).agg(F.min(x).alias("_lo"), F.max(F.when(~F.isnan(x), x)).alias("_hi")).withColumnRenamed(date, "_day")
+        part = F.when(x.isNull(), -1).when(F.isnan(x), deal + 1).when(F.col("_hi") > F.col("_lo"), F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * deal)).otherwise(0)
+        parted = df.join(ranges, F.col(date).eqNullSafe(F.col("_day"))).withColumn("_part", part.cast("int")).drop("_day", "_lo", "_hi")
+    else:
+        parted = df.withColumn("_part", F.lit(0))
+    parts = parted.groupBy(date, "_part").agg(F.count("*").alias("_n"))
+    earlier = W.orderBy(date, "_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col(date).alias("_date"), F.col("_part").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(date, "_part").orderBy(*tie)
+    ranked = parted.withColumn("_in", F.row_number().over(inside) - 1)
+    met = ranked.join(parts, F.col(date).eqNullSafe(F.col("_date")) & (F.col("_part") == F.col("_of")))
+    return met.withColumn(name, F.col("_before") + F.col("_in")).drop("_date", "_before", "_in", "_of", "_part")
+
+
+def _has_range(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (NumericType, TimestampType))
 
 
 def walk_forward(df: DataFrame, date: str, tie: list[str], folds: int = 5, least: int = 30) -> DataFrame:

@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvia.functions import numerals, text
 from corvia.operators import buckets, corpus_filter, extract, factor_rules, folds, labels, metrics, registry, statute, training
 from corvia.plans.cases import BASE, CASES, cases, constrained_cases, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from corvia.plans.registered import QUERIES, SQL, query  # noqa: F401
 
 # --- ranges
 
@@ -37,10 +22,11 @@ def reductions_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constrained_cases(spark, sf_dir).select("case_id", "c.*")
 
 
-@query(f"WITH {BASE} SELECT behavior, level, lo AS min_months, count(*) AS n FROM based GROUP BY behavior, level, lo")
+@query(f"WITH {BASE} SELECT behavior, level, lo AS min_months, hi AS max_months, life AS includes_life, count(*) AS n FROM based GROUP BY behavior, level, lo, hi, life")
 def holding_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = statute.base_range(F.col("behavior"), F.col("level"), weight_g=F.col("weight_g"))
-    return cases(spark, sf_dir).groupBy("behavior", "level", c["min_months"].alias("min_months")).agg(F.count("*").alias("n"))
+    rows = cases(spark, sf_dir).withColumn("c", c).select("behavior", "level", "c.min_months", "c.max_months", "c.includes_life")
+    return rows.groupBy(rows.columns).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {BASE}, p AS (SELECT case_id, lo, hi, predicted - 5 AS a, predicted AS b, predicted + 3 AS d FROM reduced),
@@ -160,12 +146,14 @@ def confusion_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(_scored(spark, sf_dir), ["lang"], F.col("score") >= 1, F.col("good"))
 
 
-@query("""WITH w AS (SELECT lang, list_distinct(string_split(regexp_extract(text, '^[^\\n]*'), ' ')) AS a, list_distinct(string_split(regexp_extract(text, '[^\\n]*$'), ' ')) AS t FROM documents)
-SELECT lang, count(*) AS n, avg(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))) AS jaccard, sum(len(list_intersect(a, t))) / sum(len(a)) AS precision, sum(len(list_intersect(a, t))) / sum(len(t)) AS recall FROM w GROUP BY lang""")
+@query("""WITH p AS (SELECT role, list_distinct(string_split(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ' ')) AS a, list_distinct(string_split(text, ' ')) AS t FROM conversations),
+w AS (SELECT role, coalesce(a, []) AS a, t FROM p WHERE t IS NOT NULL)
+SELECT role, count(*) AS n, avg(len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t)))) AS jaccard, coalesce(sum(len(list_intersect(a, t))) / nullif(sum(len(a)), 0), 0) AS precision, coalesce(sum(len(list_intersect(a, t))) / nullif(sum(len(t)), 0), 0) AS recall FROM w GROUP BY role""")
 def jaccard_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = lambda n: F.array_distinct(F.split(F.substring_index("text", "\n", n), " "))
-    docs = table(spark, sf_dir, "documents").select("lang", line(1).alias("a"), line(-1).alias("t"))
-    return metrics.set_agreement(docs, ["lang"], "a", "t")
+    said = F.array_distinct(F.split("text", " "))
+    turns = table(spark, sf_dir, "conversations").withColumn("t", said)
+    before = F.lag("t").over(W.partitionBy("conv_id").orderBy("turn"))
+    return metrics.set_agreement(turns.withColumn("a", before), ["role"], "a", "t")
 
 
 @query(f"""WITH {CASES} SELECT court, count(*) AS n, avg((weight_g = level)::INT) AS exact, avg(abs(weight_g - level)) AS mae FROM cases GROUP BY court""")
@@ -213,11 +201,11 @@ def year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH w AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents) SELECT source, word, count(*) AS n FROM w WHERE length(word) <= 3 GROUP BY source, word""")
+@query("""WITH w AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents) SELECT source, word, count(*) AS n FROM w GROUP BY source, word""")
 def explode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     rows = table(spark, sf_dir, "documents").select("source", F.explode(words).alias("word"))
-    return rows.where(F.length("word") <= 3).groupBy("source", "word").agg(F.count("*").alias("n"))
+    return rows.groupBy("source", "word").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {CASES} SELECT count(*) AS n, quantile_cont(months, 0.5) AS median, avg(months) AS mean, max(months) AS max, min(jdate) AS first_date, max(jdate) AS last_date FROM cases""")
@@ -299,8 +287,8 @@ def topk_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir).select("case_id", "signed_residual", "abs_residual", "in_band")
 
 
-@query(f"""WITH {_OUT} SELECT CASE WHEN joint OR n_counts > 4 THEN 'aggregate_51' WHEN behavior IN ('販賣', '運輸', '製造', '意圖販賣而持有') AND signed_residual > 6 THEN 'missing_reduction'
-  WHEN behavior IN ('販賣', '運輸', '製造', '意圖販賣而持有') AND signed_residual < -6 THEN 'missing_feature' WHEN behavior = '持有' AND weight_g > 0 THEN 'rule_table_gap' ELSE 'label_or_variance' END AS category,
+@query(f"""WITH {_OUT} SELECT CASE WHEN joint OR n_counts > 4 THEN 'aggregate_51' WHEN behavior IN ('販賣', '運輸', '製造', '意圖販賣而持有', '轉讓') AND signed_residual > 6 THEN 'missing_reduction'
+  WHEN behavior IN ('販賣', '運輸', '製造', '意圖販賣而持有', '轉讓') AND signed_residual < -6 THEN 'missing_feature' WHEN behavior = '持有' AND weight_g > 0 THEN 'rule_table_gap' ELSE 'label_or_variance' END AS category,
   concat_ws(',', CASE WHEN art59 THEN 'art59' END, CASE WHEN recidivism THEN 'recidivism' END) AS flags, count(*) AS n FROM o GROUP BY 1, 2""")
 def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cases(spark, sf_dir)
@@ -309,11 +297,11 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(category.alias("category"), flags.alias("flags")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_OUT}, old AS (SELECT case_id, 'seen ' || case_id AS note FROM cases WHERE order_id % 400 = 1),
+@query(f"""WITH {_OUT}, old AS (SELECT case_id, 'seen ' || case_id AS note FROM cases WHERE jdate < '19950101'),
 a AS (SELECT t.case_id, t.abs_residual, coalesce(old.note, '') AS note, false AS dropped FROM top t LEFT JOIN old USING (case_id))
 SELECT * FROM a UNION ALL SELECT case_id, NULL, note, true FROM old WHERE case_id NOT IN (SELECT case_id FROM top)""")
 def registry_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = cases(spark, sf_dir).where("order_id % 400 = 1").select("case_id", F.concat(F.lit("seen "), F.col("case_id").cast("string")).alias("note"))
+    old = cases(spark, sf_dir).where("jdate < '19950101'").select("case_id", F.concat(F.lit("seen "), F.col("case_id").cast("string")).alias("note"))
     return registry.refresh(_top(spark, sf_dir).select("case_id", "abs_residual"), old, "case_id", ["note"]).select("case_id", "abs_residual", "note", "dropped")
 
 
@@ -370,9 +358,9 @@ def prefix_head_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.when(hit, F.lit("blog")).alias("court"))
 
 
-@query("""SELECT doc_id FROM documents WHERE (contains(text, 'License') OR contains(text, '!!')) AND NOT contains(substr(text, 1, 200), '***')""")
+@query("""SELECT doc_id FROM documents WHERE (contains(text, 'License') OR contains(text, '!!')) AND NOT contains(substr(text, 1, 2000), '***')""")
 def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = text.contains_any(F.col("text"), ("License", "!!")) & ~text.contains_any(F.substring("text", 1, 200), ("***",))
+    keep = text.contains_any(F.col("text"), ("License", "!!")) & ~text.contains_any(F.substring("text", 1, 2000), ("***",))
     return table(spark, sf_dir, "documents").where(keep).select("doc_id")
 
 
@@ -512,3 +500,6 @@ def serving_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("order_id").orderBy(F.desc("months"), "case_id")
     return cases(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("order_id", "court", "behavior", "months", "rank")
+
+
+from corvia.plans import review_queries  # noqa: E402, F401  registers its own
