@@ -6,7 +6,7 @@ around it. Context vectors are kept as a count-min sketch keeps counts: a word a
 of PROBES hashes and is read from the slot that fewest words were added to, so a word that is not rare is
 seldom disturbed, however many words there are, and the sketch has a size that does not depend on the
 corpus. Sums are integers, the same in whatever order tasks end; they are added up in two steps, in blocks
-of slots.
+of slots. The same pass writes the slots of each document's words, in order, so texts are taken apart once.
 
 Documents. A document is the mean of its words' unit vectors, weighted by rarity (a / (a + frequency)), their
 spread, and the mean of the products of neighbours, component by component: pooled word vectors and
@@ -33,8 +33,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corvia.llm.arrow import map_rows
+from corvia.llm.arrow import ROWS, map_rows
 from corvia.llm.store import materialise
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -58,7 +59,7 @@ class Words:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.hashes = array("Q", [0])
+        self.hashes, self.codes = array("Q", [0]), array("i", [0])
         self.parts: dict[str, int] = {}
         self.first, self.count, self.flat = array("q"), array("q"), array("i")
 
@@ -71,9 +72,14 @@ class Words:
             number = self.known.get(w)
             if number is None:
                 number = self.known[w] = len(self.hashes)
-                self.hashes.append(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+                h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                self.hashes.append(h)
+                self.codes.append(h >> 6 * NONZERO & (1 << 14 * PROBES) - 1)
             self.flat.append(number)
 
+    def codes_of(self, ids: np.ndarray) -> np.ndarray:
+        return np.frombuffer(self.codes, dtype=np.int32)[ids]
+
     def full(self) -> bool:
         return len(self.parts) > self.most or len(self.flat) > 4 * self.most
 
@@ -100,9 +106,9 @@ def index_vectors(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def slots_of(hashes: np.ndarray) -> np.ndarray:
-    """PROBES rows of slots, from 14 other bits each."""
-    return np.stack([(hashes >> np.uint64(6 * NONZERO + 14 * p)).astype(np.int64) & (SLOTS - 1) for p in range(PROBES)])
+def slots_of(codes: np.ndarray) -> np.ndarray:
+    """PROBES rows of slots, 14 bits of the hash each: those after the bits of the index vector."""
+    return np.stack([codes >> 14 * p & (SLOTS - 1) for p in range(PROBES)])
 
 
 def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,37 +136,47 @@ def context_sums(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.n
     return (words[1:], sums[1:]) if len(words) and words[0] == 0 else (words, sums)
 
 
-def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """The sketch of all context vectors: SLOTS rows of WIDTH sums and a count."""
+def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of two kinds: key and codes of each document; block, salt and sums of each task's part of the sketch."""
+    names = ["key", "codes", "block", "salt", "sums"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sums = Words(), np.zeros((SLOTS, WIDTH + 1), dtype=np.int64)
-        vectors = np.zeros((1, WIDTH), dtype=np.float32)
+        vectors, made = np.zeros((1, WIDTH), dtype=np.float32), 1
         rim = np.zeros(WINDOW, dtype=np.int32)
         held, n, any_row = [], 0, False
 
         def flush():
-            nonlocal vectors
-            hashes = np.array(words.hashes, dtype=np.uint64)
-            if len(vectors) < len(hashes):
-                vectors = np.concatenate([vectors, index_vectors(hashes[len(vectors) :])])
+            nonlocal vectors, made
+            known = len(words.hashes)
+            if known > len(vectors):
+                vectors = np.concatenate([vectors, np.zeros((max(known, 2 * len(vectors)) - len(vectors), WIDTH), dtype=np.float32)])
+            vectors[made:known] = index_vectors(np.array(words.hashes[made:], dtype=np.uint64))
+            made = known
             ids, found = context_sums(np.concatenate(held), vectors)
-            for slots in slots_of(hashes[ids]):
+            for slots in slots_of(np.array(words.codes, dtype=np.int32)[ids]):
                 order, used, starts = _grouped(slots)  # words that share a slot are added up first
                 if len(used):
                     sums[used] += np.add.reduceat(found[order], starts, axis=0)
             if words.full():
                 words.forget()
-                vectors = vectors[:1]
+                made = 1
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                any_row = True
-                held += [words.of(x), rim]
-                n += len(held[-2])
-                if n >= CHUNK:
-                    flush()
-                    held, n = [], 0
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                blobs = []
+                for x in part.column(1).to_pylist():
+                    any_row = True
+                    ids = words.of(x)
+                    blobs.append(words.codes_of(ids).tobytes())
+                    held += [ids, rim]
+                    n += len(ids)
+                    if n >= CHUNK:
+                        flush()
+                        held, n = [], 0
+                none = pa.nulls(len(blobs), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary()), none, none, pa.nulls(len(blobs), pa.binary())], names=names)
         if n:
             flush()
         if any_row:
@@ -168,9 +184,20 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
             used = np.flatnonzero(np.abs(blocks).sum(axis=1))
             salt = int(xxhash.xxh3_64_intdigest(sums.tobytes()) % 16)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([salt] * len(used), pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())],
-                names=["block", "salt", "sums"],
-            )
+                [
+                    pa.nulls(len(used), kind_of_key), pa.nulls(len(used), pa.binary()), pa.array(used, pa.int32()),
+                    pa.array([salt] * len(used), pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary()),
+                ],
+                names=names,
+            )
+
+    kind_of_key = to_arrow_type(docs.schema[key].dataType)
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(gather, f"key {kind}, codes binary, block int, salt int, sums binary")
+
+
+def sketch(read: DataFrame) -> np.ndarray:
+    """The sketch of all context vectors: SLOTS rows of WIDTH sums and a count."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -184,7 +211,7 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
         )
 
     schema = "block int, salt int, sums binary"
-    parts = docs.select(F.col(f"`{text}`")).mapInArrow(gather, schema)
+    parts = read.where("block IS NOT NULL").select("block", "salt", "sums")
     parts = parts.repartition(SLOTS // BLOCK, "block", "salt").mapInArrow(add, schema)
     rows = parts.repartition(SLOTS // BLOCK, "block").mapInArrow(add, schema).collect()  # SLOTS rows of numbers at most
     out = np.zeros((SLOTS // BLOCK, BLOCK * (WIDTH + 1)), dtype=np.int64)
@@ -195,47 +222,29 @@ def sketch(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 @dataclass
 class WordVectors:
-    """What a sketch says of words: unit vectors and weights by rarity."""
+    """What a sketch says of words, by slot: unit vectors, counts and weights by rarity."""
 
     units: np.ndarray
     counts: np.ndarray
-    total: int
+    weights: np.ndarray
 
     @classmethod
     def of(cls, sums: np.ndarray) -> WordVectors:
         vectors = sums[:, :WIDTH].astype(np.float64)
         norm = np.linalg.norm(vectors, axis=1, keepdims=True)
         counts = sums[:, WIDTH]
-        return cls((vectors / np.where(norm > 0, norm, 1)).astype(np.float32), counts, max(1, int(counts.sum()) // PROBES))
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slots = slots_of(hashes)
-        best = slots[np.argmin(self.counts[slots], axis=0), np.arange(slots.shape[1])]
-        return self.units[best], RARE / (RARE + self.counts[best] / self.total)
-
-
-class Pooler:
-    """Texts to features, one after the other."""
-
-    def __init__(self, known: WordVectors):
-        self.known, self.words = known, Words()
-        self.units, self.weights = np.zeros((1, WIDTH), dtype=np.float32), np.zeros(1, dtype=np.float32)
-
-    def features(self, text: str | None) -> np.ndarray:
-        if self.words.full():
-            self.__init__(self.known)
-        ids = self.words.of(text)
-        known, n = len(self.weights), len(self.words.hashes)
-        if n > known:
-            if n > len(self.units):
-                self.units = np.concatenate([self.units, np.zeros((max(n, 2 * len(self.units)) - len(self.units), WIDTH), dtype=np.float32)])
-            units, weights = self.known.look_up(np.array(self.words.hashes[known:], dtype=np.uint64))
-            self.units[known:n] = units
-            self.weights = np.concatenate([self.weights, weights.astype(np.float32)])
+        total = max(1, int(counts.sum()) // PROBES)
+        return cls((vectors / np.where(norm > 0, norm, 1)).astype(np.float32), counts, (RARE / (RARE + counts / total)).astype(np.float32))
+
+    def features(self, codes: np.ndarray) -> np.ndarray:
+        """What a document is to the network, from the codes of its words: FEATURES numbers."""
         total, square, near, weight = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH), 0.0
-        for at in range(0, len(ids), CHUNK):
-            part = ids[at : at + CHUNK + 1]  # one more, for the product across the cut
-            v, w = self.units[part], self.weights[part[:CHUNK]]
+        for at in range(0, len(codes), CHUNK):
+            slots = slots_of(codes[at : at + CHUNK + 1])  # one more, for the product across the cut
+            best = slots[0]
+            for other in slots[1:]:
+                best = np.where(self.counts[other] < self.counts[best], other, best)
+            v, w = self.units[best], self.weights[best[:CHUNK]]
             own = v[:CHUNK]
             weight += float(w.sum(dtype=np.float64))
             total += w @ own
@@ -243,22 +252,7 @@ class Pooler:
             near += np.einsum("ij,ij->j", v[:-1], v[1:])
         mean = total / max(weight, 1e-30)
         spread = np.sqrt(np.maximum(square / max(weight, 1e-30) - mean**2, 0))
-        return np.concatenate([mean, spread, near / max(len(ids) - 1, 1)]).astype(np.float32)
-
-
-def pooled(docs: DataFrame, known: WordVectors, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, features: what a document is to the network, FEATURES numbers as bytes."""
-
-    def make():
-        pooler = Pooler(known)
-
-        def work(keys, texts):
-            yield {key: keys, "features": [pooler.features(x).tobytes() for x in texts]}
-
-        return work
-
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), f"`{key}` {kind}, features binary", make)
+        return np.concatenate([mean, spread, near / max(len(codes) - 1, 1)]).astype(np.float32)
 
 
 @dataclass
@@ -323,8 +317,8 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 120, decay
     return net
 
 
-def _matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), dtype=np.float32).reshape(-1, FEATURES).astype(np.float64)
+def _matrix(rows: list[np.ndarray]) -> np.ndarray:
+    return np.array(rows, dtype=np.float64).reshape(-1, FEATURES)
 
 
 def _remainder() -> Column:
@@ -343,11 +337,28 @@ def labelled(labels: DataFrame, label: str, held_out: int | None, max_labelled:
     return known.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
-def fit_on(features: DataFrame, known: DataFrame) -> Network:
-    """doc_id, features and doc_id, y of few documents -> the network."""
-    sample = features.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("features", "y")).alias("r")).select("doc_id", "r.*")
+def fit_on(codes: DataFrame, known: WordVectors, few: DataFrame) -> Network:
+    """key, codes and doc_id, y of few documents -> the network."""
+    met = codes.join(few.withColumnRenamed("doc_id", "key"), "key").select("key", "codes", "y")
+
+    def make():
+        def work(keys, blobs, ys):
+            yield {"key": keys, "y": ys, "features": [known.features(np.frombuffer(b, dtype=np.int32)).tobytes() for b in blobs]}
+
+        return work
+
+    kind = codes.schema["key"].dataType.simpleString()
+    pooled = map_rows(met, f"key {kind}, y double, features binary", make)
+    sample = pooled.groupBy("key").agg(F.min(F.struct("features", "y")).alias("r")).select("r.*")
     rows = sorted(sample.collect(), key=lambda r: (r["features"], r["y"]))  # max_labelled rows or so
-    return fit(_matrix([bytes(r["features"]) for r in rows]), np.array([r["y"] for r in rows], dtype=np.float64))
+    return fit(_matrix([np.frombuffer(r["features"], dtype=np.float32) for r in rows]), np.array([r["y"] for r in rows], dtype=np.float64))
+
+
+def _learned(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, held_out: int | None) -> tuple[DataFrame, WordVectors, Network]:
+    read = materialise(_read(docs, "doc_id", "text"), "word-codes")
+    codes = read.where("codes IS NOT NULL").select("key", "codes")
+    known = WordVectors.of(sketch(read))
+    return codes, known, fit_on(codes, known, labelled(labels, label, held_out, max_labelled))
 
 
 def classify(
@@ -357,18 +368,17 @@ def classify(
 
     Labels of rows whose crc32(doc_id as text) leaves the remainder held_out by 3 are not learned from.
     """
-    features = materialise(pooled(docs, WordVectors.of(sketch(docs))), "pooled")
-    net = fit_on(features, labelled(labels, label, held_out, max_labelled))
+    codes, known, net = _learned(docs, labels, label, max_labelled, held_out)
 
     def make():
-        def work(keys, rows):
-            scores = net.scores(_matrix(rows))
+        def work(keys, blobs):
+            scores = net.scores(_matrix([known.features(np.frombuffer(b, dtype=np.int32)) for b in blobs]))
             yield {"doc_id": keys, "score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
         return work
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = map_rows(features, f"doc_id {kind}, score double, predicted int", make)
+    scored = map_rows(codes, f"doc_id {kind}, score double, predicted int", make)
     return scored.select(
         "doc_id", F.coalesce(_remainder() == (1 if held_out is None else held_out), F.lit(False)).alias("held_out"), "score", "predicted"
     )
@@ -378,16 +388,17 @@ def good_documents(
     docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8_000, held_out: int | None = 1
 ) -> DataFrame:
     """docs without the rows that the classifier rejects, judged by their texts alone; all columns as they are."""
-    known = WordVectors.of(sketch(docs))
-    few = labelled(labels, label, held_out, max_labelled)
-    taught = docs.join(few.select(F.col("doc_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    net = fit_on(pooled(taught, known), few)
+    _, known, net = _learned(docs, labels, label, max_labelled, held_out)
 
     @F.pandas_udf("boolean")
     def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pooler = Pooler(known)
+        words = Words()
         for part in texts:
-            blobs = [pooler.features(x).tobytes() for x in part]
-            yield pd.Series(net.scores(_matrix(blobs)) >= 0.5, dtype=bool)
+            rows = []
+            for x in part:
+                if words.full():
+                    words.forget()
+                rows.append(known.features(words.codes_of(words.of(x))))
+            yield pd.Series(net.scores(_matrix(rows)) >= 0.5, dtype=bool)
 
     return docs.where(good("text"))

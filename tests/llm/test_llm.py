@@ -172,10 +172,11 @@ def test_word_sums_and_pooling_equal_plain_ones(spark):
             for slot in slots(w):
                 sums[slot, :-1] += around.astype(np.int64)
                 sums[slot, -1] += 1
-    assert (quality.sketch(df) == sums).all()
+    read = quality._read(df, "doc_id", "text")
+    assert (quality.sketch(read) == sums).all()
     known = quality.WordVectors.of(sums)
     total = sums[:, -1].sum() // quality.PROBES
-    got = {r.doc_id: np.frombuffer(r.features, dtype=np.float32) for r in quality.pooled(df, known).collect()}
+    got = {r.key: known.features(np.frombuffer(r.codes, dtype=np.int32)) for r in read.where("codes IS NOT NULL").collect()}
     for i, words in enumerate(split):
         v, w = [], []
         for word in words:
