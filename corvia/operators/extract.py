@@ -122,27 +122,39 @@ def article_59_applied(text: Column) -> Column:
     return F.exists(spans(text, ARTICLE_59), applied)
 
 
-def _openers(main: Column) -> Column:
-    named = F.transform(spans(main, OPENER), lambda s: F.struct(first(s["text"], OPENER, 1).alias("name"), s["start"].alias("start")))
-    return F.filter(named, lambda x, i: ~F.exists(F.slice(named, 1, i), lambda y: y["name"] == x["name"]))
+def _clauses(main: Column) -> Column:
+    """array<struct<name,start>>: the clauses that open with a name."""
+    return F.transform(spans(main, OPENER), lambda s: F.struct(first(s["text"], OPENER, 1).alias("name"), s["start"].alias("start")))
+
+
+def _openers(clauses: Column) -> Column:
+    """Of each name the first clause. The argument is used for every clause: give it as a column of its own."""
+    return F.filter(clauses, lambda x, i: ~F.exists(F.slice(clauses, 1, i), lambda y: y["name"] == x["name"]))
+
+
+def _defendants(openers: Column) -> Column:
+    return F.greatest(F.lit(1), F.size(openers))
 
 
 def count_defendants(main: Column) -> Column:
-    return F.greatest(F.lit(1), F.size(_openers(main)))
+    return _defendants(_openers(_clauses(main)))
 
 
-def split_by_defendant(main: Column) -> Column:
-    """array<struct<name,text>>: from each defendant's first clause to the next one's; one unnamed part if there is no more than one."""
-    found = _openers(main)
+def _parts(openers: Column, main: Column) -> Column:
     parts = F.transform(
-        found,
+        openers,
         lambda x, i: F.struct(
             x["name"].alias("name"),
-            between(main, x["start"], F.coalesce(F.get(found, i + 1)["start"], F.length(main))).alias("text"),
+            between(main, x["start"], F.coalesce(F.get(openers, i + 1)["start"], F.length(main))).alias("text"),
         ),
     )
     alone = F.array(F.struct(F.lit("").alias("name"), main.alias("text")))
-    return F.when(F.size(found) > 1, parts).otherwise(alone)
+    return F.when(F.size(openers) > 1, parts).otherwise(alone)
+
+
+def split_by_defendant(main: Column) -> Column:
+    """array<struct<name,text>>: from each defendant's first clause to the next one's; one unnamed part if there is no more than one."""
+    return _parts(_openers(_clauses(main)), main)
 
 
 def scoped_text(text: Column, name: Column, names: Column, pad: int = 250) -> Column:
@@ -203,25 +215,30 @@ def _columns(main: Column, wide: Column, cited: Column, n_defendants: Column) ->
     ]
 
 
+def _opened(cases: DataFrame) -> DataFrame:
+    """cases with _main and _openers, each step a column of its own, so that it is found once a row."""
+    cut = cases.select("jid", "jdate", "jfull", _main(F.col("jfull")).alias("_main"))
+    cut = cut.withColumn("_clauses", _clauses(F.col("_main")))
+    return cut.withColumn("_openers", _openers(F.col("_clauses"))).drop("_clauses")
+
+
 def extract_features(cases: DataFrame) -> DataFrame:
     """jid, jdate, jfull -> one row of features for each judgment."""
-    cut = cases.select("jid", "jdate", "jfull", _main(F.col("jfull")).alias("_main"), _facts(F.col("jfull")).alias("_facts"))
+    cut = _opened(cases).withColumn("_facts", _facts(F.col("jfull")))
     main = F.col("_main")
     wide = F.concat(main, F.lit("\n"), F.col("_facts"))
     return cut.select(
-        "jid", "jdate", F.lit("").alias("defendant_name"), *_columns(main, wide, F.col("jfull"), count_defendants(main))
+        "jid", "jdate", F.lit("").alias("defendant_name"), *_columns(main, wide, F.col("jfull"), _defendants(F.col("_openers")))
     )
 
 
 def extract_features_per_defendant(cases: DataFrame) -> DataFrame:
     """A row for each defendant with a verdict; judgments with one, or none with a verdict, as extract_features()."""
-    cut = cases.select("jid", "jdate", "jfull", _main(F.col("jfull")).alias("_main"))
-    parts = split_by_defendant(F.col("_main"))
-    judged = F.filter(parts, lambda p: has(p["text"], VERDICT) | has(p["text"], AGGREGATE))
-    several = (F.size(parts) > 1) & (F.size(judged) > 0)
-    names = F.transform(parts, lambda p: p["name"])
-    split = cut.withColumn("_several", several).withColumn("_names", names).withColumn("_judged", judged)
+    cut = _opened(cases).withColumn("_parts", _parts(F.col("_openers"), F.col("_main")))
+    judged = F.filter("_parts", lambda p: has(p["text"], VERDICT) | has(p["text"], AGGREGATE))
+    split = cut.withColumn("_names", F.transform("_parts", lambda p: p["name"])).withColumn("_judged", judged)
+    split = split.withColumn("_several", (F.size("_parts") > 1) & (F.size("_judged") > 0))
     each = split.where("_several").select("jid", "jdate", "jfull", "_names", F.inline("_judged"))
     scoped = each.select("jid", "jdate", "name", "text", scoped_text(F.col("jfull"), F.col("name"), F.col("_names")).alias("_cited"))
     own = scoped.select("jid", "jdate", F.col("name").alias("defendant_name"), *_columns(F.col("text"), F.col("text"), F.col("_cited"), F.lit(1)))
-    return extract_features(split.where("NOT _several")).unionByName(own)
+    return extract_features(split.where("NOT _several").select("jid", "jdate", "jfull")).unionByName(own)

@@ -411,66 +411,6 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", p["page"].alias("page"), p["k"].alias("k"))
 
 
-@query("""WITH c AS (SELECT * FROM (VALUES (' Yes '), ('0'), ('maybe'), ('3.9'), ('-2.5'), ('a, b ,,a'), ('')) t(cell))
-SELECT cell, CASE WHEN lower(trim(cell)) IN ('1','true','t','y','yes','v') THEN true WHEN lower(trim(cell)) IN ('0','false','f','n','no','x') THEN false END AS b, trunc(try_cast(trim(cell) AS DOUBLE))::INT AS i,
-  list_sort(list_distinct(list_filter(list_transform(string_split(cell, ','), lambda x: trim(x)), lambda x: x <> ''))) AS s FROM c""")
-def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame([(c,) for c in (" Yes ", "0", "maybe", "3.9", "-2.5", "a, b ,,a", "")], "cell string")
-    c = F.col("cell")
-    return cells.select("cell", labels.parse_bool(c).alias("b"), labels.parse_int(c).alias("i"), F.array_sort(labels.parse_set(c)).alias("s"))
-
-
-@query("""SELECT * FROM (VALUES ('十', 10), ('二十三', 23), ('一百零五', 105), ('１２', 12), ('一二', 2), ('1十', NULL), ('十二萬', 20010)) t(s, n)""")
-def cn_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = spark.createDataFrame([(s,) for s in ("十", "二十三", "一百零五", "１２", "一二", "1十", "十二萬")], "s string")
-    return given.select("s", numerals.numeral(F.col("s")).alias("n"))
-
-
-@query("""SELECT * FROM (VALUES ('0.226', 0.226::DOUBLE), ('零點貳貳陸', 0.226), ('拾陸點柒零', 16.7), ('1,200', 1200.0), ('x', NULL)) t(s, x)""")
-def cn_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = spark.createDataFrame([(s,) for s in ("0.226", "零點貳貳陸", "拾陸點柒零", "1,200", "x")], "s string")
-    return given.select("s", numerals.decimal(F.col("s")).alias("x"))
-
-
-_JUDGMENTS = [
-    ("KL1", "甲○○施用第二級毒品，處有期徒刑3月，如易科罰金，以新臺幣1000元折算1日。"),
-    ("KL2", "藍佳鈞施用第一級毒品，處有期徒刑肆月；又施用第二級毒品，處有期徒刑壹月。應執行有期徒刑伍月。"),
-    ("KL3", "甲○○販賣第二級毒品未遂，處有期徒刑貳年，緩刑貳年。"),
-    ("KL4", "羅中彥共同運輸第二級毒品，處有期徒刑伍年陸月。陳大文共同運輸第二級毒品，處有期徒刑柒年貳月。"),
-]
-
-
-def _judgments(spark: SparkSession) -> DataFrame:
-    rows = [(i, "20230101", "違反毒品危害防制條例", "訴", f"臺灣基隆地方法院刑事判決\n主文\n{m}\n犯罪事實") for i, m in _JUDGMENTS]
-    return spark.createDataFrame(rows, "jid string, jdate string, jtitle string, jcase string, jfull string")
-
-
-@query("""SELECT * FROM (VALUES ('KL1', 3, false, 1, 1, 0, false, NULL), ('KL2', 5, true, 2, 1, 5, false, NULL), ('KL3', 24, false, 1, 1, 0, true, 24), ('KL4', 66, false, 2, 2, 152, false, NULL))
-t(jid, sentence_months, is_aggregate_sentence, n_sentence_counts, n_defendants, sum_individual_months, is_attempt, probation_months)""")
-def sentence_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_features(_judgments(spark)).select(
-        "jid", "sentence_months", "is_aggregate_sentence", "n_sentence_counts", "n_defendants", "sum_individual_months", "is_attempt", "probation_months"
-    )
-
-
-@query("""SELECT * FROM (VALUES ('KL1', '', 3), ('KL2', '', 5), ('KL3', '', 24), ('KL4', '羅中彥', 66), ('KL4', '陳大文', 86)) t(jid, defendant_name, sentence_months)""")
-def split_defendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract_features_per_defendant(_judgments(spark)).select("jid", "defendant_name", "sentence_months")
-
-
-@query("""SELECT * FROM (VALUES ('KL1', 'KL', '基隆'), ('KL2', 'KL', '基隆'), ('KL3', 'KL', '基隆'), ('KL4', 'KL', '基隆')) t(jid, court, court_name)""")
-def corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_filter.select_cases(_judgments(spark)).select("jid", "court", "court_name")
-
-
-@query("""SELECT * FROM (VALUES ('motive', 'neutral'), ('provocation', 'absent'), ('means', 'mitigating'), ('life_status', 'neutral'), ('character', 'aggravating'), ('intellect', 'neutral'),
-  ('relation_victim', 'absent'), ('duty_breach', 'absent'), ('harm', 'mitigating'), ('post_attitude', 'mitigating')) t(factor, direction)""")
-def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighing = "審酌被告仍未戒絕，故態復萌，惟戕害自身健康，手段尚屬平和，兼衡其犯罪動機、高中畢業之智識程度、家庭經濟狀況勉持，犯後坦承犯行等一切情狀，量處如主文所示之刑。"
-    case = spark.createDataFrame([("KL1", "主文\n甲處有期徒刑3月\n理由\n" + "一、本件事實如前。" * 8 + "\n爰" + weighing)], "jid string, jfull string")
-    return factor_rules.label_factors(case).select(F.explode("factors").alias("factor", "f")).select("factor", "f.direction")
-
-
 # --- rows for models
 
 
@@ -502,4 +442,4 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("order_id", "court", "behavior", "months", "rank")
 
 
-from corvia.plans import review_queries  # noqa: E402, F401  registers its own
+from corvia.plans import judgments, review_queries  # noqa: E402, F401  register their own
