@@ -95,9 +95,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_filtered(spark: SparkSession, path: str) -> DataFrame:
-    """What write_filtered() wrote; the schema is declared, never inferred."""
+    """What write_filtered() wrote, without blank and bad lines; the schema is declared, never inferred."""
     schema = StructType([*RECORD.fields, StructField("court", StringType()), StructField("court_name", StringType())])
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
 def write_filtered(cases: DataFrame, path: str) -> DataFrame:
@@ -109,7 +109,7 @@ def write_filtered(cases: DataFrame, path: str) -> DataFrame:
 def read_factors(spark: SparkSession, path: str) -> DataFrame:
     """jid and factors of label files; of several lines for a judgment the last in file order; no direction is absent."""
     schema = "jid string, factors map<string,struct<direction:string,evidence:string>>"
-    rows = spark.read.schema(schema).json(path).withColumns({"_file": F.col("_metadata.file_path"), "_line": F.monotonically_increasing_id()})
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).withColumns({"_file": F.col("_metadata.file_path"), "_line": F.monotonically_increasing_id()})
     from corvia.operators.registry import last_by_key
 
     last = last_by_key(rows.where("jid IS NOT NULL"), ["jid"], [F.col("_file"), F.col("_line")])
@@ -140,8 +140,21 @@ def bucket_document(stats: DataFrame, key: Column, columns: list[str]) -> DataFr
     return stats.groupBy().agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("buckets"))
 
 
+def write_factors(labels: DataFrame, path: str) -> None:
+    """One JSON object a line: jid and its factors; what was there goes."""
+    labels.select("jid", "factors").write.mode("overwrite").json(path)
+
+
+def write_blocks(cases: DataFrame, path: str, block: str = "reason") -> None:
+    """One JSON object a line for each case: jid, jcase, its block of text and the block's length."""
+    cases.select("jid", "jcase", block, F.length(block).alias(f"{block}_len")).write.mode("overwrite").json(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """A sheet with headings; the first heading begins with a byte order mark, by which spreadsheets know the encoding."""
+    first, *others = df.columns
+    marked = df.select(F.col(f"`{first}`").alias("\ufeff" + first), *(F.col(f"`{c}`") for c in others))
+    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
