@@ -13,8 +13,6 @@ DIGITS = ("", "一", "二", "三", "四", "五", "六", "七", "八", "九")
 FORMAL = ("", "壹", "貳", "參", "肆", "伍", "陸", "柒", "捌", "玖", "拾", "拾壹")
 HEADERS = {"KL": "臺灣基隆地方法院", "TP": "臺灣臺北地方法院", "SL": "臺灣士林地方法院", "PC": "臺灣新北地方法院", "TY": "臺灣桃園地方法院"}
 FACTS = "被告於民國一百一十年間某日，在其住處內，經警執行搜索而查獲上情，並扣得相關物品，送請鑑定機關鑑驗後，結果如下所示，合先敘明。"
-K = F.col("k")
-
 
 def _pick(values, n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), n.cast("int") + 1)
@@ -26,30 +24,31 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    years, months = K % 6, K % 11 + 1
+    years, months = k % 6, k % 11 + 1
     term = text(F.when(years > 0, text(_pick(FORMAL, years), "年")).otherwise(""), _pick(FORMAL, months), "月")
-    level = _pick("一二三四", K % 4)
+    level = _pick("一二三四", k % 4)
     verdict = (
         F.when(F.col("v") == 0, text("甲○○施用第", level, "級毒品，處有期徒刑", term, "，如易科罰金，以新臺幣壹仟元折算壹日。"))
         .when(F.col("v") == 1, text("藍佳鈞施用第一級毒品，處有期徒刑", term, "；又施用第二級毒品，處有期徒刑參月。應執行有期徒刑", _pick(FORMAL, years + 1), "年。"))
         .when(F.col("v") == 2, text("甲○○販賣第", level, "級毒品未遂，處有期徒刑", term, "，緩刑貳年。"))
         .when(F.col("v") == 3, text("羅中彥共同運輸第二級毒品，處有期徒刑", term, "。陳大文共同運輸第二級毒品，處有期徒刑柒年貳月。"))
-        .otherwise(text("甲○○持有第三級毒品，處拘役", (K % 50 + 10).cast("string"), "日。"))
+        .otherwise(text("甲○○持有第三級毒品，處拘役", (k % 50 + 10).cast("string"), "日。"))
     )
-    verdict = text(verdict, F.when(K % 17 == 0, "其餘被訴部分無罪。").otherwise(""))
-    weight = F.when(K % 3 == 0, text("扣案物驗餘淨重", (K % 100).cast("string"), ".5", F.when(K % 6 == 0, "公斤").otherwise("公克"), "。")).otherwise("")
+    verdict = text(verdict, F.when(k % 17 == 0, "其餘被訴部分無罪。").otherwise(""))
+    weight = F.when(k % 3 == 0, text("扣案物驗餘淨重", (k % 100).cast("string"), ".5", F.when(k % 6 == 0, "公斤").otherwise("公克"), "。")).otherwise("")
     cited = text(
-        F.when(K % 4 == 0, "被告供出來源，依毒品危害防制條例第17條第1項規定減輕其刑。").when(K % 4 == 1, "本件與毒品危害防制條例第17條第1項規定不符，不得減輕其刑。").otherwise(""),
-        F.when(K % 5 == 0, "犯罪情狀顯可憫恕，爰依刑法第59條規定酌量減輕其刑。").when(K % 5 == 1, "並無刑法第59條酌減其刑之餘地。").otherwise(""),
-        F.when(K % 7 == 0, "符合刑法第62條自首。").otherwise(""), F.when(K % 8 == 0, "構成累犯。").otherwise(""),
+        F.when(k % 4 == 0, "被告供出來源，依毒品危害防制條例第17條第1項規定減輕其刑。").when(k % 4 == 1, "本件與毒品危害防制條例第17條第1項規定不符，不得減輕其刑。").otherwise(""),
+        F.when(k % 5 == 0, "犯罪情狀顯可憫恕，爰依刑法第59條規定酌量減輕其刑。").when(k % 5 == 1, "並無刑法第59條酌減其刑之餘地。").otherwise(""),
+        F.when(k % 7 == 0, "符合刑法第62條自首。").otherwise(""), F.when(k % 8 == 0, "構成累犯。").otherwise(""),
     )
-    code = _pick(tuple(HEADERS), K % 5)
-    header = F.when(K % 9 == 0, HEADERS["KL"]).otherwise(_pick(tuple(HEADERS.values()), K % 5))
-    plea = F.when(K % 13 == 0, "協商判決").otherwise("")
+    code = _pick(tuple(HEADERS), k % 5)
+    header = F.when(k % 9 == 0, HEADERS["KL"]).otherwise(_pick(tuple(HEADERS.values()), k % 5))
+    plea = F.when(k % 13 == 0, "協商判決").otherwise("")
     return orders(spark, sf_dir).select(
-        "k", text(code, K.cast("string")).alias("jid"), F.lit("20230101").alias("jdate"),
-        F.when(K % 7 == 3, "竊盜").otherwise("違反毒品危害防制條例").alias("jtitle"), F.when(K % 12 == 5, "聲").otherwise("訴").alias("jcase"),
+        "k", text(code, k.cast("string")).alias("jid"), F.lit("20230101").alias("jdate"),
+        F.when(k % 7 == 3, "竊盜").otherwise("違反毒品危害防制條例").alias("jtitle"), F.when(k % 12 == 5, "聲").otherwise("訴").alias("jcase"),
         text(header, "刑事判決", plea, "\n主　文\n", verdict, "\n犯罪事實\n", FACTS, weight, "\n理由\n", cited).alias("jfull"),
     ).repartition("jid")  # texts are columns of a table from here on, not expressions written out wherever they are read
 
@@ -104,11 +103,12 @@ _POST = ("犯後坦承犯行", "犯後矢口否認", "犯後態度")
 SELECT jid, factor, CASE WHEN factor = 'post_attitude' THEN ['mitigating', 'aggravating', 'neutral'][k % 3 + 1] WHEN factor = 'means' AND k % 2 = 0 THEN 'mitigating' WHEN factor = 'intellect' THEN 'neutral' ELSE 'absent' END AS direction,
   CASE WHEN factor = 'post_attitude' THEN '爰審酌被告' || ['犯後坦承犯行', '犯後矢口否認', '犯後態度'][k % 3 + 1] WHEN factor = 'means' AND k % 2 = 0 THEN '手段尚屬平和' WHEN factor = 'intellect' THEN '高中畢業之智識程度等一切情狀' ELSE '' END AS evidence FROM f""")
 def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
     weighing = F.concat(
-        F.lit("爰審酌被告"), _pick(_POST, K % 3), F.lit("、"), F.when(K % 2 == 0, "手段尚屬平和、").otherwise(""), F.lit("高中畢業之智識程度等一切情狀，量處如主文所示之刑。")
+        F.lit("爰審酌被告"), _pick(_POST, k % 3), F.lit("、"), F.when(k % 2 == 0, "手段尚屬平和、").otherwise(""), F.lit("高中畢業之智識程度等一切情狀，量處如主文所示之刑。")
     )
     body = F.concat(F.lit("主文\n甲處有期徒刑3月\n理由\n"), F.lit("一、本件事實如前。" * 8), F.lit("\n"), weighing)
-    rows = orders(spark, sf_dir).select(F.concat(_pick(tuple(HEADERS), K % 5), K.cast("string")).alias("jid"), body.alias("jfull"))
+    rows = orders(spark, sf_dir).select(F.concat(_pick(tuple(HEADERS), k % 5), k.cast("string")).alias("jid"), body.alias("jfull"))
     return factor_rules.label_factors(rows).select("jid", F.explode("factors").alias("factor", "f")).select("jid", "factor", "f.direction", "f.evidence")
 
 
@@ -123,24 +123,27 @@ def _numeral(n: Column) -> Column:
 
 @query("SELECT o_orderkey AS k, (o_orderkey % 9999 + 1)::INT AS n FROM orders")
 def cn_numeral(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).select("k", numerals.numeral(_numeral(K % 9999 + 1)).alias("n"))
+    k = F.col("k")
+    return orders(spark, sf_dir).select("k", numerals.numeral(_numeral(k % 9999 + 1)).alias("n"))
 
 
 @query("SELECT o_orderkey AS k, ((o_orderkey % 99 + 1) || '.' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0'))::DOUBLE AS x FROM orders")
 def cn_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digits = F.lpad((K % 1000).cast("string"), 3, "0")
-    spoken = F.concat(_numeral(K % 99 + 1), F.lit("點"), F.translate(digits, "0123456789", "零一二三四五六七八九"))
-    return orders(spark, sf_dir).select("k", numerals.decimal(F.when(K % 2 == 0, spoken).otherwise(F.concat((K % 99 + 1).cast("string"), F.lit("."), digits))).alias("x"))
+    k = F.col("k")
+    digits = F.lpad((k % 1000).cast("string"), 3, "0")
+    spoken = F.concat(_numeral(k % 99 + 1), F.lit("點"), F.translate(digits, "0123456789", "零一二三四五六七八九"))
+    return orders(spark, sf_dir).select("k", numerals.decimal(F.when(k % 2 == 0, spoken).otherwise(F.concat((k % 99 + 1).cast("string"), F.lit("."), digits))).alias("x"))
 
 
 @query("""WITH c AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'f' WHEN 2 THEN o_orderkey || '.9' WHEN 3 THEN ' -' || o_orderkey WHEN 4 THEN 'a, b' || o_orderkey || ' ,,a' ELSE '' END AS cell FROM orders)
 SELECT k, CASE WHEN lower(trim(cell)) IN ('1','true','t','y','yes','v') THEN true WHEN lower(trim(cell)) IN ('0','false','f','n','no','x') THEN false END AS b, trunc(try_cast(trim(cell) AS DOUBLE))::INT AS i,
   list_sort(list_distinct(list_filter(list_transform(string_split(cell, ','), lambda x: trim(x)), lambda x: x <> ''))) AS s FROM c""")
 def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = K.cast("string")
+    k = F.col("k")
+    key = k.cast("string")
     cell = (
-        F.when(K % 6 == 0, " Yes ").when(K % 6 == 1, "f").when(K % 6 == 2, F.concat(key, F.lit(".9"))).when(K % 6 == 3, F.concat(F.lit(" -"), key))
-        .when(K % 6 == 4, F.concat(F.lit("a, b"), key, F.lit(" ,,a"))).otherwise("")
+        F.when(k % 6 == 0, " Yes ").when(k % 6 == 1, "f").when(k % 6 == 2, F.concat(key, F.lit(".9"))).when(k % 6 == 3, F.concat(F.lit(" -"), key))
+        .when(k % 6 == 4, F.concat(F.lit("a, b"), key, F.lit(" ,,a"))).otherwise("")
     )
     rows = orders(spark, sf_dir).withColumn("cell", cell)
     c = F.col("cell")
