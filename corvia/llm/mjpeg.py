@@ -28,7 +28,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -231,7 +230,6 @@ STANDARD_CODES = {
 }
 
 
-@lru_cache(maxsize=64)
 def _code_table(counts: bytes, symbols: bytes) -> list[int]:
     """For each value of the next 16 bits: length << 8 | symbol of the code that they begin with, 0 for none."""
     table = np.zeros(1 << 16, dtype=np.int32)
@@ -253,8 +251,12 @@ def _windows(scan: bytes) -> memoryview:
     return memoryview(raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:])
 
 
-def decode_jpeg(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Quantised coefficients of the first component (blocks x 64, coding order, block rows) and its plane of pixels."""
+def decode_jpeg(frame: bytes, looked_up: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients of the first component (blocks x 64, coding order, block rows) and its plane of pixels.
+
+    looked_up keeps the look-up tables of Huffman codes from one frame of a stream to the next.
+    """
+    looked_up = {} if looked_up is None else looked_up
     if frame[:2] != b"\xff\xd8":
         raise ValueError("no JPEG frame")
     at, quant, tables, parts, restart, size = 2, {}, {}, [], 0, None
@@ -314,7 +316,9 @@ def decode_jpeg(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
             known = tables.get(key) or (tuple(map(bytes.fromhex, STANDARD_CODES[key])) if key in STANDARD_CODES else None)
             if known is None:
                 raise ValueError("a Huffman table is missing")
-            coded[key] = _code_table(*known)
+            if known not in looked_up:
+                looked_up[known] = _code_table(*known)
+            coded[key] = looked_up[known]
     plan = [(name, h, v, coded[chosen[name] >> 4], coded[0x10 | chosen[name] & 15]) for name, h, v, _ in parts]
     places, values = [], []  # coefficients of the first component
     wide, window, at, end, before = grid.shape[1], None, 0, 0, {}
@@ -391,6 +395,7 @@ def _own_frames(data: bytes, frames: list[tuple[int, int]]) -> np.ndarray | None
 
 def read_frames(data: bytes, stream: Stream) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
     """For runs of frames: the stored bytes (None for other frames) and luma histograms, frames x BINS."""
+    looked_up: dict = {}
     for at in range(0, len(stream.frames), MANY):
         part = stream.frames[at : at + MANY]
         samples = _own_frames(data, part)
@@ -401,7 +406,7 @@ def read_frames(data: bytes, stream: Stream) -> Iterator[tuple[np.ndarray | None
             frame = np.repeat(np.arange(len(part), dtype=np.int32) * BINS, BLOCKS * 64)
             yield samples, np.bincount(pixels.reshape(-1) + frame, minlength=len(part) * BINS).reshape(-1, BINS)
         else:
-            yield None, np.stack([np.bincount(decode_jpeg(data[o : o + n])[1].reshape(-1) >> 3, minlength=BINS) for o, n in part])
+            yield None, np.stack([np.bincount(decode_jpeg(data[o : o + n], looked_up)[1].reshape(-1) >> 3, minlength=BINS) for o, n in part])
 
 
 # --- shots

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -12,9 +12,19 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named in spark.checkpoint.dir, else the one given to setCheckpointDir.
+
+    Only on one machine (a local master, as in tests), and where both are unset, a temporary folder of this process;
+    on a cluster without either it is an error, since executors would not see each other's files.
+    """
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        given = sc._jsc.sc().getCheckpointDir()
+        root = given.get() if given.isDefined() else None
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("corvia.shared.dir", None)
         if not root:
             root = tempfile.mkdtemp(prefix="corvia-")
@@ -42,15 +52,5 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that are over.
-
-    It does so when the driver's JVM collects the garbage that those plans have become, which a driver with
-    much memory may not do for long; after a large shuffle whose result has been written it pays to ask.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
