@@ -30,14 +30,3 @@ def test_one_folder_for_a_process_on_one_machine(monkeypatch, tmp_path):
     monkeypatch.setattr(store.tempfile, "mkdtemp", lambda prefix: str(tmp_path / prefix))
     one = session("local[4]")
     assert store.shared_dir(one) == store.shared_dir(one) == str(tmp_path / "corvia-")
-
-
-def test_session_accepts_set_checkpoint_dir(spark, tmp_path):
-    before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    try:
-        assert str(tmp_path) in store.shared_dir(spark)
-        assert store.materialise(spark.range(3), "few").count() == 3
-        assert list(tmp_path.rglob("corvia/few-*"))
-    finally:
-        spark.sparkContext._jsc.sc().setCheckpointDir(before.get() if before.isDefined() else "/tmp/corvia-after-tests")
