@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvia.llm import ann, html_tree, jaccard, line_dedup, mixing, mjpeg, packing, quality, suffix_dedup, token_count
+from corvia.llm import (
+    anchor_dedup, ann, delta_lloyd, html_tree, jaccard, line_dedup, mixing, mjpeg, packing, quality, suffix_dedup, token_count, vector_codes,
+    vector_sql,
+)
 from corvia.llm.store import table
 
 
@@ -60,6 +63,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_dedup.passage_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mjpeg": op1_mjpeg,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -71,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
+    "op11_passages": op11_passages,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_delta_lloyd": op13_delta_lloyd,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -120,4 +138,22 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken,
   CASE WHEN target > 0 THEN (upto - size) / target END AS start, CASE WHEN target > 0 THEN upto / target END AS finish
 FROM p LEFT JOIN k USING (i)
 """,
+    "op11_passages": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (SELECT i, doc_id, unnest(words) AS word, unnest(range(len(words))) AS p, len(words) AS n FROM d),
+s AS (
+  SELECT i, doc_id, word, p, n, string_agg(word, ' ') OVER (PARTITION BY i ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM w),
+f AS (
+  SELECT i, p, min(doc_id) OVER (PARTITION BY win) AS first, doc_id, min(p) OVER (PARTITION BY win, i) AS own FROM s WHERE p + 20 <= n),
+g AS (SELECT i, p FROM f WHERE first < doc_id OR (first IS NOT NULL AND doc_id IS NULL) OR own < p),
+c AS (
+  SELECT w.i, w.p, word, coalesce(max((g.i IS NOT NULL)::INT) OVER (PARTITION BY w.i ORDER BY w.p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN g USING (i, p)),
+k AS (SELECT i, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY i)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (i)
+""",
+    "op12_vector_codes": vector_sql.codes_sql(),
+    "op13_delta_lloyd": vector_sql.clusters_sql(),
 }
