@@ -261,7 +261,7 @@ def earlier_passages_removed(docs: DataFrame, length: int = 20) -> DataFrame:
 
         return work
 
-    return map_rows(joined.select(*(F.col(f"d.`{c}`") for c in own), "copy", "starts"), schema, make)
+    return map_rows(joined.select(*(F.col(f"d.`{c}`").alias(f"c{i}") for i, c in enumerate(own)), "copy", "starts"), schema, make)
 
 
 def passage_digests(docs: DataFrame, length: int = 20) -> DataFrame:
