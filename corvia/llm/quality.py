@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from corvia.llm.arrow import ROWS, map_rows
 from corvia.llm.store import materialise
@@ -137,7 +138,7 @@ def context_sums(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows of two kinds: key and codes of each document; block, salt and sums of each task's part of the sketch."""
+    """Rows of two kinds: key (any column, also a whole row) and codes of each document; block, salt and sums of each task's part of the sketch."""
     names = ["key", "codes", "block", "salt", "sums"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +193,8 @@ def _read(docs: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind_of_key = to_arrow_type(docs.schema[key].dataType)
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(gather, f"key {kind}, codes binary, block int, salt int, sums binary")
+    schema = StructType([StructField("key", docs.schema[key].dataType)] + _parse_datatype_string("codes binary, block int, salt int, sums binary").fields)
+    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(gather, schema)
 
 
 def sketch(read: DataFrame) -> np.ndarray:
@@ -354,11 +355,14 @@ def fit_on(codes: DataFrame, known: WordVectors, few: DataFrame) -> Network:
     return fit(_matrix([np.frombuffer(r["features"], dtype=np.float32) for r in rows]), np.array([r["y"] for r in rows], dtype=np.float64))
 
 
-def _learned(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, held_out: int | None) -> tuple[DataFrame, WordVectors, Network]:
-    read = materialise(_read(docs, "doc_id", "text"), "word-codes")
+def _learned(
+    docs: DataFrame, key: str, text: str, id_: str, labels: DataFrame, label: str, max_labelled: int, held_out: int | None
+) -> tuple[DataFrame, WordVectors, Network]:
+    """key and codes of each document, the word vectors and the network; id_ is where the key has the document's id."""
+    read = materialise(_read(docs, key, text), "word-codes")
     codes = read.where("codes IS NOT NULL").select("key", "codes")
     known = WordVectors.of(sketch(read))
-    return codes, known, fit_on(codes, known, labelled(labels, label, held_out, max_labelled))
+    return codes, known, fit_on(codes.select(F.col(id_).alias("key"), "codes"), known, labelled(labels, label, held_out, max_labelled))
 
 
 def classify(
@@ -368,7 +372,7 @@ def classify(
 
     Labels of rows whose crc32(doc_id as text) leaves the remainder held_out by 3 are not learned from.
     """
-    codes, known, net = _learned(docs, labels, label, max_labelled, held_out)
+    codes, known, net = _learned(docs, "doc_id", "text", "key", labels, label, max_labelled, held_out)
 
     def make():
         def work(keys, blobs):
@@ -388,17 +392,11 @@ def good_documents(
     docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8_000, held_out: int | None = 1
 ) -> DataFrame:
     """docs without the rows that the classifier rejects, judged by their texts alone; all columns as they are."""
-    _, known, net = _learned(docs, labels, label, max_labelled, held_out)
+    whole = docs.select(F.struct("*").alias("d"), "text")  # each row travels beside its codes, so texts are taken apart once
+    codes, known, net = _learned(whole, "d", "text", "key.doc_id", labels, label, max_labelled, held_out)
 
     @F.pandas_udf("boolean")
-    def good(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words()
-        for part in texts:
-            rows = []
-            for x in part:
-                if words.full():
-                    words.forget()
-                rows.append(known.features(words.codes_of(words.of(x))))
-            yield pd.Series(net.scores(_matrix(rows)) >= 0.5, dtype=bool)
-
-    return docs.where(good("text"))
+    def good(blobs: pd.Series) -> pd.Series:
+        return pd.Series(net.scores(_matrix([known.features(np.frombuffer(b, dtype=np.int32)) for b in blobs])) >= 0.5, dtype=bool)
+
+    return codes.where(good("codes")).select("key.*")
