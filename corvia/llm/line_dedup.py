@@ -76,7 +76,7 @@ def _edited(docs: DataFrame, site: str, min_sites: int, min_words: int, margin:
 
 
 def dedup_lines(
-    docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 3, margin: float = 0.25, log_k: int = 11
+    docs: DataFrame, site: str = "source", min_sites: int = 3, min_words: int = 3, margin: float = 0.25, log_k: int = 11
 ) -> DataFrame:
     """docs with two more columns, n_lines and n_removed, and text without boilerplate lines."""
     own = [F.col("d").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
@@ -84,7 +84,7 @@ def dedup_lines(
 
 
 def without_boilerplate(
-    docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 3, margin: float = 0.25, log_k: int = 11
+    docs: DataFrame, site: str = "source", min_sites: int = 3, min_words: int = 3, margin: float = 0.25, log_k: int = 11
 ) -> DataFrame:
     """docs, in their own columns, without boilerplate lines; n_chars, if there, is counted anew where lines went.
 

@@ -98,7 +98,7 @@ common AS (
   SELECT line, min(doc_id) AS keeper FROM l
   WHERE length(line) - length(regexp_replace(line, '[^\x20\x09-\x0D]+', '', 'g')) > 0
     AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
-  GROUP BY line HAVING count(DISTINCT site) >= 10),
+  GROUP BY line HAVING count(DISTINCT site) >= 3),
 hit AS (SELECT DISTINCT l.doc_id, l.line FROM l JOIN common USING (line) WHERE l.doc_id <> common.keeper),
 hits AS (SELECT doc_id, list(line) AS lines FROM hit GROUP BY doc_id)
 SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines,
