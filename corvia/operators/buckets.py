@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from corvia.operators import selection
+
 
 def bucket_stats(df: DataFrame, keys: list[str], value: str, least: int = 3) -> DataFrame:
     """keys, n, p25, p50, p75, mean; percentiles between ranks, rounded to one place; groups of fewer than `least` go."""
-    q = lambda p: F.round(F.percentile(value, p), 1)
-    stats = df.groupBy(*keys).agg(
-        F.count(value).alias("n"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.round(F.avg(value), 1).alias("mean")
-    )
-    return stats.where(F.col("n") >= least)
+    rows = df.select(F.struct(*keys).alias("_key"), F.col(value).alias("_v"))
+    sums = rows.groupBy("_key").agg(F.count("_v").alias("n"), F.round(F.avg("_v"), 1).alias("mean")).where(F.col("n") >= least)
+    q = selection.percentiles(rows, ["_key"], "_v", [0.25, 0.5, 0.75]).select("_key", "percentiles")
+    at = [F.round(F.col("percentiles")[i], 1).alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
+    return sums.join(q, "_key").select("_key.*", "n", *at, "mean")
 
 
 def lookup_cascade(cases: DataFrame, buckets: DataFrame, exact: list[str], relaxed: list[str], loose: list[str], value: str) -> DataFrame:

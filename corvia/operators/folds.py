@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import NumericType, TimestampType
 
+from corvia.operators import selection
+
 
 def with_rank(df: DataFrame, date: str, tie: list[str], name: str = "rank", deal: int = 64) -> DataFrame:
     """A 0-based rank by date, then tie.
@@ -51,13 +53,12 @@ def walk_forward(df: DataFrame, date: str, tie: list[str], folds: int = 5, least
 
 def tail_shift(df: DataFrame, date: str, tie: list[str], y: str, prediction: str, alpha: float, share: float = 0.85, least: int = 50) -> DataFrame:
     """The alpha quantile of y - prediction on the last rows in order; 0 for fewer than `least` rows."""
-    ranked = with_rank(df, date, tie).crossJoin(F.broadcast(df.agg(F.count("*").alias("_total"))))
-    cut = F.greatest(F.lit(1), F.floor(F.col("_total") * share))
-    tail = F.when(F.col("rank") >= cut, F.col(y) - F.col(prediction))
-    return ranked.groupBy().agg(
-        F.count(tail).alias("n_tail"),
-        F.when(F.count("*") < least, 0.0).otherwise(F.percentile(tail, alpha)).alias("shift"),
-    )
+    n = df.count()
+    tail = with_rank(df, date, tie).where(F.col("rank") >= max(1, int(n * share))).select((F.col(y) - F.col(prediction)).alias("e"))
+    found = selection.percentiles(tail, [], "e", [alpha]).select(F.col("percentiles")[0].alias("p"))
+    one = tail.agg(F.count("e").alias("n_tail"))
+    shift = F.lit(0.0) if n < least else F.col("p")
+    return one.join(found, F.lit(True), "left").select("n_tail", shift.alias("shift"))  # a row each
 
 
 def sample_by_hash(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from corvia.operators import selection
+from corvia.sources.written import materialise
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -37,35 +40,50 @@ def crossings(p25: Column, p50: Column, p75: Column, eps: float = 1e-6) -> Colum
 
 
 def group_errors(df: DataFrame, by: list[str], y: str, prediction: str) -> DataFrame:
-    e = F.abs(F.col(y) - F.col(prediction))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(e).alias("mae"), F.percentile(e, 0.5).alias("median_abs_error"))
+    """n, mae, median_abs_error of each group; the median by ranges of the errors."""
+    errors = df.select(F.struct(F.lit(0).alias("_"), *by).alias("_g"), F.abs(F.col(y) - F.col(prediction)).alias("_e"))
+    sums = errors.groupBy("_g").agg(F.count("*").alias("n"), F.avg("_e").alias("mae"))
+    median = selection.percentiles(errors, ["_g"], "_e", [0.5]).select("_g", F.col("percentiles")[0].alias("median_abs_error"))
+    return sums.join(median, "_g", "left").select(*(F.col("_g").getField(c).alias(c) for c in by), "n", "mae", "median_abs_error")
 
 
 def nearest_rank_quartiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The values at places n/4, n/2 and 3n/4 (rounded down, from 0) in order, mean and greatest.
-
-    Places come from counts of equal values, so a group is never sorted as a whole.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = W.partitionBy(*by).orderBy(value) if by else W.orderBy(value)
-    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    placed = counts.withColumn("_upto", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole))
-    at = lambda k: F.min(F.when(F.col("_upto") > F.expr(f"{k} * _all div 4"), F.col(value)))
-    return placed.groupBy(*by).agg(
-        F.sum("_n").alias("n"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"),
-        (F.sum(F.col("_n") * F.col(value)) / F.sum("_n")).alias("mean"), F.max(value).alias("max"),
+    """The values at places n/4, n/2 and 3n/4 (rounded down, from 0) in order, mean and greatest."""
+    rows = df.select(F.struct(F.lit(0).alias("_"), *by).alias("_g"), F.col(value).alias("_v"))
+    sums = rows.where("_v IS NOT NULL").groupBy("_g").agg(F.avg("_v").alias("mean"), F.max("_v").alias("max"))
+    at = selection.at_ranks(rows, ["_g"], "_v", [lambda n, k=k: F.floor(n * k / 4) for k in (1, 2, 3)])
+    return at.join(sums, "_g").select(
+        *(F.col("_g").getField(c).alias(c) for c in by), "n", *(F.col("values")[k - 1].alias(f"q{k}") for k in (1, 2, 3)), "mean", "max"
     )
 
 
-def average_precision(df: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
-    """Steps of recall times precision, ties of score taken together; null without positives."""
-    steps = df.groupBy(*by, score).agg(F.count_if(F.col(positive)).alias("_p"), F.count("*").alias("_n"))
-    down = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    steps = steps.withColumn("_tp", F.sum("_p").over(down)).withColumn("_k", F.sum("_n").over(down))
-    out = steps.groupBy(*by).agg(
-        F.sum("_n").alias("n"), F.sum("_p").alias("positives"),
-        F.try_divide(F.sum(F.col("_p") * F.col("_tp") / F.col("_k")), F.sum("_p")).alias("average_precision"),
-    )
+def average_precision(df: DataFrame, by: list[str], score: str, positive: str, limit: int = 200_000) -> DataFrame:
+    """Steps of recall times precision, ties of score taken together; null without positives.
+
+    Running sums go over ranges of the scores first: each group is cut at up to `n / limit` edges of a sketch, the sums of
+    its ranges are added up, and only rows of one range are put in order together.
+    """
+    g = F.struct(F.lit(0).alias("_"), *by)
+    steps = df.groupBy(g.alias("g"), F.col(score).alias("s")).agg(F.count_if(F.col(positive)).alias("p"), F.count("*").alias("k"))
+    steps = materialise(steps, "scores")
+    most = steps.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    cuts = min(10_000, -(-most // limit))
+    down = lambda *w: W.partitionBy(*w).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    if cuts <= 1:
+        run = steps.withColumns({"tp": F.sum("p").over(down("g")), "upto": F.sum("k").over(down("g"))})
+    else:
+        share = [i / cuts for i in range(1, cuts)]
+        edges = materialise(steps.groupBy("g").agg(F.array_distinct(F.percentile_approx("s", share, 4 * cuts)).alias("e")), "score-edges")
+        parts = steps.join(edges, "g").select("g", "s", "p", "k", F.size(F.filter("e", lambda e: e < F.col("s"))).alias("part"))
+        sums = parts.groupBy("g", "part").agg(F.sum("p").alias("above_p"), F.sum("k").alias("above_k"))
+        before = W.partitionBy("g").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.select("g", "part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("above_p", "above_k")))
+        run = parts.join(sums, ["g", "part"]).withColumns({
+            "tp": F.col("above_p") + F.sum("p").over(down("g", "part")), "upto": F.col("above_k") + F.sum("k").over(down("g", "part")),
+        })
+    out = run.groupBy("g").agg(
+        F.sum("k").alias("n"), F.sum("p").alias("positives"), F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("upto")), F.sum("p")).alias("average_precision"),
+    ).select(*(F.col("g").getField(c).alias(c) for c in by), "n", "positives", "average_precision")
     base = F.col("positives") / F.col("n")
     return out.withColumn("base_rate", base).withColumn("lift", F.col("average_precision") / F.greatest(base, F.lit(1e-9)))
 

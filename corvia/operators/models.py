@@ -1,115 +1,132 @@
 """Sentence and probation models on training rows, with ranges applied to what they predict.
 
-The heads are gradient-boosted trees of the ML library; quantile heads, which it does not have, are the
-distribution of the training labels in the leaves of a forest: trees vote with their leaf's quantile.
+All heads (an ensemble of medians over seeds, two quantiles, probation) are boosted trees trained together in one
+run over the data; see boosting. Quantile heads are shifted so that on the last 15 % of the rows in order
+exactly their share lies below. With fewer than 50 rows nothing is held back: all rows teach, shifts are 0.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvia.operators import folds, statute
+from corvia.operators import folds, selection, statute
+from corvia.operators.boosting import Bins, Boosted, Head, Tree, _bytes, binned, learn_bins, train as boost
 from corvia.operators.metrics import best_threshold
 
 LABEL, PROBATION = "sentence_months", "_probation"
+SEEDS = 3
+QUANTILES = {"p25": 0.25, "p75": 0.75}
 
 
 @dataclass
 class Bundle:
     columns: list[str]
-    median: GBTRegressionModel
-    trees: list[DecisionTreeRegressionModel]
-    leaves: list[DataFrame]
-    probation: GBTClassificationModel | None
+    bins: Bins
+    heads: dict[str, Boosted]  # p50-0 .. p50-2, p25, p75 and, where there are positives, probation
     metadata: dict = field(default_factory=dict)
 
 
-def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
-    cast = df.select(*(F.col(c) for c in df.columns if c not in columns), *(F.col(c).cast("double") for c in columns))
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(cast)
-
-
-def train(rows: DataFrame, columns: list[str], order: tuple[str, list[str]] = ("_jdate", ["jid"]), trees: int = 5, rounds: int = 20, depth: int = 5, seed: int = 7) -> Bundle:
-    """All heads; the last 15 % in order are held back for early stopping and for the threshold."""
-    n = rows.count()
-    ranked = assembled(folds.with_rank(rows, *order), columns).withColumn("_late", F.col("rank") >= int(n * 0.85)).cache()
-    median = GBTRegressor(
-        labelCol=LABEL, lossType="absolute", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=seed, validationIndicatorCol="_late",
-    ).fit(ranked)
-    models, leaves = [], []
-    for i in range(trees):
-        part = ranked.where(F.xxhash64(F.lit(i), *order[1]) % 10 < 7)
-        tree = DecisionTreeRegressor(labelCol=LABEL, maxDepth=depth, leafCol="leaf", minInstancesPerNode=5, seed=seed + i).fit(part)
-        stats = tree.transform(part).groupBy("leaf").agg(*(F.percentile(LABEL, q).alias(f"q{int(100 * q)}") for q in (0.25, 0.75)))
-        models.append(tree)
-        leaves.append(stats)
-    about: dict = {"n_rows": n, "threshold": 0.5}
-    positives = rows.where(F.col(PROBATION) == 1).count()
-    about["base_rate"] = positives / n if n else 0.0
-    probation = None
+def held_back(n: int) -> int:
+    """The rows that teach, of n in order; the others are the tail."""
+    return n if n < 50 else max(1, int(n * 0.85))
+
+
+def heads_for(fold: int, n: int, positives: int, seed: int, seeds: int = SEEDS) -> list[Head]:
+    fit = held_back(n)
+    out = [Head(f"p50-{i}", fold, 0.5, seed + i, fit, n) for i in range(seeds)] + [Head(k, fold, a, seed, fit, n) for k, a in QUANTILES.items()]
     if 2 <= positives < n:
-        weight = max(1.0, (n - positives) / positives) ** 0.5
-        weighed = ranked.withColumns({"w": F.when(F.col(PROBATION) == 1, weight).otherwise(1.0), "y": F.col(PROBATION).cast("double")})
-        probation = GBTClassifier(labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, seed=seed, validationIndicatorCol="_late").fit(weighed)
-        late = probation.transform(weighed.where("_late")).select(_probability().alias("s"), (F.col("y") == 1).alias("p"))
-        about["threshold"] = float(best_threshold(late, [], "s", "p").first()["threshold"])
-    ranked.unpersist()
-    return Bundle(columns, median, models, leaves, probation, about)
+        out.append(Head("probation", fold, None, seed, fit, n, max(1.0, (n - positives) / positives) ** 0.5))
+    return out
+
+
+def prepared(rows: DataFrame, columns: list[str], order: tuple[str, list[str]]) -> tuple[DataFrame, Bins]:
+    """rows with rank, key, y, p and the bytes of their features' bins."""
+    ranked = folds.with_rank(rows, *order)
+    bins = learn_bins(rows, columns)
+    known = ranked.withColumns({"key": F.xxhash64(*(F.col(c).cast("string") for c in order[1])), "y": F.col(LABEL).cast("double"), "p": F.coalesce(F.col(PROBATION), F.lit(0)).cast("int")})
+    return binned(known, bins), bins
+
+
+def scored(rows: DataFrame, models: dict[str, Boosted], width: int) -> DataFrame:
+    """rows with a column for each model's prediction, in one pass; rows have the bytes x."""
+    schema = rows.select("*", *(F.lit(0.0).alias(n) for n in models)).schema
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _bytes(batch.column("x"), np.uint8, width)
+            for name, model in models.items():
+                batch = batch.append_column(name, pa.array(model.predict(x)))
+            yield batch
 
-def _probability() -> Column:
-    return vector_to_array("probability")[1]
+    return rows.mapInArrow(run, schema)
+
+
+def mean_of(names: list[str]) -> Column:
+    return sum((F.col(f"`{n}`") for n in names[1:]), F.col(f"`{names[0]}`")) / len(names)
+
+
+def train(rows: DataFrame, columns: list[str], order: tuple[str, list[str]] = ("_jdate", ["jid"]), rounds: int = 20, depth: int = 3, seed: int = 7, **options) -> Bundle:
+    """All heads on all rows; the last 15 % in order are held back for the number of rounds, the threshold and the shifts."""
+    ready, bins = prepared(rows, columns, order)
+    n, positives = rows.agg(F.count("*"), F.count_if(F.col(PROBATION) == 1)).first()
+    heads = heads_for(0, n, positives, seed)
+    heads = {m.head.name: m for m in boost(ready, bins, heads, rounds=rounds, depth=depth, **options)}
+    about = {"n_rows": n, "base_rate": positives / n if n else 0.0, "threshold": 0.5, "delta25": 0.0, "delta75": 0.0, "calibrated": n >= 50}
+    if n >= 50:
+        tail = scored(ready.where(F.col("rank") >= held_back(n)).select("y", "p", "x"), {k: m for k, m in heads.items() if not k.startswith("p50")}, len(columns))
+        for k, a in QUANTILES.items():
+            found = selection.percentiles(tail.select((F.col("y") - F.col(k)).alias("e")), [], "e", [a]).first()
+            about[f"delta{k[1:]}"] = float(found["percentiles"][0])
+        if "probation" in heads:
+            late = tail.select(F.col("probation").alias("s"), (F.col("p") == 1).alias("p"))
+            about["threshold"] = float(best_threshold(late, [], "s", "p").first()["threshold"])
+    return Bundle(columns, bins, heads, about)
 
 
 def predict(bundle: Bundle, rows: DataFrame, constraint: Column) -> DataFrame:
-    """rows with raw, p25, p50, p75 within the range and in order, clipped, rule_applied, probation and its probability."""
-    out = assembled(rows, bundle.columns)
-    out = bundle.median.transform(out).withColumnRenamed("prediction", "raw")
-    for i, (tree, leaves) in enumerate(zip(bundle.trees, bundle.leaves, strict=True)):
-        named = leaves.select(F.col("leaf").alias(f"_l{i}"), F.col("q25").alias(f"_a{i}"), F.col("q75").alias(f"_b{i}"))
-        found = tree.transform(out).drop("prediction").withColumnRenamed("leaf", f"_l{i}")
-        out = found.join(F.broadcast(named), f"_l{i}", "left")  # at most 2 ** depth leaves
-    mean = lambda p: reduce(lambda a, b: a + b, [F.col(f"_{p}{i}") for i in range(len(bundle.trees))]) / len(bundle.trees)
-    out = out.withColumn("_o", statute.constrained(mean("a"), F.col("raw"), mean("b"), constraint))
-    if bundle.probation is not None:
-        out = bundle.probation.transform(out).withColumn("probation_probability", _probability()).drop("rawPrediction", "prediction", "probability")
-    else:
-        out = out.withColumn("probation_probability", F.lit(0.0))
-    out = out.withColumn("probation", F.col("probation_probability") >= bundle.metadata["threshold"])
-    return out.select(*(c for c in out.columns if c not in ("_o", "features") and not c.startswith(("_l", "_a", "_b")) or c in rows.columns), "_o.*")
+    """rows with raw, p25, p50, p75 within the range and in order, clipped, rule_applied, probation and its probability.
+
+    p25 and p75 are shifted as the bundle says before they are clipped; raw is the mean of the medians, unclipped.
+    """
+    own = rows.select(F.struct(*rows.columns).alias("_row"), constraint.alias("_c"), *(F.col(c).alias(f"f{i}") for i, c in enumerate(bundle.columns)))
+    ready = binned(own, Bins([f"f{i}" for i in range(len(bundle.columns))], bundle.bins.edges)).select("_row", "_c", "x")
+    out = scored(ready, bundle.heads, len(bundle.columns)).withColumn("_raw", mean_of([k for k in bundle.heads if k.startswith("p50")]))
+    low, high = F.col("p25") + bundle.metadata["delta25"], F.col("p75") + bundle.metadata["delta75"]
+    probability = F.col("probation") if "probation" in bundle.heads else F.lit(0.0)
+    done = out.select("_row", F.col("_raw").alias("raw"), statute.constrained(low, F.col("_raw"), high, F.col("_c")).alias("_o"), probability.alias("probation_probability"))
+    return done.select("_row.*", "raw", "probation_probability", (F.col("probation_probability") >= bundle.metadata["threshold"]).alias("probation"), "_o.*")
 
 
 def importances(bundle: Bundle, k: int = 20) -> list[tuple[str, float]]:
-    ranked = sorted(zip(bundle.columns, bundle.median.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
-    return ranked[:k]
+    """Features by their share of the gains of the first median's splits."""
+    gain = np.zeros(len(bundle.columns))
+    for t in bundle.heads["p50-0"].trees:
+        np.add.at(gain, t.feature, t.gain)
+    share = gain / max(gain.sum(), 1e-30)
+    return sorted(zip(bundle.columns, share.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
 
 
-def save(bundle: Bundle, path: str) -> None:
-    bundle.median.write().overwrite().save(f"{path}/median")
-    for i, (tree, leaves) in enumerate(zip(bundle.trees, bundle.leaves, strict=True)):
-        tree.write().overwrite().save(f"{path}/tree-{i}")
-        leaves.write.mode("overwrite").parquet(f"{path}/leaves-{i}")
-    if bundle.probation is not None:
-        bundle.probation.write().overwrite().save(f"{path}/probation")
-    about = bundle.metadata | {"columns": bundle.columns, "trees": len(bundle.trees), "probation": bundle.probation is not None}
-    leaves = bundle.leaves[0].sparkSession
-    leaves.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+def save(spark: SparkSession, bundle: Bundle, path: str) -> None:
+    """Heads, bins and metadata as lines of JSON, by Spark's writer, so any store will do."""
+    lines = [{"kind": "about", "columns": bundle.columns, "edges": [e.tolist() for e in bundle.bins.edges], "metadata": bundle.metadata}]
+    for m in bundle.heads.values():
+        trees = [{k: v.tolist() for k, v in vars(t).items()} for t in m.trees]
+        lines.append({"kind": "head", "head": asdict(m.head), "base": m.base, "trees": trees})
+    spark.createDataFrame([(json.dumps(x),) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load(spark: SparkSession, path: str) -> Bundle:
-    about = json.loads(spark.read.text(f"{path}/about").first()[0])
-    return Bundle(
-        about.pop("columns"), GBTRegressionModel.load(f"{path}/median"),
-        [DecisionTreeRegressionModel.load(f"{path}/tree-{i}") for i in range(about["trees"])],
-        [spark.read.parquet(f"{path}/leaves-{i}") for i in range(about.pop("trees"))],
-        GBTClassificationModel.load(f"{path}/probation") if about.pop("probation") else None, about,
-    )
+    lines = [json.loads(r[0]) for r in spark.read.text(path).collect()]  # a line a head
+    about = next(x for x in lines if x["kind"] == "about")
+    heads = {}
+    for x in lines:
+        if x["kind"] == "head":
+            head = Head(**x["head"])
+            heads[head.name] = Boosted(head, x["base"], [Tree(**{k: np.array(v) for k, v in t.items()}) for t in x["trees"]])
+    return Bundle(about["columns"], Bins(about["columns"], [np.array(e) for e in about["edges"]]), heads, about["metadata"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvia.functions import numerals, text
-from corvia.operators import buckets, corpus_filter, extract, factor_rules, folds, labels, metrics, registry, statute, training
+from corvia.operators import buckets, corpus_filter, extract, factor_rules, folds, labels, metrics, registry, selection, statute, training
 from corvia.plans.cases import BASE, CASES, cases, constrained_cases, table
 from corvia.plans.registered import QUERIES, SQL, query  # noqa: F401
 
@@ -108,8 +108,8 @@ def nearest_rank_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75 FROM events GROUP BY event_type""")
 def interp_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = lambda a: F.percentile("value", a)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("value").alias("n"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"))
+    found = selection.percentiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.25, 0.5, 0.75])
+    return found.select("event_type", "n", *(F.col("percentiles")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))))
 
 
 _SCORED = """s AS (SELECT lang, n_chars::DOUBLE / 1000 AS score, quality = 1 AS good FROM labels JOIN documents USING (doc_id))"""
@@ -183,7 +183,7 @@ m AS (SELECT fold, quantile_cont(months, 0.5) AS guess FROM f WHERE rank < lo GR
 SELECT fold, count(*) AS n, avg(abs(months - guess)) AS mae FROM f JOIN m USING (fold) WHERE rank >= lo AND rank < hi GROUP BY fold""")
 def median_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = folds.walk_forward(cases(spark, sf_dir), "jdate", ["case_id"])
-    guess = rows.where("role = 'train'").groupBy("fold").agg(F.percentile("months", 0.5).alias("guess"))
+    guess = selection.percentiles(rows.where("role = 'train'"), ["fold"], "months", [0.5]).select("fold", F.col("percentiles")[0].alias("guess"))
     tested = rows.where("role = 'test'").join(F.broadcast(guess), "fold")  # a row for each fold
     return tested.groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("months") - F.col("guess"))).alias("mae"))
 
@@ -210,10 +210,12 @@ def explode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CASES} SELECT count(*) AS n, quantile_cont(months, 0.5) AS median, avg(months) AS mean, max(months) AS max, min(jdate) AS first_date, max(jdate) AS last_date FROM cases""")
 def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases(spark, sf_dir).groupBy().agg(
-        F.count("*").alias("n"), F.percentile("months", 0.5).alias("median"), F.avg("months").alias("mean"),
-        F.max("months").alias("max"), F.min("jdate").alias("first_date"), F.max("jdate").alias("last_date"),
+    rows = cases(spark, sf_dir)
+    median = selection.percentiles(rows, [], "months", [0.5]).select(F.col("percentiles")[0].alias("median"))
+    sums = rows.groupBy().agg(
+        F.count("*").alias("n"), F.avg("months").alias("mean"), F.max("months").alias("max"), F.min("jdate").alias("first_date"), F.max("jdate").alias("last_date"),
     )
+    return sums.join(median, F.lit(True), "left").select("n", "median", "mean", "max", "first_date", "last_date")  # a row each
 
 
 # --- buckets
@@ -442,4 +444,4 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("order_id", "court", "behavior", "months", "rank")
 
 
-from corvia.plans import judgments, review_queries  # noqa: E402, F401  register their own
+from corvia.plans import judgments, model_queries, review_queries  # noqa: E402, F401  register their own
