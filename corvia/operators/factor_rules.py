@@ -1,17 +1,10 @@
-"""Sentencing factors by rule lists: a block of reasons, then the first rule of each factor that fits.
+"""Headings, openers, ends and rules of the first labeler of the ten sentencing factors; labelers reads them.
 
-The lists are data: factor, direction and pattern in order of precedence. Texts are read without white
-space, so patterns have none. The evidence is the stretch around the match up to the punctuation near it.
+Rules are factor, direction and pattern in order of precedence. Texts are read without white space, so patterns have none.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from corvia.functions.text import FLAGS, section
-
 # Headings of the reasons, stamps that end them, openers and ends of the weighing block.
 REASONS = ("事實及理由", "理由", "論罪科刑")
 _DATE = r"中\s*華\s*民\s*國\s*\d{2,3}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日"
@@ -23,7 +16,6 @@ OPENERS = (
 )
 BLOCK_ENDS = (r"量處(?:如?主文|[本宣]告)?", "分別量處", "處以主文", "科處如主文", "以資[懲儆警]", "附錄", "沒收部分")
 PUNCTUATION = "，。；：、,;:!?"
-BEFORE, AFTER = re.compile(f"[^{PUNCTUATION}]*$"), re.compile(f"[^{PUNCTUATION}]*")
 
 # Rules of the ten factors, by precedence of direction, then of pattern.
 RULES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
@@ -86,54 +78,3 @@ RULES: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = {
         ("neutral", ("犯後態度", "犯罪後之?態度")),
     ),
 }
-
-
-def squeezed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+", "")
-
-
-def reasons(text: Column, shortest: int = 50) -> Column:
-    found = [section(text, title, REASON_ENDS) for title in REASONS]
-    return F.coalesce(*(F.when(F.length(x) >= shortest, x) for x in found), text)
-
-
-def weighing_block(text: Column) -> Column:
-    """From the opener that comes first in the list, to the earliest end and 30 characters on; the whole text without one."""
-    at = F.coalesce(*(F.nullif(F.regexp_instr(text, F.lit(FLAGS + p)), F.lit(0)) for p in OPENERS))
-    tail = F.substring(text, at, F.length(text))
-    rest = F.substring(tail, F.lit(2), F.length(tail))
-    ends = F.least(*(F.nullif(F.regexp_instr(rest, F.lit(FLAGS + p)), F.lit(0)) for p in BLOCK_ENDS))
-    return F.when(at.isNull(), text).otherwise(F.substring(tail, F.lit(1), F.coalesce(ends, F.length(tail)) + 30))
-
-
-def label(block: str, rules: list[tuple[str, list[re.Pattern[str]]]], reach: int = 40, most: int = 80) -> tuple[str, str]:
-    """direction and evidence by the first pattern of the first direction that occurs; absent without any."""
-    for direction, patterns in rules:
-        for pattern in patterns:
-            if hit := pattern.search(block):
-                left = BEFORE.search(block, max(0, hit.start() - reach), hit.start())
-                right = AFTER.match(block, hit.end(), hit.end() + reach)
-                return direction, block[left.start() : right.end()][:most]
-    return "absent", ""
-
-
-def label_factors(cases: DataFrame, rules: dict = RULES) -> DataFrame:
-    """jid, jfull -> jid and a map of factor to direction and evidence.
-
-    Some hundred patterns with positions would make an endless expression; they run in Arrow batches.
-    """
-    text = cases.select("jid", reasons(F.col("jfull")).alias("text")).select("jid", squeezed(F.col("text")).alias("text"))
-    blocks = text.select("jid", weighing_block(F.col("text")).alias("block"))
-
-    def run(batches):
-        import pandas as pd
-
-        compiled = {f: [(d, [re.compile(p) for p in ps]) for d, ps in r] for f, r in rules.items()}
-        for batch in batches:
-            out = []
-            for block in batch["block"]:
-                found = {f: label(block or "", r) for f, r in compiled.items()}
-                out.append({f: {"direction": d, "evidence": e} for f, (d, e) in found.items()})
-            yield pd.DataFrame({"jid": batch["jid"], "factors": out})
-
-    return blocks.mapInPandas(run, "jid string, factors map<string,struct<direction:string,evidence:string>>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvia.functions import numerals
-from corvia.operators import corpus_filter, extract, factor_rules, labels
+from corvia.operators import corpus_filter, extract, labelers, labels
 from corvia.plans.cases import table
 from corvia.plans.registered import query
 
@@ -96,20 +96,61 @@ def corpus_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_filter.select_cases(judgments(spark, sf_dir), corpus_filter.ALL_COURTS).select("jid", "court", "court_name")
 
 
-_POST = ("犯後坦承犯行", "犯後矢口否認", "犯後態度")
+# Weighing blocks in which each of the ten factors stands, in favour of the defendant, against, or by name alone.
+WEIGHING = (
+    "爰以行為人責任為基礎，審酌被告一時失慮，受刺激而犯，手段尚屬平和，素行良好，並無前科，其施用行為戕害自身健康，犯後坦承犯行，兼衡其高中畢業之智識程度、"
+    "家庭經濟狀況勉持、與被害人之關係、違反義務之程度等一切情狀，量處如主文所示之刑，以資懲儆。",
+    "爰以行為人責任為基礎，審酌被告意圖營利，為牟取私利，圖一己私利，犯罪時受挑釁，手段兇殘，素行不佳，故態復萌，漠視法令禁制，危害社會治安，戕害他人，"
+    "犯後矢口否認犯行，毫無悔意，兼衡其國中畢業之教育程度、家境勉持，量處如主文所示之刑，以資懲儆。",
+    "爰審酌被告犯罪之動機、目的、手段、所受刺激、品行、素行、學歷、生活狀況、所生危害及犯後態度等一切情狀，量處如主文所示之刑，以資懲儆。",
+)
+ARGUED = "一、被告於上開時間、地點為警查獲，有卷附之搜索筆錄、扣押物品目錄表及鑑定書在卷可稽，事證明確，應依法論科。" * 4
 
 
-@query(f"""WITH {ORDERS}, f AS (SELECT jid, k, unnest(['motive', 'provocation', 'means', 'life_status', 'character', 'intellect', 'relation_victim', 'duty_breach', 'harm', 'post_attitude']) AS factor FROM j)
-SELECT jid, factor, CASE WHEN factor = 'post_attitude' THEN ['mitigating', 'aggravating', 'neutral'][k % 3 + 1] WHEN factor = 'means' AND k % 2 = 0 THEN 'mitigating' WHEN factor = 'intellect' THEN 'neutral' ELSE 'absent' END AS direction,
-  CASE WHEN factor = 'post_attitude' THEN '爰審酌被告' || ['犯後坦承犯行', '犯後矢口否認', '犯後態度'][k % 3 + 1] WHEN factor = 'means' AND k % 2 = 0 THEN '手段尚屬平和' WHEN factor = 'intellect' THEN '高中畢業之智識程度等一切情狀' ELSE '' END AS evidence FROM f""")
-def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jid, jfull: judgments with the weighing blocks in turn, a line of each broken in the middle of a word."""
     k = F.col("k")
-    weighing = F.concat(
-        F.lit("爰審酌被告"), _pick(_POST, k % 3), F.lit("、"), F.when(k % 2 == 0, "手段尚屬平和、").otherwise(""), F.lit("高中畢業之智識程度等一切情狀，量處如主文所示之刑。")
-    )
-    body = F.concat(F.lit("主文\n甲處有期徒刑3月\n理由\n"), F.lit("一、本件事實如前。" * 8), F.lit("\n"), weighing)
-    rows = orders(spark, sf_dir).select(F.concat(_pick(tuple(HEADERS), k % 5), k.cast("string")).alias("jid"), body.alias("jfull"))
-    return factor_rules.label_factors(rows).select("jid", F.explode("factors").alias("factor", "f")).select("jid", "factor", "f.direction", "f.evidence")
+    body = [f"臺灣基隆地方法院刑事判決\n主文\n甲處有期徒刑參月\n事實及理由\n{ARGUED}\n{w.replace('程度', '程' + chr(10) + '  度')}\n中華民國112年1月1日\n法官 某" for w in WEIGHING]
+    return orders(spark, sf_dir).select(F.concat(_pick(tuple(HEADERS), k % 5), k.cast("string")).alias("jid"), _pick(body, k % 3).alias("jfull"))
+
+
+# The directions in the order of factors: m, a, n, or - for absent; read off each labeler's rules for the three blocks.
+@query(f"""WITH {ORDERS}, d(v, labeler, found) AS (VALUES
+  (0, 'L1', '-nmnmnnnmm'), (0, 'L2', 'mmmnmnnamm'), (0, 'L3', '-nmn-nnnmm'), (0, 'L4', '-nmnnnnamm'), (0, 'L5', '-nmnmnn-mm'),
+  (1, 'L1', 'amanan--aa'), (1, 'L2', 'a-anan--aa'), (1, 'L3', 'a-an-n--aa'), (1, 'L4', '-nanan---a'), (1, 'L5', 'a-anan-aaa'),
+  (2, 'L1', 'nnnnnn--nn'), (2, 'L2', 'nmnnnn---n'), (2, 'L3', 'nnnnnn----'), (2, 'L4', 'nnnn-----n'), (2, 'L5', 'nnnnnn--nn')),
+f(factor, place) AS (SELECT unnest(['motive', 'provocation', 'means', 'life_status', 'character', 'intellect', 'relation_victim', 'duty_breach', 'harm', 'post_attitude']), unnest(range(1, 11)))
+SELECT jid, labeler, factor, CASE substr(found, place, 1) WHEN 'm' THEN 'mitigating' WHEN 'a' THEN 'aggravating' WHEN 'n' THEN 'neutral' ELSE 'absent' END AS direction, true AS fits
+FROM j JOIN d ON d.v = k % 3 CROSS JOIN f""")
+def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fits: the evidence is the stretch of the judgment at its place, white space apart, of 20 to 80 characters; empty if absent."""
+    cases = weighed(spark, sf_dir)
+    found = labelers.label_factors(cases).select("jid", "labeler", F.explode("factors").alias("factor", "f")).join(cases, "jid")
+    bare = lambda x: F.regexp_replace(x, r"\s", "")
+    stretch = F.substring("jfull", F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
+    n = F.length("f.evidence")
+    fits = F.when(F.col("f.direction") == "absent", n == 0).otherwise((bare(stretch) == bare(F.col("f.evidence"))) & (n >= 20) & (n <= 80))
+    return found.select("jid", "labeler", "factor", "f.direction", fits.alias("fits"))
+
+
+@query(f"""WITH {ORDERS} SELECT jid, t.policy, CASE k % 3 WHEN 2 THEN t.short ELSE t.long END AS opens FROM j CROSS JOIN (VALUES
+  ('L1', '爰以', '爰審'), ('L2', '審酌', '爰審'), ('L3', '爰以', '爰審'), ('L4', '爰以', '爰審'), ('L5', '爰以', '爰審'), ('offsets', '爰以', '爰審')) t(policy, long, short)""")
+def weighing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the block of each judgment begins under each policy."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for jid, text in zip(batch["jid"], batch["jfull"], strict=True):
+                for policy, how in labelers.LOCATORS.items():
+                    a, b = labelers.reasons_at(text, labelers.REASONS.get(policy, labelers.REASONS["L4"]))
+                    low, high = labelers.block_at(text[a:b], how)
+                    rows.append((jid, policy, text[a:b][low:high][:2]))
+            yield pd.DataFrame(rows, columns=["jid", "policy", "opens"])
+
+    return weighed(spark, sf_dir).mapInPandas(run, "jid string, policy string, opens string")
 
 
 def _numeral(n: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvia.functions import numerals, text
-from corvia.operators import buckets, corpus_filter, extract, factor_rules, folds, labels, metrics, registry, selection, statute, training
+from corvia.operators import buckets, corpus_filter, extract, folds, labels, metrics, registry, selection, statute, training
 from corvia.plans.cases import BASE, CASES, cases, constrained_cases, table
 from corvia.plans.registered import QUERIES, SQL, query  # noqa: F401
 

@@ -125,9 +125,9 @@ def test_fold_report_equals_sql_over_its_predictions(spark):
     rows = rows_of(spark, 1500)
     c = F.when(F.col("a") > 0, statute.constraint(12.0, 40.0))
     found = evaluation.predictions(rows, COLUMNS, c, ("day", ["id"]), rounds=5, depth=2)
-    table = found.withColumns({"lo": F.col("constraint.min_months"), "hi": F.col("constraint.max_months")}).drop("constraint").toPandas()
-    assert sorted(table.id) == list(range(250, 1500)) and set(table.fold) == set(range(5))
-    assert (table.p25 <= table.p50).all() and (table.p50 <= table.p75).all()
+    tested = found.withColumns({"lo": F.col("constraint.min_months"), "hi": F.col("constraint.max_months")}).drop("constraint").toPandas()
+    assert sorted(tested.id) == list(range(250, 1500)) and set(tested.fold) == set(range(5))
+    assert (tested.p25 <= tested.p50).all() and (tested.p50 <= tested.p75).all()
     want = duckdb.sql("""
       SELECT fold, count(*) AS n, avg(abs(y - p50)) AS mae, avg(abs(y - raw50)) AS raw_mae, sqrt(avg((y - p50) ** 2)) AS rmse,
         1 - sum((y - p50) ** 2) / (var_pop(y) * count(*)) AS r2, avg((abs(y - p50) <= 3)::INT) AS hit3, avg((abs(y - p50) <= 6)::INT) AS hit6,
@@ -139,14 +139,14 @@ def test_fold_report_equals_sql_over_its_predictions(spark):
         avg(p) FILTER (probability IS NOT NULL) AS probation_base, avg((probation = (p = 1))::INT) AS probation_accuracy,
         coalesce(count(*) FILTER (probation AND p = 1) / nullif(count(*) FILTER (probation), 0), 0) AS probation_precision,
         coalesce(count(*) FILTER (probation AND p = 1) / nullif(count(*) FILTER (p = 1 AND probability IS NOT NULL), 0), 0) AS probation_recall
-      FROM table GROUP BY GROUPING SETS ((fold), ()) ORDER BY fold NULLS LAST""").df()
+      FROM tested GROUP BY GROUPING SETS ((fold), ()) ORDER BY fold NULLS LAST""").df()
     got = evaluation.report(found).toPandas().sort_values("fold", na_position="last").reset_index(drop=True)
     assert len(got) == 6 and (got.bad_final == 0).all() and got.n.tolist() == want.n.tolist()
     for column in want.columns:
         assert np.allclose(got[column].astype(float), want[column].astype(float), equal_nan=True), column
     # What a fold knows comes from earlier rows alone.
     plain = rows.toPandas().sort_values("id")
-    for k, mine in table.groupby("fold"):
+    for k, mine in tested.groupby("fold"):
         known = plain.sentence_months[: int(mine.id.min())]
         assert mine.guess.unique() == pytest.approx(np.median(known))
 
