@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from corvia.functions.text import strip
+from corvia.functions.text import let, strip
 
 # Numerals and what they stand for.
 NUMERALS = {
@@ -27,36 +27,37 @@ def numeral(text: Column) -> Column:
     A unit multiplies what stands before it (1 if nothing does); of digits in a row the last counts; there are
     no sections, so 十二萬 is 20010. Anything else is null.
     """
-    s = F.translate(strip(text), _WIDE, _PLAIN)
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("digit"), F.lit(True).alias("ok"))
 
     def step(a: Column, c: Column) -> Column:
-        v = _value(c)
-        unit = F.coalesce(v >= 10, F.lit(False))
-        return F.struct(
-            F.when(unit, a["sum"] + F.greatest(a["digit"], F.lit(1)) * F.coalesce(v, F.lit(0))).otherwise(a["sum"]).alias("sum"),
-            F.when(unit, F.lit(0)).otherwise(F.coalesce(v, F.lit(0))).alias("digit"),
+        return let(_value(c), lambda v: F.struct(
+            F.when(v >= 10, a["sum"] + F.greatest(a["digit"], F.lit(1)) * v).otherwise(a["sum"]).alias("sum"),
+            F.when(v >= 10, F.lit(0)).otherwise(F.coalesce(v, F.lit(0))).alias("digit"),
             (a["ok"] & v.isNotNull()).alias("ok"),
-        )
+        ))
+
+    def read(s: Column) -> Column:
+        folded = F.aggregate(F.split(s, ""), start, step, lambda a: F.when(a["ok"], a["sum"] + a["digit"]))
+        return F.when(s.isNull() | (s == ""), None).when(s.rlike("^[0-9]+$"), s.try_cast("int")).otherwise(folded)
 
-    folded = F.aggregate(F.split(s, ""), start, step, lambda a: F.when(a["ok"], a["sum"] + a["digit"]))
-    return F.when(s.isNull() | (s == ""), None).when(s.rlike("^[0-9]+$"), s.try_cast("int")).otherwise(folded)
+    return let(F.translate(strip(text), _WIDE, _PLAIN), read)
 
 
 def decimal(text: Column) -> Column:
     """A number in digits (commas ignored), in numerals, or in numerals with digits after 點."""
-    s = F.translate(F.regexp_replace(strip(text), ",", ""), _WIDE, _PLAIN)
-    whole, rest = F.substring_index(s, "點", 1), F.substring(s, F.locate("點", s) + 1, F.length(s))
-    number = F.when(whole == "", F.lit(0)).otherwise(numeral(whole))
-    digits = F.transform(F.split(rest, ""), lambda c: F.when(c.rlike("^[0-9]$"), c).when(_value(c) < 10, _value(c).cast("string")))
-    mixed = F.concat(number.cast("string"), F.lit("."), F.array_join(digits, "")).try_cast("double")
-    spoken = (
-        F.when(F.locate("點", s) == 0, number.cast("double"))
-        .when(rest == "", number.cast("double"))
-        .when(F.exists(digits, lambda d: d.isNull()), None)
-        .otherwise(mixed)
-    )
-    return F.when(s.isNull() | (s == ""), None).otherwise(F.coalesce(s.try_cast("double"), spoken))
+    def read(s: Column) -> Column:
+        whole, rest = F.substring_index(s, "點", 1), F.substring(s, F.locate("點", s) + 1, F.length(s))
+        number = F.when(whole == "", F.lit(0)).otherwise(numeral(whole))
+        digits = F.transform(F.split(rest, ""), lambda c: F.when(c.rlike("^[0-9]$"), c).when(_value(c) < 10, _value(c).cast("string")))
+        mixed = F.concat(number.cast("string"), F.lit("."), F.array_join(digits, "")).try_cast("double")
+        spoken = (
+            F.when((F.locate("點", s) == 0) | (rest == ""), number.cast("double"))
+            .when(F.exists(digits, lambda d: d.isNull()), None)
+            .otherwise(mixed)
+        )
+        return F.when(s.isNull() | (s == ""), None).otherwise(F.coalesce(s.try_cast("double"), spoken))
+
+    return let(F.translate(F.regexp_replace(strip(text), ",", ""), _WIDE, _PLAIN), read)
 
 
 def months(years: Column, months_: Column) -> Column:

@@ -6,11 +6,18 @@ dot that stops at line feeds only. Positions are 0-based, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 FLAGS, DOTALL_FLAGS = "(?Ud)", "(?Usd)"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def has(text: Column, pattern: str) -> Column:
     return text.rlike(FLAGS + pattern)
 
@@ -59,22 +66,23 @@ def literal_spans(text: Column, word: Column) -> Column:
 
 def section(text: Column, title: str, ends: tuple[str, ...]) -> Column:
     """What follows the first (loosely written) title, up to the first match of any end; empty without the title."""
-    head = first(text, loose(title))
-    at = F.regexp_instr(text, F.lit(FLAGS + loose(title)))
-    tail = F.substring(text, at + F.length(head), F.length(text))
-    stops = [F.nullif(F.regexp_instr(tail, F.lit(FLAGS + e)), F.lit(0)) for e in ends]
-    stop = F.coalesce(F.least(*stops) if len(stops) > 1 else stops[0], F.length(tail) + 1)
-    return F.when(at > 0, F.substring(tail, F.lit(1), stop - 1)).otherwise(F.lit(""))
+    head, at = first(text, loose(title)), F.regexp_instr(text, F.lit(FLAGS + loose(title)))
+
+    def cut(tail: Column) -> Column:
+        stops = [F.nullif(F.regexp_instr(tail, F.lit(FLAGS + e)), F.lit(0)) for e in ends]
+        stop = F.coalesce(F.least(*stops) if len(stops) > 1 else stops[0], F.length(tail) + 1)
+        return F.substring(tail, F.lit(1), stop - 1)
+
+    return let(at, lambda n: F.when(n > 0, let(F.substring(text, n + F.length(head), F.length(text)), cut)).otherwise(F.lit("")))
 
 
 def sentence_window(text: Column, start: Column, end: Column, stop: str = "。", reach: int = 120, else_: int = 80) -> Column:
     """The text around [start, end): to the full stops within reach each way, else so many characters."""
-    low = F.greatest(start - reach, F.lit(0))
-    back = F.reverse(between(text, low, start))
-    ahead = between(text, end, end + reach)
-    from_ = F.when(F.locate(stop, back) > 0, start - F.locate(stop, back) + 1).otherwise(F.greatest(start - else_, F.lit(0)))
-    to = F.when(F.locate(stop, ahead) > 0, end + F.locate(stop, ahead) - 1).otherwise(F.least(end + else_, F.length(text)))
-    return between(text, from_, to)
+    back = F.locate(stop, F.reverse(between(text, F.greatest(start - reach, F.lit(0)), start)))
+    ahead = F.locate(stop, between(text, end, end + reach))
+    from_ = let(back, lambda n: F.when(n > 0, start - n + 1).otherwise(F.greatest(start - else_, F.lit(0))))
+    to = let(ahead, lambda n: F.when(n > 0, end + n - 1).otherwise(F.least(end + else_, F.length(text))))
+    return let(F.struct(from_.alias("a"), to.alias("b")), lambda w: between(text, w["a"], w["b"]))
 
 
 def snippet(text: Column, anchor: str, before: int = 30, after: int = 90, most: int = 400) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corvia.functions.numerals import CHARACTERS, decimal, months, numeral
-from corvia.functions.text import FLAGS, between, first, has, literal_spans, merged_intervals, section, sentence_window, spans
+from corvia.functions.text import FLAGS, between, first, has, let, section, sentence_window, spans
+from corvia.sources.written import materialise
 
 # The patterns that mark headings, verdicts, citations and their refusals.
 _NUMBER = rf"[{CHARACTERS}\d]+"
@@ -80,46 +81,19 @@ def heaviest_g(text: Column) -> Column:
     return F.array_max(F.transform(spans(text, WEIGHT), grams))
 
 
-def _sentence(main: Column) -> Column:
-    """months, aggregate: the joint term if it is the first defendant's and whole, else the first verdict."""
-    verdict = F.get(spans(main, VERDICT), 0)
-    whole = F.filter(
-        spans(main, AGGREGATE),
-        lambda s: ~F.exists(F.array(*map(F.lit, PARTIAL)), lambda w: F.contains(between(main, F.greatest(s["start"] - 15, F.lit(0)), s["start"]), w)),
-    )
-    joint = F.get(whole, 0)
-    single = _term(verdict["text"], VERDICT)
-    term = _term(joint["text"], AGGREGATE)
-    others = has(between(main, verdict["end"], joint["start"]), BOUNDARY)
-    is_joint = verdict.isNotNull() & joint.isNotNull() & ~others & term.isNotNull()
-    is_joint = F.coalesce(is_joint, F.lit(False))
-    return F.struct(F.when(is_joint, term).when(verdict.isNotNull(), single).alias("months"), is_joint.alias("aggregate"))
-
-
-def sum_of_counts(main: Column) -> Column:
-    """The terms before the first joint one, added up; 0 for fewer than two, which would tell the label."""
-    joint = F.get(spans(main, AGGREGATE), 0)
-    scope = F.when(joint.isNull(), main).otherwise(between(main, 0, joint["start"]))
-    terms = F.array_compact(F.transform(spans(scope, VERDICT), lambda s: _term(s["text"], VERDICT)))
-    return F.when(F.size(terms) >= 2, F.aggregate(terms, F.lit(0), lambda n, x: n + x)).otherwise(0)
-
-
-def article_17_applied(text: Column, paragraph: int) -> Column:
+def _applied_17(text: Column, found: Column) -> Column:
     def applied(s: Column) -> Column:
         recited = has(between(text, F.greatest(s["start"] - 15, F.lit(0)), s["start"]), RECITED_BEFORE)
         recited |= has(F.substring(text, s["end"] + 1, F.lit(15)), RECITED_AFTER)
-        w = sentence_window(text, s["start"], s["end"])
-        return ~recited & ~has(w, HYPOTHETICAL) & ~has(w, CASE_LAW) & has(w, APPLIED_17) & ~has(w, REFUSED_17)
+        fits = lambda w: has(w, APPLIED_17) & ~has(w, REFUSED_17) & ~has(w, HYPOTHETICAL) & ~has(w, CASE_LAW)
+        return ~recited & let(sentence_window(text, s["start"], s["end"]), fits)
 
-    return F.exists(spans(text, ARTICLE_17[paragraph]), applied)
+    return F.exists(found, applied)
 
 
-def article_59_applied(text: Column) -> Column:
-    def applied(s: Column) -> Column:
-        w = sentence_window(text, s["start"], s["end"])
-        return ~has(w, INTERPRETATION) & has(w, APPLIED_59) & ~has(w, REFUSED_59)
-
-    return F.exists(spans(text, ARTICLE_59), applied)
+def _applied_59(text: Column, found: Column) -> Column:
+    fits = lambda w: has(w, APPLIED_59) & ~has(w, REFUSED_59) & ~has(w, INTERPRETATION)
+    return F.exists(found, lambda s: let(sentence_window(text, s["start"], s["end"]), fits))
 
 
 def _clauses(main: Column) -> Column:
@@ -127,51 +101,8 @@ def _clauses(main: Column) -> Column:
     return F.transform(spans(main, OPENER), lambda s: F.struct(first(s["text"], OPENER, 1).alias("name"), s["start"].alias("start")))
 
 
-def _openers(clauses: Column) -> Column:
-    """Of each name the first clause. The argument is used for every clause: give it as a column of its own."""
-    return F.filter(clauses, lambda x, i: ~F.exists(F.slice(clauses, 1, i), lambda y: y["name"] == x["name"]))
-
-
-def _defendants(openers: Column) -> Column:
-    return F.greatest(F.lit(1), F.size(openers))
-
-
-def count_defendants(main: Column) -> Column:
-    return _defendants(_openers(_clauses(main)))
-
-
-def _parts(openers: Column, main: Column) -> Column:
-    parts = F.transform(
-        openers,
-        lambda x, i: F.struct(
-            x["name"].alias("name"),
-            between(main, x["start"], F.coalesce(F.get(openers, i + 1)["start"], F.length(main))).alias("text"),
-        ),
-    )
-    alone = F.array(F.struct(F.lit("").alias("name"), main.alias("text")))
-    return F.when(F.size(openers) > 1, parts).otherwise(alone)
-
-
-def split_by_defendant(main: Column) -> Column:
-    """array<struct<name,text>>: from each defendant's first clause to the next one's; one unnamed part if there is no more than one."""
-    return _parts(_openers(_clauses(main)), main)
-
-
-def scoped_text(text: Column, name: Column, names: Column, pad: int = 250) -> Column:
-    """The stretches around a defendant's name, cut at other defendants' names, in text order."""
-    others = F.filter(names, lambda x: (x != name) & (F.length(x) >= 2))
-    strangers = F.flatten(F.transform(others, lambda o: literal_spans(text, o)))
-
-    def around(s: Column) -> Column:
-        low, high = F.greatest(s["start"] - pad, F.lit(0)), F.least(s["end"] + pad, F.length(text))
-        inside = F.filter(strangers, lambda o: (o["start"] >= low) & (o["end"] <= high))
-        left = F.array_max(F.transform(F.filter(inside, lambda o: o["start"] < s["start"]), lambda o: o["end"]))
-        right = F.array_min(F.transform(F.filter(inside, lambda o: o["start"] > s["end"]), lambda o: o["start"]))
-        return F.struct(F.greatest(low, left).alias("lo"), F.least(high, right).alias("hi"))
-
-    parts = merged_intervals(F.transform(literal_spans(text, name), around))
-    joined = F.array_join(F.transform(parts, lambda p: between(text, p["lo"], p["hi"])), "\n。\n")
-    return F.when(name == "", text).otherwise(joined)
+def _defendants(clauses: Column) -> Column:
+    return F.greatest(F.lit(1), F.size(F.array_distinct(F.transform(clauses, lambda c: c["name"]))))
 
 
 def _main(text: Column) -> Column:
@@ -187,58 +118,129 @@ def _facts(text: Column) -> Column:
     return F.coalesce(*(F.when(F.length(t) >= SHORTEST, t) for t in tries), text)
 
 
-def _columns(main: Column, wide: Column, cited: Column, n_defendants: Column) -> list[Column]:
-    sentence = _sentence(main)
-    return [
-        levels_in(wide).alias("drug_levels"),
-        behaviors_in(wide).alias("behaviors"),
+def _with_features(cut: DataFrame) -> DataFrame:
+    """jid, jdate, _name, _main, _wide, _cited, _n -> the features. Each step is a column: nothing is looked for twice."""
+    main, cited = F.col("_main"), F.col("_cited")
+    found = cut.withColumns({
+        "_verdicts": spans(main, VERDICT), "_joints": spans(main, AGGREGATE), "_59": spans(cited, ARTICLE_59),
+        **{f"_17{p}": spans(cited, ARTICLE_17[p]) for p in (1, 2)}, "_days": first(main, DETENTION, 1), "_years": first(main, PROBATION, 1),
+    })
+    partial = lambda s: F.exists(F.array(*map(F.lit, PARTIAL)), lambda w: F.contains(between(main, F.greatest(s["start"] - 15, F.lit(0)), s["start"]), w))
+    first_joint, verdicts = F.get("_joints", F.lit(0)), F.col("_verdicts")
+    found = found.withColumns({
+        "_verdict": F.get(verdicts, F.lit(0)), "_joint": F.get(F.filter("_joints", lambda s: ~partial(s)), F.lit(0)),
+        # The verdicts before the first joint term, where they end; a verdict never runs into one that follows.
+        "_single": F.when(first_joint.isNull(), verdicts).otherwise(spans(between(main, 0, first_joint["start"]), VERDICT)),
+    })
+    found = found.withColumns({
+        "_term": _term(F.col("_joint.text"), AGGREGATE), "_months": _term(F.col("_verdict.text"), VERDICT),
+        "_terms": F.array_compact(F.transform("_single", lambda s: _term(s["text"], VERDICT))),
+    })
+    # The joint term, if it is the first defendant's and whole, else the first verdict.
+    others = has(between(main, F.col("_verdict.end"), F.col("_joint.start")), BOUNDARY)
+    found = found.withColumn("_whole", F.coalesce(F.col("_verdict").isNotNull() & F.col("_joint").isNotNull() & ~others & F.col("_term").isNotNull(), F.lit(False)))
+    return found.select(
+        "jid", "jdate", F.col("_name").alias("defendant_name"),
+        levels_in(F.col("_wide")).alias("drug_levels"),
+        behaviors_in(F.col("_wide")).alias("behaviors"),
         behaviors_in(main).alias("convicted_behaviors"),
         levels_in(main).alias("convicted_drug_levels"),
-        heaviest_g(wide).alias("max_drug_weight_g"),
-        n_defendants.alias("n_defendants"),
+        heaviest_g(F.col("_wide")).alias("max_drug_weight_g"),
+        F.col("_n").alias("n_defendants"),
         F.regexp_count(main, F.lit(FLAGS + COUNT)).alias("n_sentence_counts"),
-        sentence["aggregate"].alias("is_aggregate_sentence"),
+        F.col("_whole").alias("is_aggregate_sentence"),
         has(main, ATTEMPT).alias("is_attempt"),
-        sum_of_counts(main).alias("sum_individual_months"),
-        article_17_applied(cited, 1).alias("art17_1_applied"),
-        article_17_applied(cited, 2).alias("art17_2_applied"),
-        article_59_applied(cited).alias("art59_applied"),
+        # 0 for fewer than two, which would tell the label.
+        F.when(F.size("_terms") >= 2, F.aggregate("_terms", F.lit(0), lambda n, x: n + x)).otherwise(0).alias("sum_individual_months"),
+        _applied_17(cited, F.col("_171")).alias("art17_1_applied"),
+        _applied_17(cited, F.col("_172")).alias("art17_2_applied"),
+        _applied_59(cited, F.col("_59")).alias("art59_applied"),
         has(cited, SURRENDER).alias("self_surrender"),
         has(cited, RECIDIVISM).alias("recidivism"),
-        sentence["months"].alias("sentence_months"),
-        numeral(first(main, DETENTION, 1)).alias("detention_days"),
-        F.nullif(numeral(first(main, PROBATION, 1)) * 12, F.lit(0)).alias("probation_months"),
+        F.when(F.col("_whole"), F.col("_term")).when(F.col("_verdict").isNotNull(), F.col("_months")).alias("sentence_months"),
+        numeral(F.col("_days")).alias("detention_days"),
+        F.nullif(numeral(F.col("_years")) * 12, F.lit(0)).alias("probation_months"),
         has(main, PROBATION).alias("probation_granted"),
         F.contains(main, F.lit(FINE)).alias("can_convert_to_fine"),
         F.lit(None).cast("int").alias("fine_ntd"),
         F.lit("").alias("law_version"),
-    ]
+    )
 
 
 def _opened(cases: DataFrame) -> DataFrame:
-    """cases with _main and _openers, each step a column of its own, so that it is found once a row."""
     cut = cases.select("jid", "jdate", "jfull", _main(F.col("jfull")).alias("_main"))
-    cut = cut.withColumn("_clauses", _clauses(F.col("_main")))
-    return cut.withColumn("_openers", _openers(F.col("_clauses"))).drop("_clauses")
+    return cut.withColumn("_clauses", _clauses(F.col("_main")))
 
 
 def extract_features(cases: DataFrame) -> DataFrame:
     """jid, jdate, jfull -> one row of features for each judgment."""
     cut = _opened(cases).withColumn("_facts", _facts(F.col("jfull")))
-    main = F.col("_main")
-    wide = F.concat(main, F.lit("\n"), F.col("_facts"))
-    return cut.select(
-        "jid", "jdate", F.lit("").alias("defendant_name"), *_columns(main, wide, F.col("jfull"), _defendants(F.col("_openers")))
+    return _with_features(cut.select(
+        "jid", "jdate", F.lit("").alias("_name"), "_main", F.concat("_main", F.lit("\n"), "_facts").alias("_wide"), F.col("jfull").alias("_cited"),
+        _defendants(F.col("_clauses")).alias("_n"),
+    ))
+
+
+# --- by defendant: a table of spans, a row for each place at which a name stands
+
+
+def defendant_parts(cases: DataFrame) -> DataFrame:
+    """jid, jdate, jfull -> those and name, part, i: of judgments with several names, the stretch of the main text from each name's first clause to the next name's."""
+    clauses = _opened(cases).withColumn("_doc", F.monotonically_increasing_id()).select("_doc", "jid", "jdate", "jfull", "_main", F.inline("_clauses"))
+    firsts = clauses.groupBy("_doc", "name").agg(F.min("start").alias("start"), *(F.first(c).alias(c) for c in ("jid", "jdate", "jfull", "_main")))
+    order = W.partitionBy("_doc").orderBy("start")
+    cut = firsts.withColumns({"_next": F.lead("start").over(order), "i": F.row_number().over(order), "_names": F.count("*").over(W.partitionBy("_doc"))})
+    part = between(F.col("_main"), F.col("start"), F.coalesce("_next", F.length("_main")))
+    return cut.where("_names > 1").select("_doc", "jid", "jdate", "jfull", "name", "i", part.alias("part"))
+
+
+def scoped_texts(parts: DataFrame, pad: int = 250) -> DataFrame:
+    """_doc, name, jfull of all defendants -> _doc, name, scoped: the stretches around each name, cut at the others' names.
+
+    A row stands for a place of some name in the judgment, seen by one of its defendants: as its own, or as a stranger's.
+    Window frames over a stretch of characters find the nearest stranger each way; stretches that touch are islands
+    of one running count. A stranger's name has two characters at least.
+    """
+    names = parts.select("_doc", "name").distinct()
+    # Where a name stands: splitting at it gives the texts between, whose lengths add up.
+    pieces = F.split("jfull", F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E")), -1)
+    cut = parts.select("_doc", "name", F.length("jfull").alias("size"), F.transform(pieces, F.length).alias("gaps"))
+    placed = cut.select("_doc", "name", "size", F.posexplode("gaps").alias("at", "gap"))
+    run = W.partitionBy("_doc", "name").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    placed = placed.withColumns({"end": (F.sum("gap").over(run) + (F.col("at") + 1) * F.length("name")).cast("int"), "_last": F.lead("at").over(W.partitionBy("_doc", "name").orderBy("at"))})
+    places = placed.where("_last IS NOT NULL").select("_doc", F.col("name").alias("of"), "size", (F.col("end") - F.length("name")).alias("start"), "end")
+    seen = places.join(names, "_doc").withColumn("own", F.col("of") == F.col("name")).where(F.col("own") | (F.length("of") >= 2))
+    near = W.partitionBy("_doc", "name").orderBy("start")
+    stranger = lambda c: F.when(~F.col("own"), F.col(c))
+    # A stranger counts if it lies in the stretch as a whole: it starts no earlier than the pad before, and ends within it.
+    widened = seen.withColumns({
+        "left": F.max(stranger("end")).over(near.rangeBetween(-pad, -1)),
+        "right": F.array_sort(F.collect_list(F.when(~F.col("own"), F.struct("start", "end"))).over(near.rangeBetween(1, pad + 16))),
+    }).where("own")
+    high = F.least(F.col("end") + pad, F.col("size"))
+    inside = F.filter("right", lambda o: (o["start"] > F.col("end")) & (o["end"] <= high))
+    stretches = widened.select(
+        "_doc", "name", F.greatest(F.col("start") - pad, F.lit(0), F.col("left")).alias("lo"), F.least(high, F.get(inside, F.lit(0))["start"]).alias("hi")
     )
+    before = W.partitionBy("_doc", "name").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+    fresh = F.coalesce(F.col("lo") > F.max("hi").over(before), F.lit(True))
+    islands = stretches.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(W.partitionBy("_doc", "name").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, 0)))
+    merged = islands.groupBy("_doc", "name", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spans_ = merged.groupBy("_doc", "name").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # of one judgment
+    joined = F.array_join(F.transform("spans", lambda s: between(F.col("jfull"), s["lo"], s["hi"])), "\n。\n")
+    return parts.join(spans_, ["_doc", "name"], "left").select("_doc", "name", F.coalesce(joined, F.lit("")).alias("scoped"))
 
 
 def extract_features_per_defendant(cases: DataFrame) -> DataFrame:
     """A row for each defendant with a verdict; judgments with one, or none with a verdict, as extract_features()."""
-    cut = _opened(cases).withColumn("_parts", _parts(F.col("_openers"), F.col("_main")))
-    judged = F.filter("_parts", lambda p: has(p["text"], VERDICT) | has(p["text"], AGGREGATE))
-    split = cut.withColumn("_names", F.transform("_parts", lambda p: p["name"])).withColumn("_judged", judged)
-    split = split.withColumn("_several", (F.size("_parts") > 1) & (F.size("_judged") > 0))
-    each = split.where("_several").select("jid", "jdate", "jfull", "_names", F.inline("_judged"))
-    scoped = each.select("jid", "jdate", "name", "text", scoped_text(F.col("jfull"), F.col("name"), F.col("_names")).alias("_cited"))
-    own = scoped.select("jid", "jdate", F.col("name").alias("defendant_name"), *_columns(F.col("text"), F.col("text"), F.col("_cited"), F.lit(1)))
-    return extract_features(split.where("NOT _several").select("jid", "jdate", "jfull")).unionByName(own)
+    parts = materialise(defendant_parts(cases), "defendants")
+    judged = parts.where(has(F.col("part"), VERDICT) | has(F.col("part"), AGGREGATE))
+    scoped = scoped_texts(parts).withColumnRenamed("_doc", "_d").withColumnRenamed("name", "_who")
+    each = judged.join(scoped, (F.col("_doc") == F.col("_d")) & (F.col("name") == F.col("_who")))
+    own = _with_features(each.select(
+        "jid", "jdate", F.col("name").alias("_name"), F.col("part").alias("_main"), F.col("part").alias("_wide"), F.col("scoped").alias("_cited"), F.lit(1).alias("_n"),
+    ))
+    # The others, by id and digest: texts are not compared.
+    several = judged.select(F.col("jid").alias("_jid"), F.md5("jfull").alias("_text")).distinct()
+    rest = cases.select("jid", "jdate", "jfull").join(several, F.col("jid").eqNullSafe(F.col("_jid")) & (F.md5("jfull") == F.col("_text")), "left_anti")
+    return extract_features(rest).unionByName(own)

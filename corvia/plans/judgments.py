@@ -76,18 +76,14 @@ def case_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SPLIT = (
-    ("KL1", "甲○○施用第二級毒品，處有期徒刑3月，如易科罰金，以新臺幣1000元折算1日。"),
-    ("KL2", "藍佳鈞施用第一級毒品，處有期徒刑肆月；又施用第二級毒品，處有期徒刑壹月。應執行有期徒刑伍月。"),
-    ("KL3", "甲○○販賣第二級毒品未遂，處有期徒刑貳年，緩刑貳年。"),
-    ("KL4", "羅中彥共同運輸第二級毒品，處有期徒刑伍年陸月。陳大文共同運輸第二級毒品，處有期徒刑柒年貳月。"),
-)
-
-
-@query("""SELECT * FROM (VALUES ('KL1', '', 3), ('KL2', '', 5), ('KL3', '', 24), ('KL4', '羅中彥', 66), ('KL4', '陳大文', 86)) t(jid, defendant_name, sentence_months)""")
+@query(f"""WITH {ORDERS}, n AS (SELECT *, unnest(CASE v WHEN 3 THEN ['羅中彥', '陳大文'] ELSE [''] END) AS defendant_name FROM j)
+SELECT jid, defendant_name, CASE WHEN v = 4 THEN NULL WHEN v = 1 THEN (k % 6 + 1) * 12 WHEN defendant_name = '陳大文' THEN 86 ELSE term END::INT AS sentence_months, CASE v WHEN 4 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS n_sentence_counts,
+  k % 4 = 0 AND defendant_name <> '羅中彥' AS art17_1_applied, k % 5 = 0 AND defendant_name <> '羅中彥' AS art59_applied, k % 8 = 0 AND defendant_name <> '羅中彥' AS recidivism FROM n""")
 def split_defendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(i, "20230101", f"臺灣基隆地方法院刑事判決\n主文\n{m}\n犯罪事實") for i, m in _SPLIT]
-    return extract.extract_features_per_defendant(spark.createDataFrame(rows, "jid string, jdate string, jfull string")).select("jid", "defendant_name", "sentence_months")
+    """All judgments by defendant; what is said after the last name is of that defendant."""
+    return extract.extract_features_per_defendant(judgments(spark, sf_dir)).select(
+        "jid", "defendant_name", "sentence_months", "n_sentence_counts", "art17_1_applied", "art59_applied", "recidivism"
+    )
 
 
 @query(f"""WITH {ORDERS} SELECT jid, jid[:2] AS court, CASE jid[:2] WHEN 'KL' THEN '基隆' WHEN 'TP' THEN '臺北' WHEN 'SL' THEN '士林' WHEN 'PC' THEN '新北' ELSE '桃園' END AS court_name FROM j
