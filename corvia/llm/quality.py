@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from corvia.llm.arrow import ROWS, map_rows
-from corvia.llm.store import materialise
+from corvia.llm.store import discard, materialise
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 WIDTH, NONZERO, WINDOW = 32, 4, 2
@@ -392,11 +392,15 @@ def good_documents(
     docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 8_000, held_out: int | None = 1
 ) -> DataFrame:
     """docs without the rows that the classifier rejects, judged by their texts alone; all columns as they are."""
-    whole = docs.select(F.struct("*").alias("d"), "text")  # each row travels beside its codes, so texts are taken apart once
-    codes, known, net = _learned(whole, "d", "text", "key.doc_id", labels, label, max_labelled, held_out)
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    named = docs.select(F.struct(digest.alias("text"), "doc_id").alias("d"), "text")
+    codes, known, net = _learned(named, "d", "text", "key.doc_id", labels, label, max_labelled, held_out)
 
     @F.pandas_udf("boolean")
     def good(blobs: pd.Series) -> pd.Series:
         return pd.Series(net.scores(_matrix([known.features(np.frombuffer(b, dtype=np.int32)) for b in blobs])) >= 0.5, dtype=bool)
 
-    return codes.where(good("codes")).select("key.*")
+    # A text's verdict goes back to its rows by digest, so texts are taken apart once and their codes can go.
+    kept = materialise(codes.select(F.col("key.text").alias("t"), good("codes").alias("good")).where("good").select("t").distinct(), "good-texts")
+    discard(codes)
+    return docs.join(kept.hint("merge"), digest == F.col("t"), "left_semi")
