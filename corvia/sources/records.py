@@ -90,8 +90,8 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_records(spark, path)
     if "." in lower.rsplit("/", 1)[-1]:
         return spark.createDataFrame([], RECORD)
-    archives = read_records(spark, path, "*.zip")
-    return archives if not archives.isEmpty() else read_records(spark, path, "*.json", recursive=True)
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")  # a listing, no file is read
+    return read_records(spark, path, "*.zip") if names.limit(1).count() else read_records(spark, path, "*.json", recursive=True)
 
 
 def read_filtered(spark: SparkSession, path: str) -> DataFrame:
