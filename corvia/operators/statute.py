@@ -25,6 +25,8 @@ RANGES = {
 HEAVY_HOLDING = {1: (10.0, (12, 84, False, False)), 2: (20.0, (6, 60, False, False))}
 # Severity ranks; the order of behaviors in reports; behaviors that article 17 can reduce.
 SEVERITY = {"販賣": 5, "運輸": 5, "製造": 5, "意圖販賣而持有": 4, "轉讓": 3, "施用": 2, "持有": 1}
+# Behaviors to which article 17 applies, for the calculator's variant of the rules.
+ARTICLE_17_ELIGIBLE = ("販賣", "運輸", "製造", "轉讓", "意圖販賣而持有")
 REPORT_ORDER = ("運輸", "製造", "販賣", "意圖販賣而持有", "轉讓", "持有", "施用")
 LAW_VERSION = 2020
 
@@ -69,6 +71,13 @@ def primary_by_severity(behaviors: Column) -> Column:
     return F.array_max(scored)["b"]
 
 
+def primary_as_ticked(behaviors: Column) -> Column:
+    """The most severe behavior; of equals the first of the list, as the page's calculator takes it; null for none."""
+    rank = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
+    scored = F.transform(behaviors, lambda b, i: F.struct(F.coalesce(F.try_element_at(rank, b), F.lit(0)).alias("s"), (-i).alias("i"), b.alias("b")))
+    return F.array_max(scored)["b"]
+
+
 def primary_by_order(behaviors: Column, order: tuple[str, ...] = REPORT_ORDER) -> Column:
     return F.coalesce(*(F.when(F.array_contains(behaviors, b), F.lit(b)) for b in order))
 
@@ -138,6 +147,17 @@ def with_binding(
     )
 
 
+def with_calculator_binding(
+    df: DataFrame, name: str, behaviors: str, levels: str, article_17: list[str], reductions: list[str], recidivism: str, summary: str,
+    weight_g: str | None = None,
+) -> DataFrame:
+    """with_binding() as the page's calculator has it: reductions by article 17 count only if the main behavior is eligible."""
+    may = F.coalesce(primary_as_ticked(F.col(behaviors)).isin(*ARTICLE_17_ELIGIBLE), F.lit(False))
+    confined = [f"_{name}_{r}" for r in article_17]
+    held = df.withColumn(f"_{name}_may", may).withColumns({c: F.col(r) & F.col(f"_{name}_may") for c, r in zip(confined, article_17, strict=True)})
+    return with_binding(held, name, behaviors, levels, [*confined, *reductions], recidivism, summary, weight_g).drop(*confined, f"_{name}_may")
+
+
 def aggregate_only() -> Column:
     return constraint(0.0, TERM_CAP)
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvia.functions import numerals
-from corvia.operators import corpus_filter, extract, labelers, labels
+from corvia.operators import corpus_filter, extract, labelers, labels, training
 from corvia.plans.cases import table
 from corvia.plans.registered import query
+from corvia.sources.written import materialise
 
 DIGITS = ("", "一", "二", "三", "四", "五", "六", "七", "八", "九")
 FORMAL = ("", "壹", "貳", "參", "肆", "伍", "陸", "柒", "捌", "玖", "拾", "拾壹")
@@ -76,6 +77,44 @@ def case_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def factor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jid and factors of two judgments in three: factor i is mitigating, aggravating, neutral or absent by (k + i) % 4."""
+    k = F.col("k")
+    which = lambda i: F.when((k + i) % 4 == 0, "mitigating").when((k + i) % 4 == 1, "aggravating").when((k + i) % 4 == 2, "neutral").otherwise("absent")
+    of = F.create_map(*(x for i, f in enumerate(training.FACTORS) for x in (F.lit(f), F.struct(which(i).alias("direction"), F.lit("").alias("evidence")))))
+    rows = orders(spark, sf_dir).where(k % 3 != 1)
+    return rows.select(F.concat(_pick(tuple(HEADERS), k % 5), k.cast("string")).alias("jid"), of.alias("factors"))
+
+
+_BEHAVIOR = "CASE v WHEN 2 THEN '販賣' WHEN 3 THEN '運輸' WHEN 4 THEN '持有' ELSE '施用' END"
+_LEVEL = "CASE v WHEN 1 THEN [1, 2] WHEN 3 THEN [2] ELSE [level] END"
+_GRAMS = "CASE WHEN k % 3 = 0 THEN (k % 100 + 0.5)::DOUBLE * CASE WHEN k % 6 = 0 THEN 1000 ELSE 1 END END"
+_TRAINED = [
+    "jid", "CASE v WHEN 1 THEN (k % 6 + 1) * 12 ELSE term END::INT AS sentence_months", "CASE WHEN k % 4 = 3 THEN 0 ELSE 100 + k % 15 END::INT AS jyear",
+    "(k % 4 = 0)::INT AS art17_1", "0 AS art17_2", "(k % 5 = 0)::INT AS art59", "(k % 8 = 0)::INT AS recidivism", "(k % 7 = 0)::INT AS self_surrender", "(v = 0)::INT AS can_convert_to_fine",
+    "(v = 1)::INT AS is_aggregate_sentence", "(v = 2)::INT AS is_attempt", "1 AS n_behaviors", "CASE v WHEN 1 THEN 2 ELSE 1 END AS n_drug_levels", "CASE WHEN v IN (1, 3) THEN 2 ELSE 1 END AS n_sentence_counts",
+    "CASE v WHEN 1 THEN term + 3 WHEN 3 THEN term + 86 ELSE 0 END AS sum_individual_months", f"coalesce({_GRAMS}, -1.0) AS max_drug_weight_g", "(k % 3 = 0)::INT AS has_drug_weight", f"coalesce(ln(1 + {_GRAMS}), 0.0) AS log_drug_weight",
+    *(f"(k % 3 <> 1 AND (k + {i}) % 4 = {d})::INT AS a57_{f}_{short}" for i, f in enumerate(training.FACTORS) for d, short in enumerate(training.DIRECTIONS)),
+    *(f"({_BEHAVIOR} = '{b}')::INT AS \"b_{b}\"" for b in extract.BEHAVIORS), *(f"list_contains({_LEVEL}, {n})::INT AS lv_{n}" for n in extract.LEVELS),
+    *(f"(jid[:2] = '{c}')::INT AS \"court_{c}\"" for c in training.COURT_CODES), "jid[:2] AS _court", "'20230101' AS _jdate", "CASE v WHEN 3 THEN 2 ELSE 1 END AS _n_def", "k % 6 = 1 AS _summary",
+    f"{_BEHAVIOR} AS _conv_beh", f"array_to_string({_LEVEL}, ',') AS _conv_lv", "(v = 2)::INT AS _probation",
+]
+
+
+@query(f"WITH {ORDERS} SELECT {', '.join(_TRAINED)} FROM j WHERE v <> 4")
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole training row of each judgment with a term: 62 features, id, label and seven columns beside."""
+    k = F.col("k")
+    code = _pick(tuple(HEADERS), k % 5)
+    records = orders(spark, sf_dir).select(
+        F.concat(code, k.cast("string")).alias("jid"), F.when(k % 4 == 3, "無").otherwise((100 + k % 15).cast("string")).alias("jyear"),
+        F.when(k % 6 == 1, "簡").otherwise("訴").alias("jcase"), code.alias("court"),
+    )
+    # Features are written first, so that a condition on the label is not pushed down into their long expressions.
+    features = materialise(extract.extract_features(judgments(spark, sf_dir)), "features")
+    return training.training_rows(features, records, factor_documents(spark, sf_dir))
+
+
 @query(f"""WITH {ORDERS}, n AS (SELECT *, unnest(CASE v WHEN 3 THEN ['羅中彥', '陳大文'] ELSE [''] END) AS defendant_name FROM j)
 SELECT jid, defendant_name, CASE WHEN v = 4 THEN NULL WHEN v = 1 THEN (k % 6 + 1) * 12 WHEN defendant_name = '陳大文' THEN 86 ELSE term END::INT AS sentence_months, CASE v WHEN 4 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS n_sentence_counts,
   k % 4 = 0 AND defendant_name <> '羅中彥' AS art17_1_applied, k % 5 = 0 AND defendant_name <> '羅中彥' AS art59_applied, k % 8 = 0 AND defendant_name <> '羅中彥' AS recidivism FROM n""")

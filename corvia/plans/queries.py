@@ -428,14 +428,26 @@ def training_row_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {CASES}, g AS (SELECT order_id, count(DISTINCT behavior) AS n_behaviors, count(DISTINCT level) AS n_drug_levels, bool_or(behavior = '施用') AS b, bool_or(level = 2) AS l, bool_or(recidivism) AS r FROM cases GROUP BY order_id)
-SELECT order_id AS _order_id, n_behaviors, n_drug_levels, b::INT AS "b_施用", l::INT AS lv_2, r::INT AS recidivism, 0 AS "court_KL" FROM g""")
+_ASKED_FLAGS = tuple(f for f in training.FLAGS if f in ("art17_1", "art17_2", "art59", "recidivism"))
+_SERVED = [
+    *(f"{f}::INT AS {f}" for f in _ASKED_FLAGS), "n_behaviors::INT AS n_behaviors", "n_drug_levels::INT AS n_drug_levels", "n_counts::INT AS n_sentence_counts", "112 AS jyear",
+    "coalesce(weight, -1.0) AS max_drug_weight_g", "(weight IS NOT NULL)::INT AS has_drug_weight", "coalesce(ln(1 + weight), 0.0) AS log_drug_weight",
+    *(f"list_contains(behaviors, '{b}')::INT AS \"b_{b}\"" for b in extract.BEHAVIORS), *(f"list_contains(levels, {v})::INT AS lv_{v}" for v in extract.LEVELS),
+    *(f"0 AS {f}" for f in training.FLAGS if f not in _ASKED_FLAGS), "0 AS sum_individual_months", *(f"0 AS a57_{f}_{d}" for f in training.FACTORS for d in training.DIRECTIONS),
+    *(f"0 AS \"court_{c}\"" for c in training.COURT_CODES),
+]
+
+
+@query(f"""WITH {CASES}, g AS (SELECT order_id, count(DISTINCT behavior) AS n_behaviors, count(DISTINCT level) AS n_drug_levels, list(behavior) AS behaviors, list(level) AS levels, count(*) AS n_counts,
+  {", ".join(f"bool_or({f}) AS {f}" for f in _ASKED_FLAGS)}, CASE WHEN order_id % 3 = 0 THEN max(weight_g)::DOUBLE END AS weight FROM cases GROUP BY order_id)
+SELECT order_id AS _order_id, {", ".join(_SERVED)} FROM g""")
 def serving_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole serving row of 62 features: what is asked, else 0."""
     asked = cases(spark, sf_dir).groupBy(F.col("order_id").alias("_order_id")).agg(
-        F.collect_list("behavior").alias("behaviors"), F.collect_list("level").alias("drug_levels"), F.bool_or("recidivism").alias("recidivism"),
-        F.lit(None).cast("double").alias("max_drug_weight_g"),
-    )
-    return training.serving_rows(asked, ["n_behaviors", "n_drug_levels", "b_施用", "lv_2", "recidivism", "court_KL"])
+        F.collect_list("behavior").alias("behaviors"), F.collect_list("level").alias("drug_levels"), *(F.bool_or(f).alias(f) for f in _ASKED_FLAGS),
+        F.count("*").alias("n_sentence_counts"), F.first(F.lit(112)).alias("jyear"), F.max("weight_g").cast("double").alias("_w"),
+    ).withColumn("max_drug_weight_g", F.when(F.col("_order_id") % 3 == 0, F.col("_w"))).drop("_w")
+    return training.serving_rows(asked, [c.split(" AS ")[-1].strip('"') for c in _SERVED])
 
 
 @query(f"""WITH {CASES} SELECT order_id, court, behavior, months, rank FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY months DESC, case_id) AS rank FROM cases) WHERE rank <= 3""")
