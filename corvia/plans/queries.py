@@ -456,4 +456,4 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(spark, sf_dir).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("order_id", "court", "behavior", "months", "rank")
 
 
-from corvia.plans import judgments, model_queries, review_queries  # noqa: E402, F401  register their own
+from corvia.plans import judgments, model_queries, review_queries, source_queries  # noqa: E402, F401  register their own
