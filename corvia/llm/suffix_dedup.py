@@ -343,9 +343,15 @@ def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     joined = docs.select(_row(docs).alias("row"), "text").join(per_row.hint("merge"), "row")
 
     def make():
-        def work(texts, runs):
+        last = None  # rows that repeat stand next to each other after the join; one of them will do
+
+        def work(rows, texts, runs):
+            nonlocal last
             out: dict[str, list] = {"key": [], "digest": [], "n": [], "at": [], "bytes": []}
-            for text, mine in zip(texts, runs, strict=True):
+            for row, text, mine in zip(rows, texts, runs, strict=True):
+                if row == last:
+                    continue
+                last = row
                 data = text.encode("utf-8", "surrogatepass")
                 for r in mine:
                     out["key"].append(r["key"])
@@ -357,7 +363,7 @@ def _strings(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
         return work
 
-    return map_rows(joined.select("text", "runs"), "key long, digest long, n int, at int, bytes binary", make)
+    return map_rows(joined.select("row", "text", "runs"), "key long, digest long, n int, at int, bytes binary", make)
 
 
 def _sorted_blocks(strings: DataFrame, length: int, n_shards: int) -> DataFrame:
