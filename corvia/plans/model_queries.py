@@ -11,7 +11,7 @@ from corvia.plans.registered import query
 
 COLUMNS = [*FLAG_MODULI, "level", "weight_g", "log_weight", "n_counts", "joint", *(f"b_{i}" for i in range(len(BEHAVIORS))), *(f"court_{c}" for c in COURTS)]
 ORDER = ("jdate", ["case_id"])
-ROUNDS, DEPTH, RATE = 12, 4, 0.3
+ROUNDS, DEPTH, RATE = 10, 3, 0.4
 
 
 def training(spark: SparkSession, sf_dir: str) -> DataFrame:
