@@ -19,7 +19,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvia.operators import factor_rules, labeler_tables
@@ -459,18 +460,27 @@ def label_factors(cases: DataFrame, labelers: tuple[str, ...] = tuple(LABELERS),
     """jid, jfull -> jid, labeler, factors: a row for each labeler; null texts are read as empty."""
     chosen = {k: (rules or RULES)[k] for k in labelers}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         interpreter = Interpreter(chosen)
         for batch in batches:
-            rows = []
-            for jid, text in zip(batch["jid"], batch["jfull"], strict=True):
+            flat: list[list] = [[], [], [], [], []]  # factor, direction, evidence, start, end
+            ends = [0]
+            for text in batch.column("jfull").to_pylist():
                 judgment = Judgment(text or "")
                 for labeler in labelers:
-                    found = interpreter.labels(labeler, judgment)
-                    rows.append((jid, labeler, {f: {"direction": d, "evidence": e, "start": a, "end": b} for f, (d, e, a, b) in found.items()}))
-            yield pd.DataFrame(rows, columns=["jid", "labeler", "factors"])
-
-    return cases.select("jid", "jfull").mapInPandas(run, f"jid string, labeler string, factors {LABELS}")
+                    for factor, found in interpreter.labels(labeler, judgment).items():
+                        for column, value in zip(flat, (factor, *found), strict=True):
+                            column.append(value)
+                    ends.append(len(flat[0]))
+            texts, places = [pa.array(c, pa.string()) for c in flat[:3]], [pa.array(c, pa.int32()) for c in flat[3:]]
+            values = pa.StructArray.from_arrays([*texts[1:], *places], names=["direction", "evidence", "start", "end"])
+            many = len(labelers)
+            ids = batch.column("jid").take(pa.array(np.repeat(np.arange(batch.num_rows), many)))
+            names = pa.array(list(labelers) * batch.num_rows, pa.string())
+            factors = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), texts[0], values)
+            yield pa.RecordBatch.from_arrays([ids, names, factors], names=["jid", "labeler", "factors"])
+
+    return cases.select("jid", "jfull").mapInArrow(run, f"jid string, labeler string, factors {LABELS}")
 
 
 def united(labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corvia.functions.text import let
 from corvia.operators.training import FACTORS
 
 TRUE, FALSE = ("1", "true", "t", "y", "yes", "v"), ("0", "false", "f", "n", "no", "x")
@@ -33,19 +34,27 @@ def json_object(text: Column) -> Column:
 
 def checked_answers(df: DataFrame, raw: str, most: int = 120) -> DataFrame:
     """df with factors (map of factor to direction and evidence, cut) and error: null, or what is wrong with the answer."""
-    found = F.from_json(json_object(F.col(raw)), ANSWER)
-    missing = F.filter(F.array(*map(F.lit, FACTORS)), lambda k: F.try_element_at(found, k).isNull())
-    wrong = F.filter(F.array(*map(F.lit, FACTORS)), lambda k: ~F.coalesce(F.try_element_at(found, k)["direction"].isin(*ALLOWED), F.lit(False)))
-    error = (
-        F.when(found.isNull() | (F.size(F.map_keys(found)) == 0), F.lit("parse: no JSON object"))
-        .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
-        .when(F.size(wrong) > 0, F.concat(F.lit("direction: "), F.array_join(wrong, ",")))
-    )
-    cut = F.transform_values(
-        F.map_filter(found, lambda k, v: k.isin(*FACTORS)),
-        lambda k, v: F.struct(v["direction"].alias("direction"), F.substring(F.coalesce(v["evidence"], F.lit("")), 1, most).alias("evidence")),
-    )
-    return df.withColumns({"factors": F.when(error.isNull(), cut), "error": error})
+    factors = F.array(*map(F.lit, FACTORS))
+
+    def error(found: Column) -> Column:
+        missing = F.filter(factors, lambda k: F.try_element_at(found, k).isNull())
+        wrong = F.filter(factors, lambda k: ~F.coalesce(F.try_element_at(found, k)["direction"].isin(*ALLOWED), F.lit(False)))
+        return (
+            F.when(found.isNull() | (F.size(F.map_keys(found)) == 0), F.lit("parse: no JSON object"))
+            .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
+            .when(F.size(wrong) > 0, F.concat(F.lit("direction: "), F.array_join(wrong, ",")))
+        )
+
+    def cut(found: Column) -> Column:
+        return F.transform_values(
+            F.map_filter(found, lambda k, v: k.isin(*FACTORS)),
+            lambda k, v: F.struct(v["direction"].alias("direction"), F.substring(F.coalesce(v["evidence"], F.lit("")), 1, most).alias("evidence")),
+        )
+
+    # The answer is read once a row; as rows of a generator, so that conditions on the outcome are not pushed into its making.
+    made = let(F.from_json(json_object(F.col(raw)), ANSWER), lambda f: let(error(f), lambda e: F.struct(F.when(e.isNull(), cut(f)).alias("factors"), e.alias("error"))))
+    others = [c for c in df.columns if c not in ("factors", "error")]
+    return df.select(*(F.col(f"`{c}`") for c in others), F.inline(F.array(made)))
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], otherwise: str = "absent") -> Column:
