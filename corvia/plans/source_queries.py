@@ -33,9 +33,11 @@ def stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(store).groupBy("jid", "jdate").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+@query("""SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, strftime(time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour', '%Y-%m-%d %H:%M') AS "end", event_type, count(*) AS n
+FROM events WHERE ts IS NOT NULL GROUP BY ALL""")
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+    found = ingest.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+    return found.select(*(F.date_format(c, "yyyy-MM-dd HH:mm").alias(c) for c in ("start", "end")), "event_type", "n")
 
 
 @query(f"WITH {ORDERS} SELECT jid, jid[:2] AS court, CASE jid[:2] WHEN 'KL' THEN '基隆' WHEN 'TP' THEN '臺北' WHEN 'SL' THEN '士林' WHEN 'PC' THEN '新北' ELSE '桃園' END AS court_name, (count(*) OVER (PARTITION BY jid[:2]))::BIGINT AS n FROM j WHERE {_SELECTED}")
