@@ -585,7 +585,8 @@ def test_ties_go_to_the_longest_piece():
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {name_} AS SELECT * FROM '{DIR}/{name_}.parquet'")
     expected = con.sql(ORACLE_SQL[name])
     columns = sorted(expected.columns)
     rows = QUERIES[name](spark, DIR).select(*columns).collect()
