@@ -160,8 +160,24 @@ def _may_link(same: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.nda
     return den * same >= num * (sizes - same)
 
 
+#: Bytes of bitmaps that are compared at once; Spark's bound of rows in an Arrow batch.
+CHUNK, BATCH = 8 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs u, v whose sets are similar enough: first by bitmap, then by exact intersection."""
+    """The pairs u, v whose sets are similar enough, written: first by bitmap, then by exact intersection.
+
+    Bitmaps and whole sets stand in the rows, so rows go to Python few at a time.
+    """
+    conf, before = docs.sparkSession.conf, docs.sparkSession.conf.get(BATCH)
+    conf.set(BATCH, "500")
+    try:
+        return materialise(_checked(pairs, reps, docs, n, num, den), "verified")
+    finally:
+        conf.set(BATCH, before)
+
+
+def _checked(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     a = reps.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("bits_u"))
     b = reps.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("bits_v"))
 
@@ -217,7 +233,9 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
         k, l = np.nonzero(np.triu(labels[:, None] != labels[None, :], 1))
         ok = (mine[k] == i) & (mine[l] == j) | (mine[k] == j) & (mine[l] == i)
         k, l = k[ok], l[ok]
-        differ = np.bitwise_count(bits[k] ^ bits[l]).sum(axis=1, dtype=np.int64)
+        step = max(1, CHUNK // bits.itemsize // bits.shape[1])  # bitmaps of pairs a few megabytes at a time
+        parts = [np.bitwise_count(bits[k[a : a + step]] ^ bits[l[a : a + step]]).sum(axis=1, dtype=np.int64) for a in range(0, len(k), step)]
+        differ = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
         keep = _may_link((n[k] + n[l] - differ) // 2, n[k] + n[l], num, den)
         k, l = k[keep], l[keep]
         return np.maximum(ids[k], ids[l]), np.minimum(ids[k], ids[l])
@@ -292,7 +310,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     # Only classes that share a bucket are ever compared.
     met = materialise(known.select("id", "n", "bits").join(shared.select("id").distinct().hint("merge"), "id", "left_semi"), "met")
     star = shared.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = materialise(_verified(star, met, docs, n, num, den), "links")
+    links = _verified(star, met, docs, n, num, den)
 
     labels = materialise(components(links), "labels")
     rest = shared.where("c > 2").join(labels, "id", "left").select(
