@@ -161,7 +161,7 @@ def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fits: the evidence is the stretch of the judgment at its place, white space apart, of 20 to 80 characters; empty if absent."""
     cases = weighed(spark, sf_dir)
     found = labelers.label_factors(cases).select("jid", "labeler", F.explode("factors").alias("factor", "f")).join(cases, "jid")
-    bare = lambda x: F.regexp_replace(x, r"\s", "")
+    bare = lambda x: F.translate(x, " \n", "")
     stretch = F.substring("jfull", F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
     n = F.length("f.evidence")
     fits = F.when(F.col("f.direction") == "absent", n == 0).otherwise((bare(stretch) == bare(F.col("f.evidence"))) & (n >= 20) & (n <= 80))
