@@ -4,7 +4,8 @@ A head is a loss on a run of the rows in order: it learns from the rows before `
 there to `tail`, and later rows are not its own. So all folds, seeds and quantiles of an evaluation are heads of one
 training, and share each pass over the data.
 
-A pass. Features are bytes (bins of their quantiles, edges from one aggregate). Each task sums gradients and
+A pass. Features are bytes (bins of their quantiles, edges from one aggregate). Rows lie in blocks of some ten thousand, a column of
+numbers each, in the order of ranks, so a pass works on whole columns and moves no rows one by one. Each task sums gradients and
 curvatures by (head, node, feature, bin) in arrays; those are added up by a grouped sum, and the driver picks the best
 split of each node from the sums (heads x nodes x features x bins rows, whatever the number of cases). Sums are of
 whole numbers (gradients in millionths of two), so results do not hang on the order of addition. When a round's trees
@@ -28,7 +29,7 @@ from corvia.sources.written import discard, materialise
 
 UNIT = 1 << 20  # of gradients, curvatures and losses, as whole numbers
 STEPS = 512  # on each side of 0, in which a leaf's residuals are counted
-KEEP = 6  # rounds after which running predictions are written
+KEEP = 12  # rounds after which running predictions are written
 
 
 @dataclass(frozen=True)
@@ -58,12 +59,18 @@ class Tree:
     gain: np.ndarray
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
-        """Of rows of bins, the leaf of each, from 0."""
-        node = np.zeros(len(x), dtype=np.int64)
-        rows = np.arange(len(x))
-        for _ in range(self.depth):
-            node = 2 * node + 1 + (x[rows, self.feature[node]] > self.bin[node])
-        return node - len(self.feature)
+        """Of rows of bins, the leaf of each, from 0. Columns are compared as a whole, so x is best held by column."""
+        first = len(self.feature)
+
+        def below(node: int):
+            if node >= first:
+                return node - first
+            left = below(2 * node + 1)
+            if self.bin[node] == 255:
+                return left
+            return np.where(x[:, self.feature[node]] > self.bin[node], below(2 * node + 2), left)
+
+        return np.broadcast_to(below(0), len(x)).astype(np.int64)
 
     @property
     def depth(self) -> int:
@@ -99,38 +106,77 @@ class Bins:
     columns: list[str]
     edges: list[np.ndarray]
 
-    def of(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(values.shape, dtype=np.uint8)
-        for j, e in enumerate(self.edges):
-            known = ~np.isnan(values[:, j])
-            out[known, j] = np.searchsorted(e, values[known, j], side="left")
+    def of(self, values: list[np.ndarray]) -> np.ndarray:
+        """Columns of values -> rows of bins."""
+        out = np.zeros((len(values[0]) if values else 0, len(self.columns)), dtype=np.uint8)
+        for j, (e, v) in enumerate(zip(self.edges, values, strict=True)):
+            if len(e) < 8:  # nothing is over NaN
+                for edge in e:
+                    out[:, j] += v > edge
+            else:
+                out[:, j] = np.where(np.isnan(v), 0, np.searchsorted(e, v, side="left"))
         return out
 
 
-def learn_bins(rows: DataFrame, columns: list[str], bins: int = 32) -> Bins:
-    """Edges between quantiles, a few numbers for each feature, from one aggregate whose sketches are bounded."""
+def learn_bins(rows: DataFrame, columns: list[str], bins: int = 32, few: int = 4096) -> Bins:
+    """Edges between quantiles, a few numbers for each feature.
+
+    A feature of at most `few` different values is counted by value (in Arrow batches, added up by a grouped sum), so its quantiles
+    are exact; the others' come from one aggregate whose sketches are bounded.
+    """
     share = [i / bins for i in range(1, bins + 1)]
-    found = rows.agg(*(F.percentile_approx(F.col(f"`{c}`").cast("double"), share, 10_000).alias(f"q{i}") for i, c in enumerate(columns))).first()
-    edges = [np.unique([v for v in (found[f"q{i}"] or []) if v is not None and not np.isnan(v)])[:-1] for i in range(len(columns))]
-    return Bins(columns, edges)
+    doubles = rows.select(*(F.col(f"`{c}`").cast("double").alias(f"q{i}") for i, c in enumerate(columns)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[dict[float, int] | None] = [{} for _ in columns]
+        for batch in batches:
+            for j, have in enumerate(counts):
+                if have is None:
+                    continue
+                found = batch.column(j).drop_null().value_counts()
+                for v, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                    if v == v:
+                        have[v] = have.get(v, 0) + n
+                if len(have) > few:
+                    counts[j] = None
+        flat = [(j, *e) for j, have in enumerate(counts) for e in ([(None, 0)] if have is None else have.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in flat], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64()))], names=["j", "v", "n"])
+
+    parts = doubles.mapInArrow(count, "j int, v double, n long").groupBy("j", "v").agg(F.sum("n").alias("n"))
+    each = parts.groupBy("j").agg(F.count("*").alias("d"), F.count_if(F.col("v").isNull()).alias("many"), F.sort_array(F.collect_list(F.struct("v", "n"))).alias("c"))
+    known = {r["j"]: r["c"] for r in each.where((F.col("many") == 0) & (F.col("d") <= few)).collect()}  # a row a feature
+    seen = {r["j"] for r in each.select("j").collect()} if len(known) < len(columns) else set(known)
+    quantiles: dict[int, list[float]] = {j: [] for j in range(len(columns)) if j not in seen}  # of nulls alone
+    for j, c in known.items():
+        values, upto = np.array([e["v"] for e in c]), np.cumsum([e["n"] for e in c])
+        quantiles[j] = values[np.searchsorted(upto, np.ceil(np.array(share) * upto[-1]))].tolist()
+    many = [j for j in range(len(columns)) if j not in quantiles]
+    if many:
+        found = doubles.agg(*(F.percentile_approx(f"q{j}", share, 10_000).alias(f"q{j}") for j in many)).first()
+        quantiles |= {j: found[f"q{j}"] or [] for j in many}
+    return Bins(columns, [np.unique([v for v in quantiles[j] if not np.isnan(v)])[:-1] for j in range(len(columns))])
 
 
 def binned(rows: DataFrame, bins: Bins, name: str = "x") -> DataFrame:
     """rows with the bytes of their bins."""
 
-    @F.pandas_udf("binary")
-    def pack(values):
-        import pandas as pd
-
-        raw = np.stack(values.to_numpy()) if len(values) else np.zeros((0, len(bins.columns)))
-        return pd.Series([r.tobytes() for r in bins.of(raw.astype(np.float64))])
+    @F.arrow_udf("binary")
+    def pack(*values: pa.Array) -> pa.Array:
+        x = bins.of([v.to_numpy(zero_copy_only=False) for v in values])
+        ends = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x.tobytes())])
 
-    doubles = F.array(*(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in bins.columns))
-    return rows.withColumn(name, pack(doubles))
+    return rows.withColumn(name, pack(*(F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))) for c in bins.columns)))
 
 
 def _bytes(column: pa.Array, kind: type, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
+    """A column of equally long binaries as rows of numbers."""
+    if not len(column):
+        return np.zeros((0, width), dtype=kind)
+    _, ends, data = column.buffers()
+    size = width * np.dtype(kind).itemsize
+    start = int(np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset])
+    return np.frombuffer(data, dtype=np.uint8)[start : start + size * len(column)].view(kind).reshape(-1, width)
 
 
 def _gradient(h: Head, y: np.ndarray, p: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,32 +202,100 @@ def _drawn(h: Head, key: np.ndarray, round_: int, share: float) -> np.ndarray:
     return (x >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))
 
 
-Pending = list[list[Tree | None]]  # by round, then by head
+# --- blocks: rows packed by thousands, as columns of numbers
+
+ROW = {"rank": np.int64, "key": np.int64, "y": np.float64, "p": np.uint8}
+BLOCK, PART_BYTES = 1 << 15, 64 << 20
+
+
+@dataclass
+class Block:
+    """Rows in the order of their ranks; bins by column; running predictions by head, if any were written."""
+
+    rank: np.ndarray
+    key: np.ndarray
+    y: np.ndarray
+    p: np.ndarray
+    x: np.ndarray
+    f: np.ndarray | None
+    drawn: dict = field(default_factory=dict)
+
+    def seen(self, h: Head, round_: int, share: float) -> np.ndarray:
+        if h.seed not in self.drawn:
+            self.drawn[h.seed] = _drawn(h, self.key, round_, share)
+        return self.drawn[h.seed]
 
 
-def _pass(state: DataFrame, heads: list[Head], width: int, pending: Pending, add: Callable, schema: str) -> DataFrame:
-    """Run add(sums, head number, head, x, y, p, f, rank, key) on each batch and head; the sums of a task go out as rows."""
+def _row_schema(with_f: bool) -> str:
+    return ", ".join(f"{c} binary" for c in (*ROW, "x", *(["f"] if with_f else [])))
+
+
+def _packed(rows: DataFrame, width: int, heads: int) -> DataFrame:
+    """rank, key, y, p, x -> blocks. A partition holds ranks from everywhere, in order, so a head's rows begin each of its blocks."""
+    n = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = max(-(-n * (25 + width + 8 * heads) // PART_BYTES), min(2 * cores, n // 20_000 + 1))
+    spread = rows.repartition(parts, "rank").sortWithinPartitions("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
+        def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            values = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]).astype(k).tobytes() for c, k in ROW.items()]
+            x = np.concatenate([_bytes(b.column("x"), np.uint8, width) for b in held])
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (*values, x.tobytes(order="F"))], names=[*ROW, "x"])
+
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rank, key, y, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rank", "key", "y", "p"))
-            x, f = _bytes(batch.column("x"), np.uint8, width), _bytes(batch.column("f"), np.float64, len(heads)).copy()
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= BLOCK:
+                yield block(held)
+                held, size = [], 0
+        if size:
+            yield block(held)
+
+    return spread.select(*ROW, "x").mapInArrow(run, _row_schema(False))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, heads: int) -> Iterator[Block]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            value = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind)  # noqa: B023, E731
+            f = value("f", np.float64).reshape(heads, -1) if "f" in batch.schema.names else None
+            yield Block(*(value(c, k) for c, k in ROW.items()), value("x", np.uint8).reshape(width, -1).T, f)
+
+
+Pending = list[list[Tree | None]]  # by round, then by head
+
+
+def _running(block: Block, m: int, base: float, pending: Pending, upto: int) -> np.ndarray:
+    """Predictions of a head for the first rows of a block."""
+    f = np.full(upto, base) if block.f is None else block.f[m, :upto].copy()
+    for trees in pending:
+        if trees[m] is not None:
+            f += trees[m].predict(block.x[:upto])
+    return f
+
+
+def _pass(state: DataFrame, heads: list[Head], base: list[float], width: int, pending: Pending, late: bool, step: Callable) -> DataFrame:
+    """Run step().add(block, head number, head, f, number of rows that teach) on each block and head; its sums go out at the end of a task.
+
+    f has the rows that teach and, if `late`, those of the tail behind them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = step()
+        for block in _blocks(batches, width, len(heads)):
             for m, h in enumerate(heads):
-                for trees in pending:
-                    if trees[m] is not None:
-                        f[:, m] += trees[m].predict(x)
-                add(sums, m, h, x, y, p.astype(bool), f[:, m], rank, key)
-        for k, (g, w) in sums.items():
+                fit, tail = np.searchsorted(block.rank, [h.fit, max(h.fit, h.tail) if late else h.fit]).tolist()
+                if tail:
+                    sums.add(block, m, h, _running(block, m, base[m], pending, tail), fit)
+        for m, node, g, w in sums.rows():
             at = np.flatnonzero((g != 0) | (w != 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), k[0]), pa.int32()), pa.array(np.full(len(at), k[1]), pa.int32()), pa.array(at, pa.int64()), pa.array(g[at], pa.int64()), pa.array(w[at], pa.int64())],
+                [pa.array(np.full(len(at), m), pa.int32()), pa.array(np.full(len(at), node), pa.int32()), pa.array(at, pa.int64()), pa.array(g[at], pa.int64()), pa.array(w[at], pa.int64())],
                 names=["head", "node", "at", "g", "w"],
             )
 
-    return state.mapInArrow(run, schema)
+    return state.mapInArrow(run, SUMS)
 
 
 SUMS = "head int, node int, at long, g long, w long"
@@ -226,8 +340,8 @@ def train(
     width, most = len(bins.columns), 1 + max((len(e) for e in bins.edges), default=0)
     slim = rows.select("rank", "key", F.col("y").cast("double").alias("y"), F.col("p").cast("int").alias("p"), "x")
     base, span = _starts(slim, heads)
-    first = np.array(base, dtype=np.float64).tobytes()
-    state = materialise(slim.withColumn("f", F.lit(bytearray(first)).cast("binary")), "boosting")
+    state = materialise(_packed(slim, width, len(heads)), "boosting")
+    sizes = [len(e) + 1 for e in bins.edges]
     models = [Boosted(h, b) for h, b in zip(heads, base, strict=True)]
     pending: Pending = []
     losses = np.full((rounds + 1, len(heads)), np.nan)
@@ -236,7 +350,7 @@ def train(
         grown = [Tree(np.zeros(2**depth - 1, dtype=np.int64), np.full(2**depth - 1, 255), np.ones(2 ** (depth + 1) - 1), np.zeros(2**depth), np.zeros(2**depth - 1)) for _ in heads]
         allowed = [p.random(width) < column_share for p in pick]
         for level in range(depth):
-            sums = _added(_pass(state, heads, width, pending, _histograms(grown, level, most, r, row_share), SUMS))
+            sums = _added(_pass(state, heads, base, width, pending, level == 0, lambda: Histograms(grown, level, sizes, most, r, row_share)))  # noqa: B023
             for (m, node), (at, g, w) in sums.items():
                 if node == -1:
                     losses[r, m] = g[0] / max(1, w[0])
@@ -252,17 +366,17 @@ def train(
                 for node in range(2**level - 1, 2 ** (level + 1) - 1):
                     if t.bin[node] == 255:
                         t.cover[2 * node + 1], t.cover[2 * node + 2] = t.cover[node], 0.0
-        sums = _added(_pass(state, heads, width, pending, _leaf_sums(grown, span, r, row_share), SUMS))
+        sums = _added(_pass(state, heads, base, width, pending, False, lambda: LeafSums(grown, span, r, row_share)))  # noqa: B023
         for (m, leaf), (at, g, w) in sums.items():
             grown[m].value[leaf] = rate * _leaf_value(heads[m], at, g, w, span)
         for model, t in zip(models, grown, strict=True):
             model.trees.append(t)
         pending.append(grown)
         if len(pending) == KEEP and r + 1 < rounds:
-            following = materialise(_applied(state, len(heads), width, pending), "boosting")
+            following = materialise(_applied(state, base, width, pending), "boosting")
             discard(state)
             state, pending = following, []
-    for (m, node), (_, g, w) in _added(_pass(state, heads, width, pending, _histograms([], 0, most, rounds, row_share), SUMS)).items():
+    for (m, node), (_, g, w) in _added(_pass(state, heads, base, width, pending, True, lambda: Histograms([], 0, sizes, most, rounds, row_share))).items():
         if node == -1:
             losses[rounds, m] = g[0] / max(1, w[0])
     discard(state)
@@ -294,38 +408,101 @@ def _starts(rows: DataFrame, heads: list[Head]) -> tuple[list[float], float]:
     return base, max(found["span"] or 0.0, 1e-9)
 
 
-def _histograms(grown: list[Tree], level: int, bins: int, round_: int, share: float) -> Callable:
-    """Sums by bin for each node of a level; with the first level the loss of the tail (node -1)."""
+def grouped(sizes: list[int], most: int = 4096) -> list[list[int]]:
+    """Features in groups that have at most `most` different rows of bins (a feature with more is a group of its own)."""
+    out: list[list[int]] = []
+    ways = most + 1
+    for j, size in enumerate(sizes):
+        if ways * size > most:
+            out.append([])
+            ways = 1
+        out[-1].append(j)
+        ways *= size
+    return out
 
-    def add(sums, m, h, x, y, p, f, rank, key):
-        if level == 0:
-            late = (rank >= h.fit) & (rank < h.tail)
-            if late.any():
-                g, w = sums.setdefault((m, -1), (np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)))
-                g[0] += int(np.round(loss(h, y[late], p[late], f[late]) * 1024).sum())
-                w[0] += int(late.sum())
-        if not grown:
-            return
-        mine = np.flatnonzero((rank < h.fit) & _drawn(h, key, round_, share))
-        if not len(mine):
+
+class Histograms:
+    """Sums by bin for each node of a level; with the first level the loss of the tail (node -1).
+
+    A group of features is counted once, by its rows of bins; what a feature's own bins have is added up from those when a task ends.
+    A quantile's gradients have two values, so counts of both give their sums.
+    """
+
+    def __init__(self, grown: list[Tree], level: int, sizes: list[int], bins: int, round_: int, share: float):
+        self.grown, self.level, self.sizes, self.bins, self.round, self.share = grown, level, sizes, bins, round_, share
+        self.groups = grouped(sizes)
+        self.sums: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.losses: dict[int, list[int]] = {}
+        self.alphas: dict[int, float | None] = {}
+        self.codes: tuple[Block | None, list[np.ndarray]] = (None, [])
+
+    def _codes(self, block: Block) -> list[np.ndarray]:
+        if self.codes[0] is not block:
+            found = []
+            for group in self.groups:
+                code = np.zeros(len(block.rank), dtype=np.int64)
+                for j in group:
+                    code = code * self.sizes[j] + block.x[:, j]
+                found.append(code)
+            self.codes = block, found
+        return self.codes[1]
+
+    def add(self, block: Block, m: int, h: Head, f: np.ndarray, fit: int) -> None:
+        if len(f) > fit:
+            have = self.losses.setdefault(m, [0, 0])
+            late = slice(fit, len(f))
+            have[0] += int(np.round(loss(h, block.y[late], block.p[late].astype(bool), f[late]) * 1024).sum())
+            have[1] += len(f) - fit
+        if not self.grown or not fit:
             return
-        x, y, p, f = x[mine], y[mine], p[mine], f[mine]
-        t = grown[m]
-        node = np.zeros(len(x), dtype=np.int64)
-        for _ in range(level):
-            node = 2 * node + 1 + (x[np.arange(len(x)), t.feature[node]] > t.bin[node])
-        g, w = _gradient(h, y, p, f)
-        g, w = np.round(g * UNIT), np.round(w * UNIT)
-        width = x.shape[1]
-        place = np.arange(width) * bins + x
-        for k in np.unique(node).tolist():
-            rows = node == k
-            at = place[rows].reshape(-1)
-            have = sums.setdefault((m, k), (np.zeros(width * bins, dtype=np.int64), np.zeros(width * bins, dtype=np.int64)))
-            have[0][:] += np.bincount(at, np.repeat(g[rows], width), width * bins).astype(np.int64)
-            have[1][:] += np.bincount(at, np.repeat(w[rows], width), width * bins).astype(np.int64)
-
-    return add
+        self.alphas[m] = h.alpha
+        f, y, nodes = f[:fit], block.y[:fit], 2**self.level
+        top = self.grown[m]
+        upper = Tree(top.feature[: nodes - 1], top.bin[: nodes - 1], top.cover, np.zeros(nodes), top.gain)
+        node = np.where(block.seen(h, self.round, self.share)[:fit], upper.leaves(block.x[:fit]), nodes)  # the last: not drawn
+        if h.alpha is not None:
+            node = 2 * node + (y < f)
+            weights = None
+        else:
+            weights = [np.round(v * UNIT) for v in _gradient(h, y, block.p[:fit].astype(bool), f)]
+        for i, (group, code) in enumerate(zip(self.groups, self._codes(block), strict=True)):
+            ways = int(np.prod([self.sizes[j] for j in group]))
+            at = node * ways + code[:fit]
+            if weights is None:
+                new = [np.bincount(at, minlength=2 * (nodes + 1) * ways)]
+            else:
+                new = [np.bincount(at, v, (nodes + 1) * ways).astype(np.int64) for v in weights]
+            have = self.sums.get((m, i))
+            if have is None:
+                self.sums[m, i] = new
+            else:
+                for a, b in zip(have, new, strict=True):
+                    a += b
+
+    def rows(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for m, (total, n) in self.losses.items():
+            yield m, -1, np.array([total]), np.array([n])
+        nodes, width = 2**self.level, len(self.sizes)
+        whole: dict[int, list[np.ndarray]] = {}
+        for (m, i), sums in self.sums.items():
+            g, w = whole.setdefault(m, [np.zeros((nodes, width * self.bins), dtype=np.int64) for _ in range(2)])
+            group = self.groups[i]
+            if len(sums) == 1:  # over the prediction, and under it
+                over, under = np.moveaxis(sums[0].reshape(nodes + 1, 2, -1), 1, 0)
+                high, low = self._quantile_units(m)
+                sums = [over * high + under * low, (over + under) * UNIT]
+            each = [v.reshape(nodes + 1, *(self.sizes[j] for j in group))[:nodes] for v in sums]
+            for k, j in enumerate(group):
+                others = tuple(1 + o for o in range(len(group)) if o != k)
+                for into, v in zip((g, w), each, strict=True):
+                    into[:, j * self.bins : j * self.bins + self.sizes[j]] = v.sum(axis=others)
+        for m, (g, w) in whole.items():
+            for k in range(nodes):
+                yield m, nodes - 1 + k, g[k], w[k]
+
+    def _quantile_units(self, m: int) -> tuple[int, int]:
+        alpha = self.alphas[m]
+        return int(np.round(-alpha * UNIT)), int(np.round((1 - alpha) * UNIT))
 
 
 def _cells(residual: np.ndarray, span: float) -> np.ndarray:
@@ -333,25 +510,28 @@ def _cells(residual: np.ndarray, span: float) -> np.ndarray:
     return np.clip(np.round(np.arcsinh(residual * 200 / span) * (STEPS / 7)), -STEPS, STEPS).astype(np.int64) + STEPS
 
 
-def _leaf_sums(grown: list[Tree], span: float, round_: int, share: float) -> Callable:
+class LeafSums:
     """For each leaf, residuals by cell, or gradient and curvature of a probability."""
 
-    def add(sums, m, h, x, y, p, f, rank, key):
-        mine = np.flatnonzero((rank < h.fit) & _drawn(h, key, round_, share))
-        if not len(mine):
-            return
-        y, p, f, leaf = y[mine], p[mine], f[mine], grown[m].leaves(x[mine])
-        g, w = _gradient(h, y, p, f)
-        for k in np.unique(leaf).tolist():
-            rows = leaf == k
-            have = sums.setdefault((m, k), (np.zeros(2 * STEPS + 1, dtype=np.int64), np.zeros(2 * STEPS + 1, dtype=np.int64)))
-            if h.alpha is not None:
-                have[1][:] += np.bincount(_cells((y - f)[rows], span), minlength=2 * STEPS + 1)
-            else:
-                have[0][0] += int(np.round(g[rows] * UNIT).sum())
-                have[1][0] += int(np.round(w[rows] * UNIT).sum())
+    def __init__(self, grown: list[Tree], span: float, round_: int, share: float):
+        self.grown, self.span, self.round, self.share = grown, span, round_, share
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    return add
+    def add(self, block: Block, m: int, h: Head, f: np.ndarray, fit: int) -> None:
+        t, cells = self.grown[m], 2 * STEPS + 1
+        seen, n = block.seen(h, self.round, self.share)[:fit], len(t.value)
+        leaf = np.where(seen, t.leaves(block.x[:fit]), n)  # the last: not drawn
+        g, w = self.sums.setdefault(m, tuple(np.zeros((n + 1, cells), dtype=np.int64) for _ in range(2)))
+        if h.alpha is not None:
+            w += np.bincount(leaf * cells + _cells(block.y[:fit] - f, self.span), minlength=w.size).reshape(w.shape)
+        else:
+            for into, v in zip((g, w), _gradient(h, block.y[:fit], block.p[:fit].astype(bool), f), strict=True):
+                into[:, 0] += np.bincount(leaf, np.round(v * UNIT), n + 1).astype(np.int64)
+
+    def rows(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for m, (g, w) in self.sums.items():
+            for k in range(len(g) - 1):
+                yield m, k, g[k], w[k]
 
 
 def _leaf_value(h: Head, at: np.ndarray, g: np.ndarray, w: np.ndarray, span: float) -> float:
@@ -362,17 +542,14 @@ def _leaf_value(h: Head, at: np.ndarray, g: np.ndarray, w: np.ndarray, span: flo
     return float(np.sinh((cell - STEPS) * 7 / STEPS) * span / 200)
 
 
-def _applied(state: DataFrame, heads: int, width: int, pending: Pending) -> DataFrame:
+def _applied(state: DataFrame, base: list[float], width: int, pending: Pending) -> DataFrame:
     """state with the pending trees in its running predictions."""
-    at = state.columns.index("f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, f = _bytes(batch.column("x"), np.uint8, width), _bytes(batch.column("f"), np.float64, heads).copy()
-                for trees in pending:
-                    for m, t in enumerate(trees):
-                        f[:, m] += t.predict(x)
-                yield batch.set_column(at, "f", pa.array([r.tobytes() for r in f], pa.binary()))
-
-    return state.mapInArrow(run, state.schema)
+            for i, block in enumerate(_blocks(iter([batch]), width, len(base))):
+                f = np.concatenate([_running(block, m, b, pending, len(block.rank)) for m, b in enumerate(base)])
+                one = batch.slice(i, 1).select([*ROW, "x"])
+                yield one.append_column("f", pa.array([f.tobytes()], pa.binary()))
+
+    return state.mapInArrow(run, _row_schema(True))

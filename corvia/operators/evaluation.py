@@ -26,8 +26,7 @@ def predictions(
     """
     date, tie = order
     kept = rows.withColumn("_c", constraint)
-    ready, bins = models.prepared(kept, columns, order)
-    ready = materialise(ready.select(date, *tie, "rank", "key", "y", "p", "x", "_c"), "folds")
+    ready, bins = models.prepared(kept, columns, order, ["_c"])
     n = ready.count()
     edge = [k * n // (folds + 1) for k in range(folds + 2)]
     used = [k for k in range(folds) if edge[k + 2] > edge[k + 1] >= least]

@@ -89,7 +89,7 @@ def explained(rows: DataFrame, model: Boosted, bins: Bins, name: str = "contribu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = _bytes(batch.column(x), np.uint8, width)
+            values = np.asfortranarray(_bytes(batch.column(x), np.uint8, width))
             each = attributions(model, values)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * width, pa.int32()), pa.array(each.reshape(-1)))
             more = {"base_value": pa.array(np.full(len(values), base)), "predicted_raw": pa.array(model.raw(values)), name: flat}

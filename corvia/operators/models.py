@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvia.operators import folds, selection, statute
 from corvia.operators.boosting import Bins, Boosted, Head, Tree, _bytes, binned, learn_bins, train as boost
 from corvia.operators.metrics import best_threshold
+from corvia.sources.written import materialise
 
 LABEL, PROBATION = "sentence_months", "_probation"
 SEEDS = 3
@@ -45,12 +46,14 @@ def heads_for(fold: int, n: int, positives: int, seed: int, seeds: int = SEEDS)
     return out
 
 
-def prepared(rows: DataFrame, columns: list[str], order: tuple[str, list[str]]) -> tuple[DataFrame, Bins]:
-    """rows with rank, key, y, p and the bytes of their features' bins."""
-    ranked = folds.with_rank(rows, *order)
+def prepared(rows: DataFrame, columns: list[str], order: tuple[str, list[str]], keep: list[str] | None = None) -> tuple[DataFrame, Bins]:
+    """rank, key, y, p, the bytes of features' bins, and the columns to keep, in a written table; features themselves are not shuffled."""
+    date, tie = order
     bins = learn_bins(rows, columns)
-    known = ranked.withColumns({"key": F.xxhash64(*(F.col(c).cast("string") for c in order[1])), "y": F.col(LABEL).cast("double"), "p": F.coalesce(F.col(PROBATION), F.lit(0)).cast("int")})
-    return binned(known, bins), bins
+    known = rows.withColumns({"key": F.xxhash64(*(F.col(c).cast("string") for c in tie)), "y": F.col(LABEL).cast("double"), "p": F.coalesce(F.col(PROBATION), F.lit(0)).cast("int")})
+    slim = binned(known, bins).select(date, *tie, "key", "y", "p", "x", *(keep or []))
+    ranked = folds.with_rank(materialise(slim, "binned"), date, tie)
+    return materialise(ranked, "ranked"), bins
 
 
 def scored(rows: DataFrame, models: dict[str, Boosted], width: int) -> DataFrame:
@@ -59,7 +62,7 @@ def scored(rows: DataFrame, models: dict[str, Boosted], width: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _bytes(batch.column("x"), np.uint8, width)
+            x = np.asfortranarray(_bytes(batch.column("x"), np.uint8, width))
             for name, model in models.items():
                 batch = batch.append_column(name, pa.array(model.predict(x)))
             yield batch

@@ -161,3 +161,36 @@ def test_explained_query_covers_all_cases(spark):
     bad = rows.where(F.abs(F.col("explained") - F.col("predicted_raw")) > 1e-9).count()
     n = model_queries.training(spark, "/root/testdata/sf0.001").count()
     assert bad == 0 and rows.count() == n
+
+
+def test_passes_move_blocks_and_sums_equal_plain_ones(trained):
+    ready, bins, found = trained
+    assert b._packed(ready, 4, 4).count() == 1  # 3000 rows
+    sizes = [len(e) + 1 for e in bins.edges]
+    assert b.grouped([2, 2, 32, 32, 9], 1024) == [[0, 1, 2], [3, 4]]
+    rng = np.random.default_rng(5)
+    n, fit = 3000, 2000
+    x = np.column_stack([rng.integers(0, s, n) for s in sizes]).astype(np.uint8)
+    y, p, f = rng.random(n) * 50, rng.integers(0, 2, n).astype(np.uint8), rng.random(n) * 50
+    block = b.Block(np.arange(n), rng.integers(0, 1 << 60, n), y, p, np.asfortranarray(x), None)
+    for m in (0, 3):
+        h, most = found[m].head, max(sizes)
+        sums = b.Histograms([t.trees[0] for t in found], 1, sizes, most, 2, 0.8)
+        sums.add(block, m, h, f[:fit], fit)
+        t, mine = found[m].trees[0], b._drawn(h, block.key[:fit], 2, 0.8)
+        side = x[:fit, t.feature[0]] > t.bin[0]
+        got = {node: (g, w) for _, node, g, w in sums.rows()}
+        for node, at in ((1, mine & ~side), (2, mine & side)):
+            want = [np.zeros(4 * most, dtype=np.int64) for _ in range(2)]
+            for into, v in zip(want, b._gradient(h, y[:fit][at], p[:fit][at].astype(bool), f[:fit][at]), strict=True):
+                for j in range(4):
+                    np.add.at(into, j * most + x[:fit][at, j], np.round(v * b.UNIT).astype(np.int64))
+            assert (got[node][0] == want[0]).all() and (got[node][1] == want[1]).all()
+
+
+def test_bins_of_few_values_are_exact_quantiles(spark):
+    values = [1.0] * 700 + [2.0] * 200 + [5.0] * 100
+    rows = spark.createDataFrame([(v, float(i), None) for i, v in enumerate(values)], "a double, b double, c double").repartition(3)
+    few, sketched = b.learn_bins(rows, ["a", "b", "c"], 10), b.learn_bins(rows, ["a", "b", "c"], 10, few=100)
+    assert few.edges[0].tolist() == [1.0, 2.0] and len(few.edges[2]) == 0
+    assert few.edges[1].tolist() == [99.0 + 100 * i for i in range(9)] and [e.tolist() for e in sketched.edges] == [e.tolist() for e in few.edges]
