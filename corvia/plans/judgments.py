@@ -146,7 +146,8 @@ def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jid, jfull: judgments with the weighing blocks in turn, a line of each broken in the middle of a word."""
     k = F.col("k")
     body = [f"臺灣基隆地方法院刑事判決\n主文\n甲處有期徒刑參月\n事實及理由\n{ARGUED}\n{w.replace('程度', '程' + chr(10) + '  度')}\n中華民國112年1月1日\n法官 某" for w in WEIGHING]
-    return orders(spark, sf_dir).select(F.concat(_pick(tuple(HEADERS), k % 5), k.cast("string")).alias("jid"), _pick(body, k % 3).alias("jfull"))
+    rows = orders(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")  # a small file is one task's otherwise
+    return rows.select(F.concat(_pick(tuple(HEADERS), k % 5), k.cast("string")).alias("jid"), _pick(body, k % 3).alias("jfull"))
 
 
 # The directions in the order of factors: m, a, n, or - for absent; read off each labeler's rules for the three blocks.
@@ -159,13 +160,17 @@ SELECT jid, labeler, factor, CASE substr(found, place, 1) WHEN 'm' THEN 'mitigat
 FROM j JOIN d ON d.v = k % 3 CROSS JOIN f""")
 def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fits: the evidence is the stretch of the judgment at its place, white space apart, of 20 to 80 characters; empty if absent."""
-    cases = weighed(spark, sf_dir)
-    found = labelers.label_factors(cases).select("jid", "labeler", F.explode("factors").alias("factor", "f")).join(cases, "jid")
-    bare = lambda x: F.translate(x, " \n", "")
-    stretch = F.substring("jfull", F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
-    n = F.length("f.evidence")
-    fits = F.when(F.col("f.direction") == "absent", n == 0).otherwise((bare(stretch) == bare(F.col("f.evidence"))) & (n >= 20) & (n <= 80))
-    return found.select("jid", "labeler", "factor", "f.direction", fits.alias("fits"))
+    found = labelers.labelled(weighed(spark, sf_dir)).select("jid", "jfull", F.explode("labels").alias("labeler", "factors"))
+    bare = lambda x: F.replace(F.replace(x, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+
+    def checked(_: Column, f: Column) -> Column:
+        stretch, n = F.substring("jfull", f["start"] + 1, f["end"] - f["start"]), F.length(f["evidence"])
+        fits = F.when(f["direction"] == "absent", n == 0).otherwise((bare(stretch) == bare(f["evidence"])) & (n >= 20) & (n <= 80))
+        return F.struct(f["direction"].alias("direction"), fits.alias("fits"))
+
+    # Checked beside the text, before there is a row for each factor.
+    each = found.select("jid", "labeler", F.explode(F.transform_values("factors", checked)).alias("factor", "f"))
+    return each.select("jid", "labeler", "factor", "f.direction", "f.fits")
 
 
 @query(f"""WITH {ORDERS} SELECT jid, t.policy, CASE k % 3 WHEN 2 THEN t.short ELSE t.long END AS opens FROM j CROSS JOIN (VALUES
@@ -173,17 +178,22 @@ def factor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the block of each judgment begins under each policy."""
 
+    many = len(labelers.LOCATORS)
+
     def run(batches):
+        import numpy as np
         import pandas as pd
 
         for batch in batches:
-            rows = []
-            for jid, text in zip(batch["jid"], batch["jfull"], strict=True):
+            which, texts = pd.factorize(batch["jfull"])  # equal texts of a batch are read once
+            opens = []
+            for text in texts:
                 for policy, how in labelers.LOCATORS.items():
                     a, b = labelers.reasons_at(text, labelers.REASONS.get(policy, labelers.REASONS["L4"]))
                     low, high = labelers.block_at(text[a:b], how)
-                    rows.append((jid, policy, text[a:b][low:high][:2]))
-            yield pd.DataFrame(rows, columns=["jid", "policy", "opens"])
+                    opens.append(text[a:b][low:high][:2])
+            found = np.array(opens, dtype=object).reshape(-1, many)[which].reshape(-1)
+            yield pd.DataFrame({"jid": np.repeat(batch["jid"].to_numpy(), many), "policy": list(labelers.LOCATORS) * len(batch), "opens": found})
 
     return weighed(spark, sf_dir).mapInPandas(run, "jid string, policy string, opens string")
 

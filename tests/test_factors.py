@@ -6,6 +6,7 @@ import pytest
 
 from corvia.operators import labelers as L
 from corvia.operators.training import FACTORS
+from corvia.plans import judgments
 from corvia.plans.judgments import ARGUED, WEIGHING
 
 
@@ -104,3 +105,34 @@ def test_votes(spark):
     found = L.united(L.label_factors(spark.createDataFrame([("KL1", judgment(MIXED))], "jid string, jfull string"))).collect()
     votes = {r.factor: r.votes for r in found}
     assert votes["means"] == {"mitigating": ["L1", "L2", "L3", "L4", "L5"]} and sum(map(len, votes["motive"].values())) == 5
+
+
+def test_equal_texts_of_a_batch_are_read_once(spark, monkeypatch, tmp_path):
+    log = tmp_path / "read"
+    plain = L.Judgment.__init__
+
+    def counted(self, whole):
+        with open(log, "a") as f:
+            f.write("x")
+        plain(self, whole)
+
+    monkeypatch.setattr(L.Judgment, "__init__", counted)
+    rows = [(f"KL{i}", judgment(MIXED) if i % 2 else None) for i in range(200)]
+    found = L.label_factors(spark.createDataFrame(rows, "jid string, jfull string").coalesce(1), ("L4",)).collect()
+    assert len(log.read_text()) == 2 and [r.jid for r in found] == [j for j, _ in rows]
+    one, none = found[1].factors, found[0].factors
+    assert all(r.factors == (one if int(r.jid[2:]) % 2 else none) for r in found) and one != none
+
+
+def test_weighing_blocks_reads_equal_texts_once(spark, monkeypatch, tmp_path):
+    log, plain = tmp_path / "read", L.block_at
+
+    def counted(text, how):
+        with open(log, "a") as f:
+            f.write("x")
+        return plain(text, how)
+
+    monkeypatch.setattr(L, "block_at", counted)
+    n = judgments.weighing_blocks(spark, "/root/testdata/sf0.001").count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n == 6 * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() and 0 < len(log.read_text()) <= parts * 3 * 6
