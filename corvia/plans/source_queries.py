@@ -106,9 +106,10 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.substring("jid", 3, 20).cast("long")
     as_object = lambda id_: F.to_json(F.struct(F.col("jid").alias(id_), F.col("jcase").alias("JCASE"), F.lit(None).cast("string").alias("JNO"), F.col("jtitle").alias("JTITLE")), {"ignoreNullFields": "false"})
     rows = judgments(spark, sf_dir).select("jid", "jcase", "jtitle", k.alias("k"), F.when(k % 2 == 0, as_object("JID")).otherwise(as_object("ID")).alias("o"))
-    lists = rows.where("k % 3 = 0").groupBy((F.col("k") % 97).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("o"), ",\n"), F.lit(", 7, null]")).alias("value"))
+    # Arrays and files of lines are bounded: more rows make more of them.
+    lists = rows.where("k % 3 = 0").groupBy((F.floor(F.col("k") / 1_000_000) * 97 + F.col("k") % 97).alias("g")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("o"), ",\n"), F.lit(", 7, null]")).alias("value"))
     lists.select("value", "g").write.partitionBy("g").text(f"{path}/lists")  # a file for each array
-    rows.where("k % 3 <> 0").select(F.concat("o", F.lit("\nno json\n[1, 2]")).alias("value")).write.text(f"{path}/lines")
+    rows.where("k % 3 <> 0").select(F.concat("o", F.lit("\nno json\n[1, 2]")).alias("value")).write.option("maxRecordsPerFile", 50_000).text(f"{path}/lines")
     found = records.read_records(spark, path, "*.txt", recursive=True)
     return found.select("jid", "jyear", "jcase", "jno", "jtitle")
 

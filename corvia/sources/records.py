@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -18,29 +20,57 @@ from pyspark.sql.types import StringType, StructField, StructType
 KEYS = {"jid": "JID", "jyear": "JYEAR", "jcase": "JCASE", "jno": "JNO", "jdate": "JDATE", "jtitle": "JTITLE", "jfull": "JFULL", "jpdf": "JPDF"}
 RECORD = StructType([StructField(c, StringType()) for c in (*KEYS, "source_zip")])
 MEMBERS = (".json", ".jsonl", ".ndjson")
+ROWS_OUT = 5000  # records sent back at once
 
 
-def parse_json(raw: bytes) -> list[dict]:
-    """The objects of a file: of an array, alone, or a line each. Other values and bad lines go; so do undecodable files."""
+def _elements(text: str) -> Iterator[object]:
+    """The values of an array, one at a time; ValueError where it is none."""
+    decoder, skip = json.JSONDecoder(), re.compile(r"[ \t\r\n]*")
+    at = skip.match(text, 1).end()
+    if text[at : at + 1] != "]":
+        while True:
+            value, at = decoder.raw_decode(text, at)
+            yield value
+            at = skip.match(text, at).end()
+            if text[at : at + 1] != ",":
+                break
+            at = skip.match(text, at + 1).end()
+    if text[at:] != "]":
+        raise ValueError("no array")
+
+
+def objects(raw: bytes) -> Iterator[dict]:
+    """The objects of a file: of an array, alone, or a line each. Other values and bad lines go; so do undecodable files.
+
+    One is held at a time, beside the text: an array is read through first to see that it is one.
+    """
     try:
         text = raw.decode("utf-8-sig").strip()
     except UnicodeDecodeError:
-        return []
-    if text[:1] in ("[", "{"):
-        try:
-            whole = json.loads(text)
-            return [x for x in (whole if isinstance(whole, list) else [whole]) if isinstance(x, dict)]
-        except ValueError:
-            pass
-    found = []
-    for line in text.splitlines():
-        try:
-            value = json.loads(line)
-        except ValueError:
-            continue
-        if isinstance(value, dict):
-            found.append(value)
-    return found
+        return
+    try:
+        if text[:1] == "[":
+            for _ in _elements(text):
+                pass
+            yield from (x for x in _elements(text) if isinstance(x, dict))
+            return
+        if text[:1] == "{":
+            yield json.loads(text)
+            return
+    except ValueError:
+        pass
+    for piece in re.finditer(r"[^\n]*\n?", text):
+        for line in piece[0].splitlines():
+            try:
+                value = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(value, dict):
+                yield value
+
+
+def parse_json(raw: bytes) -> list[dict]:
+    return list(objects(raw))
 
 
 def record(data: dict, source: str) -> tuple[str, ...]:
@@ -76,9 +106,9 @@ def read_records(spark: SparkSession, path: str, pattern: str = "*", recursive:
         for batch in batches:
             for name, raw in zip(batch["path"], batch["content"], strict=True):
                 short = name.rsplit("/", 1)[-1]
-                found = [record(x, short) for part in _members(short, raw) for x in parse_json(part)]
-                if found:
-                    yield pd.DataFrame(found, columns=RECORD.names)
+                found = (record(x, short) for part in _members(short, raw) for x in objects(part))
+                while some := list(islice(found, ROWS_OUT)):
+                    yield pd.DataFrame(some, columns=RECORD.names)
 
     return files.select("path", "content").mapInPandas(rows, RECORD)
 

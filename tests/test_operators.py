@@ -134,3 +134,18 @@ def test_query_equals_its_sql(spark, name):
     got = sorted(str([plain(r[c]) for c in columns]) for r in frame.collect())
     at = [expected.columns.index(c) for c in columns]
     assert got == sorted(str([plain(r[i]) for i in at]) for r in expected.fetchall())
+
+
+def test_objects_of_a_file_are_held_one_at_a_time():
+    import tracemalloc
+
+    one = '{"JID": "KL%d", "JCASE": "a", "JTITLE": "b"}'
+    for raw in ("[" + ", ".join(one % i for i in range(50_000)) + ", 7, null]", "\n".join(one % i + "\nno json" for i in range(50_000))):
+        raw = raw.encode()
+        tracemalloc.start()
+        n = sum(1 for _ in records.objects(raw))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 50_000 and peak < 3 * len(raw)
+    assert records.parse_json(b'[{"a": 1}, [2], {"b": 2} ]') == [{"a": 1}, {"b": 2}] and records.parse_json(b"[]") == [] == records.parse_json(b"[1,]")
+    assert records.parse_json(b'[{"a": 1},\n{"b": 2}\n') == [{"b": 2}] and records.parse_json(b'[{"a": 1}] x\n{"c": 3}') == [{"c": 3}]
