@@ -52,9 +52,22 @@ def walk_forward(df: DataFrame, date: str, tie: list[str], folds: int = 5, least
 
 
 def tail_shift(df: DataFrame, date: str, tie: list[str], y: str, prediction: str, alpha: float, share: float = 0.85, least: int = 50) -> DataFrame:
-    """The alpha quantile of y - prediction on the last rows in order; 0 for fewer than `least` rows."""
+    """The alpha quantile of y - prediction on the last rows in order; 0 for fewer than `least` rows.
+
+    Counts of dates tell on which one the tail begins; only that date's rows are ranked.
+    """
     n = df.count()
-    tail = with_rank(df, date, tie).where(F.col("rank") >= max(1, int(n * share))).select((F.col(y) - F.col(prediction)).alias("e"))
+    start = max(1, int(n * share))
+    upto = F.sum("count").over(W.orderBy(date))  # dates are few
+    edge = df.groupBy(date).count().withColumn("_upto", upto).where(F.col("_upto") > start).orderBy("_upto").first()
+    e = (F.col(y) - F.col(prediction)).alias("e")
+    if edge is None:
+        tail = df.limit(0).select(e)
+    else:
+        day = F.lit(edge[date]).cast(df.schema[date].dataType)
+        later = F.col(date).isNotNull() if edge[date] is None else F.col(date) > day
+        first = with_rank(df.where(F.col(date).eqNullSafe(day)), date, tie).where(F.col("rank") >= start - (edge["_upto"] - edge["count"]))
+        tail = df.where(later).select(e).unionByName(first.select(e))
     found = selection.percentiles(tail, [], "e", [alpha]).select(F.col("percentiles")[0].alias("p"))
     one = tail.agg(F.count("e").alias("n_tail"))
     shift = F.lit(0.0) if n < least else F.col("p")

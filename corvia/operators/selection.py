@@ -1,6 +1,6 @@
 """Exact order statistics by group, for groups of any size: counts of ranges first, then only the range that holds a rank.
 
-A group's values are cut at edges from a bounded sketch. Counting the cells (each edge is a cell of its own, and so is
+Equal values of a group are counted once, in a written table, so what the rows come from is computed a single time. A group's values are cut at edges from a bounded sketch. Counting the cells (each edge is a cell of its own, and so is
 each gap between edges) and adding up over a group's few cells tells which cell holds a wanted rank; only rows of such
 cells go on, to be cut again, until no cell has more than `limit` rows. Those few are put in order. A value that a third of all rows
 share becomes an edge, so its cell is done at once. No task ever holds a group's values, and rows are
@@ -23,9 +23,11 @@ LIMIT, CUTS = 200_000, 64
 
 def at_ranks(df: DataFrame, by: list[str], value: str, ranks: list[Callable[[Column], Column]], limit: int = LIMIT) -> DataFrame:
     """by, n, values: of each group its number of values, and those at the given ranks (from 0, as functions of n)."""
-    rows = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).alias("v"), F.lit("").alias("cell"))
-    groups = rows.groupBy("g").agg(F.count("*").alias("n"))
-    most = groups.agg(F.max("n")).first()[0] or 0
+    given = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).alias("v"))
+    rows = materialise(given.groupBy("g", "v").agg(F.count("*").alias("k")), "counted").withColumn("cell", F.lit(""))
+    groups = rows.groupBy("g").agg(F.sum("k").alias("n"), F.count("*").alias("d"))
+    most = groups.agg(F.max("d")).first()[0] or 0
+    groups = groups.drop("d")
     if most > limit:
         groups = materialise(groups, "groups")
     n = F.col("n")
@@ -44,9 +46,8 @@ def at_ranks(df: DataFrame, by: list[str], value: str, ranks: list[Callable[[Col
             discard(held)
         held = rows
         most = rows.groupBy("g", "cell").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    counts = rows.groupBy("g", "cell", "v").agg(F.count("*").alias("k"))  # of cells of at most `limit` rows
     upto = F.sum("k").over(W.partitionBy("g", "cell").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto)
+    placed = rows.withColumn("upto", upto)  # cells of at most `limit` values
     hit = placed.join(need, ["g", "cell"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("k"))).select("g", "i", "v")
     hit = hit if done is None else hit.unionByName(done)
     values = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])  # a few a group
@@ -60,15 +61,15 @@ def _cut(rows: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     edges = materialise(rows.groupBy("g", "cell").agg(F.array_distinct(F.percentile_approx("v", share, 4 * CUTS)).alias("e")), "edges")
     below = F.size(F.filter("e", lambda e: e < F.col("v")))
     on = F.array_contains("e", F.col("v"))
-    placed = rows.join(edges, ["g", "cell"]).select("g", "v", "cell", (2 * below + on.cast("int")).alias("part"))
-    counts = placed.groupBy("g", "cell", "part").agg(F.count("*").alias("k"), F.min("v").alias("v"))
+    placed = rows.join(edges, ["g", "cell"]).select("g", "v", "k", "cell", (2 * below + on.cast("int")).alias("part"))
+    counts = placed.groupBy("g", "cell", "part").agg(F.sum("k").alias("k"), F.min("v").alias("v"))
     whole = W.partitionBy("g", "cell").orderBy("part").rowsBetween(W.unboundedPreceding, 0)  # at most 2 * CUTS rows
     counts = counts.withColumn("upto", F.sum("k").over(whole))
     met = need.join(counts, ["g", "cell"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("k")))
     finer = F.concat_ws("/", "cell", F.col("part").cast("string"))
     found = met.where("part % 2 = 1").select("g", "i", "v")
     left = met.where("part % 2 = 0").select("g", finer.alias("cell"), "i", (F.col("r") - (F.col("upto") - F.col("k"))).alias("r"))
-    return placed.where("part % 2 = 0").select("g", "v", finer.alias("cell")), found, left
+    return placed.where("part % 2 = 0").select("g", "v", "k", finer.alias("cell")), found, left
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], limit: int = LIMIT) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvia.operators import metrics, selection
+from corvia.operators import folds, metrics, selection
 
 
 @pytest.mark.parametrize("limit", [200_000, 50])
@@ -50,3 +50,33 @@ def test_average_precision_in_ranges(spark, limit):
     for g in ("distinct", "ties", "none", None):
         want = plain([r for r in rows if r[0] == g])
         assert got[g] == (None if want is None else pytest.approx(want, rel=1e-12))
+
+
+def test_rows_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(5000).mapInArrow(count, "id long").withColumn("v", F.col("id") % 997)
+    (r,) = selection.percentiles(rows, [], "v", [0.5], limit=50).collect()
+    assert r.n == 5000 and r.percentiles == [496.5] and seen.value == 5000
+
+
+def test_tail_ranks_only_the_date_on_which_it_begins(spark):
+    rows = [(f"d{i // 300}" if i >= 300 else None, i, float(i * 7 % 1000), 0.0) for i in range(1500)]
+    df = spark.createDataFrame(rows, "day string, id long, y double, p double").repartition(5)
+    found = folds.tail_shift(df, "day", ["id"], "y", "p", 0.5)
+    tail = sorted(r[2] for r in rows[1275:])
+    (r,) = found.collect()
+    assert (r.n_tail, r["shift"]) == (225, tail[112])
+    ranked = []
+    plain = folds.with_rank
+    try:
+        folds.with_rank = lambda d, *a: ranked.append(d.count()) or plain(d, *a)
+        folds.tail_shift(df, "day", ["id"], "y", "p", 0.5).collect()
+    finally:
+        folds.with_rank = plain
+    assert ranked == [300]
