@@ -63,4 +63,4 @@ def decimal(text: Column) -> Column:
 def months(years: Column, months_: Column) -> Column:
     """Years and months as written (empty: absent) in months; null if both are absent or it comes to nothing."""
     total = F.coalesce(numeral(years), F.lit(0)) * 12 + F.coalesce(numeral(months_), F.lit(0))
-    return F.nullif(total, F.lit(0))
+    return let(total, lambda n: F.when(n != 0, n))

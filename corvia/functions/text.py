@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 FLAGS, DOTALL_FLAGS = "(?Ud)", "(?Usd)"
+MARK = "\x01"
 
 
 def let(x: Column, body: Callable[[Column], Column]) -> Column:
@@ -42,26 +43,34 @@ def between(text: Column, start: Column | int, end: Column | int) -> Column:
     return F.when(end > start, F.substring(text, start + 1, end - start)).otherwise(F.lit(""))
 
 
-def _placed(found: Column, parts: Column, width) -> Column:
-    def at(i: Column) -> Column:
-        before = F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x))
-        inside = F.aggregate(F.slice(found, 1, i), F.lit(0), lambda n, x: n + F.length(x))
-        return before + inside
+def _placed(found: Column, gaps: Column) -> Column:
+    """Matches and the texts between them -> structs of start, end, text. Both are worked out once, not for each match."""
+    def at(p: Column, i: Column) -> Column:
+        return F.aggregate(F.slice(p["gaps"], 1, i + 1), F.lit(0), lambda n, x: n + x) + F.aggregate(F.slice(p["found"], 1, i), F.lit(0), lambda n, x: n + F.length(x))
 
-    return F.transform(found, lambda x, i: F.struct(at(i).alias("start"), (at(i) + width(x)).alias("end"), x.alias("text")))
+    def place(p: Column) -> Column:
+        return F.transform(p["found"], lambda x, i: let(at(p, i), lambda n: F.struct(n.alias("start"), (n + F.length(x)).alias("end"), x.alias("text"))))
+
+    return let(F.struct(found.alias("found"), F.transform(gaps, F.length).alias("gaps")), place)
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """All matches in order as structs of start, end, text. The pattern must not match the empty string."""
-    found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
-    return _placed(found, F.split(text, FLAGS + pattern, -1), F.length)
+    """All matches in order as structs of start, end, text. The pattern must not match the empty string.
+
+    Marks are put round the matches, and the text is cut at the marks: a replacement keeps its compiled pattern
+    from row to row, a split at a pattern compiles it anew for each. Texts that hold the mark itself are split.
+    """
+    regex = F.lit(FLAGS + pattern)
+    marked = F.regexp_replace(text, regex, F.lit(f"{MARK}$0{MARK}"))
+    cut = let(F.split(marked, MARK, -1), lambda p: _placed(F.filter(p, lambda _, i: i % 2 == 1), F.filter(p, lambda _, i: i % 2 == 0)))
+    return F.when(F.contains(text, F.lit(MARK)), _placed(F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, FLAGS + pattern, -1))).otherwise(cut)
 
 
 def literal_spans(text: Column, word: Column) -> Column:
     """The same for a literal that differs from row to row; none for an empty one."""
     parts = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1)
     found = F.array_repeat(word, F.size(parts) - 1)
-    return F.when(word != "", _placed(found, parts, F.length)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    return F.when(word != "", _placed(found, parts)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def section(text: Column, title: str, ends: tuple[str, ...]) -> Column:
@@ -69,9 +78,8 @@ def section(text: Column, title: str, ends: tuple[str, ...]) -> Column:
     head, at = first(text, loose(title)), F.regexp_instr(text, F.lit(FLAGS + loose(title)))
 
     def cut(tail: Column) -> Column:
-        stops = [F.nullif(F.regexp_instr(tail, F.lit(FLAGS + e)), F.lit(0)) for e in ends]
-        stop = F.coalesce(F.least(*stops) if len(stops) > 1 else stops[0], F.length(tail) + 1)
-        return F.substring(tail, F.lit(1), stop - 1)
+        stop = F.regexp_instr(tail, F.lit(FLAGS + "|".join(f"(?:{e})" for e in ends)))
+        return let(stop, lambda n: F.when(n > 0, F.substring(tail, F.lit(1), n - 1)).otherwise(tail))
 
     return let(at, lambda n: F.when(n > 0, let(F.substring(text, n + F.length(head), F.length(text)), cut)).otherwise(F.lit("")))
 

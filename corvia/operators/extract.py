@@ -75,8 +75,7 @@ def heaviest_g(text: Column) -> Column:
     """The greatest net weight in grams; null without a readable one above 0."""
     def grams(s: Column) -> Column:
         unit = F.replace(first(s["text"], WEIGHT, 2), F.lit(" "), F.lit(""))
-        value = decimal(first(s["text"], WEIGHT, 1))
-        return F.when(value > 0, F.when(unit.startswith("公斤"), value * 1000.0).otherwise(value))
+        return let(decimal(first(s["text"], WEIGHT, 1)), lambda value: F.when(value > 0, F.when(unit.startswith("公斤"), value * 1000.0).otherwise(value)))
 
     return F.array_max(F.transform(spans(text, WEIGHT), grams))
 
@@ -115,7 +114,7 @@ def _facts(text: Column) -> Column:
         section(text, "犯罪事實", (r"\n\s*理\s*由", r"證\s*據\s*清\s*單")),
         section(text, "事實", (r"\n\s*理\s*由",)),
     )
-    return F.coalesce(*(F.when(F.length(t) >= SHORTEST, t) for t in tries), text)
+    return F.coalesce(*(let(t, lambda x: F.when(F.length(x) >= SHORTEST, x)) for t in tries), text)
 
 
 def _with_features(cut: DataFrame) -> DataFrame:
