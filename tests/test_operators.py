@@ -149,3 +149,15 @@ def test_objects_of_a_file_are_held_one_at_a_time():
         assert n == 50_000 and peak < 3 * len(raw)
     assert records.parse_json(b'[{"a": 1}, [2], {"b": 2} ]') == [{"a": 1}, {"b": 2}] and records.parse_json(b"[]") == [] == records.parse_json(b"[1,]")
     assert records.parse_json(b'[{"a": 1},\n{"b": 2}\n') == [{"b": 2}] and records.parse_json(b'[{"a": 1}] x\n{"c": 3}') == [{"c": 3}]
+
+
+def test_training_rows_move_no_maps_of_factors(spark):
+    rec = spark.createDataFrame([("KL1", "110", "訴", "KL"), ("KL2", "110", "訴", "KL")], "jid string, jyear string, jcase string, court string")
+    fac = spark.createDataFrame([("KL1", {"motive": ("aggravating", "x")})], "jid string, factors map<string,struct<direction:string,evidence:string>>")
+    columns = {n: "false" for n in training.FLAGS.values()} | {"behaviors": "array('施用')", "drug_levels": "array(1)", "n_sentence_counts": "1", "sum_individual_months": "0"}
+    columns |= {"max_drug_weight_g": "5.0D", "defendant_name": "''", "jdate": "''", "n_defendants": "1", "convicted_behaviors": "array('施用')", "convicted_drug_levels": "array(1)", "probation_granted": "false"}
+    features = rec.select("jid", F.lit(7).alias("sentence_months"), *(F.expr(e).alias(n) for n, e in columns.items()))
+    rows = training.training_rows(features, rec, fac)
+    assert sorted((r.jid, r.a57_motive_agg, r.a57_motive_mit, r.a57_harm_agg) for r in rows.collect()) == [("KL1", 1, 0, 0), ("KL2", 0, 0, 0)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "element_at" not in plan[: plan.index("Join LeftOuter")].lower()
