@@ -4,11 +4,13 @@ A head is a loss on a run of the rows in order: it learns from the rows before `
 there to `tail`, and later rows are not its own. So all folds, seeds and quantiles of an evaluation are heads of one
 training, and share each pass over the data.
 
-A pass. Features are bytes (bins of their quantiles, edges from one aggregate). Rows lie in blocks of some ten thousand, a column of
-numbers each, in the order of ranks, so a pass works on whole columns and moves no rows one by one. Each task sums gradients and
+A pass. Features are bytes (bins of their quantiles, edges from counts or one aggregate). Rows that are alike in bins and labels are a kind;
+they are dealt out so that they meet, and lie in blocks of some hundred thousand: a column of numbers for each feature of the kinds, and of
+each row its key and how many of the heads' limits it has passed. A pass counts what rows of each kind a head's round sees, and all else
+is done once a kind, on whole columns. Each task sums gradients and
 curvatures by (head, node, feature, bin) in arrays; those are added up by a grouped sum, and the driver picks the best
 split of each node from the sums (heads x nodes x features x bins rows, whatever the number of cases). Sums are of
-whole numbers (gradients in millionths of two), so results do not hang on the order of addition. When a round's trees
+whole numbers (gradients in millionths of two), so results do not hang on the order of addition, nor on what is a kind. When a round's trees
 are grown, one more pass refits each leaf of a quantile head: residuals are counted in steps of the leaf's range, and
 the leaf takes the quantile of its loss. Every few rounds the running predictions are written out, so lineage stays
 short; the trees since then are applied on the fly.
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corvia.operators.selection import at_ranks
 from corvia.sources.written import discard, materialise
 
 UNIT = 1 << 20  # of gradients, curvatures and losses, as whole numbers
@@ -58,26 +61,26 @@ class Tree:
     value: np.ndarray
     gain: np.ndarray
 
-    def leaves(self, x: np.ndarray) -> np.ndarray:
+    def leaves(self, x: np.ndarray, kind: type = np.int64) -> np.ndarray:
         """Of rows of bins, the leaf of each, from 0. Columns are compared as a whole, so x is best held by column."""
-        first = len(self.feature)
+        first, small = len(self.feature), np.uint8 if len(self.value) <= 256 else np.int64
 
         def below(node: int):
             if node >= first:
-                return node - first
+                return small(node - first)
             left = below(2 * node + 1)
             if self.bin[node] == 255:
                 return left
             return np.where(x[:, self.feature[node]] > self.bin[node], below(2 * node + 2), left)
 
-        return np.broadcast_to(below(0), len(x)).astype(np.int64)
+        return np.broadcast_to(below(0), len(x)).astype(kind)
 
     @property
     def depth(self) -> int:
         return int(np.log2(len(self.value)))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.value[self.leaves(x)]
+        return self.value[self.leaves(x, np.intp)]
 
 
 @dataclass
@@ -119,13 +122,52 @@ class Bins:
 
 
 def learn_bins(rows: DataFrame, columns: list[str], bins: int = 32) -> Bins:
-    """Edges between quantiles, a few numbers for each feature, from one aggregate whose sketches are bounded."""
+    """Edges between quantiles, a few numbers for each feature.
+
+    Values of a feature that has few are counted; the others' quantiles are from one aggregate whose sketches are bounded.
+    """
+    values = rows.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)))
     share = [i / bins for i in range(1, bins + 1)]
-    found = rows.agg(*(F.percentile_approx(F.col(f"`{c}`").cast("double"), share, 10_000).alias(f"q{i}") for i, c in enumerate(columns))).first()
-    edges = [np.unique([v for v in (found[f"q{i}"] or []) if v is not None and not np.isnan(v)])[:-1] for i in range(len(columns))]
+    found = {}
+    for i, counts in _counted(values).items():
+        v, n = (np.array(a) for a in zip(*sorted(counts, key=lambda c: (np.isnan(c[0]), c[0])), strict=True))
+        upto = np.cumsum(n)
+        found[i] = v[np.searchsorted(upto, np.ceil(np.array(share) * upto[-1]))]
+    wide = [i for i in range(len(columns)) if i not in found]
+    if wide:
+        at = values.agg(*(F.percentile_approx(f"c{i}", share, 10_000).alias(f"q{i}") for i in wide)).first()
+        found |= {i: at[f"q{i}"] or [] for i in wide}
+    edges = [np.unique([v for v in found[i] if v is not None and not np.isnan(v)])[:-1] for i in range(len(columns))]
     return Bins(columns, edges)
 
 
+FEW = 16  # values of a feature that are counted
+
+
+def _counted(values: DataFrame) -> dict[int, list[tuple[float, int]]]:
+    """The place of each column that has one to FEW values (nulls apart): values, numbers of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict[float, int] | None] = []
+        for batch in batches:
+            found = found or [{} for _ in batch.columns]
+            for j, column in enumerate(batch.columns):
+                if (have := found[j]) is None:
+                    continue
+                for v, n in zip(*(a.tolist() for a in np.unique(column.drop_null().to_numpy(), return_counts=True)), strict=True):
+                    v = v if v == v else np.nan  # a single key
+                    have[v] = have.get(v, 0) + n
+                    if len(have) > FEW:
+                        found[j] = None
+                        break
+        out = [(j, v, n) for j, have in enumerate(found) for v, n in ([(None, 0)] if have is None else have.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.float64(), pa.int64()))], names=["place", "v", "n"])
+
+    sums = values.mapInArrow(run, "place int, v double, n long").groupBy("place", "v").agg(F.sum("n").alias("n"))
+    each = sums.groupBy("place").agg(F.count_if(F.col("v").isNull()).alias("wide"), F.count("*").alias("d"), F.collect_list(F.struct("v", "n")).alias("counts"))
+    return {r["place"]: [(c["v"], c["n"]) for c in r["counts"]] for r in each.where((F.col("wide") == 0) & (F.col("d") <= FEW)).collect()}  # a row a feature
+
+
 def binned(rows: DataFrame, bins: Bins, name: str = "x") -> DataFrame:
     """rows with the bytes of their bins."""
 
@@ -171,15 +213,20 @@ def _drawn(h: Head, key: np.ndarray, round_: int, share: float) -> np.ndarray:
     return (x >> np.uint64(40)) < np.uint64(int(share * (1 << 24)))
 
 
-# --- blocks: rows packed by thousands, as columns of numbers
+# --- blocks: kinds packed by thousands, as columns of numbers, with their rows' keys
 
-ROW = {"rank": np.int64, "key": np.int64, "y": np.float64, "p": np.uint8}
-BLOCK, PART_BYTES = 1 << 15, 64 << 20
+KIND = {"first": np.uint16, "n": np.int32, "y": np.float64, "p": np.uint8}
+ROW = {"rank": np.uint16, "key": np.int64}
+BLOCK, PART_BYTES = 1 << 17, 32 << 20
 
 
 @dataclass
 class Block:
-    """Rows in the order of their ranks; bins by column; running predictions by head, if any were written."""
+    """Rows by kind; y, p, bins (by column) of each kind, running predictions by head, if any were written.
+
+    With cuts, a row's rank is the number of cuts that are not above it, `first` is the lowest of each kind, and kinds are in its order,
+    so a head's kinds begin each block. Without, each row is a kind, in the order of ranks.
+    """
 
     rank: np.ndarray
     key: np.ndarray
@@ -187,31 +234,80 @@ class Block:
     p: np.ndarray
     x: np.ndarray
     f: np.ndarray | None
+    n: np.ndarray | None = None
+    first: np.ndarray | None = None
+    cuts: list[int] | None = None
     drawn: dict = field(default_factory=dict)
 
+    def upto(self, limit: int) -> int:
+        """The number of kinds with a row below a rank; a cut, if there are cuts."""
+        return int(np.searchsorted(self.rank, limit) if self.cuts is None else np.searchsorted(self.first, self._passed(limit)))
+
+    def _passed(self, limit: int) -> int:
+        return self.cuts.index(limit) + 1
+
+    def _places(self) -> np.ndarray:
+        if "places" not in self.drawn:
+            self.drawn["places"] = self.rank * np.int64(len(self.y)) + np.repeat(np.arange(len(self.y)), self.n)
+        return self.drawn["places"]
+
+    def _sums(self, which: np.ndarray | None) -> np.ndarray:
+        """By number of cuts and kind, the rows that have passed fewer."""
+        places = self._places() if which is None else self._places()[which]
+        counts = np.bincount(places, minlength=len(self.cuts) * len(self.y)).reshape(-1, len(self.y))
+        return np.cumsum(counts, axis=0, dtype=np.float64)
+
     def seen(self, h: Head, round_: int, share: float) -> np.ndarray:
+        """Of each kind, the rows that teach a head in a round."""
         if h.seed not in self.drawn:
-            self.drawn[h.seed] = _drawn(h, self.key, round_, share)
-        return self.drawn[h.seed]
+            drawn = _drawn(h, self.key, round_, share)
+            self.drawn[h.seed] = drawn if self.cuts is None else self._sums(drawn)
+        drawn = self.drawn[h.seed]
+        return (drawn & (self.rank < h.fit)).astype(np.float64) if self.cuts is None else drawn[self._passed(h.fit) - 1]
+
+    def late(self, h: Head) -> np.ndarray:
+        """Of each kind, the rows of a head's tail."""
+        if self.cuts is None:
+            return ((self.rank >= h.fit) & (self.rank < h.tail)).astype(np.float64)
+        if "all" not in self.drawn:
+            self.drawn["all"] = self._sums(None)
+        return self.drawn["all"][self._passed(h.tail) - 1] - self.drawn["all"][self._passed(h.fit) - 1]
+
+
+def cuts_of(heads: list[Head]) -> list[int]:
+    """The ranks where a head's rows end: all that training needs to know of an order."""
+    return sorted({r for h in heads for r in (h.fit, h.tail)})
 
 
 def _row_schema(with_f: bool) -> str:
-    return ", ".join(f"{c} binary" for c in (*ROW, "x", *(["f"] if with_f else [])))
+    return ", ".join(f"{c} binary" for c in (*KIND, *ROW, "x", *(["f"] if with_f else [])))
 
 
-def _packed(rows: DataFrame, width: int, heads: int) -> DataFrame:
-    """rank, key, y, p, x -> blocks. A partition holds ranks from everywhere, in order, so a head's rows begin each of its blocks."""
+def _packed(rows: DataFrame, width: int, heads: int, cuts: list[int] | None = None) -> DataFrame:
+    """rank, key, y, p, x -> blocks. Rows of a kind lie together, by ranges of a hash, and then of keys where a kind is large."""
+    cuts = cuts or []
     n = rows.count()
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n * (25 + width + 8 * heads) // PART_BYTES), min(2 * cores, n // 20_000 + 1))
-    spread = rows.repartition(parts, "rank").sortWithinPartitions("rank")
+    parts = max(-(-n * (25 + width + 8 * (heads if heads < 8 else 8)) // PART_BYTES), min(2 * cores, n // 20_000 + 1))
+    passed = sum(((F.col("rank") >= c).cast("int") for c in cuts), F.lit(0))
+    slim = rows.select(passed.alias("rank"), "key", "y", "p", "x", F.xxhash64("x", "y", "p").alias("kind"))
+    spread = slim.repartitionByRange(parts, "kind", "key") if parts > 1 else slim.coalesce(1)
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        of = lambda c, kind: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]).astype(kind)
+        rank, key, y, p = of("rank", np.uint16), of("key", np.int64), of("y", np.float64), of("p", np.uint8)
+        x = np.concatenate([_bytes(b.column("x"), np.uint8, width) for b in held])
+        other = (y[1:] != y[:-1]) | (p[1:] != p[:-1]) | (x[1:] != x[:-1]).any(axis=1)
+        starts = np.flatnonzero(np.concatenate([[True], other]))
+        size, first = np.diff(np.append(starts, len(y))), np.minimum.reduceat(rank, starts)
+        order = np.argsort(first, kind="stable")
+        at = np.repeat(starts[order] - np.concatenate([[0], np.cumsum(size[order])[:-1]]), size[order]) + np.arange(len(y))  # rows in the order of kinds
+        kept = starts[order]
+        values = {"first": first[order], "n": size[order], "y": y[kept], "p": p[kept], "rank": rank[at], "key": key[at]}
+        blobs = [v.astype((KIND | ROW)[c]).tobytes() for c, v in values.items()] + [x[kept].tobytes(order="F")]
+        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in blobs], names=[*values, "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            values = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]).astype(k).tobytes() for c, k in ROW.items()]
-            x = np.concatenate([_bytes(b.column("x"), np.uint8, width) for b in held])
-            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (*values, x.tobytes(order="F"))], names=[*ROW, "x"])
-
         held, size = [], 0
         for batch in batches:
             held, size = [*held, batch], size + batch.num_rows
@@ -221,22 +317,23 @@ def _packed(rows: DataFrame, width: int, heads: int) -> DataFrame:
         if size:
             yield block(held)
 
-    return spread.select(*ROW, "x").mapInArrow(run, _row_schema(False))
+    return spread.sortWithinPartitions("kind").mapInArrow(run, _row_schema(False))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int, heads: int) -> Iterator[Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, heads: int, cuts: list[int]) -> Iterator[Block]:
     for batch in batches:
         for i in range(batch.num_rows):
             value = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind)  # noqa: B023, E731
             f = value("f", np.float64).reshape(heads, -1) if "f" in batch.schema.names else None
-            yield Block(*(value(c, k) for c, k in ROW.items()), value("x", np.uint8).reshape(width, -1).T, f)
+            v = {c: value(c, k) for c, k in (KIND | ROW).items()}
+            yield Block(v["rank"], v["key"], v["y"], v["p"], value("x", np.uint8).reshape(width, -1).T, f, v["n"], v["first"], cuts)
 
 
 Pending = list[list[Tree | None]]  # by round, then by head
 
 
 def _running(block: Block, m: int, base: float, pending: Pending, upto: int) -> np.ndarray:
-    """Predictions of a head for the first rows of a block."""
+    """Predictions of a head for the first kinds of a block."""
     f = np.full(upto, base) if block.f is None else block.f[m, :upto].copy()
     for trees in pending:
         if trees[m] is not None:
@@ -245,18 +342,23 @@ def _running(block: Block, m: int, base: float, pending: Pending, upto: int) ->
 
 
 def _pass(state: DataFrame, heads: list[Head], base: list[float], width: int, pending: Pending, late: bool, step: Callable) -> DataFrame:
-    """Run step().add(block, head number, head, f, number of rows that teach) on each block and head; its sums go out at the end of a task.
+    """Run step().add(block, head number, head, f, number of kinds that teach) on each block and head; its sums go out at the end of a task.
 
-    f has the rows that teach and, if `late`, those of the tail behind them.
+    If `late`, step().late(block, head number, head, f) too, where f goes on to the kinds of the tail.
     """
+    cuts = cuts_of(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = step()
-        for block in _blocks(batches, width, len(heads)):
+        for block in _blocks(batches, width, len(heads), cuts):
             for m, h in enumerate(heads):
-                fit, tail = np.searchsorted(block.rank, [h.fit, max(h.fit, h.tail) if late else h.fit]).tolist()
+                fit = block.upto(h.fit)
+                tail = block.upto(h.tail) if late and h.tail > h.fit else fit
                 if tail:
-                    sums.add(block, m, h, _running(block, m, base[m], pending, tail), fit)
+                    f = _running(block, m, base[m], pending, tail)
+                    sums.add(block, m, h, f[:fit], fit)
+                    if late and h.tail > h.fit:
+                        sums.late(block, m, h, f)
         for m, node, g, w in sums.rows():
             at = np.flatnonzero((g != 0) | (w != 0))
             yield pa.RecordBatch.from_arrays(
@@ -309,7 +411,8 @@ def train(
     width, most = len(bins.columns), 1 + max((len(e) for e in bins.edges), default=0)
     slim = rows.select("rank", "key", F.col("y").cast("double").alias("y"), F.col("p").cast("int").alias("p"), "x")
     base, span = _starts(slim, heads)
-    state = materialise(_packed(slim, width, len(heads)), "boosting")
+    cuts = cuts_of(heads)
+    state = materialise(_packed(slim.where(F.col("rank") < cuts[-1]), width, len(heads), cuts), "boosting")
     sizes = [len(e) + 1 for e in bins.edges]
     models = [Boosted(h, b) for h, b in zip(heads, base, strict=True)]
     pending: Pending = []
@@ -342,7 +445,7 @@ def train(
             model.trees.append(t)
         pending.append(grown)
         if len(pending) == KEEP and r + 1 < rounds:
-            following = materialise(_applied(state, base, width, pending), "boosting")
+            following = materialise(_applied(state, heads, base, width, pending), "boosting")
             discard(state)
             state, pending = following, []
     for (m, node), (_, g, w) in _added(_pass(state, heads, base, width, pending, True, lambda: Histograms([], 0, sizes, most, rounds, row_share))).items():
@@ -356,25 +459,32 @@ def train(
 
 
 def _starts(rows: DataFrame, heads: list[Head]) -> tuple[list[float], float]:
-    """A quantile head starts from that quantile of its labels, a probability from the log odds of its share; and the span of labels."""
-    out = []
-    for h in heads:
-        mine = F.when(F.col("rank") < h.fit, F.col("y"))
-        if h.alpha is not None:
-            out.append(F.percentile_approx(mine, h.alpha, 10_000))
-        else:
-            out.append(F.avg(F.when(F.col("rank") < h.fit, F.col("p"))))
-    found = rows.agg(*(c.cast("double").alias(f"h{i}") for i, c in enumerate(out)), (F.max("y") - F.min("y")).alias("span")).first()
+    """A quantile head starts from that quantile of its labels, a probability from the log odds of its share; and the span of labels.
+
+    Labels are counted between the ranks where heads end; a head's are those before its own.
+    """
+    fits = sorted({h.fit for h in heads})
+    passed = sum(((F.col("rank") >= c).cast("int") for c in fits), F.lit(0))
+    parts = {r["part"]: r for r in rows.groupBy(passed.alias("part")).agg(F.count("p").alias("n"), F.sum("p").alias("p"), F.min("y").alias("low"), F.max("y").alias("high")).collect()}
+    lows, highs = ([r[c] for r in parts.values() if r[c] is not None] for c in ("low", "high"))
+    alphas = sorted({h.alpha for h in heads if h.alpha is not None})
+    values = {}
+    if alphas:
+        counts = rows.where(F.col("rank") < fits[-1]).groupBy(passed.alias("part"), "y").agg(F.count("*").alias("k"))
+        known = counts.select("y", "k", F.explode(F.sequence(F.col("part"), F.lit(len(fits) - 1))).alias("of"))
+        nearest = [lambda n, a=a: F.greatest(F.ceil(n * F.lit(a)) - 1, F.lit(0)) for a in alphas]
+        values = {fits[r["of"]]: dict(zip(alphas, r["values"], strict=True)) for r in at_ranks(known, ["of"], "y", nearest, count="k").collect()}
     base = []
-    for i, h in enumerate(heads):
-        v = found[f"h{i}"]
+    for h in heads:
         if h.alpha is not None:
-            base.append(0.0 if v is None else float(v))
+            base.append(float(values.get(h.fit, {}).get(h.alpha, 0.0)))
         else:
-            v = min(max(0.5 if v is None else v, 1e-6), 1 - 1e-6)
+            mine = [r for part, r in parts.items() if part <= fits.index(h.fit)]
+            n = sum(r["n"] for r in mine)
+            v = min(max(sum(r["p"] or 0 for r in mine) / n if n else 0.5, 1e-6), 1 - 1e-6)
             v = v * h.weight / (v * h.weight + 1 - v)
             base.append(float(np.log(v / (1 - v))))
-    return base, max(found["span"] or 0.0, 1e-9)
+    return base, max(max(highs) - min(lows) if lows else 0.0, 1e-9)
 
 
 def grouped(sizes: list[int], most: int = 4096) -> list[list[int]]:
@@ -409,38 +519,34 @@ class Histograms:
         if self.codes[0] is not block:
             found = []
             for group in self.groups:
-                code = np.zeros(len(block.rank), dtype=np.int64)
+                code = np.zeros(len(block.y), dtype=np.int64)
                 for j in group:
                     code = code * self.sizes[j] + block.x[:, j]
                 found.append(code)
             self.codes = block, found
         return self.codes[1]
 
+    def late(self, block: Block, m: int, h: Head, f: np.ndarray) -> None:
+        have, rows, n = self.losses.setdefault(m, [0, 0]), block.late(h)[: len(f)], len(f)
+        have[0] += int((np.round(loss(h, block.y[:n], block.p[:n].astype(bool), f) * 1024) * rows).sum())
+        have[1] += int(rows.sum())
+
     def add(self, block: Block, m: int, h: Head, f: np.ndarray, fit: int) -> None:
-        if len(f) > fit:
-            have = self.losses.setdefault(m, [0, 0])
-            late = slice(fit, len(f))
-            have[0] += int(np.round(loss(h, block.y[late], block.p[late].astype(bool), f[late]) * 1024).sum())
-            have[1] += len(f) - fit
         if not self.grown or not fit:
             return
         self.alphas[m] = h.alpha
-        f, y, nodes = f[:fit], block.y[:fit], 2**self.level
+        y, nodes, rows = block.y[:fit], 2**self.level, block.seen(h, self.round, self.share)[:fit]
         top = self.grown[m]
-        upper = Tree(top.feature[: nodes - 1], top.bin[: nodes - 1], top.cover, np.zeros(nodes), top.gain)
-        node = np.where(block.seen(h, self.round, self.share)[:fit], upper.leaves(block.x[:fit]), nodes)  # the last: not drawn
+        node = Tree(top.feature[: nodes - 1], top.bin[: nodes - 1], top.cover, np.zeros(nodes), top.gain).leaves(block.x[:fit])
         if h.alpha is not None:
             node = 2 * node + (y < f)
-            weights = None
+            weights = [rows]
         else:
-            weights = [np.round(v * UNIT) for v in _gradient(h, y, block.p[:fit].astype(bool), f)]
+            weights = [np.round(v * UNIT) * rows for v in _gradient(h, y, block.p[:fit].astype(bool), f)]
         for i, (group, code) in enumerate(zip(self.groups, self._codes(block), strict=True)):
             ways = int(np.prod([self.sizes[j] for j in group]))
             at = node * ways + code[:fit]
-            if weights is None:
-                new = [np.bincount(at, minlength=2 * (nodes + 1) * ways)]
-            else:
-                new = [np.bincount(at, v, (nodes + 1) * ways).astype(np.int64) for v in weights]
+            new = [np.bincount(at, v, (1 + (h.alpha is not None)) * nodes * ways).astype(np.int64) for v in weights]
             have = self.sums.get((m, i))
             if have is None:
                 self.sums[m, i] = new
@@ -457,10 +563,10 @@ class Histograms:
             g, w = whole.setdefault(m, [np.zeros((nodes, width * self.bins), dtype=np.int64) for _ in range(2)])
             group = self.groups[i]
             if len(sums) == 1:  # over the prediction, and under it
-                over, under = np.moveaxis(sums[0].reshape(nodes + 1, 2, -1), 1, 0)
+                over, under = np.moveaxis(sums[0].reshape(nodes, 2, -1), 1, 0)
                 high, low = self._quantile_units(m)
                 sums = [over * high + under * low, (over + under) * UNIT]
-            each = [v.reshape(nodes + 1, *(self.sizes[j] for j in group))[:nodes] for v in sums]
+            each = [v.reshape(nodes, *(self.sizes[j] for j in group)) for v in sums]
             for k, j in enumerate(group):
                 others = tuple(1 + o for o in range(len(group)) if o != k)
                 for into, v in zip((g, w), each, strict=True):
@@ -488,18 +594,17 @@ class LeafSums:
 
     def add(self, block: Block, m: int, h: Head, f: np.ndarray, fit: int) -> None:
         t, cells = self.grown[m], 2 * STEPS + 1
-        seen, n = block.seen(h, self.round, self.share)[:fit], len(t.value)
-        leaf = np.where(seen, t.leaves(block.x[:fit]), n)  # the last: not drawn
-        g, w = self.sums.setdefault(m, tuple(np.zeros((n + 1, cells), dtype=np.int64) for _ in range(2)))
+        rows, n, leaf = block.seen(h, self.round, self.share)[:fit], len(t.value), t.leaves(block.x[:fit])
+        g, w = self.sums.setdefault(m, tuple(np.zeros((n, cells), dtype=np.int64) for _ in range(2)))
         if h.alpha is not None:
-            w += np.bincount(leaf * cells + _cells(block.y[:fit] - f, self.span), minlength=w.size).reshape(w.shape)
+            w += np.bincount(leaf * cells + _cells(block.y[:fit] - f, self.span), rows, w.size).astype(np.int64).reshape(w.shape)
         else:
             for into, v in zip((g, w), _gradient(h, block.y[:fit], block.p[:fit].astype(bool), f), strict=True):
-                into[:, 0] += np.bincount(leaf, np.round(v * UNIT), n + 1).astype(np.int64)
+                into[:, 0] += np.bincount(leaf, np.round(v * UNIT) * rows, n).astype(np.int64)
 
     def rows(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         for m, (g, w) in self.sums.items():
-            for k in range(len(g) - 1):
+            for k in range(len(g)):
                 yield m, k, g[k], w[k]
 
 
@@ -511,14 +616,15 @@ def _leaf_value(h: Head, at: np.ndarray, g: np.ndarray, w: np.ndarray, span: flo
     return float(np.sinh((cell - STEPS) * 7 / STEPS) * span / 200)
 
 
-def _applied(state: DataFrame, base: list[float], width: int, pending: Pending) -> DataFrame:
+def _applied(state: DataFrame, heads: list[Head], base: list[float], width: int, pending: Pending) -> DataFrame:
     """state with the pending trees in its running predictions."""
+    cuts = cuts_of(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, block in enumerate(_blocks(iter([batch]), width, len(base))):
-                f = np.concatenate([_running(block, m, b, pending, len(block.rank)) for m, b in enumerate(base)])
-                one = batch.slice(i, 1).select([*ROW, "x"])
+            for i, block in enumerate(_blocks(iter([batch]), width, len(base), cuts)):
+                f = np.concatenate([_running(block, m, b, pending, len(block.y)) for m, b in enumerate(base)])
+                one = batch.slice(i, 1).select([*KIND, *ROW, "x"])
                 yield one.append_column("f", pa.array([f.tobytes()], pa.binary()))
 
     return state.mapInArrow(run, _row_schema(True))

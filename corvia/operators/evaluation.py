@@ -26,9 +26,10 @@ def predictions(
     """
     date, tie = order
     kept = rows.withColumn("_c", constraint)
-    ready, bins = models.prepared(kept, columns, order, ["_c"])
-    n = ready.count()
-    edge = [k * n // (folds + 1) for k in range(folds + 2)]
+    edges = lambda n: [k * n // (folds + 1) for k in range(folds + 2)]
+    starts = lambda n: max(1, int(n * 0.85))
+    ready, bins, n = models.prepared(kept, columns, order, lambda n: [c for e in edges(n) for c in (e, models.held_back(e), starts(e))], ["_c"])
+    edge = edges(n)
     used = [k for k in range(folds) if edge[k + 2] > edge[k + 1] >= least]
     seen = ready.agg(*(F.count_if((F.col("p") == 1) & (F.col("rank") < edge[k + 1])).alias(f"n{k}") for k in range(folds))).first()
     heads = [h for k in used for h in models.heads_for(k, edge[k + 1], seen[f"n{k}"], seed, seeds)]
@@ -38,7 +39,7 @@ def predictions(
     parts = []
     for k in used:  # what a fold predicts: its tail, for shift and threshold, and its test rows
         n_train = edge[k + 1]
-        mine = ready.where((F.col("rank") >= max(1, int(n_train * 0.85))) & (F.col("rank") < edge[k + 2]))
+        mine = ready.where((F.col("rank") >= starts(n_train)) & (F.col("rank") < edge[k + 2]))
         parts.append((k, n_train, mine))
     scores = None
     for k, n_train, mine in parts:

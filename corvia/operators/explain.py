@@ -19,6 +19,7 @@ from math import factorial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from corvia.operators.boosting import Bins, Boosted, Tree, _bytes
 
@@ -100,6 +101,58 @@ def explained(rows: DataFrame, model: Boosted, bins: Bins, name: str = "contribu
     return rows.mapInArrow(run, schema)
 
 
+def _kinds(model: Boosted, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each of the rows of bins that all splits of a model send the same ways; for each row its place among them."""
+    splits: dict[int, set[int]] = {}
+    for t in model.trees:
+        for f, b in zip(t.feature.tolist(), t.bin.tolist(), strict=True):
+            if b != 255:
+                splits.setdefault(f, set()).add(b)
+    code, ways = np.zeros(len(x), dtype=np.int64), 1
+    for f, of in splits.items():
+        if ways * (len(of) + 1) > 1 << 40:
+            _, code = np.unique(code, return_inverse=True)
+            ways = len(x)
+        code = code * (len(of) + 1) + np.searchsorted(sorted(of), np.arange(256), side="left")[x[:, f]]
+        ways *= len(of) + 1
+    _, first, place = np.unique(code, return_index=True, return_inverse=True)
+    return first, place
+
+
+def summaries(rows: DataFrame, model: Boosted, bins: Bins, top: int = 10, x: str = "x") -> DataFrame:
+    """rows without their bytes, base_value, predicted_raw, explained (the base with all contributions), top_contributions as below.
+
+    Rows that all splits send the same ways are explained once a batch.
+    """
+    width, base, columns = len(bins.columns), base_value(model), bins.columns
+    more = "base_value double, predicted_raw double, explained double, top_contributions array<struct<name: string, contribution: double>>"
+    schema = StructType(rows.drop(x).schema.fields + _parse_datatype_string(more).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(columns)
+        for batch in batches:
+            values = _bytes(batch.column(x), np.uint8, width)
+            first, place = _kinds(model, values)
+            kinds = np.asfortranarray(values[first])
+            each = attributions(model, kinds)
+            total = np.zeros(len(kinds))
+            for j in range(width):
+                total += each[:, j]
+            order = np.argsort(-np.abs(each), axis=1, kind="stable")[:, :top]
+            k = order.shape[1]
+            pairs = pa.StructArray.from_arrays([names.take(pa.array(order[place].reshape(-1))), pa.array(np.take_along_axis(each, order, axis=1)[place].reshape(-1))], ["name", "contribution"])
+            found = {
+                "base_value": pa.array(np.full(len(place), base)), "predicted_raw": pa.array(model.raw(kinds)[place]), "explained": pa.array((base + total)[place]),
+                "top_contributions": pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1) * k, pa.int32()), pairs),
+            }
+            batch = batch.drop_columns([x])
+            for name, v in found.items():
+                batch = batch.append_column(name, v)
+            yield batch
+
+    return rows.mapInArrow(run, schema)
+
+
 def top_contributions(columns: list[str], contributions: str = "contributions", top: int = 10) -> Column:
     """The features of the greatest effect either way, largest first, of equal ones by their place: array of (name, contribution)."""
     c = F.col(contributions)

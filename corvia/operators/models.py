@@ -8,7 +8,7 @@ exactly their share lies below. With fewer than 50 rows nothing is held back: al
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -46,14 +46,17 @@ def heads_for(fold: int, n: int, positives: int, seed: int, seeds: int = SEEDS)
     return out
 
 
-def prepared(rows: DataFrame, columns: list[str], order: tuple[str, list[str]], keep: list[str] | None = None) -> tuple[DataFrame, Bins]:
-    """rank, key, y, p, the bytes of features' bins, and the columns to keep, in a written table; features themselves are not shuffled."""
+def prepared(
+    rows: DataFrame, columns: list[str], order: tuple[str, list[str]], cuts: Callable[[int], list[int]], keep: list[str] | None = None,
+) -> tuple[DataFrame, Bins, int]:
+    """rank (as far as cuts of the number of rows need it: folds.with_sides), key, y, p, the bytes of features' bins, and the columns to keep;
+    the bins; the number of rows. All is in a written table; no row is shuffled but those of dates on which a cut lies."""
     date, tie = order
     bins = learn_bins(rows, columns)
     known = rows.withColumns({"key": F.xxhash64(*(F.col(c).cast("string") for c in tie)), "y": F.col(LABEL).cast("double"), "p": F.coalesce(F.col(PROBATION), F.lit(0)).cast("int")})
     slim = binned(known, bins).select(date, *tie, "key", "y", "p", "x", *(keep or []))
-    ranked = folds.with_rank(materialise(slim, "binned"), date, tie)
-    return materialise(ranked, "ranked"), bins
+    ready, n = folds.with_sides(materialise(slim, "binned"), date, tie, cuts)
+    return ready, bins, n
 
 
 def scored(rows: DataFrame, models: dict[str, Boosted], width: int) -> DataFrame:
@@ -74,12 +77,23 @@ def mean_of(names: list[str]) -> Column:
     return sum((F.col(f"`{n}`") for n in names[1:]), F.col(f"`{names[0]}`")) / len(names)
 
 
+def _fitted(rows: DataFrame, columns: list[str], order: tuple[str, list[str]], seed: int, only: list[str] | None, **options) -> tuple[DataFrame, Bins, int, int, dict[str, Boosted]]:
+    """Prepared rows, bins, numbers of rows and of positives, and the heads on all rows, or only some of them: no head hangs on another."""
+    ready, bins, n = prepared(rows, columns, order, lambda n: [held_back(n), n])
+    positives = ready.where("p = 1").count()
+    heads = [h for h in heads_for(0, n, positives, seed) if only is None or h.name in only]
+    return ready, bins, n, positives, {m.head.name: m for m in boost(ready, bins, heads, **options)}
+
+
+def first_median(rows: DataFrame, columns: list[str], order: tuple[str, list[str]] = ("_jdate", ["jid"]), rounds: int = 20, depth: int = 3, seed: int = 7, **options) -> tuple[Boosted, Bins]:
+    """The head p50-0 of train(), and the bins, without training the others."""
+    _, bins, _, _, heads = _fitted(rows, columns, order, seed, ["p50-0"], rounds=rounds, depth=depth, **options)
+    return heads["p50-0"], bins
+
+
 def train(rows: DataFrame, columns: list[str], order: tuple[str, list[str]] = ("_jdate", ["jid"]), rounds: int = 20, depth: int = 3, seed: int = 7, **options) -> Bundle:
     """All heads on all rows; the last 15 % in order are held back for the number of rounds, the threshold and the shifts."""
-    ready, bins = prepared(rows, columns, order)
-    n, positives = rows.agg(F.count("*"), F.count_if(F.col(PROBATION) == 1)).first()
-    heads = heads_for(0, n, positives, seed)
-    heads = {m.head.name: m for m in boost(ready, bins, heads, rounds=rounds, depth=depth, **options)}
+    ready, bins, n, positives, heads = _fitted(rows, columns, order, seed, None, rounds=rounds, depth=depth, **options)
     about = {"n_rows": n, "base_rate": positives / n if n else 0.0, "threshold": 0.5, "delta25": 0.0, "delta75": 0.0, "calibrated": n >= 50}
     if n >= 50:
         tail = scored(ready.where(F.col("rank") >= held_back(n)).select("y", "p", "x"), {k: m for k, m in heads.items() if not k.startswith("p50")}, len(columns))

@@ -21,10 +21,13 @@ from corvia.sources.written import discard, materialise
 LIMIT, CUTS = 200_000, 64
 
 
-def at_ranks(df: DataFrame, by: list[str], value: str, ranks: list[Callable[[Column], Column]], limit: int = LIMIT) -> DataFrame:
-    """by, n, values: of each group its number of values, and those at the given ranks (from 0, as functions of n)."""
-    given = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).alias("v"))
-    rows = materialise(given.groupBy("g", "v").agg(F.count("*").alias("k")), "counted").withColumn("cell", F.lit(""))
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: list[Callable[[Column], Column]], limit: int = LIMIT, count: str | None = None) -> DataFrame:
+    """by, n, values: of each group its number of values, and those at the given ranks (from 0, as functions of n).
+
+    A row stands for as many values as its column `count` says, or for one.
+    """
+    given = df.where(F.col(value).isNotNull()).select(F.struct(F.lit(0).alias("_"), *by).alias("g"), F.col(value).alias("v"), (F.col(count) if count else F.lit(1)).alias("k"))
+    rows = materialise(given.groupBy("g", "v").agg(F.sum("k").alias("k")), "counted").withColumn("cell", F.lit(""))
     groups = rows.groupBy("g").agg(F.sum("k").alias("n"), F.count("*").alias("d"))
     most = groups.agg(F.max("d")).first()[0] or 0
     groups = groups.drop("d")
@@ -72,11 +75,11 @@ def _cut(rows: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     return placed.where("part % 2 = 0").select("g", "v", "k", finer.alias("cell")), found, left
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], limit: int = LIMIT) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], limit: int = LIMIT, count: str | None = None) -> DataFrame:
     """by, n, percentiles: interpolated between the two nearest ranks of (n - 1) * share."""
     place = lambda s: lambda n: (n - 1) * F.lit(s)
     ranks = [f for s in shares for f in (lambda n, s=s: F.floor(place(s)(n)), lambda n, s=s: F.ceil(place(s)(n)))]
-    found = at_ranks(df, by, value, ranks, limit)
+    found = at_ranks(df, by, value, ranks, limit, count)
 
     def between(i: int, s: float) -> Column:
         at = place(s)(F.col("n"))

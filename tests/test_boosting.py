@@ -186,3 +186,80 @@ def test_passes_move_blocks_and_sums_equal_plain_ones(trained):
                 for j in range(4):
                     np.add.at(into, j * most + x[:fit][at, j], np.round(v * b.UNIT).astype(np.int64))
             assert (got[node][0] == want[0]).all() and (got[node][1] == want[1]).all()
+
+
+def test_explained_query_trains_only_its_own_head(spark, monkeypatch):
+    heads, plain = [], models.boost
+    monkeypatch.setattr(models, "boost", lambda ready, bins, of, **k: heads.append([h.name for h in of]) or plain(ready, bins, of, **k))
+    sf = "/root/testdata/sf0.001"
+    in_order = lambda rows: sorted(rows, key=lambda r: (r.case_id, r.predicted_raw))
+    got = in_order(model_queries.explained_cases(spark, sf).collect())
+    assert heads == [["p50-0"]]
+    bundle = model_queries.trained(spark, sf)
+    rows = b.binned(model_queries.training(spark, sf), bundle.bins).select("case_id", "x")
+    want = explain.explained(rows, bundle.heads["p50-0"], bundle.bins).select("*", explain.top_contributions(model_queries.COLUMNS).alias("top")).collect()
+    for r, mine in zip(in_order(want), got, strict=True):
+        assert (mine.case_id, mine.base_value, mine.predicted_raw, mine.top_contributions) == (r.case_id, r.base_value, r.predicted_raw, r.top)
+        assert mine.explained == pytest.approx(r.base_value + sum(r.contributions), abs=1e-12)
+
+
+def test_rows_are_explained_once_a_kind(trained):
+    ready, bins, found = trained
+    late = ready.limit(500).select("x").toPandas()
+    x = np.frombuffer(b"".join(map(bytes, late.x)), dtype=np.uint8).reshape(-1, 4)
+    first, place = explain._kinds(found[1], np.vstack([x, x]))
+    assert len(first) < 500 and np.array_equal(place[:500], place[500:])
+    assert np.allclose(explain.attributions(found[1], x), explain.attributions(found[1], x[first])[place[:500]], rtol=0, atol=1e-12)
+
+
+def test_passes_work_on_kinds_and_add_up_as_on_rows(spark, trained):
+    ready, bins, found = trained
+    heads = [found[0].head, b.Head("0.5", 1, 0.5, 3, 1000, 1200), b.Head("p1", 1, None, 4, 1200, 1300, 1.5), found[3].head]
+    rows = ready.where("rank < 2400").withColumns({"x": F.expr("case when rank % 2 = 0 then x else x'00010203' end"), "y": F.floor("y").cast("double")})
+    cuts = b.cuts_of(heads)
+    assert cuts == [1000, 1200, 1300, 2000, 2400]
+    packed = b._packed(rows.select("rank", "key", "y", F.col("p").cast("int").alias("p"), "x"), 4, 4, cuts)
+    blocks = list(b._blocks(iter(packed.toArrow().to_batches()), 4, 4, cuts))
+    flat = rows.orderBy("rank").select("rank", "key", "y", "p", "x").toPandas()
+    x = np.asfortranarray(np.frombuffer(b"".join(map(bytes, flat.x)), dtype=np.uint8).reshape(-1, 4))
+    plain = b.Block(flat["rank"].to_numpy(), flat["key"].to_numpy(), flat["y"].to_numpy(), flat["p"].to_numpy().astype(np.uint8), x, None)
+    kinds = len(flat.assign(x=flat.x.map(bytes)).groupby(["x", "y", "p"]))
+    assert sum(len(k.y) for k in blocks) == kinds < 1400 and sum(len(k.key) for k in blocks) == 2400
+    sizes = [len(e) + 1 for e in bins.edges]
+    trees = [t.trees[0] for t in (found[0], found[1], found[3], found[3])]
+    for make in (lambda: b.Histograms(trees, 1, sizes, max(sizes), 2, 0.8), lambda: b.LeafSums(trees, 50.0, 2, 0.8)):
+        got = []
+        for of in (blocks, [plain]):
+            sums = make()
+            for block in of:
+                block.drawn.clear()
+                for m, h in enumerate(heads):
+                    tail = block.upto(h.tail)
+                    f = b._running(block, m, 20.0 if h.alpha else 0.1, [[trees[0]] * 4], tail)
+                    sums.add(block, m, h, f[: block.upto(h.fit)], block.upto(h.fit))
+                    if isinstance(sums, b.Histograms):
+                        sums.late(block, m, h, f)
+            got.append({(m, node): (g.tolist(), w.tolist()) for m, node, g, w in sums.rows()})
+        assert got[0] == got[1] and len(got[0]) >= 8
+
+
+def test_edges_of_few_values_are_counted(spark, monkeypatch):
+    rows = spark.range(6400).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 10 > 0, (F.col("id") % 100 == 1).cast("int")).alias("b"), F.when(F.col("id") % 3 > 0, 1.5).otherwise(float("nan")).alias("c"), F.lit(None).cast("int").alias("d"), F.lit(4).alias("e"), F.col("id").alias("wide"))
+    sketched, plain = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *a: sketched.append(c) or plain(c, *a))
+    got = b.learn_bins(rows, rows.columns)
+    assert len(sketched) == 2 and sketched == ["c3", "c5"]  # the one without values, and the one with many
+    share = [i / 32 for i in range(1, 33)]
+    for c, edges in zip(rows.columns, got.edges, strict=True):
+        want = rows.agg(plain(F.col(c).cast("double"), share, 10_000)).first()[0] or []
+        assert edges.tolist() == sorted({v for v in want if v == v})[:-1]
+
+
+def test_median_heads_start_from_exact_quantiles(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("rank"), (F.col("id") * 7919 % 20_011).cast("double").alias("y"), (F.col("id") % 3 == 0).cast("int").alias("p"))
+    heads = [b.Head("a", 0, 0.25, 1, 500, 600), b.Head("b", 1, 0.75, 1, 15_001, 20_000), b.Head("p", 1, None, 1, 15_001, 20_000)]
+    base, span = b._starts(rows, heads)
+    y = np.arange(20_000) * 7919 % 20_011
+    for h, v in zip(heads[:2], base, strict=False):
+        assert v == np.sort(y[: h.fit])[int(np.ceil(h.alpha * h.fit)) - 1]
+    assert base[2] == pytest.approx(np.log(5001 / 10_000)) and span == y.max() - y.min()

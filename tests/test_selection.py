@@ -80,3 +80,21 @@ def test_tail_ranks_only_the_date_on_which_it_begins(spark):
     finally:
         folds.with_rank = plain
     assert ranked == [300]
+
+
+def test_sides_of_cuts_equal_ranks_and_only_their_dates_are_ranked(spark, monkeypatch):
+    i = F.col("id")
+    rows = spark.range(5000).select(i, F.when(i % 50 > 0, F.format_string("2020%04d", i * 37 % 40)).alias("day"), (i * 7919 % 5003).alias("tie"))
+    want = {r.id: r["rank"] for r in folds.with_rank(rows, "day", ["tie"]).collect()}
+    edges = sorted(v for v in {r["_n"] for r in rows.groupBy("day").agg(F.count("*").alias("_n")).collect()})
+    ranked, plain = [], folds.with_rank
+    monkeypatch.setattr(folds, "with_rank", lambda d, *a: ranked.append(d.count()) or plain(d, *a))
+    for cuts in ([0, 50, 100, 2017, 2018, 4999, 5000], [100], [], [edges[0]], [777, 900, 901]):
+        got, n = folds.with_sides(rows, "day", ["tie"], lambda n: cuts)
+        found = {r.id: r["rank"] for r in got.collect()}
+        assert n == 5000 and len(found) == 5000
+        for c in cuts:
+            assert all((found[k] < c) == (want[k] < c) for k in found)
+    assert len(ranked) >= 2 and max(ranked) < 1000
+    one, n = folds.with_sides(rows.withColumn("day", F.lit("20230101")), "day", ["tie"], lambda n: [10, 4000])
+    assert sorted(r["rank"] for r in one.collect()) == list(range(5000))
