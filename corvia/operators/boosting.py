@@ -71,7 +71,8 @@ class Tree:
             left = below(2 * node + 1)
             if self.bin[node] == 255:
                 return left
-            return np.where(x[:, self.feature[node]] > self.bin[node], below(2 * node + 2), left)
+            goes = small(0) - (x[:, self.feature[node]] > x.dtype.type(self.bin[node])).astype(small)  # all bits where a row goes right: quicker than a choice
+            return left ^ ((left ^ below(2 * node + 2)) & goes)
 
         return np.broadcast_to(below(0), len(x)).astype(kind)
 
@@ -408,11 +409,29 @@ def train(
 
     A round sees row_share of a head's rows and a tree column_share of the features, drawn by the head's seed.
     """
-    width, most = len(bins.columns), 1 + max((len(e) for e in bins.edges), default=0)
+    width = len(bins.columns)
     slim = rows.select("rank", "key", F.col("y").cast("double").alias("y"), F.col("p").cast("int").alias("p"), "x")
     base, span = _starts(slim, heads)
     cuts = cuts_of(heads)
     state = materialise(_packed(slim.where(F.col("rank") < cuts[-1]), width, len(heads), cuts), "boosting")
+    conf = rows.sparkSession.conf
+    before = conf.get(LEAST_PARTS, None)
+    conf.set(LEAST_PARTS, before or str(4 * rows.sparkSession.sparkContext.defaultParallelism))  # small files are not put together until cores idle
+    try:
+        return _rounds(state, bins, heads, base, span, rounds, depth, rate, least, row_share, column_share)
+    finally:
+        if before is None:
+            conf.unset(LEAST_PARTS)
+
+
+LEAST_PARTS = "spark.sql.files.minPartitionNum"
+
+
+def _rounds(
+    state: DataFrame, bins: Bins, heads: list[Head], base: list[float], span: float, rounds: int, depth: int, rate: float, least: float, row_share: float, column_share: float,
+) -> list[Boosted]:
+    """Blocks -> the heads' trees."""
+    width, most = len(bins.columns), 1 + max((len(e) for e in bins.edges), default=0)
     sizes = [len(e) + 1 for e in bins.edges]
     models = [Boosted(h, b) for h, b in zip(heads, base, strict=True)]
     pending: Pending = []

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import NumericType, TimestampType
 
 from corvia.operators import selection
-from corvia.sources.written import materialise
+from corvia.sources.written import discard, materialise
 
 
 def with_rank(df: DataFrame, date: str, tie: list[str], name: str = "rank", deal: int = 64) -> DataFrame:
@@ -35,37 +35,34 @@ def with_rank(df: DataFrame, date: str, tie: list[str], name: str = "rank", deal
 
 
 def with_sides(df: DataFrame, date: str, tie: list[str], cuts: Callable[[int], list[int]], name: str = "rank") -> tuple[DataFrame, int]:
-    """df with a number that is below, at or above each of cuts(number of rows) as the rank of with_rank is; and the number of rows.
+    """df, written, with a number that is below, at or above each of cuts(number of rows) as the rank of with_rank is; and the number of rows.
 
     Counts of dates tell on which ones a cut lies. Only those dates' rows are ranked; others get the highest cut that is before their date.
     """
-    day = F.col(date)
     counts = df.groupBy(date).agg(F.count("*").alias("_n"))
-    n = counts.agg(F.sum("_n")).first()[0] or 0
+    upto = materialise(counts.withColumn("_upto", F.sum("_n").over(W.orderBy(date))), "dates")  # dates are few
+    n = upto.agg(F.max("_upto")).first()[0] or 0
     inner = sorted({c for c in cuts(n) if 0 < c < n})
-    if not inner:
-        return df.withColumn(name, F.lit(0).cast("long")), n
-    upto = counts.withColumn("_upto", F.sum("_n").over(W.orderBy(date)))  # dates are few
-    hit = F.array(*map(F.lit, inner))
+    hit = F.array(*map(F.lit, inner)).cast("array<long>")
     on = upto.where(F.exists(hit, lambda c: (c > F.col("_upto") - F.col("_n")) & (c <= F.col("_upto")))).orderBy(date).collect()  # a date a cut
-    is_day = lambda v: day.eqNullSafe(F.lit(v).cast(df.schema[date].dataType))
-    after = lambda v: day.isNotNull() if v is None else F.coalesce(day > F.lit(v).cast(df.schema[date].dataType), F.lit(False))
-    side, split, before, seen = F.lit(0), [], F.lit(0), 0
+    discard(upto)
+    day, lit = F.col(date), lambda v: F.lit(v).cast(df.schema[date].dataType)
+    side, split, before, seen = F.lit(0), F.lit(False), F.lit(0), 0
     for r in on:  # in order, so the last of what holds is the highest
         mine = [c for c in inner if r["_upto"] - r["_n"] < c <= r["_upto"]]
-        side = F.when(after(r[date]), mine[-1]).otherwise(side)
+        later = day.isNotNull() if r[date] is None else F.coalesce(day > lit(r[date]), F.lit(False))
+        side = F.when(later, mine[-1]).otherwise(side)
         if mine[0] < r["_upto"]:
-            split.append(r[date])
-            before = F.when(is_day(r[date]), r["_upto"] - r["_n"] - seen).otherwise(before)
+            same = day.eqNullSafe(lit(r[date]))
+            split, before = split | same, F.when(same, r["_upto"] - r["_n"] - seen).otherwise(before)
             seen += r["_n"]
-    if not split:
-        return df.withColumn(name, side.cast("long")), n
-    cut: Column = F.lit(False)
-    for v in split:
-        cut = cut | is_day(v)
-    ranked = materialise(with_rank(df.where(cut), date, tie, name), "cut-dates")
-    whole = df.where(~cut).withColumn(name, side.cast("long"))
-    return whole.unionByName(ranked.withColumn(name, (F.col(name) + before).cast("long"))), n
+    # In a written column: long conditions are not worked out again wherever the rank is read.
+    out = materialise(df.withColumn(name, F.when(~split, side.cast("long"))), "sides")
+    if not seen:
+        return out, n
+    ranked = with_rank(out.where(F.col(name).isNull()).drop(name), date, tie, name)
+    ranked = materialise(ranked.withColumn(name, (F.col(name) + before).cast("long")), "cut-dates")
+    return out.where(F.col(name).isNotNull()).unionByName(ranked), n
 
 
 def _has_range(df: DataFrame, column: str) -> bool:

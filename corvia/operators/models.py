@@ -8,7 +8,7 @@ exactly their share lies below. With fewer than 50 rows nothing is held back: al
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvia.operators import folds, selection, statute
 from corvia.operators.boosting import Bins, Boosted, Head, Tree, _bytes, binned, learn_bins, train as boost
 from corvia.operators.metrics import best_threshold
-from corvia.sources.written import materialise
 
 LABEL, PROBATION = "sentence_months", "_probation"
 SEEDS = 3
@@ -55,22 +54,19 @@ def prepared(
     bins = learn_bins(rows, columns)
     known = rows.withColumns({"key": F.xxhash64(*(F.col(c).cast("string") for c in tie)), "y": F.col(LABEL).cast("double"), "p": F.coalesce(F.col(PROBATION), F.lit(0)).cast("int")})
     slim = binned(known, bins).select(date, *tie, "key", "y", "p", "x", *(keep or []))
-    ready, n = folds.with_sides(materialise(slim, "binned"), date, tie, cuts)
+    ready, n = folds.with_sides(slim, date, tie, cuts)
     return ready, bins, n
 
 
 def scored(rows: DataFrame, models: dict[str, Boosted], width: int) -> DataFrame:
-    """rows with a column for each model's prediction, in one pass; rows have the bytes x."""
-    schema = rows.select("*", *(F.lit(0.0).alias(n) for n in models)).schema
+    """rows with a column for each model's prediction, in one pass; rows have the bytes x, and only these go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asfortranarray(_bytes(batch.column("x"), np.uint8, width))
-            for name, model in models.items():
-                batch = batch.append_column(name, pa.array(model.predict(x)))
-            yield batch
+    @F.arrow_udf("struct<" + ", ".join(f"`{n}`: double" for n in models) + ">")
+    def score(x: pa.Array) -> pa.Array:
+        values = np.asfortranarray(_bytes(x, np.uint8, width))
+        return pa.StructArray.from_arrays([pa.array(m.predict(values)) for m in models.values()], list(models))
 
-    return rows.mapInArrow(run, schema)
+    return rows.withColumn("_scores", score("x")).select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col("_scores")[n].alias(n) for n in models))
 
 
 def mean_of(names: list[str]) -> Column:

@@ -263,3 +263,39 @@ def test_median_heads_start_from_exact_quantiles(spark):
     for h, v in zip(heads[:2], base, strict=False):
         assert v == np.sort(y[: h.fit])[int(np.ceil(h.alpha * h.fit)) - 1]
     assert base[2] == pytest.approx(np.log(5001 / 10_000)) and span == y.max() - y.min()
+
+
+def test_leaves_equal_a_walk_down_the_tree():
+    rng = np.random.default_rng(4)
+    x = np.asfortranarray(rng.integers(0, 32, (500, 6)).astype(np.uint8))
+    for depth in (1, 3, 9):  # 512 leaves are more than a byte tells apart
+        n = 2**depth - 1
+        t = b.Tree(rng.integers(0, 6, n), np.where(rng.random(n) < 0.2, 255, rng.integers(0, 31, n)), np.ones(2 * n + 1), rng.normal(0, 1, n + 1), np.zeros(n))
+        want = []
+        for row in x:
+            node = 0
+            while node < n:
+                node = 2 * node + 1 + int(t.bin[node] != 255 and row[t.feature[node]] > t.bin[node])
+            want.append(node - n)
+        assert t.leaves(x).tolist() == want and t.predict(x).tolist() == t.value[want].tolist()
+
+
+def test_only_bins_go_to_python_for_scores(spark, trained):
+    ready, bins, found = trained
+    out = models.scored(ready.select("id", "day", "x"), {"m": found[1], "p": found[3]}, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython") == 1
+    got = out.where("id < 300").orderBy("id").toPandas()
+    x = np.frombuffer(b"".join(map(bytes, got.x)), dtype=np.uint8).reshape(-1, 4)
+    assert got.columns.tolist() == ["id", "day", "x", "m", "p"]
+    assert got.m.tolist() == found[1].predict(x).tolist() and got.p.tolist() == found[3].predict(x).tolist()
+
+
+def test_ranks_are_written_and_passes_keep_cores_busy(spark, monkeypatch):
+    rows = rows_of(spark, 800)
+    ready, bins, n = models.prepared(rows, COLUMNS, ("day", ["id"]), lambda n: [100, 333, n])
+    assert n == 800 and "CASE WHEN" not in ready._jdf.queryExecution().optimizedPlan().toString()
+    seen, plain = [], b._pass
+    monkeypatch.setattr(b, "_pass", lambda state, *a: seen.append(state.sparkSession.conf.get(b.LEAST_PARTS, None)) or plain(state, *a))
+    b.train(ready, bins, [b.Head("a", 0, 0.5, 1, 333, 800)], rounds=1, depth=1)
+    assert set(seen) == {str(4 * spark.sparkContext.defaultParallelism)} and spark.conf.get(b.LEAST_PARTS, None) is None
